@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from siteline.llm import packing, token_store
+from siteline.llm import packing, quality, token_store, toxicity
 
-MODULES = [token_store, packing]
+MODULES = [toxicity, token_store, quality, packing]
 
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in MODULES for name, sql in getattr(m, "ORACLE_SQL", {}).items()}
