@@ -24,6 +24,8 @@ _SEGMENT = 1 << 18
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
+#: For ``words(space=...)``: everything in ASCII but letters and digits parts words.
+MARKS = np.array([k < 128 and not chr(k).isalnum() for k in range(256)])
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 _BASE = 0x9E3779B97F4A7C15
@@ -126,7 +128,7 @@ def large(column: pa.Array) -> pa.Array:
     return pc.fill_null(column, "").cast(pa.large_string())
 
 
-def words(column: pa.Array, lower: bool = False, slice_bytes: int = SLICE_BYTES) -> Iterator[Words]:
+def words(column: pa.Array, lower: bool = False, slice_bytes: int = SLICE_BYTES, space: np.ndarray = _SPACE) -> Iterator[Words]:
     """The words of a string column, some documents at a time."""
     column = large(column)
     n = len(column)
@@ -143,7 +145,7 @@ def words(column: pa.Array, lower: bool = False, slice_bytes: int = SLICE_BYTES)
         data = raw[offsets[at] : offsets[to]]
         if lower:
             data = _FOLD[data]
-        full = ~_SPACE[data]
+        full = ~space[data]
         first, last = full.copy(), full.copy()
         if len(data):
             first[1:] &= ~full[:-1]
