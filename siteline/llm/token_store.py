@@ -3,12 +3,12 @@
 Documents are dealt by ranges of ``doc_id`` and written in ascending order as
 shard files into the shared folder.  A shard file holds, little-endian:
 
-    header    8 x uint64: magic, keys, null-key rows, rows, ids, pilots, seed, first byte of the ids
+    header    9 x uint64: magic, keys, null-key rows, rows, ids, pilots, seed, first byte of the ids, bytes an id
     pilots    uint32 per bucket: the hash displacement of its keys
     slots     per key: fingerprint uint32, first row uint32, rows uint32
     keys      int64 per key, ascending
     bounds    uint64 per row and one more: where its ids begin
-    payload   uint32 per id
+    payload   uint16 or uint32 per id
 
 ``lookup`` reads a key in constant time: bucket -> pilot -> slot -> fingerprint
 -> rows -> ids.  Keys that repeat keep all their rows, in order of text; a null
@@ -33,6 +33,7 @@ from siteline.llm import text as T
 from siteline.llm.encode import encoder
 
 MAGIC = 0x31304B4F54444944
+HEAD = 9
 #: Text in a shard, on average, and ids beyond which a shard is closed at the next key.
 SHARD_BYTES = 8 << 20
 SHARD_IDS = 8_000_000
@@ -110,11 +111,11 @@ class Shard:
         fs, path = _fs(uri)
         with fs.open_input_file(path) as f:
             self.buffer = f.read_buffer()
-        head = np.frombuffer(self.buffer, "<u8", 8)
+        head = np.frombuffer(self.buffer, "<u8", HEAD)
         if head[0] != MAGIC:
             raise ValueError(f"not a token shard: {uri}")
-        self.n_keys, self.n_null, self.n_rows, self.n_ids, n_pilots, self.seed, start = (int(x) for x in head[1:])
-        at = 64
+        self.n_keys, self.n_null, self.n_rows, self.n_ids, n_pilots, self.seed, start, width = (int(x) for x in head[1:])
+        at = 8 * HEAD
         self.pilots = np.frombuffer(self.buffer, "<u4", n_pilots, at)
         at += 4 * n_pilots
         self.slots = np.frombuffer(self.buffer, "<u4", 3 * self.n_keys, at).reshape(-1, 3)
@@ -122,7 +123,7 @@ class Shard:
         self.keys = np.frombuffer(self.buffer, "<i8", self.n_keys, at)
         at += 8 * self.n_keys
         self.bounds = np.frombuffer(self.buffer, "<u8", self.n_rows + 1, at).astype(np.int64)
-        self.payload = np.frombuffer(self.buffer, "<u4", self.n_ids, start)
+        self.payload = np.frombuffer(self.buffer, f"<u{width}", self.n_ids, start)
 
     def slot_of(self, keys: np.ndarray) -> np.ndarray:
         """The slot of each key; -1 where its fingerprint isn't there."""
@@ -138,7 +139,7 @@ class Shard:
         return [range(0) if s < 0 else range(int(self.slots[s, 1]), int(self.slots[s, 1] + self.slots[s, 2])) for s in self.slot_of(keys)]
 
     def ids(self, row: int) -> np.ndarray:
-        return self.payload[self.bounds[row] : self.bounds[row + 1]]
+        return self.payload[self.bounds[row] : self.bounds[row + 1]].astype("<u4")
 
 
 def write_shard(uri: str, keys: list[int | None], rows: list[np.ndarray]) -> None:
@@ -151,14 +152,15 @@ def write_shard(uri: str, keys: list[int | None], rows: list[np.ndarray]) -> Non
     table[slots, 1], table[slots, 2] = first + n_null, count
     bounds = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype("<u8")
     parts = [pilots.astype("<u4"), table, uniq.astype("<i8"), bounds]
-    start = 64 + sum(p.nbytes for p in parts)
-    head = np.array([MAGIC, len(uniq), n_null, len(rows), bounds[-1], len(pilots), seed, start], "<u8")
+    width = 2 if all(r.max(initial=0) < 1 << 16 for r in rows) else 4
+    start = 8 * HEAD + sum(p.nbytes for p in parts)
+    head = np.array([MAGIC, len(uniq), n_null, len(rows), bounds[-1], len(pilots), seed, start, width], "<u8")
     fs, path = _fs(uri)
     with fs.open_output_stream(path) as f:
         for part in (head, *parts):
             f.write(part.tobytes())
         for r in rows:
-            f.write(r.astype("<u4", copy=False).tobytes())
+            f.write(r.astype(f"<u{width}", copy=False).tobytes())
 
 
 def write(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> DataFrame:
