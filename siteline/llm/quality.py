@@ -129,7 +129,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
         rows = [(k, v.tobytes()) for k, v in rows if v.any()]
         yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int32()), pa.array([v for _, v in rows], pa.binary())], ["key", "counts"])
 
-    joined = docs.select(F.col("doc_id").cast("long"), "text").join(good, "doc_id", "left").select("text", F.coalesce("good", F.lit(False)).alias("good"))
+    # the labels grow with the documents: merge at every size, rather than broadcast at small ones
+    joined = docs.select(F.col("doc_id").cast("long"), "text").join(good.hint("merge"), "doc_id", "left").select("text", F.coalesce("good", F.lit(False)).alias("good"))
     found = add_vectors(joined.mapInArrow(count, "key int, counts binary"))
     sums = np.zeros((2, BUCKETS))
     for k, v in found.items():
