@@ -169,6 +169,15 @@ def overlaps(ix: Index, item: int, words: np.ndarray) -> list[float]:
     return out
 
 
+def verified(ix: Index, texts: pa.Array, threshold: float, overlap: float) -> Iterator[tuple[int, int, float, list[float]]]:
+    """(row, item, score, overlaps) of the passages that pass both tests."""
+    for w in T.words(texts, lower=True, space=T.MARKS):
+        for d, item, score, low, high in search(ix, w, threshold):
+            got = overlaps(ix, item, w.hashes[low:high])
+            if got[0] >= overlap:
+                yield w.first + d, item, score, got
+
+
 def indexes(items: DataFrame) -> Iterator[Index]:
     """The index, in blocks of about ``SHARD_ITEMS`` items, built by the executors; one is on the driver at a time."""
     n = store.parts(items.count(), SHARD_ITEMS)
@@ -188,6 +197,7 @@ def leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, overl
     spark = docs.sparkSession
     store.small_batches(spark)
     texts = docs.select(F.col("doc_id").cast("long"), "text")
+    kinds = [pa.int64()] * 2 + [pa.float64()] * 4
     found = None
     for ix in indexes(items):
         sent = spark.sparkContext.broadcast(pickle.dumps(ix))  # SHARD_ITEMS items at most, about
@@ -196,13 +206,9 @@ def leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, overl
             own = pickle.loads(sent.value)
             for batch in batches:
                 out: list[tuple] = []
-                for w in T.words(batch.column(1), lower=True, space=T.MARKS):
-                    for d, item, score, low, high in search(own, w, threshold):
-                        got = overlaps(own, item, w.hashes[low:high])
-                        if got[0] >= overlap:
-                            out.append((batch.column(0)[w.first + d].as_py(), int(own.items[item]), score, *got))
+                for row, item, score, got in verified(own, batch.column(1), threshold, overlap):
+                    out.append((batch.column(0)[row].as_py(), int(own.items[item]), score, *got))
                 cols = list(zip(*out, strict=True)) if out else [[]] * 6
-                kinds = [pa.int64()] * 2 + [pa.float64()] * 4
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True)], [x.split()[0] for x in RESULT.split(", ")])
 
         part = texts.mapInArrow(run, RESULT)
@@ -213,10 +219,23 @@ def leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, overl
     return found.groupBy("doc_id", "item_id").agg(best.alias("best"), F.count("*").alias("n_passages")).select("doc_id", "item_id", "best.*", "n_passages")
 
 
-def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The documents without any test item, with all their columns."""
-    bad = leaks(docs, items).select(F.col("doc_id").alias("bad_id")).distinct()
-    return docs.join(bad, F.col("doc_id").cast("long") == F.col("bad_id"), "left_anti")
+def clean(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP) -> DataFrame:
+    """The documents without any test item, with all their columns; rows are filtered where they are read."""
+    spark, out = docs.sparkSession, docs
+    store.small_batches(spark)
+    text = docs.columns.index("text")
+    for ix in indexes(items):
+        sent = spark.sparkContext.broadcast(pickle.dumps(ix))
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            own = pickle.loads(sent.value)
+            for batch in batches:
+                keep = np.ones(batch.num_rows, bool)
+                keep[[row for row, *_ in verified(own, batch.column(text), threshold, overlap)]] = False
+                yield batch.filter(pa.array(keep))
+
+        out = out.mapInArrow(run, docs.schema)
+    return out
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
