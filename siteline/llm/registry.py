@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from siteline.llm import decontam, packing, quality, token_store, toxicity
+from siteline.llm import decontam, lm, packing, quality, token_store, toxicity
 
-MODULES = [toxicity, token_store, decontam, quality, packing]
+MODULES = [lm, toxicity, token_store, decontam, quality, packing]
 
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in MODULES for name, sql in getattr(m, "ORACLE_SQL", {}).items()}
