@@ -61,7 +61,7 @@ def errors(calls: DataFrame, schemas: DataFrame) -> DataFrame:
     pattern = F.create_map(*(F.lit(x) for kv in TYPES.items() for x in kv))[F.col("type")]
     rule = shaped.filter("object").join(schemas, "name").withColumn("kind", F.expr("schema_of_variant(element_at(cast(v as map<string, variant>), parameter))"))
     missing = F.when(F.col("required") & (F.col("kind").isNull() | (F.col("kind") == "VOID")), F.concat(F.lit("missing "), "parameter"))
-    wrong = F.when(F.col("kind").isNotNull() & (F.col("kind") != "VOID") & ~F.coalesce(F.col("kind").rlike(pattern), F.lit(True)), F.concat(F.lit("wrong type "), "parameter"))
+    wrong = F.when(F.col("kind").isNotNull() & (F.col("kind") != "VOID") & ~F.coalesce(F.rlike(F.col("kind"), pattern), F.lit(True)), F.concat(F.lit("wrong type "), "parameter"))
     bad = rule.select("call_id", F.coalesce(missing, wrong).alias("error")).filter("error is not null")
     shape = shaped.filter("not object").select("call_id", F.lit("not an object").alias("error"))
     return bad.unionByName(shape).groupBy("call_id").agg(F.array_join(F.array_sort(F.collect_set("error")), "; ").alias("errors"))
