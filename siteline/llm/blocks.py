@@ -15,17 +15,68 @@ import gc
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siteline.llm import store
 
 SHARD_KEYS = 1 << 20
+#: Rows that a task compresses together.
+PACK_BYTES = 16 << 20
 
 
 def blocked(docs: DataFrame, n_blocks: int) -> DataFrame:
-    """block, doc_id, text; rows that are equal in both share a block."""
-    return docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_blocks)).cast("int").alias("block"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    """block, payload: the rows of ``docs`` (doc_id, text and more) dealt into blocks, compressed before they move.
+
+    Rows that are equal in doc_id and text share a block.
+    """
+    store.small_batches(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def flush() -> pa.RecordBatch:
+            table = pa.Table.from_batches(held)
+            block = table.column("block").to_numpy()
+            order = np.argsort(block, kind="stable")
+            edges = np.flatnonzero(np.diff(block[order], prepend=-1))
+            table = table.take(pa.array(order)).drop_columns("block").combine_chunks()
+            payload = []
+            for low, high in zip(edges, [*edges[1:], len(order)], strict=True):
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                    out.write_table(table.slice(low, high - low))
+                payload.append(sink.getvalue().to_pybytes())
+            return pa.RecordBatch.from_arrays([pa.array(block[order][edges], pa.int32()), pa.array(payload, pa.binary())], ["block", "payload"])
+
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+                size += batch.nbytes
+            if size >= PACK_BYTES:
+                yield flush()
+                held, size = [], 0
+        if held:
+            yield flush()
+
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    dealt = docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_blocks)).cast("int").alias("block"), F.col("doc_id").cast("long").alias("doc_id"), "text", *rest)
+    return dealt.mapInArrow(run, "block int, payload binary")
+
+
+def opened(table: pa.Table) -> pa.Table:
+    """The rows of a block."""
+    return pa.concat_tables([pa.ipc.open_stream(x.as_buffer()).read_all() for x in table.column("payload")])
+
+
+def pack_keys(keys: np.ndarray) -> bytes:
+    """Ascending keys as differences, byte by byte position, so that the high zeros compress."""
+    return np.diff(keys, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def unpack_keys(raw: bytes) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view(np.uint64).ravel(), dtype=np.uint64)
 
 
 def shard_of(keys: np.ndarray, n_shards: int) -> np.ndarray:

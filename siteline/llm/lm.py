@@ -88,7 +88,8 @@ _REPLY = pa.schema([("block", pa.int32()), ("shard", pa.int32()), ("held", pa.bo
 def _counts(docs: DataFrame, n_shards: int) -> DataFrame:
     """Answers for each block: total and retained counts of its keys, and by shard the sizes of the model."""
 
-    def send(table: pa.Table) -> pa.Table:
+    def send(packed: pa.Table) -> pa.Table:
+        table = blocks.opened(packed)
         flat, bounds = tokens(table.column("text"))
         before, both = pairs(flat, bounds)
         keys, token, context, pair = _keys(flat, before, both)
@@ -104,15 +105,15 @@ def _counts(docs: DataFrame, n_shards: int) -> DataFrame:
         seen = np.zeros(len(keys), bool)  # by held-out documents of the block
         seen[token[by_token == 1]] = seen[pair[by_token == 1]] = True
         seen[begin] = bool((role == 1).any())
-        block, out = table.column("block")[0].as_py(), []
+        block, out = packed.column("block")[0].as_py(), []
         for shard, at in blocks.cuts(keys, n_shards):
-            out.append((shard, block, keys[at].tobytes(), np.packbits(seen[at]).tobytes(), blocks.pack(counts[0][at]), blocks.pack(counts[1][at])))
+            out.append((shard, block, blocks.pack_keys(keys[at]), np.packbits(seen[at]).tobytes(), blocks.pack(counts[0][at]), blocks.pack(counts[1][at])))
         cols = list(zip(*out, strict=True))
         return pa.table([pa.array(c, k) for c, k in zip(cols, [pa.int32()] * 2 + [pa.binary()] * 4, strict=True)], ["shard", "block", "keys", "seen", "kept", "held"])
 
     def answer(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
-        chunks = [np.frombuffer(r["keys"], np.uint64) for r in rows]
+        chunks = [blocks.unpack_keys(r["keys"]) for r in rows]
         keys, back = np.unique(np.concatenate(chunks), return_inverse=True)
         sums = [np.bincount(back, np.concatenate([blocks.unpack(r[c], len(k)) for r, k in zip(rows, chunks, strict=True)]), len(keys)).astype(np.int64) for c in ("kept", "held")]
         kept, total = sums[0], sums[0] + sums[1]
@@ -151,6 +152,7 @@ def _grid(docs: DataFrame, replies: DataFrame, kept_tokens: int) -> DataFrame:
         schema = pa.schema([("cell", pa.int64()), ("n", pa.int64()), ("log2", pa.float64()), ("log1", pa.float64())])
         if not docs.num_rows:
             return schema.empty_table()
+        docs = blocks.opened(docs)
         flat, bounds = tokens(docs.column("text"))
         before, both = pairs(flat, bounds)
         _, token, context, pair = _keys(flat, before, both)
@@ -197,6 +199,7 @@ def _score(docs: DataFrame, replies: DataFrame, m: Model) -> DataFrame:
     def run(docs: pa.Table, replies: pa.Table) -> pa.Table:
         if not docs.num_rows:
             return schema.empty_table()
+        docs = blocks.opened(docs)
         flat, bounds = tokens(docs.column("text"))
         before, both = pairs(flat, bounds)
         keys, token, context, pair = _keys(flat, before, both)
@@ -227,12 +230,13 @@ def score(docs: DataFrame, learn: Column, held: Column) -> DataFrame:
     size = store.text_bytes(docs)
     n_blocks, n_shards = store.parts(size), store.parts(size // 5, blocks.SHARD_KEYS)
     role = F.when(~F.coalesce(learn, F.lit(False)), 2).when(F.coalesce(held, F.lit(False)), 1).otherwise(0)
-    dealt = blocks.blocked(docs, n_blocks).withColumn("role", role)
+    roles = docs.select("doc_id", "text", role.alias("role"))
+    dealt = blocks.blocked(roles, n_blocks)
     replies = store.written(_counts(dealt, n_shards), "lm")
     blocks.free(spark)
     sizes = replies.filter("block < 0").agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tokens", "types", "kept_tokens", "kept_types"))).first()
     own = replies.filter("block >= 0").select("block", "shard", "held", "kept", "total", "n")
-    grid = _grid(dealt.filter("role = 1"), own.filter("held"), sizes["kept_tokens"]).collect()  # BUCKETS * LEVELS**2 rows at most
+    grid = _grid(blocks.blocked(roles.filter("role = 1"), n_blocks), own.filter("held"), sizes["kept_tokens"]).collect()  # BUCKETS * LEVELS**2 rows at most
     m = Model(sizes["tokens"], sizes["types"], learn_weights([tuple(r) for r in grid], sizes["kept_types"]))
     blocks.free(spark)
     return _score(dealt, own, m).withColumn("train_tokens", F.lit(m.tokens))

@@ -150,15 +150,15 @@ def _confirm(dealt: DataFrame, n_shards: int) -> DataFrame:
     """For each block, which of its anchors occur twice or more in the corpus."""
 
     def send(table: pa.Table) -> pa.Table:
-        keys, counts = anchor_counts(slices(table.column("text")))
+        keys, counts = anchor_counts(slices(blocks.opened(table).column("text")))
         block = table.column("block")[0].as_py()
-        rows = [(shard, block, keys[at].tobytes(), blocks.pack(counts[at])) for shard, at in blocks.cuts(keys, n_shards)]
+        rows = [(shard, block, blocks.pack_keys(keys[at]), blocks.pack(counts[at])) for shard, at in blocks.cuts(keys, n_shards)]
         cols = list(zip(*rows, strict=True)) if rows else [[]] * 4
         return pa.table([pa.array(list(c), k) for c, k in zip(cols, [pa.int32()] * 2 + [pa.binary()] * 2, strict=True)], ["shard", "block", "keys", "counts"])
 
     def answer(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
-        keys = [np.frombuffer(r["keys"], np.uint64) for r in rows]
+        keys = [blocks.unpack_keys(r["keys"]) for r in rows]
         counts = np.concatenate([blocks.unpack(r["counts"], len(k)) for r, k in zip(rows, keys, strict=True)])
         _, back = np.unique(np.concatenate(keys), return_inverse=True)
         return _answer(rows, keys, np.bincount(back, counts)[back] >= 2)
@@ -172,20 +172,21 @@ def _order(dealt: DataFrame, confirmed: DataFrame, n_shards: int) -> DataFrame:
     def send(docs: pa.Table, flags: pa.Table) -> pa.Table:
         rows: list[tuple] = []
         if docs.num_rows:
+            block = docs.column("block")[0].as_py()
+            docs = blocks.opened(docs)
             parts = slices(docs.column("text"))
             keys, row, _ = candidate_windows(parts, anchor_counts(parts)[0][_flags(flags)])
             if len(keys):
                 order = np.argsort(keys, kind="stable")
                 keys, first = np.unique(keys[order], return_index=True)
                 smallest = np.minimum.reduceat(_doc_ids(docs)[row[order]], first)
-                block = docs.column("block")[0].as_py()
-                rows = [(shard, block, keys[at].tobytes(), smallest[at].tobytes()) for shard, at in blocks.cuts(keys, n_shards)]
+                rows = [(shard, block, blocks.pack_keys(keys[at]), smallest[at].tobytes()) for shard, at in blocks.cuts(keys, n_shards)]
         cols = list(zip(*rows, strict=True)) if rows else [[]] * 4
         return pa.table([pa.array(list(c), k) for c, k in zip(cols, [pa.int32()] * 2 + [pa.binary()] * 2, strict=True)], ["shard", "block", "keys", "docs"])
 
     def answer(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
-        keys = [np.frombuffer(r["keys"], np.uint64) for r in rows]
+        keys = [blocks.unpack_keys(r["keys"]) for r in rows]
         docs = np.concatenate([np.frombuffer(r["docs"], np.int64) for r in rows])
         uniq, back = np.unique(np.concatenate(keys), return_inverse=True)
         smallest = np.full(len(uniq), _LAST)
@@ -243,6 +244,7 @@ def deduplicated(docs: DataFrame, with_text: bool = True) -> DataFrame:
     def cut(docs: pa.Table, flags: pa.Table) -> pa.Table:
         if not docs.num_rows:
             return schema.empty_table()
+        docs = blocks.opened(docs)
         parts = slices(docs.column("text"))
         is_first = flags.column("first").to_numpy(zero_copy_only=False)
         confirmed = anchor_counts(parts)[0][_flags(flags.filter(pa.array(~is_first)))]
