@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from siteline.plans import q_intervals
+from siteline.plans.registry import Query
 
-def queries() -> dict:
-    return {}
+MODULES = [q_intervals]
+FLAGSHIP: Query = q_intervals.flagship
+
+
+def queries() -> dict[str, Query]:
+    return {name: f for m in MODULES for name, f in m.R.queries.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for m in MODULES for name, sql in m.R.sql.items()}
