@@ -76,19 +76,21 @@ def gap_groups(points: DataFrame, threshold: int, keys: tuple[str, ...] = ("chro
     return points.withColumn("far", far).withColumn("grp", F.sum("far").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("far")
 
 
-def nearest_within(points: DataFrame, sites: DataFrame, halfwidth: int) -> DataFrame:
-    """Points (chrom, strand, pos) with the distance to the nearest site of their chromosome and strand, and whether within ``halfwidth``.
+def nearest_within(points: DataFrame, sites: DataFrame, halfwidth: int, bucket: int = 1 << 20) -> DataFrame:
+    """Points (chrom, strand, pos) with ``near``: whether a site of their chromosome and strand is within ``halfwidth``, and its distance (else null).
 
-    Sites and points are swept together, so nothing but the running nearest site is kept.
+    Sites and points are swept together, once up and once down, in buckets of positions; a site also
+    enters the neighbouring bucket that it can reach.
     """
-    both = points.withColumns({"site": F.lit(None).cast("long"), "__point": F.lit(1)}).unionByName(
-        sites.select("chrom", "strand", F.col("pos"), F.col("pos").alias("site"), F.lit(0).alias("__point")), allowMissingColumns=True
-    )
-    order = Window.partitionBy("chrom", "strand").orderBy("pos")
-    before = F.max("site").over(order.rangeBetween(Window.unboundedPreceding, 0))
-    after = F.min("site").over(order.rangeBetween(0, Window.unboundedFollowing))
+    bin_ = lambda shift: F.floor((F.col("pos") + shift) / max(bucket, 2 * halfwidth + 1))
+    spread = sites.select("chrom", "strand", "pos", F.col("pos").alias("site"), F.explode(F.array_distinct(F.array(bin_(-halfwidth), bin_(0), bin_(halfwidth)))).alias("__bin"), F.lit(0).alias("__point"))
+    both = points.withColumns({"site": F.lit(None).cast("long"), "__bin": bin_(0), "__point": F.lit(1)}).unionByName(spread, allowMissingColumns=True)
+    part = Window.partitionBy("chrom", "strand", "__bin")
+    before = F.max("site").over(part.orderBy("pos").rangeBetween(Window.unboundedPreceding, 0))
+    after = F.min("site").over(part.orderBy(F.col("pos").desc()).rangeBetween(Window.unboundedPreceding, 0))
     near = F.least(F.col("pos") - before, after - F.col("pos"))
-    return both.withColumn("distance", near).filter("__point = 1").withColumn("near", F.coalesce(F.col("distance") <= halfwidth, F.lit(False))).drop("site", "__point")
+    found = both.withColumn("distance", near).filter("__point = 1").withColumn("near", F.coalesce(F.col("distance") <= halfwidth, F.lit(False)))
+    return found.withColumn("distance", F.when(F.col("near"), F.col("distance"))).drop("site", "__point", "__bin")
 
 
 def tile(sizes: DataFrame, width: int) -> DataFrame:

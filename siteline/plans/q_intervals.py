@@ -156,8 +156,8 @@ def _(spark, d):
 
 
 @R.add("sig_magnitude", sql(PROFILE + """, prof as (select off as o, sum(case when sense then value/total else 0 end) / (select count(*) from tot) as sense, sum(case when sense then 0 else value/total end) / (select count(*) from tot) as anti from hit join tot using (site) group by 1)
- select round(sum(anti) filter (where o between -50 and -5), 9) as up, round(sum(anti) filter (where o between 5 and 50), 9) as down,
- round(max(anti) filter (where o between -50 and -5), 9) as peak_height, round(median(anti) filter (where o between -50 and -5), 9) as band_median from prof""", "aln", "tss"))
+ select round(sum(case when o >= -50 and o <= -5 then "anti" end), 9) as up, round(sum(case when o >= 5 and o <= 50 then "anti" end), 9) as down,
+ round(max(case when o >= -50 and o <= -5 then "anti" end), 9) as peak_height, round(median(case when o >= -50 and o <= -5 then "anti" end), 9) as band_median from prof""", "aln", "tss"))
 def _(spark, d):
     band, other = F.col("offset").between(-50, -5), F.col("offset").between(5, 50)
     return profiled(spark, d).agg(F.round(F.sum(F.when(band, F.col("anti"))), 9).alias("up"), F.round(F.sum(F.when(other, F.col("anti"))), 9).alias("down"), F.round(F.max(F.when(band, F.col("anti"))), 9).alias("peak_height"), F.round(F.median(F.when(band, F.col("anti"))), 9).alias("band_median"))
