@@ -10,7 +10,9 @@ earlier start).
    their anchors to shards, which confirm those found twice or more.
 2. Automata.  A block compiles the confirmed phrases that it holds into Aho-Corasick automata
    (over words, ``AUTOMATON`` phrases each) and streams all its documents through them.
-   Every occurrence makes the windows that it is the anchor of candidates.
+   Every occurrence makes the windows that it is the anchor of candidates.  The automata
+   compare words, so what they find are the phrases themselves; step 3 finds the same places again by
+   their hashes.
 3. Order.  The candidates' window hashes go to shards with the block's smallest doc_id;
    a shard tells each block which of them are the corpus's first.  All other
    occurrences are removed.
@@ -35,8 +37,11 @@ from siteline.llm import text as T
 
 WINDOW = 20
 PHRASE = 8
-#: Phrases in one automaton: its words fit the code points above 0xFFFF.
+#: Phrases in one automaton.
 AUTOMATON = 100_000
+#: Characters that spell a word in an automaton.
+DIGITS = 2
+_MARK = 0x100
 _SPAN = WINDOW - PHRASE + 1
 _TOP = np.uint64((1 << 64) - 1)
 _LAST = np.iinfo(np.int64).max
@@ -78,43 +83,67 @@ def anchor_counts(parts: list[Slice]) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(np.concatenate([np.empty(0, np.uint64), *(s.phrases[s.anchors()] for s in parts)]), return_counts=True)
 
 
+def hashed_places(parts: list[Slice], confirmed: np.ndarray) -> list[np.ndarray]:
+    """Where, in each slice, phrases with a confirmed hash start."""
+    out = []
+    for s in parts:
+        place = np.searchsorted(confirmed, s.phrases)
+        place[place == len(confirmed)] = 0
+        out.append(np.flatnonzero(confirmed[place] == s.phrases) if len(confirmed) and len(s.windows) else np.empty(0, np.int64))
+    return out
+
+
 def occurrences(parts: list[Slice], confirmed: np.ndarray) -> list[np.ndarray]:
     """Where, in each slice, the confirmed phrases (sorted hashes) of this block occur, found by automata."""
-    phrases: dict[int, np.ndarray] = {}
-    for s in parts:
-        at = s.anchors()
-        keys, first = np.unique(s.phrases[at], return_index=True)
-        for k in np.flatnonzero(np.isin(keys, confirmed, assume_unique=True)):
-            phrases.setdefault(int(keys[k]), s.w.hashes[at[first[k]] : at[first[k]] + PHRASE])
+    keys, rows = [np.empty(0, np.uint64)], [np.empty((0, PHRASE), np.uint64)]
+    for s, at in zip(parts, hashed_places(parts, confirmed), strict=True):
+        keys.append(s.phrases[at])
+        rows.append(s.w.hashes[at[:, None] + np.arange(PHRASE)])
+    _, first = np.unique(np.concatenate(keys), return_index=True)
+    phrases = np.concatenate(rows)[first]
     found: list[list[np.ndarray]] = [[] for _ in parts]
-    order = sorted(phrases)
-    for lo in range(0, len(order), AUTOMATON):
-        some = np.stack([phrases[k] for k in order[lo : lo + AUTOMATON]])
+    for lo in range(0, len(phrases), AUTOMATON):
+        some = phrases[lo : lo + AUTOMATON]
         alphabet, ids = np.unique(some, return_inverse=True)
-        rows = (ids.reshape(some.shape) + 0x10001).astype("<u4")
+        spelt = _spelling(len(alphabet))
         automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-        for row in rows:
-            automaton.add_word(row.tobytes().decode("utf-32-le"))
+        joined, step = spelt[ids.ravel()].tobytes().decode("utf-32-le"), PHRASE * DIGITS
+        for k in range(0, len(joined), step):
+            automaton.add_word(joined[k : k + step], k)
         automaton.make_automaton()
         for out, s in zip(found, parts, strict=True):
             place = np.searchsorted(alphabet, s.w.hashes)
             place[place == len(alphabet)] = 0
-            known = alphabet[place] == s.w.hashes
-            text = np.full(len(known) + s.w.n_docs, 0x10000, "<u4")  # a mark ends each document
-            text[np.arange(len(known)) + s.w.doc] = np.where(known, place + 0x10001, 0x10000)
-            ends = np.fromiter((e for e, _ in automaton.iter(text.tobytes().decode("utf-32-le"))), np.int64)
-            out.append(np.searchsorted(np.arange(len(known)) + s.w.doc, ends) - PHRASE + 1)
+            place = np.where(alphabet[place] == s.w.hashes, place, len(alphabet))
+            at = np.arange(len(place)) + s.w.doc
+            text = np.full((len(place) + s.w.n_docs, DIGITS), _MARK, "<u4")  # a mark ends each document
+            text[at] = spelt[place]
+            ends = np.fromiter((e for e, _ in automaton.iter(text.tobytes().decode("utf-32-le"))), np.int64) // DIGITS
+            out.append(np.searchsorted(at, ends) - PHRASE + 1)
     return [np.unique(np.concatenate([np.empty(0, np.int64), *out])) for out in found]
 
 
+def _spelling(n: int) -> np.ndarray:
+    """``DIGITS`` characters for each of ``n`` words, and marks for any other word.
+
+    Each place has characters of its own, so that nothing is found across words, and few, as
+    the automaton looks through a state's successors one by one.
+    """
+    base = max(2, int(np.ceil(n ** (1 / DIGITS))) + 1)
+    out = np.full((n + 1, DIGITS), _MARK, "<u4")
+    for k in range(DIGITS):
+        out[:n, k] = _MARK + 1 + k * base + np.arange(n) // base**k % base
+    return out
+
+
 def _doc_ids(table: pa.Table) -> np.ndarray:
     return table.column("doc_id").combine_chunks().fill_null(_LAST).to_numpy(zero_copy_only=False)
 
 
-def candidate_windows(parts: list[Slice], confirmed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def candidate_windows(parts: list[Slice], places: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hash, row of the block and start (a word of the document) of each candidate window."""
     keys, rows, starts = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-    for s, hits in zip(parts, occurrences(parts, confirmed), strict=True):
+    for s, hits in zip(parts, places, strict=True):
         at = s.windows[s.candidates(hits)]
         if len(at):
             doc = s.w.doc[at]
@@ -175,7 +204,7 @@ def _order(dealt: DataFrame, confirmed: DataFrame, n_shards: int) -> DataFrame:
             block = docs.column("block")[0].as_py()
             docs = blocks.opened(docs)
             parts = slices(docs.column("text"))
-            keys, row, _ = candidate_windows(parts, anchor_counts(parts)[0][_flags(flags)])
+            keys, row, _ = candidate_windows(parts, occurrences(parts, anchor_counts(parts)[0][_flags(flags)]))
             if len(keys):
                 order = np.argsort(keys, kind="stable")
                 keys, first = np.unique(keys[order], return_index=True)
@@ -199,7 +228,7 @@ def _order(dealt: DataFrame, confirmed: DataFrame, n_shards: int) -> DataFrame:
 
 def removed_words(parts: list[Slice], doc_ids: np.ndarray, confirmed: np.ndarray, firsts: np.ndarray) -> list[np.ndarray]:
     """Which words of each slice are removed."""
-    keys, row, start = candidate_windows(parts, confirmed)
+    keys, row, start = candidate_windows(parts, hashed_places(parts, confirmed))
     order = np.lexsort((start, doc_ids[row], keys))
     uniq, first, back = np.unique(keys[order], return_index=True, return_inverse=True)
     doc = doc_ids[row][order]
