@@ -107,7 +107,7 @@ def rows(docs: DataFrame, width: int, percent: int) -> DataFrame:
 
 def entries(classes: DataFrame) -> DataFrame:
     """The matrix's first columns: column, position, class and its size."""
-    schema = pa.schema([("column", pa.int64()), ("pos", pa.int64()), ("rep", pa.int64()), ("n", pa.int64())])
+    schema = pa.schema([("column", pa.int64()), ("pos", pa.int32()), ("rep", pa.int64()), ("n", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -115,9 +115,9 @@ def entries(classes: DataFrame) -> DataFrame:
             size = np.array([len(x) for x in heads], np.int64)
             if len(size):
                 pos = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(heads)), pa.array(pos), *(pa.array(np.repeat(batch.column(k).to_numpy(), size)) for k in (0, 1))], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(heads)), pa.array(pos.astype(np.int32)), *(pa.array(np.repeat(batch.column(k).to_numpy(), size), t) for k, t in ((0, pa.int64()), (1, pa.int32())))], schema=schema)
 
-    return classes.select("rep", "n", "head").mapInArrow(run, "column long, pos long, rep long, n long")
+    return classes.select("rep", "n", "head").mapInArrow(run, "column long, pos int, rep long, n int")
 
 
 def reachable(percent: int) -> Column:
@@ -143,7 +143,7 @@ def across(columns: DataFrame, components: DataFrame, percent: int) -> DataFrame
     """All pairs from different components that share a first column and can reach the threshold."""
     own = columns.join(components, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
     mixed = own.groupBy("column").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("column")
-    own = store.written(own.join(mixed, "column", "left_semi"), "columns")
+    own = store.written(own.join(mixed, "column", "left_semi"), "mixed")
     kinds = own.select("column", "comp", "n", "pos").distinct()
     left = kinds.select("column", F.col("comp").alias("ca"), F.col("n").alias("na"), F.col("pos").alias("pa"))
     right = kinds.select("column", F.col("comp").alias("cb"), F.col("n").alias("nb"), F.col("pos").alias("pb"))
@@ -183,7 +183,10 @@ def links(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFr
             yield batch.select([0, 1]).filter(pa.array(keep))
 
     joined = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b")
-    return store.written(joined.select("a", "b", "set_a", "set_b").mapInArrow(verify, "a long, b long").distinct(), "links")
+    out = store.written(joined.select("a", "b", "set_a", "set_b").mapInArrow(verify, "a long, b long").distinct(), "links")
+    store.delete(sets, pairs)
+    blocks.free(docs.sparkSession)
+    return out
 
 
 def _contract(edges: DataFrame) -> DataFrame:
@@ -231,7 +234,8 @@ def components(pairs: DataFrame) -> DataFrame:
         large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").filter("u > v").distinct()
-        edges = store.written(small, "edges")
+        edges, last = store.written(small, "edges"), edges
+        store.delete(last)
         now = edges.agg(F.count("*"), F.expr("sum(cast(xxhash64(u, v) as decimal(20, 0)))")).first()
         if now == before:
             return edges.select(F.col("u").alias("rep"), F.col("v").alias("comp"))
@@ -243,16 +247,16 @@ def joined(docs: DataFrame, width: int, percent: int) -> DataFrame:
     spark = docs.sparkSession
     store.small_batches(spark)
     made = store.written(rows(docs, width, percent), "rows")
-    own = made.filter("n > 0 and doc_id is not null")
     sets = ["n", "sig1", "sig2"]
-    classes = store.written(own.groupBy(*sets).agg(F.min("doc_id").alias("rep")), "classes")
-    heads = own.join(classes.withColumnRenamed("rep", "doc_id"), ["doc_id", *sets]).dropDuplicates(["doc_id", *sets]).withColumnRenamed("doc_id", "rep")
-    all_ = store.written(entries(heads), "entries")
+    least = made.filter("n > 0 and doc_id is not null").groupBy(*sets).agg(F.min(F.struct("doc_id", "head")).alias("least"))
+    classes = store.written(least.select(*sets, F.col("least.doc_id").alias("rep"), F.col("least.head").alias("head")), "classes")
+    all_ = entries(classes)
     shared = all_.groupBy("column").count().filter("count > 1")
     columns = store.written(all_.join(shared.hint("merge"), "column"), "columns")
     blocks.free(spark)
     first = links(neighbours(columns, percent), docs, width, percent)
     second = links(across(columns, components(first), percent), docs, width, percent)
+    store.delete(columns)
     blocks.free(spark)
     comps = components(first.unionByName(second))
     found = classes.join(comps, "rep", "left").select(*sets, F.coalesce("comp", "rep").alias("component_id"))
