@@ -30,27 +30,32 @@ def spearman(df: DataFrame, x: str, y: str, keys: list[str]) -> DataFrame:
     return ranked.groupBy(*keys).agg(pearson(F.col("__rx"), F.col("__ry")).alias("rho"), F.count("*").alias("n"))
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once, however often the body and its lambdas use it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def total(x: Column) -> Column:
+    return F.aggregate(x, F.lit(0.0), lambda s, v: s + v)
+
+
 def array_pearson(x: Column, y: Column) -> Column:
     """Pearson of two arrays of one length; null where one is constant."""
-    n = F.size(x)
-    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, v: s + v)
-    mx, my = total(x) / n, total(y) / n
-    sxy = total(F.zip_with(x, y, lambda a, b: (a - mx) * (b - my)))
-    sxx, syy = total(F.transform(x, lambda a: (a - mx) * (a - mx))), total(F.transform(y, lambda b: (b - my) * (b - my)))
-    return F.when((sxx > 0) & (syy > 0), sxy / F.sqrt(sxx * syy))
+    centred = lambda a: let(a, lambda v: let(total(v) / F.size(v), lambda m: F.transform(v, lambda e: e - m)))
+    zero = F.struct(F.lit(0.0).alias("xy"), F.lit(0.0).alias("xx"), F.lit(0.0).alias("yy"))
+    step = lambda s, v: F.struct((s["xy"] + v["a"] * v["b"]).alias("xy"), (s["xx"] + v["a"] * v["a"]).alias("xx"), (s["yy"] + v["b"] * v["b"]).alias("yy"))
+    both = F.zip_with(centred(x), centred(y), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    return F.aggregate(both, zero, step, lambda s: F.when((s["xx"] > 0) & (s["yy"] > 0), s["xy"] / F.sqrt(s["xx"] * s["yy"])))
 
 
 def softmax(x: Column) -> Column:
-    top = F.array_max(x)
-    e = F.transform(x, lambda v: F.exp(v - top))
-    total = F.aggregate(e, F.lit(0.0), lambda s, v: s + v)
-    return F.transform(e, lambda v: v / total)
+    powers = lambda v: let(F.array_max(v), lambda top: F.transform(v, lambda e: F.exp(e - top)))
+    return let(x, lambda v: let(powers(v), lambda e: let(total(e), lambda t: F.transform(e, lambda p: p / t))))
 
 
 def normalised(x: Column) -> Column:
     """Values as shares of their sum; null where that is 0."""
-    total = F.aggregate(x, F.lit(0.0), lambda s, v: s + v)
-    return F.when(total > 0, F.transform(x, lambda v: v / total))
+    return let(x, lambda v: let(total(v), lambda t: F.when(t > 0, F.transform(v, lambda e: e / t))))
 
 
 def jensen_shannon(p: Column, q: Column) -> Column:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from siteline.plans import q_intervals
+from siteline.plans import q_intervals, q_scores, q_tables
 from siteline.plans.registry import Query
 
-MODULES = [q_intervals]
+MODULES = [q_intervals, q_tables, q_scores]
 FLAGSHIP: Query = q_intervals.flagship
 
 
