@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from siteline.plans import q_intervals, q_scores, q_tables
+from siteline.plans import q_files, q_intervals, q_scores, q_tables
 from siteline.plans.registry import Query
 
-MODULES = [q_intervals, q_tables, q_scores]
+MODULES = [q_intervals, q_tables, q_scores, q_files]
 FLAGSHIP: Query = q_intervals.flagship
 
 
