@@ -86,6 +86,8 @@ def shard_of(keys: np.ndarray, n_shards: int) -> np.ndarray:
 
 def cuts(keys: np.ndarray, n_shards: int) -> Iterator[tuple[int, slice]]:
     """The shards that ascending keys fall into, and where."""
+    if not len(keys):
+        return
     shard = shard_of(keys, n_shards)
     edges = np.flatnonzero(np.diff(shard, prepend=-1))
     for low, high in zip(edges, [*edges[1:], len(keys)], strict=True):

@@ -51,21 +51,26 @@ class Encoder:
 
     def learn(self, keys: np.ndarray, new: list[str]) -> None:
         """Encodes new words (sorted by key), many in one call of the library."""
-        joined = [self.mark.join(new[k : k + 32]) + self.mark for k in range(0, len(new), 32)]
+        odd = {k for k, x in enumerate(new) if _UNUSUAL.search(x)}  # could run into the marks beside them
+        plain = [x for k, x in enumerate(new) if k not in odd]
+        joined = [self.mark.join(plain[k : k + 32]) + self.mark for k in range(0, len(plain), 32)]
         made = self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)
         flat = np.array([x for m in made for x in m.ids], np.uint32)
         ends = np.flatnonzero(flat == self.mark_id)
-        if len(ends) != len(new):
+        if len(ends) != len(plain):
             raise ValueError("the tokenizer doesn't keep words apart")
+        if odd:  # words of texts that are encoded whole: no ids are kept for them
+            ends = np.insert(ends, [k - n for n, k in enumerate(sorted(odd))], -1)
+            ends = np.maximum.accumulate(ends)
         if self.used + len(flat) > len(self.pool):
             self.pool = np.concatenate([self.pool[: self.used], np.empty(max(len(flat), self.used), np.uint32)])
         self.pool[self.used : self.used + len(flat)] = flat
-        lows = np.concatenate([[0], ends[:-1] + 1])
+        lows = np.minimum(np.concatenate([[0], ends[:-1] + 1]), np.maximum(ends, 0))
         to = np.searchsorted(self.keys, keys)
         self.at = np.insert(self.at, to, np.arange(len(self.low), len(self.low) + len(new)))
         self.keys = np.insert(self.keys, to, keys)
         self.low = np.concatenate([self.low, self.used + lows])
-        self.length = np.concatenate([self.length, (ends - lows).astype(np.int32)])
+        self.length = np.concatenate([self.length, np.maximum(ends - lows, 0).astype(np.int32)])
         self.used += len(flat)
 
     def _slice(self, w: T.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

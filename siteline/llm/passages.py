@@ -262,7 +262,7 @@ def deduplicated(docs: DataFrame, with_text: bool = True) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and, if asked, the kept text of every document."""
     spark = docs.sparkSession
     size = store.text_bytes(docs)
-    dealt = blocks.blocked(docs, store.parts(size))
+    dealt = blocks.blocked(docs.select("doc_id", "text"), store.parts(size))
     confirmed = store.written(_confirm(dealt, store.parts(size // 40, blocks.SHARD_KEYS)), "anchors")
     blocks.free(spark)
     firsts = store.written(_order(dealt, confirmed, store.parts(size // 12, blocks.SHARD_KEYS)), "windows")
