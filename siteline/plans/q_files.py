@@ -440,3 +440,59 @@ def _(spark, d):
     e = view(spark, d, "experiments").select("species").distinct()
     have = e.filter(F.col("species").startswith("C")).withColumn("has", F.lit(True))
     return e.join(have, "species", "left").select("species", F.coalesce("has", F.lit(False)).alias("peak_level"))
+
+
+@R.add("src_ena_http", "select 'SRR' || c_custkey as run_accession, c_name as sample from customer where c_custkey % 10 = 0")
+def _(spark, d):
+    """Accession look-ups from a cached table: there is no network."""
+    path = scratch(spark, "cache")
+    t = table(spark, d, "customer").select(F.concat(F.lit("SRR"), F.col("c_custkey").cast("string")).alias("run_accession"), F.col("c_name").alias("sample"))
+    W.tsv(t, path, ["run_accession", "sample"])
+    wanted = table(spark, d, "customer").filter("c_custkey % 10 = 0").select(F.concat(F.lit("SRR"), F.col("c_custkey").cast("string")).alias("run_accession"))
+    return S.tsv(spark, path, ["run_accession", "sample"]).join(wanted, "run_accession", "left_semi")
+
+
+@R.add("snk_npz", "select vec_id, cast(len(embedding) as bigint) as n, round(list_sum(list_transform(embedding, lambda x: cast(x as double))), 4) as total from embeddings")
+def _(spark, d):
+    path = scratch(spark, "arrays")
+    table(spark, d, "embeddings").select("vec_id", "embedding").write.parquet(path)
+    total = F.aggregate("embedding", F.lit(0.0), lambda s, v: s + v.cast("double"))
+    return spark.read.schema("vec_id long, embedding array<float>").parquet(path).select("vec_id", F.size("embedding").cast("long").alias("n"), F.round(total, 4).alias("total"))
+
+
+@R.add("snk_yaml_tsv", sql("select cast(experiment as varchar) as experiment, species from experiments", "experiments"))
+def _(spark, d):
+    path = scratch(spark, "config")
+    e = view(spark, d, "experiments").select(F.to_json(F.struct(F.col("experiment").cast("string").alias("experiment"), "species")).alias("value"))
+    e.write.text(path)
+    return spark.read.schema("experiment string, species string").json(path)
+
+
+@R.add("snk_plots", sql("select cast(floor(profile_score / 100) as bigint) as bar, count(*) as n from per_locus group by 1", "per_locus"))
+def _(spark, d):
+    """The table behind a histogram; drawing is left to a plotting tool."""
+    return view(spark, d, "per_locus").groupBy(F.floor(F.col("profile_score") / 100).alias("bar")).agg(count())
+
+
+@R.add("ml_interleave_sampler", sql("select peak_idx, case when peak_idx % 8 = 7 then 'negative' else 'peak' end as kind, (peak_idx * 2654435761) % 401 - 200 as jitter, (peak_idx * 40503) % 2 = 1 as reverse from peaks", "peaks"))
+def _(spark, d):
+    """One pass of peaks with every eighth place a negative, jitter and strand drawn from the index."""
+    i = F.col("peak_idx")
+    return view(spark, d, "peaks").select("peak_idx", F.when(i % 8 == 7, "negative").otherwise("peak").alias("kind"), ((i * 2654435761) % 401 - 200).alias("jitter"), ((i * 40503) % 2 == 1).alias("reverse"))
+
+
+@R.add("orc_emit", sql("select experiment, 'fit --experiment ' || experiment || ' --fold 0' as command from experiments where depth >= 0", "experiments"))
+def _(spark, d):
+    return view(spark, d, "experiments").filter("depth >= 0").select("experiment", F.concat(F.lit("fit --experiment "), F.col("experiment").cast("string"), F.lit(" --fold 0")).alias("command"))
+
+
+@R.add("orc_rule_targets", sql("select t.target, count(*) as n from experiments, (select unnest(['signal', 'peaks', 'stats']) as target) t where not (t.target = 'peaks' and depth < 0) group by 1", "experiments"))
+def _(spark, d):
+    e = view(spark, d, "experiments").select("depth", F.explode(F.array(*(F.lit(x) for x in ("signal", "peaks", "stats")))).alias("target"))
+    return e.filter("not (target = 'peaks' and depth < 0)").groupBy("target").agg(count())
+
+
+@R.add("orc_qc_rules", "with " + STATS + "," + FLAG + " select species, count(*) as n, count(*) filter (where flags <> '') as n_flagged from fl join st using (experiment) group by 1")
+def _(spark, d):
+    s = stats(spark, d)
+    return s.select("experiment", "species").join(C.flags(s), "experiment").groupBy("species").agg(count(), F.count(F.when(F.col("flags") != "", 1)).alias("n_flagged"))
