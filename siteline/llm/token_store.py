@@ -20,6 +20,7 @@ from __future__ import annotations
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +39,8 @@ HEAD = 9
 SHARD_BYTES = 8 << 20
 SHARD_IDS = 8_000_000
 KEYS_A_BUCKET = 3
+#: Shards whose key ranges a lookup sends to the tasks at once.
+LOOKUP_SHARDS = 100_000
 _DIRECT = np.uint32(1 << 31)
 MANIFEST = "part int, seq int, path string, first_key long, last_key long, n_docs long, n_ids long"
 
@@ -230,12 +233,26 @@ def read(manifest: DataFrame) -> DataFrame:
 def lookup(manifest: DataFrame, keys: DataFrame) -> DataFrame:
     """The ids of each key of ``keys`` (doc_id): doc_id, ids; a key that isn't stored gives no row.
 
-    Keys join the shards whose key range holds them, in blocks of the
-    manifest; each shard file is opened once a task.
+    Shards have disjoint key ranges: a key's shard is found by bisection, in blocks of at most
+    ``LOOKUP_SHARDS`` shards, and each shard file is opened once a task.
     """
-    shards = manifest.filter("first_key is not null").select("path", "first_key", "last_key")
+    shards = manifest.filter("first_key is not null").select("first_key", "last_key", "path").orderBy("first_key")
     wanted = keys.select(F.col("doc_id").cast("long")).dropna().distinct()
-    routed = wanted.join(F.broadcast(shards) if shards.count() < 100_000 else shards, F.col("doc_id").between(F.col("first_key"), F.col("last_key")))
+    routed, rows = None, shards.toLocalIterator()
+    while block := list(islice(rows, LOOKUP_SHARDS)):
+        first, last, paths = np.array([r[0] for r in block]), np.array([r[1] for r in block]), [r[2] for r in block]
+
+        def route(batches: Iterator[pa.RecordBatch], first=first, last=last, paths=paths) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                own = batch.column(0).to_numpy()
+                at = np.searchsorted(first, own, "right") - 1
+                good = (at >= 0) & (own <= last[at])
+                yield pa.RecordBatch.from_arrays([pa.array([paths[k] for k in at[good]], pa.string()), pa.array(own[good])], ["path", "doc_id"])
+
+        part = wanted.filter(F.col("doc_id").between(int(first[0]), int(last[-1]))).mapInArrow(route, "path string, doc_id long")
+        routed = part if routed is None else routed.unionByName(part)
+    if routed is None:
+        return keys.sparkSession.createDataFrame([], "doc_id long, ids array<long>")
     fields = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int64()))])
 
     def get(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
