@@ -10,9 +10,9 @@ reach, and pairs below it are discarded before they are made.
 So that a column of thousands of near copies doesn't make all their pairs, the product is
 taken twice.  First each class meets its neighbours in size order in each
 column, and the classes' connected components are found.  Then, for every column that holds several
-components, all pairs from different components are taken, whole: their overlaps are
-added up over the columns, and what can't reach the threshold is discarded.  Pairs within
-a component would change no component.  Every pair left is verified on its full sets.
+components, all pairs from different components are taken, whole, by classes of equal size and
+position, which the bounds discard together.  Pairs within a component would change no
+component.  Every pair left is verified by the full overlap of its sets.
 
 The sketch orders columns and nothing else: any order gives the same result.  Shingles compare
 by 64-bit hashes, equal sets by a 128-bit sum.  Empty or null texts have an empty set, link with
