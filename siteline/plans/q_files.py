@@ -110,8 +110,8 @@ FASTA = "select cast(doc_id as varchar) as chrom, seq from seqs where doc_id < 4
 
 
 def genome(spark, d, wanted=None):
-    s = view(spark, d, "seqs").filter("doc_id < 40 and length(seq) >= 20")
-    path = text_of(spark, s, F.concat(F.lit(">"), F.col("doc_id").cast("string"), F.lit(" x\n"), F.regexp_replace(F.lower("seq"), "(.{50})", "$1\n")), "fasta", whole=True)
+    s = view(spark, d, "seqs").filter("length(seq) >= 20")
+    path = text_of(spark, s, F.concat(F.lit(">"), F.col("doc_id").cast("string"), F.lit(" x\n"), F.regexp_replace(F.lower("seq"), "(.{50})", "$1\n")), "fasta")  # a contig is a row, and so in one file
     return S.fasta(spark, path, wanted, chunk=64)
 
 
@@ -225,7 +225,7 @@ def _(spark, d):
 def _(spark, d):
     from siteline.operators.signal import five_prime
 
-    grid = view(spark, d, "peaks").filter("peak_idx <= 200 and start_pos < end_pos").select("peak_idx", "chrom", F.explode(F.sequence("start_pos", F.col("end_pos") - 1)).alias("pos"))
+    grid = view(spark, d, "peaks").filter("start_pos < end_pos").select("peak_idx", "chrom", F.explode(F.sequence("start_pos", F.col("end_pos") - 1)).alias("pos"))
     s = five_prime(view(spark, d, "aln").filter("mapq >= 255")).filter("strand = '+'").drop("strand")
     return grid.join(s, ["chrom", "pos"], "left").select("peak_idx", "pos", F.coalesce("value", F.lit(0.0)).alias("value"))
 
