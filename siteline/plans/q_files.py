@@ -315,8 +315,8 @@ KM = "rf as (select substr(seq, 1, 60) as seq, case when doc_id % 2 = 0 then '35
 
 def classified(spark, d):
     s = view(spark, d, "seqs").filter("length(seq) >= 20")
-    ref = s.filter("doc_id < 20").select(F.substring("seq", 1, 60).alias("seq"), F.when(F.col("doc_id") % 2 == 0, "35s").otherwise("5s").alias("class"), (F.col("doc_id") % 2).alias("priority"))
-    return C.classify_reads(s.select(F.col("doc_id").alias("read"), F.substring("seq", 1, 80).alias("seq")), ref, 20)
+    ref = s.select("seq", F.when(F.col("doc_id") % 2 == 0, "35s").otherwise("5s").alias("class"), (F.col("doc_id") % 2).alias("priority"))
+    return C.classify_reads(s.select(F.col("doc_id").alias("read"), "seq"), ref, 20)
 
 
 @R.add("join_sequence_lookup", sql(KM + " select read, class from rd left join ht using (read)", "seqs"))

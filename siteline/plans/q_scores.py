@@ -44,7 +44,7 @@ def _(spark, d):
 
 @R.add("fn_revcomp", sql("select doc_id, reverse(translate(substr(seq, 1, 200), 'ACGTN', 'TGCAN')) as rc from seqs", "seqs"))
 def _(spark, d):
-    return seqs(spark, d).select("doc_id", Q.revcomp(F.substring("seq", 1, 200)).alias("rc"))
+    return seqs(spark, d).select("doc_id", Q.revcomp(F.col("seq")).alias("rc"))
 
 
 FIRST = "case when instr(seq, 'TTA') > 0 and instr(seq, 'GAA') > 0 then least(instr(seq, 'TTA'), instr(seq, 'GAA')) else greatest(instr(seq, 'TTA'), instr(seq, 'GAA')) end - 1"
@@ -73,7 +73,8 @@ def _(spark, d):
 
 @R.add("fn_kmers", sql("k as (select doc_id, substr(substr(seq, 1, 60), i + 1, 20) as kmer from seqs, (select unnest(range(41)) as i) where i + 20 <= length(substr(seq, 1, 60))) select kmer, count(*) as n from k group by 1", "seqs"))
 def _(spark, d):
-    return seqs(spark, d).select(F.explode(Q.kmers(F.substring("seq", 1, 60), 20)).alias("kmer")).groupBy("kmer").agg(count())
+    strands = seqs(spark, d).select(F.explode(F.array("seq", Q.revcomp(F.col("seq")))).alias("seq"))
+    return strands.select(F.explode(Q.kmers(F.col("seq"), 20)).alias("kmer")).groupBy("kmer").agg(count())
 
 
 @R.add("fn_parse_region", "select c_custkey, 'chr' || c_nationkey as contig, case when c_custkey % 2 = 0 then c_custkey * 1000 end as first, case when c_custkey % 2 = 0 then c_custkey * 1000 + 500 end as last from customer")
@@ -158,7 +159,7 @@ def _(spark, d):
 
 @R.add("ml_onehot", sql("x as (select doc_id, unnest(range(1, 31)) as i, substr(seq, 1, 30) as s from seqs where length(seq) >= 30) select substr(s, i, 1) as base, i - 1 as pos, count(*) as n from x where substr(s, i, 1) <> 'N' group by 1, 2", "seqs"))
 def _(spark, d):
-    hot = seqs(spark, d).filter(F.length("seq") >= 30).select(F.posexplode(Q.onehot(F.substring("seq", 1, 30))).alias("pos", "hot"))
+    hot = seqs(spark, d).select(F.posexplode(Q.onehot(F.col("seq"))).alias("pos", "hot"))
     one = hot.select("pos", F.explode(F.arrays_zip(F.array(*(F.lit(b) for b in "ACGT")).alias("b"), F.col("hot").alias("h"))).alias("z"))
     return one.filter("z.h = 1").groupBy(F.col("z.b").alias("base"), F.col("pos").cast("long").alias("pos")).agg(count())
 

@@ -54,3 +54,56 @@ def test_bigwig_values_of_all_peaks(spark):
     peaks = view(spark, DIR, "peaks").collect()
     want = Counter((p["peak_idx"], x, float(signal[p["chrom"], x])) for p in peaks for x in range(p["start_pos"], p["end_pos"]))
     assert len(peaks) > 200 and rows(spark, "src_bigwig_values") == want
+
+
+def revcomp(s):
+    return s[::-1].translate(str.maketrans("ACGTN", "TGCAN"))
+
+
+def kmers(s, k=20):
+    return [s[j : j + k] for j in range(len(s) - k + 1)]
+
+
+def test_revcomp_of_whole_sequences(spark, seqs):
+    assert rows(spark, "fn_revcomp") == Counter((i, revcomp(s)) for i, s in seqs.items()) and max(map(len, seqs.values())) > 200
+
+
+def test_kmers_of_whole_sequences_and_both_strands(spark, seqs):
+    want = Counter(x for s in seqs.values() for own in (s, revcomp(s)) for x in kmers(own))
+    assert rows(spark, "fn_kmers") == Counter(want.items())
+
+
+def test_onehot_of_whole_sequences(spark, seqs):
+    want = Counter((b, j) for s in seqs.values() for j, b in enumerate(s) if b != "N")
+    assert rows(spark, "ml_onehot") == Counter((*x, n) for x, n in want.items())
+
+
+def classes(reads, references):
+    """read -> class of its first k-mer in a reference of (seq, class, priority)."""
+    known = {}
+    for s, name, priority in references:
+        for x in {*kmers(s), *kmers(revcomp(s))}:
+            known[x] = min(known.get(x, (9, "")), (priority, name))
+    return {i: next((known[x][1] for x in kmers(s) if x in known), None) for i, s in reads.items()}
+
+
+def test_reads_are_classified_by_whole_sequences(spark, seqs):
+    long = {i: s for i, s in seqs.items() if len(s) >= 20}
+    want = classes(long, [(s, "5s" if i % 2 else "35s", i % 2) for i, s in long.items()])
+    assert rows(spark, "join_sequence_lookup") == Counter(want.items())
+    share = lambda x: round(100 * sum(v == x for v in want.values()) / len(want), 2)
+    assert [tuple(r) for r in catalogue.queries()["qc_rrna_content"](spark, DIR).collect()] == [(len(want), share("35s"), share("5s"))]
+
+
+def test_hits_beyond_the_start(spark, tmp_path):
+    """Reads whose only hit, or whose reference, lies far from the start or has a large id."""
+    import random
+
+    from siteline.operators import qc
+
+    r = random.Random(3)
+    seq = lambda n: "".join(r.choice("ACGT") for _ in range(n))
+    refs = [(seq(300), "5s", 1), (seq(300), "35s", 0)]
+    reads = {0: seq(200) + refs[0][0][250:280] + seq(50), 1: seq(150) + revcomp(refs[1][0])[20:60], 2: seq(400), 3: seq(90) + refs[1][0][270:] + refs[0][0][:40]}
+    got = qc.classify_reads(spark.createDataFrame(list(reads.items()), "read long, seq string"), spark.createDataFrame(refs, "seq string, class string, priority int"), 20)
+    assert {x["read"]: x["class"] for x in got.collect()} == classes(reads, refs) == {0: "5s", 1: "35s", 2: None, 3: "35s"}
