@@ -78,17 +78,29 @@ def split_item(text: str) -> tuple[str, str]:
     return text[:cut], text[cut:]
 
 
-def build(ids: list[int], texts: list[str | None], threshold: float = THRESHOLD) -> Index:
+@dataclass
+class Stats:
+    """Of all items, whatever block they are in."""
+
+    n: int
+    mean: float  #: words of an item that has any
+    terms: np.ndarray  #: sorted word hashes
+    df: np.ndarray  #: items that hold each
+
+
+def build(ids: list[int], texts: list[str | None], threshold: float = THRESHOLD, stats: Stats | None = None) -> Index:
+    """The index of some items; ``stats`` are those of all items, else these are all."""
     texts = [t or "" for t in texts]
     words, n = _words(texts), len(texts)
     item = np.repeat(np.arange(n), [len(w) for w in words])
     terms, term = np.unique(np.concatenate([*words, np.empty(0, np.uint64)]), return_inverse=True)
     keys, tf = np.unique(term.astype(np.int64) * n + item, return_counts=True)
     own_term, own_item = keys // max(n, 1), keys % max(n, 1)
-    df = np.bincount(own_term, minlength=len(terms))
     length = np.array([len(w) for w in words], float)
-    mean = length[length > 0].mean() if (length > 0).any() else 1.0
-    idf = np.log1p((n - df + 0.5) / (df + 0.5))
+    if stats is None:
+        stats = Stats(n, length[length > 0].mean() if (length > 0).any() else 1.0, terms, np.bincount(own_term, minlength=len(terms)))
+    df, mean = stats.df[np.searchsorted(stats.terms, terms)], stats.mean
+    idf = np.log1p((stats.n - df + 0.5) / (df + 0.5))
     weights = idf[own_term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[own_item] / mean))
     weights /= np.bincount(own_item, weights, n)[own_item] if len(keys) else 1
     blocks = np.zeros((len(terms), -(-n // BLOCK_ITEMS)), np.float32)
@@ -178,16 +190,39 @@ def verified(ix: Index, texts: pa.Array, threshold: float, overlap: float) -> It
                 yield w.first + d, item, score, got
 
 
-def indexes(items: DataFrame) -> Iterator[Index]:
-    """The index, in blocks of about ``SHARD_ITEMS`` items, built by the executors; one is on the driver at a time."""
-    n = store.parts(items.count(), SHARD_ITEMS)
+def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of shard, item_id, text: for each shard and term the items that hold it; a row without a term has items and words."""
+    for batch in batches:
+        words = _words(batch.column(2).to_pylist())
+        shards = np.array(batch.column(0).to_pylist(), np.int64)
+        terms = [np.unique(w) for w in words]
+        shard, term = np.repeat(shards, [len(t) for t in terms]), np.concatenate([*terms, np.empty(0, np.uint64)])
+        full = np.array([len(w) for w in words if len(w)], np.int64)
+        cols = [pa.array([*shard.tolist(), None], pa.int32()), pa.array([*term.view(np.int64).tolist(), None], pa.int64()), pa.array([*[1] * len(term), len(full)], pa.int64()), pa.array([*[0] * len(term), int(full.sum())], pa.int64())]
+        yield pa.RecordBatch.from_arrays(cols, ["shard", "term", "n", "words"])
+
 
-    def make(table: pa.Table) -> pa.Table:
-        ix = build(table.column(1).to_pylist(), table.column(2).to_pylist())
-        return pa.table({"blob": pa.array([pickle.dumps(ix)], pa.binary())})
+def indexes(items: DataFrame) -> Iterator[Index]:
+    """The index, in blocks of about ``SHARD_ITEMS`` items, built by the executors; one is on the driver at a time.
 
+    Weights don't depend on the blocks: document frequencies, number and mean length are those of all items.
+    """
+    total = items.count()
+    n = store.parts(total, SHARD_ITEMS)
     dealt = items.select(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)).cast("int").alias("shard"), F.col("item_id").cast("long"), "text")
-    made = store.written(dealt.groupBy("shard").applyInArrow(make, "blob binary"), "bm25")
+    counts = store.written(dealt.mapInArrow(counted, "shard int, term long, n long, words long").groupBy("shard", "term").agg(F.sum("n").alias("n"), F.sum("words").alias("words")), "bm25df")
+    full, length = counts.filter("term is null").agg(F.sum("n"), F.sum("words")).first()
+    mean = length / full if full else 1.0
+    terms = counts.filter("term is not null")
+    own = terms.select("shard", "term").join(terms.groupBy("term").agg(F.sum("n").alias("df")), "term")
+
+    def make(table: pa.Table, held: pa.Table) -> pa.Table:
+        term, df = (held.column(c).to_numpy().astype(np.int64) for c in ("term", "df"))
+        order = np.argsort(term.view(np.uint64))
+        ix = build(table.column("item_id").to_pylist(), table.column("text").to_pylist(), stats=Stats(total, mean, term.view(np.uint64)[order], df[order]))
+        return pa.table({"blob": pa.array([pickle.dumps(ix)] if table.num_rows else [], pa.binary())})
+
+    made = store.written(dealt.groupBy("shard").cogroup(own.groupBy("shard")).applyInArrow(make, "blob binary"), "bm25")
     for row in made.toLocalIterator():
         yield pickle.loads(row["blob"])
 

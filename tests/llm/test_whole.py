@@ -1,8 +1,10 @@
 """Operators do the whole job: nothing is lost to a cut by share, size or order."""
 
 import numpy as np
+import pyarrow as pa
 
-from siteline.llm import toxicity
+from siteline.llm import decontam, toxicity
+from siteline.llm import text as T
 
 
 def word(k):
@@ -25,3 +27,18 @@ def test_toxicity_learns_a_rare_languages_words():
     bounds = np.arange(0, 40 * 97, 40)
     found = m.scores(np.concatenate(own[test]), bounds) >= 0.5
     assert found[toxic[test]].mean() > 0.7 and found[~toxic[test]].mean() < 0.2
+
+
+def test_decontamination_scores_dont_depend_on_blocks(spark, monkeypatch):
+    r = np.random.default_rng(6)
+    items = [(i, " ".join(f"w{x}" for x in r.zipf(1.4, 30 + i % 40) % 300)) for i in range(60)] + [(60, None), (61, "")]
+    docs = [(i, "before it " + t + " after it") for i, t in items if t]
+    d, own = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    found = []
+    for size in (1000, 7):
+        monkeypatch.setattr(decontam, "SHARD_ITEMS", size)
+        found.append({(x["doc_id"], x["item_id"]): (round(x["score"], 9), x["n_passages"]) for x in decontam.leaks(d, own).collect()})
+    assert found[0] == found[1] and len(found[0]) >= 60
+    ix = decontam.build(*map(list, zip(*items, strict=True)))
+    held = {(i, int(ix.items[k])): round(s, 9) for (i, t) in docs for w in T.words(pa.array([t]), lower=True, space=T.MARKS) for _, k, s, *_ in decontam.search(ix, w)}
+    assert all(held[pair] == s for pair, (s, _) in found[1].items())
