@@ -9,7 +9,10 @@ its essential terms, those left when its lightest terms, together lighter
 than the threshold, are set aside.  Postings of essential terms give the pivots; the
 block maxima of the passage's terms bound a pivot's score; what passes is
 scored in full, and every pair above the threshold is verified by the overlap of
-five-word shingles with the item's question and answer.
+five-word shingles with the item, or with its question: a question is indexed beside its item, weighted
+by itself, so that a passage with the question alone is found however long the answer is.  A question
+shorter than a shingle doesn't tell by itself and counts only together with the answer.
+The score is the share of the item's weight, or of the question's where only that reaches the threshold.
 
 Words are runs of letters and digits, A-Z lowered.  The answer is what follows an
 item's last line break, else its last sentence end, else there is none and its
@@ -49,14 +52,16 @@ RESULT = "doc_id long, item_id long, score double, overlap double, question_over
 @dataclass
 class Index:
     terms: np.ndarray  #: sorted word hashes
-    items: np.ndarray  #: item ids
-    keys: np.ndarray  #: sorted term * items + item
+    items: np.ndarray  #: item id of each unit: first the whole items, then those questions that are less than their item
+    row: np.ndarray  #: the whole item's unit of each unit
+    keys: np.ndarray  #: sorted term * units + unit
     weights: np.ndarray  #: by key
-    maxima: np.ndarray  #: terms x blocks of items
+    maxima: np.ndarray  #: terms x blocks of units
     essential: np.ndarray  #: term of each essential posting, sorted
     essential_item: np.ndarray
     stride: int
     parts: list[list[tuple[int, np.ndarray]]]  #: by item: (width, sorted shingles) of the whole, question and answer
+    tells: np.ndarray  #: by item: whether the question has a full shingle
 
 
 def shingles(hashes: np.ndarray, width: int = SHINGLE) -> tuple[int, np.ndarray]:
@@ -91,14 +96,20 @@ class Stats:
 def build(ids: list[int], texts: list[str | None], threshold: float = THRESHOLD, stats: Stats | None = None) -> Index:
     """The index of some items; ``stats`` are those of all items, else these are all."""
     texts = [t or "" for t in texts]
-    words, n = _words(texts), len(texts)
+    whole, n_items = _words(texts), len(texts)
+    qa = [split_item(t) for t in texts]
+    questions, answers = _words([q for q, _ in qa]), _words([a for _, a in qa])
+    row = np.array([*range(n_items), *(i for i, (w, q) in enumerate(zip(whole, questions, strict=True)) if 0 < len(q) < len(w))], np.int64)
+    words = [*whole, *(questions[i] for i in row[n_items:])]
+    n = len(words)
     item = np.repeat(np.arange(n), [len(w) for w in words])
     terms, term = np.unique(np.concatenate([*words, np.empty(0, np.uint64)]), return_inverse=True)
     keys, tf = np.unique(term.astype(np.int64) * n + item, return_counts=True)
     own_term, own_item = keys // max(n, 1), keys % max(n, 1)
     length = np.array([len(w) for w in words], float)
     if stats is None:
-        stats = Stats(n, length[length > 0].mean() if (length > 0).any() else 1.0, terms, np.bincount(own_term, minlength=len(terms)))
+        full = length[:n_items][length[:n_items] > 0]
+        stats = Stats(n_items, full.mean() if len(full) else 1.0, terms, np.bincount(own_term[own_item < n_items], minlength=len(terms)))
     df, mean = stats.df[np.searchsorted(stats.terms, terms)], stats.mean
     idf = np.log1p((stats.n - df + 0.5) / (df + 0.5))
     weights = idf[own_term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[own_item] / mean))
@@ -111,10 +122,9 @@ def build(ids: list[int], texts: list[str | None], threshold: float = THRESHOLD,
     before = np.concatenate([[0], sums])[first]
     heavy = sums - before[own_item[order]] >= threshold - 1e-9
     ess = order[heavy][np.argsort(own_term[order][heavy], kind="stable")]
-    qa = [split_item(t) for t in texts]
-    questions, answers = _words([q for q, _ in qa]), _words([a for _, a in qa])
-    parts = [[shingles(w), shingles(q if len(q) else w), shingles(a if len(a) else (q if len(q) else w))] for w, q, a in zip(words, questions, answers, strict=True)]
-    return Index(terms, np.array(ids, np.int64), keys, weights, blocks, own_term[ess], own_item[ess], int(max(LEAST_STRIDE, length.max(initial=0))), parts)
+    parts = [[shingles(w), shingles(q if len(q) else w), shingles(a if len(a) else (q if len(q) else w))] for w, q, a in zip(whole, questions, answers, strict=True)]
+    tells = np.array([len(q) >= SHINGLE for q in questions], bool)
+    return Index(terms, np.array(ids, np.int64)[row], row, keys, weights, blocks, own_term[ess], own_item[ess], int(max(LEAST_STRIDE, length.max(initial=0))), parts, tells)
 
 
 def _spans(sorted_: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -182,11 +192,16 @@ def overlaps(ix: Index, item: int, words: np.ndarray) -> list[float]:
 
 
 def verified(ix: Index, texts: pa.Array, threshold: float, overlap: float) -> Iterator[tuple[int, int, float, list[float]]]:
-    """(row, item, score, overlaps) of the passages that pass both tests."""
+    """(row, item, score, overlaps) of the passages that pass both tests, once for an item found whole and by its question."""
     for w in T.words(texts, lower=True, space=T.MARKS):
-        for d, item, score, low, high in search(ix, w, threshold):
+        done = set()
+        for d, unit, score, low, high in sorted(search(ix, w, threshold), key=lambda x: x[1]):  # whole items first
+            item = int(ix.row[unit])
+            if (d, item, low) in done:
+                continue
+            done.add((d, item, low))
             got = overlaps(ix, item, w.hashes[low:high])
-            if got[0] >= overlap:
+            if got[0] >= overlap or got[1] >= overlap and (ix.tells[item] or got[2] >= overlap):
                 yield w.first + d, item, score, got
 
 

@@ -1,5 +1,7 @@
 """Operators do the whole job: nothing is lost to a cut by share, size or order."""
 
+import re
+
 import numpy as np
 import pyarrow as pa
 
@@ -42,3 +44,32 @@ def test_decontamination_scores_dont_depend_on_blocks(spark, monkeypatch):
     ix = decontam.build(*map(list, zip(*items, strict=True)))
     held = {(i, int(ix.items[k])): round(s, 9) for (i, t) in docs for w in T.words(pa.array([t]), lower=True, space=T.MARKS) for _, k, s, *_ in decontam.search(ix, w)}
     assert all(held[pair] == s for pair, (s, _) in found[1].items())
+
+
+def leaked(docs, items):
+    """(doc_id, item_id) with four fifths of the shingles of the item or of its question; with a short question, also of its answer."""
+    tok = lambda t: re.findall(r"[a-z0-9]+", (t or "").lower())
+    grams = lambda w, k: {tuple(w[j : j + k]) for j in range(len(w) - k + 1)}
+    out = set()
+    for d, t in docs:
+        w = tok(t)
+        for i, x in items:
+            q, a = decontam.split_item(x)
+            holds = lambda p: bool(p) and len(grams(p, k := min(5, len(p))) & grams(w, k)) >= 0.8 * len(grams(p, k))
+            if holds(tok(x)) or holds(tok(q)) and (len(tok(q)) >= 5 or holds(tok(a))):
+                out.add((d, i))
+    return out
+
+
+def test_decontamination_finds_questions_without_answers(spark):
+    r = np.random.default_rng(8)
+    some = lambda n: " ".join(f"w{x}" for x in r.integers(0, 400, n))
+    items = [(i, some(6 + i) + "?\n" + some(90 - 2 * i)) for i in range(20)] + [(20, "Why? Because " + some(12)), (21, some(30))]
+    docs = [(i, some(20) + " " + decontam.split_item(t)[0] + " " + some(20)) for i, t in items]  # the question alone
+    docs += [(100 + i, some(5) + " " + t + " " + some(5)) for i, t in items] + [(200 + i, decontam.split_item(t)[1]) for i, t in items[:20]] + [(300, some(300))]
+    d, own = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    want = leaked(docs, items)
+    assert all((i, i) in want for i in range(20)) and (20, 20) not in want and (120, 20) in want and 300 not in {i for i, _ in want}
+    rows = decontam.leaks(d, own).collect()
+    assert {(x["doc_id"], x["item_id"]) for x in rows} == want and len(rows) == len(want)
+    assert {x["doc_id"] for x in decontam.clean(d, own).collect()} == {i for i, _ in docs} - {i for i, _ in want}
