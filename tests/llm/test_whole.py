@@ -73,3 +73,20 @@ def test_decontamination_finds_questions_without_answers(spark):
     rows = decontam.leaks(d, own).collect()
     assert {(x["doc_id"], x["item_id"]) for x in rows} == want and len(rows) == len(want)
     assert {x["doc_id"] for x in decontam.clean(d, own).collect()} == {i for i, _ in docs} - {i for i, _ in want}
+
+
+def test_toxicity_trains_beside_a_text_over_the_bound(spark):
+    docs = [(k, " ".join(["trash" if k % 3 == 0 else "fine", *(f"w{(k * 7 + j) % 50}" for j in range(20))])) for k in range(200)]
+    docs = spark.createDataFrame(docs + [(200 + k, "long " * 5000) for k in range(20)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k % 3 == 0)) for k in range(220)], "doc_id long, toxic int")
+    m = toxicity.fit(docs, labels, max_words=4500)
+    assert m is not None
+    out = {r["doc_id"]: r["score"] for r in toxicity.scored(docs, m).collect() if r["doc_id"] < 200}
+    assert all((s >= 0.5) == (k % 3 == 0) for k, s in out.items())
+
+
+def test_toxicity_keeps_both_kinds_within_the_bound():
+    words, toxic = np.array([10, 900, 10, 10, 2000, 40]), np.array([0, 0, 0, 0, 0, 1])
+    assert toxicity.fitting(words, toxic, 9999).all()
+    assert toxicity.fitting(words, toxic, 1000).tolist() == [True, True, True, True, False, True]
+    assert toxicity.fitting(np.array([500, 600, 300]), np.array([1, 1, 0]), 1000).tolist() == [True, False, True]
