@@ -30,10 +30,11 @@ def bin_join(a: DataFrame, b: DataFrame, size: int = BIN, keys: tuple[str, ...]
 
 def overlap_any(a: DataFrame, b: DataFrame, size: int = BIN) -> DataFrame:
     """``a`` (chrom, a_start, a_end, ...) with ``hit``: whether any interval of ``b`` overlaps it."""
+    key = ["chrom", "a_start", "a_end"]
     right = b.filter("b_start < b_end").select("chrom", "b_start", "b_end", _bins(F.col("b_start"), F.col("b_end"), size).alias("bin")).distinct()
-    left = a.select("*", F.monotonically_increasing_id().alias("__row"))
-    hits = left.filter("a_start < a_end").withColumn("bin", _bins(F.col("a_start"), F.col("a_end"), size)).join(right, ["chrom", "bin"]).filter("a_start < b_end and b_start < a_end").select("__row").distinct()
-    return left.join(hits.withColumn("hit", F.lit(True)), "__row", "left").withColumn("hit", F.coalesce("hit", F.lit(False))).drop("__row")
+    left = a.filter("a_start < a_end").select(*key).distinct().withColumn("bin", _bins(F.col("a_start"), F.col("a_end"), size))
+    hits = left.join(right, ["chrom", "bin"]).filter("a_start < b_end and b_start < a_end").select(*key).distinct()
+    return a.join(hits.withColumn("hit", F.lit(True)), key, "left").select(*a.columns, F.coalesce("hit", F.lit(False)).alias("hit"))
 
 
 def sweep_sum(intervals: DataFrame, keys: tuple[str, ...] = ("chrom",), least: float = 1e-9, bucket: int = 1 << 20) -> DataFrame:

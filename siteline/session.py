@@ -19,9 +19,11 @@ def build(master: str = "local[*]", **conf: str) -> SparkSession:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path below ``spark.checkpoint.dir``; below a temporary folder where that is unset (tests)."""
+    """A new path below ``spark.checkpoint.dir``; below a temporary folder where that is unset in local mode (tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         app = spark.sparkContext.applicationId
         base = _own[app] = _own.get(app) or tempfile.mkdtemp(prefix="siteline-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -115,6 +115,26 @@ def test_ordinal(spark):
     assert rows(out, "v", "n") == [(k, k + 1) for k in range(1000)]
 
 
+def test_ordinal_of_wide_rows_in_many_partitions(spark):
+    n = 3_000_000
+    wide = spark.range(0, n, 1, 16).select((F.col("id") * 7919 % n).alias("v"), F.repeat(F.sha2(F.col("id").cast("string"), 256), 3).alias("wide"), F.lit(1).alias("n"))
+    spark.conf.set("spark.sql.shuffle.partitions", "32")
+    try:
+        out = with_ordinal(wide, "v", name="n").agg(F.count("*"), F.countDistinct("n"), F.max("n"), F.count(F.when(F.col("n") != F.col("v") + 1, 1))).first()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert tuple(out) == (n, n, n, 0)
+    assert with_ordinal(wide.limit(0), "v", name="n").count() == 0
+
+
+def test_overlap_any_keeps_repeated_rows(spark):
+    a = spark.createDataFrame([("1", 5, 9, "x"), ("1", 5, 9, "x"), ("1", 7, 7, "y"), ("2", 5, 9, "z"), (None, 1, 2, "n")], "chrom string, a_start long, a_end long, tag string").repartition(5)
+    b = spark.createDataFrame([("1", 8, 20), ("1", 0, 4000), ("2", 9, 10)], "chrom string, b_start long, b_end long")
+    from siteline.operators import intervals
+
+    assert sorted((r["tag"], r["hit"]) for r in intervals.overlap_any(a, b).collect()) == [("n", False), ("x", True), ("x", True), ("y", False), ("z", False)]
+
+
 def test_upper_median_and_digitize(spark):
     df = spark.createDataFrame([([1, 2, 3, 4],), ([5],)], "v array<long>")
     assert [r[0] for r in df.select(L.upper_median(F.col("v"))).collect()] == [3, 5]
