@@ -74,7 +74,7 @@ def duplicate_lines(w: T.Words) -> np.ndarray:
     line = np.unique(np.searchsorted(starts, w.starts, "right") - 1)  # with a word
     ends = np.minimum(np.append(starts[1:], len(w.data))[line], _next_break(breaks, starts[line], len(w.data)))
     doc = np.searchsorted(w.doc_bytes, starts[line], "right") - 1
-    keys = T._word_hashes(w.data, starts[line], ends) ^ T.mix(doc.astype(np.uint64) + np.uint64(1))
+    keys = T.span_hashes(w.data, starts[line], ends) ^ T.mix(doc.astype(np.uint64) + np.uint64(1))
     _, first = np.unique(keys, return_index=True)
     again = np.ones(len(keys), bool)
     again[first] = False
@@ -151,7 +151,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
             cols: list[list[np.ndarray]] = [[] for _ in range(6)]
             for w in T.words(batch.column(1)):
                 low = T.Words(w.first, T._FOLD[w.data], w.doc_bytes, w.starts, w.ends, w.hashes, w.bounds)
-                low.hashes = T._word_hashes(low.data, w.starts, w.ends)
+                low.hashes = T.span_hashes(low.data, w.starts, w.ends)
                 buckets, doc = features(low)
                 total = np.bincount(doc, own[buckets], w.n_docs)
                 n = np.bincount(doc, minlength=w.n_docs)

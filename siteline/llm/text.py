@@ -29,6 +29,8 @@ MARKS = np.array([k < 128 and not chr(k).isalnum() for k in range(256)])
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 _BASE = 0x9E3779B97F4A7C15
+_FACTORS = 1 << 16
+_factors: list[np.ndarray] = [np.empty(0, np.uint64)] * 2
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
@@ -51,6 +53,17 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+def factors(place: np.ndarray, which: int) -> np.ndarray:
+    """A fixed pseudo-random odd factor for each place in a string, of one of two sequences."""
+    if not len(_factors[which]):
+        k = np.arange(1, _FACTORS + 1, dtype=np.uint64) * np.uint64(_BASE)
+        _factors[which] = mix(k + np.uint64(0xD1B54A32D192ED03 * (which + 1) & (1 << 64) - 1)) | np.uint64(1)
+    own = _factors[which]
+    if place.max(initial=0) < _FACTORS:
+        return own[place]
+    return own[place % _FACTORS] * (mix((place // _FACTORS).astype(np.uint64) * np.uint64(_BASE | 2)) | np.uint64(1))
+
+
 @dataclass
 class Words:
     """The words of consecutive documents ``first .. first + len(bounds) - 2`` of a batch."""
@@ -85,18 +98,25 @@ class Words:
         return np.flatnonzero(np.arange(len(self.hashes)) + k <= ends)
 
 
-def _word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
+    """A 64-bit hash of each span; the spans are in order and don't overlap.
+
+    Multilinear: every byte is multiplied by the factor of its place in the span.  Unlike powers of
+    one base, the factors are unrelated, so that no pair of strings is known to collide.  Two sequences
+    (``which``) make 128 bits.
+    """
     out = np.empty(len(starts), np.uint64)
     at = 0
     while at < len(starts):
         base = int(starts[at])
         to = max(at + 1, int(np.searchsorted(starts, base + _SEGMENT)))
         top = int(ends[to - 1])
-        up, down = powers(top - base + 1)
-        sums = np.zeros(top - base + 1, np.uint64)
-        np.cumsum((data[base:top].astype(np.uint64) + np.uint64(1)) * up[:-1], out=sums[1:])
         s, e = starts[at:to] - base, ends[at:to] - base
-        out[at:to] = (sums[e] - sums[s]) * down[s]
+        reach = np.diff(np.append(s, top - base))
+        place = np.arange(top - base) - np.repeat(s, reach)
+        sums = np.zeros(top - base + 1, np.uint64)
+        np.cumsum((data[base:top].astype(np.uint64) + np.uint64(1)) * factors(place, which), out=sums[1:])
+        out[at:to] = sums[e] - sums[s] + (e - s).astype(np.uint64) * np.uint64(_BASE)
         at = to
     return mix(out)
 
@@ -154,7 +174,7 @@ def words(column: pa.Array, lower: bool = False, slice_bytes: int = SLICE_BYTES,
             first[inner] |= full[inner]
             last[inner - 1] |= full[inner - 1]
         starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
-        yield Words(at, data, cut, starts, ends, _word_hashes(data, starts, ends), np.searchsorted(starts, cut))
+        yield Words(at, data, cut, starts, ends, span_hashes(data, starts, ends), np.searchsorted(starts, cut))
         at = to
 
 
