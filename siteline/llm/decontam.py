@@ -284,7 +284,7 @@ def clean(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, overl
                 keep[[row for row, *_ in verified(own, batch.column(text), threshold, overlap)]] = False
                 yield batch.filter(pa.array(keep))
 
-        out = out.mapInArrow(run, docs.schema)
+        out = store.mapped(out, run, docs.schema)
     return out
 
 

@@ -4,19 +4,22 @@ A line's key is the line without ``[\\x20\\x09-\\x0D]`` at both ends, A-Z lowere
 whose key has fewer than ``LEAST`` code points are never dropped.  The store keeps, in the
 shared folder and a generation for each change:
 
-    postings   shard, key, size, doc_id        which document holds which key
-    refs       shard, key, size, refs, first   exact reference count and smallest document
-    filters    shard, blob                     cuckoo filter of the keys in ``refs``
+    postings   shard, key, key2, doc_id        which document holds which key
+    refs       shard, key, key2, refs, first   exact reference count and smallest document
+    filters    shard, blob                     cuckoo filter with a mark for every key in ``refs``
 
 ``insert`` probes the filters: a key they don't know is new and is appended with no
-look-up, the others are merged with the exact table.  ``delete`` takes documents out: counts fall,
+look-up, the others are merged with the exact table, and those that it doesn't hold (known by
+mistake) get a mark as well.  ``delete`` takes documents out: counts fall,
 keys at zero leave table and filter, and a key whose first document went gets its next one from the
 postings.  A filter that grows full is built anew, larger, from the exact table.
 ``decide`` drops the lines of keys with two references or more in all but their first document.
+``deduplicated`` inserts a corpus in ``BATCHES`` parts, each probing what the ones before it left.
 
-Keys are 64-bit hashes with the key's length beside.  A null text is one empty line.  Rows
+Keys are 128-bit hashes.  A null text is one empty line.  Rows
 that share a doc_id are one document; a null doc_id counts as larger than any other.
-A document that is inserted again adds nothing.
+A document that is inserted again adds nothing.  Columns of the documents that are named like a
+column of the result give way to it; others keep their names, whatever they are.
 """
 
 from __future__ import annotations
@@ -35,7 +38,10 @@ from siteline.llm import text as T
 
 LEAST = 10
 #: Keys in a shard, on average.
-SHARD_KEYS = 1 << 18
+SHARD_KEYS = 1 << 16
+#: Parts that a whole corpus is inserted in.
+BATCHES = 2
+_KEY = ["shard", "key", "key2"]
 SLOTS = 4
 _LAST = np.iinfo(np.int64).max
 _STARTS = (np.arange(256) & 0xC0) != 0x80
@@ -124,8 +130,8 @@ class Cuckoo:
             bucket, mark = bucket[rest], mark[rest]
 
 
-def line_keys(w: T.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of a slice's lines: document, byte start and end, key and key size (0 where the key is too short)."""
+def line_keys(w: T.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a slice's lines: document, byte start and end, the two halves of the key, and whether the key is long enough."""
     breaks = np.flatnonzero(w.data == 10)
     doc_starts, doc_ends = w.doc_bytes[:-1], w.doc_bytes[1:]
     doc = np.concatenate([np.arange(w.n_docs), np.searchsorted(w.doc_bytes, breaks, "right") - 1])
@@ -139,28 +145,32 @@ def line_keys(w: T.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarra
     some = np.flatnonzero(high > low)
     a, b = w.starts[low[some]], w.ends[high[some] - 1]
     points = np.concatenate([[0], np.cumsum(_STARTS[w.data])])
-    long = points[b] - points[a] >= LEAST
-    some, a, b = some[long], a[long], b[long]
-    key, size = np.zeros(len(start), np.uint64), np.zeros(len(start), np.int64)
-    key[some], size[some] = T._word_hashes(T._FOLD[w.data], a, b), b - a
-    return doc, start, end, key, size
+    fits = points[b] - points[a] >= LEAST
+    some, a, b = some[fits], a[fits], b[fits]
+    keys, long, folded = np.zeros((2, len(start)), np.uint64), np.zeros(len(start), bool), T._FOLD[w.data]
+    for k in range(2):
+        keys[k, some] = T.span_hashes(folded, a, b, k)
+    long[some] = True
+    return doc, start, end, keys[0].view(np.int64), keys[1].view(np.int64), long
 
 
 def postings(docs: DataFrame, n_shards: int) -> DataFrame:
-    """shard, key, size, doc_id: each key once for each document."""
+    """shard, key, key2, doc_id: each key once for each document and batch of rows."""
     store.small_batches(docs.sparkSession)
-    schema = pa.schema([("key", pa.int64()), ("size", pa.int64()), ("doc_id", pa.int64())])
+    schema = pa.schema([("key", pa.int64()), ("key2", pa.int64()), ("doc_id", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).fill_null(_LAST).to_numpy(zero_copy_only=False)
             for w in T.words(batch.column(1)):
-                doc, _, _, key, size = line_keys(w)
-                some = size > 0
-                rows = np.unique(np.stack([ids[w.first + doc[some]], key[some].view(np.int64), size[some]]), axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(rows[1]), pa.array(rows[2]), pa.array(rows[0])], schema=schema)
-
-    made = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "key long, size long, doc_id long")
+                doc, _, _, key, key2, long = line_keys(w)
+                doc, key, key2 = ids[w.first + doc[long]], key[long], key2[long]
+                order = np.lexsort((key2, key, doc))
+                doc, key, key2 = doc[order], key[order], key2[order]
+                new = np.append(True, (doc[1:] != doc[:-1]) | (key[1:] != key[:-1]) | (key2[1:] != key2[:-1]))[: len(doc)]
+                yield pa.RecordBatch.from_arrays([pa.array(key[new]), pa.array(key2[new]), pa.array(doc[new])], schema=schema)
+
+    made = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "key long, key2 long, doc_id long")
     return made.withColumn("shard", F.pmod("key", F.lit(n_shards)).cast("int"))
 
 
@@ -179,47 +189,45 @@ class LineStore:
         return cls(spark, store.parts(expected_keys, SHARD_KEYS))
 
     def insert(self, docs: DataFrame) -> LineStore:
-        new = postings(docs, self.n_shards)
-        if self.postings is None:
-            new = store.written(new.distinct(), "postings")
-        else:
-            new = store.written(new.distinct().join(self.postings, ["shard", "key", "size", "doc_id"], "left_anti"), "postings")
-        delta = new.groupBy("shard", "key", "size").agg(F.count("*").alias("refs"), F.min("doc_id").alias("first"))
+        new = postings(docs, self.n_shards).distinct()
+        if self.postings is not None:
+            new = new.join(self.postings, [*_KEY, "doc_id"], "left_anti")
+        new = store.written(new, "postings")
+        delta = new.groupBy(*_KEY).agg(F.count("*").alias("refs"), F.min("doc_id").alias("first"))
         probed = store.written(self._probe(delta), "probed")
-        fresh = probed.filter("blob is null")
+        keys, filters = probed.filter("blob is null"), probed.filter("blob is not null").select("shard", "blob")
         if self.refs is None:
-            return LineStore(self.spark, self.n_shards, new, fresh.filter("not known").select("shard", "key", "size", "refs", "first"), probed.filter("blob is not null").select("shard", "blob"))
-        known = fresh.filter("known").select("shard", "key", "size", F.col("refs").alias("more"), F.col("first").alias("other"))
-        merged = self.refs.join(known, ["shard", "key", "size"], "full").select(
-            "shard", "key", "size", (F.coalesce("refs", F.lit(0)) + F.coalesce("more", F.lit(0))).alias("refs"), F.least("first", "other").alias("first")
+            return LineStore(self.spark, self.n_shards, new, keys.select(*_KEY, "refs", "first"), filters)
+        known = keys.filter("known").select(*_KEY, F.col("refs").alias("more"), F.col("first").alias("other"))
+        merged = self.refs.join(known, _KEY, "full").select(
+            *_KEY, (F.coalesce("refs", F.lit(0)) + F.coalesce("more", F.lit(0))).alias("refs"), F.least("first", "other").alias("first"), F.col("first").isNull().alias("missed")
         )
-        refs = store.written(merged.unionByName(fresh.filter("not known").select("shard", "key", "size", "refs", "first")), "refs")
-        return LineStore(self.spark, self.n_shards, self.postings.unionByName(new), refs, self._rebuilt(refs, probed.filter("blob is not null").select("shard", "blob")))
+        made = store.written(merged.unionByName(keys.filter("not known").select(*_KEY, "refs", "first", F.lit(False).alias("missed"))), "refs")
+        refs = made.drop("missed")
+        return LineStore(self.spark, self.n_shards, self.postings.unionByName(new), refs, self._topped(refs, filters, made.filter("missed").select("shard", "key")))
 
     def _probe(self, delta: DataFrame) -> DataFrame:
         """The batch's keys with whether a filter knows them, and each shard's filter with the new ones (empty where full)."""
-        schema = pa.schema([("shard", pa.int32()), ("key", pa.int64()), ("size", pa.int64()), ("refs", pa.int64()), ("first", pa.int64()), ("known", pa.bool_()), ("blob", pa.binary())])
-        text = "shard int, key long, size long, refs long, first long, known boolean, blob binary"
+        schema = pa.schema([("shard", pa.int32()), ("key", pa.int64()), ("key2", pa.int64()), ("refs", pa.int64()), ("first", pa.int64()), ("known", pa.bool_()), ("blob", pa.binary())])
+        text = "shard int, key long, key2 long, refs long, first long, known boolean, blob binary"
 
         def run(keys: pa.Table, filters: pa.Table | None = None) -> pa.Table:
             shard = (keys if keys.num_rows else filters).column("shard")[0].as_py()
             own = keys.column("key").to_numpy().view(np.uint64)
-            blob = filters.column("blob")[0].as_py() if filters is not None and filters.num_rows else b""
-            f = Cuckoo.load(blob) if blob else Cuckoo(2 * len(own))
-            known = f.holds(own) if blob else np.zeros(len(own), bool)
-            if filters is not None and filters.num_rows and not blob:
-                known[:] = True  # the filter is being built anew
+            old = filters is not None and filters.num_rows > 0
+            f = Cuckoo.load(filters.column("blob")[0].as_py()) if old else Cuckoo(2 * len(own))
+            known = f.holds(own) if old else np.zeros(len(own), bool)
             while True:
                 try:
                     f.insert(own[~known])
                     blob = f.dump()
                     break
                 except Full:
-                    if known.any() or filters is not None and filters.num_rows:
-                        blob = b""
+                    if old:
+                        blob = b""  # built anew from the exact table
                         break
                     f = Cuckoo(SLOTS * len(f.table) * 2)
-            rows = keys.select(["shard", "key", "size", "refs", "first"]).append_column("known", pa.array(known)).append_column("blob", pa.nulls(len(own), pa.binary())).cast(schema)
+            rows = keys.select([*_KEY, "refs", "first"]).append_column("known", pa.array(known)).append_column("blob", pa.nulls(len(own), pa.binary())).cast(schema)
             last = pa.table([pa.array([x], k.type) for x, k in zip([shard, 0, 0, 0, 0, True, blob], schema, strict=True)], schema=schema)
             return pa.concat_tables([rows, last])
 
@@ -227,9 +235,19 @@ class LineStore:
             return delta.groupBy("shard").applyInArrow(lambda t: run(t), text)
         return delta.groupBy("shard").cogroup(self.filters.groupBy("shard")).applyInArrow(lambda a, b: run(a, b), text)
 
-    def _rebuilt(self, refs: DataFrame, filters: DataFrame) -> DataFrame:
-        """Filters, those that are empty (full before) built anew from the exact table."""
-        full = filters.filter(F.length("blob") == 0).select("shard")
+    def _topped(self, refs: DataFrame, filters: DataFrame, missed: DataFrame) -> DataFrame:
+        """Filters with marks for the keys that they knew by mistake; those that are full are built anew from the exact table."""
+
+        def add(keys: pa.Table, filters: pa.Table) -> pa.Table:
+            if not filters.num_rows or not keys.num_rows or not (blob := filters.column("blob")[0].as_py()):
+                return filters.select(["shard", "blob"])
+            f = Cuckoo.load(blob)
+            try:
+                f.insert(keys.column("key").to_numpy().view(np.uint64))
+                blob = f.dump()
+            except Full:
+                blob = b""
+            return pa.table([filters.column("shard"), pa.array([blob], pa.binary())], ["shard", "blob"])
 
         def build(keys: pa.Table) -> pa.Table:
             own, size = keys.column("key").to_numpy().view(np.uint64), 2 * keys.num_rows
@@ -242,20 +260,22 @@ class LineStore:
                     size *= 2
             return pa.table([pa.array([keys.column("shard")[0].as_py()], pa.int32()), pa.array([f.dump()], pa.binary())], ["shard", "blob"])
 
+        added = store.written(missed.groupBy("shard").cogroup(filters.groupBy("shard")).applyInArrow(add, "shard int, blob binary"), "filters")
+        full = added.filter(F.length("blob") == 0).select("shard")
         made = refs.join(full, "shard", "left_semi").groupBy("shard").applyInArrow(build, "shard int, blob binary")
-        return store.written(filters.filter(F.length("blob") > 0).unionByName(made), "filters")
+        return store.written(added.filter(F.length("blob") > 0).unionByName(made), "filters")
 
     def delete(self, doc_ids: DataFrame) -> LineStore:
         """Takes the documents of ``doc_ids`` (doc_id) out again."""
         ids = doc_ids.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(int(_LAST))).alias("doc_id")).distinct()
         gone = store.written(self.postings.join(ids, "doc_id", "left_semi"), "gone")
         rest = store.written(self.postings.join(ids, "doc_id", "left_anti"), "postings")
-        delta = gone.groupBy("shard", "key", "size").agg(F.count("*").alias("less"), F.min("doc_id").alias("lost"))
-        hit = store.written(self.refs.join(delta, ["shard", "key", "size"]), "hit")
-        orphans = hit.filter("refs > less and lost = first").select("shard", "key", "size")
-        heirs = rest.join(orphans, ["shard", "key", "size"], "left_semi").groupBy("shard", "key", "size").agg(F.min("doc_id").alias("heir"))
-        changed = hit.filter("refs > less").join(heirs, ["shard", "key", "size"], "left").select("shard", "key", "size", (F.col("refs") - F.col("less")).alias("refs"), F.coalesce("heir", "first").alias("first"))
-        refs = store.written(self.refs.join(hit.select("shard", "key", "size"), ["shard", "key", "size"], "left_anti").unionByName(changed), "refs")
+        delta = gone.groupBy(*_KEY).agg(F.count("*").alias("less"), F.min("doc_id").alias("lost"))
+        hit = store.written(self.refs.join(delta, _KEY), "hit")
+        orphans = hit.filter("refs > less and lost = first").select(*_KEY)
+        heirs = rest.join(orphans, _KEY, "left_semi").groupBy(*_KEY).agg(F.min("doc_id").alias("heir"))
+        changed = hit.filter("refs > less").join(heirs, _KEY, "left").select(*_KEY, (F.col("refs") - F.col("less")).alias("refs"), F.coalesce("heir", "first").alias("first"))
+        refs = store.written(self.refs.join(hit.select(*_KEY), _KEY, "left_anti").unionByName(changed), "refs")
 
         def forget(keys: pa.Table, filters: pa.Table) -> pa.Table:
             if not keys.num_rows or not filters.num_rows:
@@ -269,51 +289,70 @@ class LineStore:
         return LineStore(self.spark, self.n_shards, rest, refs, filters)
 
     def drops(self) -> DataFrame:
-        """doc_id and the packed keys of the lines that each document loses."""
-        repeated = self.refs.filter("refs >= 2").select("shard", "key", "size", "first")
-        lost = self.postings.join(repeated.hint("merge"), ["shard", "key", "size"]).filter("doc_id <> first")
-        return lost.groupBy("doc_id").agg(F.collect_list("key").alias("keys"), F.collect_list("size").alias("sizes"))
+        """doc_id and the keys of the lines that each document loses."""
+        repeated = self.refs.filter("refs >= 2").select(*_KEY, "first")
+        lost = self.postings.join(repeated.hint("merge"), _KEY).filter("doc_id <> first")
+        return lost.groupBy("doc_id").agg(F.collect_list(F.struct("key", "key2")).alias("keys"))
 
     def decide(self, docs: DataFrame) -> DataFrame:
         """``docs`` with n_lines, n_dropped, kept_sha256 and the kept text, beside all their other columns."""
         store.small_batches(docs.sparkSession)
-        names = [c for c in docs.columns if c != "text"]
-        lost = self.drops().select(F.col("doc_id").alias("__id"), F.col("keys").alias("__keys"), F.col("sizes").alias("__sizes"))
-        joined = docs.join(lost.hint("merge"), F.coalesce(F.col("doc_id").cast("long"), F.lit(int(_LAST))) == F.col("__id"), "left").select(*names, F.col("text"), "__keys", "__sizes")
         extra = [("n_lines", pa.int64()), ("n_dropped", pa.int64()), ("kept_sha256", pa.string()), ("text", pa.string())]
+        names = [c for c in docs.columns if c.lower() not in {x for x, _ in extra}]
+        id_, keys_ = store.unused(docs.columns, "id"), store.unused(docs.columns, "keys")
+        lost = self.drops().select(F.col("doc_id").alias(id_), F.col("keys").alias(keys_))
+        own = docs.select(*(F.col(f"`{c}`") for c in names), F.col("text"))
+        joined = own.join(lost.hint("merge"), F.coalesce(F.col("doc_id").cast("long"), F.lit(int(_LAST))) == F.col(id_), "left").drop(id_)
 
         def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                keys, sizes = batch.column("__keys").to_pylist(), batch.column("__sizes").to_pylist()
+                keys = batch.column(len(names) + 1).to_pylist()
                 out: list[list] = [[] for _ in extra]
-                for w in T.words(batch.column("text")):
-                    doc, start, end, key, size = line_keys(w)
+                for w in T.words(batch.column(len(names))):
+                    doc, start, end, key, key2, _ = line_keys(w)
                     edges = np.searchsorted(doc, np.arange(w.n_docs + 1))
                     for d in range(w.n_docs):
                         at, raw = slice(edges[d], edges[d + 1]), w.data[w.doc_bytes[d] : w.doc_bytes[d + 1]].tobytes()
                         lost, n = keys[w.first + d], 0
                         if lost:
-                            gone = set(zip(lost, sizes[w.first + d], strict=True))
-                            drop = [x in gone for x in zip(key[at].view(np.int64).tolist(), size[at].tolist(), strict=True)]
+                            gone = {(x["key"], x["key2"]) for x in lost}
+                            drop = [x in gone for x in zip(key[at].tolist(), key2[at].tolist(), strict=True)]
                             n, base = sum(drop), w.doc_bytes[d]
                             raw = b"\n".join(raw[a - base : b - base] for a, b, x in zip(start[at], end[at], drop, strict=True) if not x)
                         for c, x in zip(out, (edges[d + 1] - edges[d], n, hashlib.sha256(raw).hexdigest(), raw.decode()), strict=True):
                             c.append(x)
-                cols = [batch.column(c) for c in names] + [pa.array(c, k) for c, (_, k) in zip(out, extra, strict=True)]
+                cols = [batch.column(k) for k in range(len(names))] + [pa.array(c, k) for c, (_, k) in zip(out, extra, strict=True)]
                 yield pa.RecordBatch.from_arrays(cols, names + [x for x, _ in extra])
 
-        schema = docs.select(*names).withColumns({"n_lines": F.lit(0).cast("long"), "n_dropped": F.lit(0).cast("long"), "kept_sha256": F.lit(""), "text": F.lit("")}).schema
-        return joined.mapInArrow(cut, schema)
+        result = own.select(*(F.col(f"`{c}`") for c in names), *(F.lit(0 if k == pa.int64() else "").cast("long" if k == pa.int64() else "string").alias(x) for x, k in extra))
+        return store.mapped(joined, cut, result.schema)
 
 
-def deduplicated(docs: DataFrame) -> DataFrame:
-    """All of ``docs`` inserted into an empty store, then decided."""
-    size = store.text_bytes(docs)
-    return LineStore.empty(docs.sparkSession, size // 64).insert(docs.select("doc_id", "text")).decide(docs)
+def deduplicated(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
+    """All of ``docs`` inserted into an empty store, batch by batch, then decided."""
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    made = LineStore.empty(docs.sparkSession, store.text_bytes(docs) // 64)
+    for k in range(batches):
+        made = made.insert(own.filter(F.pmod(F.xxhash64("doc_id"), F.lit(batches)) == k) if batches > 1 else own)
+    return made.decide(docs)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deduplicated(store.documents(spark, sf_dir)).drop("text")
 
 
+SQL = r"""
+with parts as (select doc_id, string_split(coalesce(text, ''), chr(10)) as lines from documents),
+lines as (select doc_id, unnest(lines) as line, generate_subscripts(lines, 1) as i from parts),
+keyed as (
+  select doc_id, i, line, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key
+  from lines),
+repeated as (select key, min(doc_id) as keeper from keyed where length(key) >= 10 group by key having count(distinct doc_id) >= 2),
+decided as (select k.*, r.keeper is not null and r.keeper <> k.doc_id as gone from keyed k left join repeated r on k.key = r.key)
+select doc_id, count(*) as n_lines, count(*) filter (gone) as n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) order by i) filter (not gone), '')) as kept_sha256
+from decided group by doc_id
+"""
+
 QUERIES = {"op2_line_dedup": query}
+ORACLE_SQL = {"op2_line_dedup": SQL}
