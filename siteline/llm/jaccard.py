@@ -8,11 +8,13 @@ multiplied.  Within a column, sizes and positions bound the overlap that a pair
 reach, and pairs below it are discarded before they are made.
 
 So that a column of thousands of near copies doesn't make all their pairs, the product is
-taken twice.  First each class meets its neighbours in size order in each
-column, and the classes' connected components are found.  Then, for every column that holds several
-components, all pairs from different components are taken, whole, by classes of equal size and
-position, which the bounds discard together.  Pairs within a component would change no
-component.  Every pair left is verified by the full overlap of its sets.
+taken twice.  First, in each column, every class meets the column's hub, the class that has the fewest columns
+before it (the text that the others were edited from has none), and its neighbour in size; the
+classes' connected components are found.  Then, column by column, only classes of different components are
+multiplied, by kinds of equal component, size and position, which the bounds discard together; the
+products are added up by pair, and a pair goes on only if its overlap so far and what both have left
+after their last common column reach the size bound.  Pairs within a component would change no
+component.  What is left is verified by the full overlap of its sets.
 
 The sketch orders columns and nothing else: any order gives the same result.  Shingles compare
 by 64-bit hashes, equal sets by a 128-bit sum.  Empty or null texts have an empty set, link with
@@ -130,17 +132,24 @@ def _ordered(pairs: DataFrame) -> DataFrame:
 
 
 def neighbours(columns: DataFrame, percent: int) -> DataFrame:
-    """Pairs next to each other, and with the first, in a column's order of size."""
-    part = Window.partitionBy("column", F.pmod(F.xxhash64("rep"), F.ceil(F.col("count") / TOGETHER))).orderBy("n", "rep")
+    """Pairs of each class with its column's hub, and with the next smaller class.
+
+    A column of more than ``TOGETHER`` rows is taken in parts by a hash; the parts' hubs meet the column's hub.
+    """
+    n_parts = F.ceil(F.col("count") / TOGETHER)
     me = F.struct(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"))
-    seen = columns.select(me.alias("me"), F.lag(me).over(part).alias("last"), F.first(me).over(part).alias("first"))
-    both = seen.select("me.*", F.explode(F.array_distinct(F.array("last", "first"))).alias("other")).filter("other is not null and other.b <> b")
-    named = both.select("b", "nb", "pb", F.col("other.b").alias("a"), F.col("other.nb").alias("na"), F.col("other.pb").alias("pa"))
+    dealt = columns.select("column", "pos", "n", "rep", F.pmod(F.xxhash64("rep"), n_parts).alias("part"), (n_parts > 1).alias("many"), me.alias("me"))
+    part = Window.partitionBy("column", "part")
+    seen = dealt.select("column", "many", "me", F.lag("me").over(part.orderBy("n", "rep")).alias("last"), F.first("me").over(part.orderBy("pos", "n", "rep")).alias("hub"))
+    hubs = seen.filter(F.col("many") & (F.col("me") == F.col("hub"))).select("column", "me")
+    over = hubs.select("me", F.first("me").over(Window.partitionBy("column").orderBy("me.pb", "me.nb", "me.b")).alias("other"))  # a row a part
+    both = seen.select("me", F.explode(F.array_distinct(F.array("last", "hub"))).alias("other")).unionByName(over).filter("other is not null and other.b <> me.b")
+    named = both.select("me.*", F.col("other.b").alias("a"), F.col("other.nb").alias("na"), F.col("other.pb").alias("pa"))
     return _ordered(named.filter(reachable(percent))).distinct()
 
 
 def across(columns: DataFrame, components: DataFrame, percent: int) -> DataFrame:
-    """All pairs from different components that share a first column and can reach the threshold."""
+    """Pairs of different components whose added-up overlap can still reach the threshold."""
     own = columns.join(components, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
     mixed = own.groupBy("column").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("column")
     own = store.written(own.join(mixed, "column", "left_semi"), "mixed")
@@ -150,8 +159,11 @@ def across(columns: DataFrame, components: DataFrame, percent: int) -> DataFrame
     met = left.join(right, "column").filter((F.col("ca") < F.col("cb")) & reachable(percent))
     a = own.select("column", F.col("comp").alias("ca"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("rep").alias("a"))
     b = own.select("column", F.col("comp").alias("cb"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("rep").alias("b"))
-    found = met.join(a, ["column", "ca", "na", "pa"]).join(b, ["column", "cb", "nb", "pb"]).filter("a <> b")
-    return _ordered(found).distinct()
+    products = met.join(a, ["column", "ca", "na", "pa"]).join(b, ["column", "cb", "nb", "pb"])
+    # positions only grow along the common columns, so those left out above come after all that are counted
+    overlap = products.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("overlap"), F.max("pa").alias("pa"), F.max("pb").alias("pb"))
+    left_over = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) - 1
+    return _ordered(overlap.filter(F.col("overlap") + left_over >= least_overlap(percent))).distinct()
 
 
 def links(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -268,12 +280,35 @@ def joined(docs: DataFrame, width: int, percent: int) -> DataFrame:
 
 def kept(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """The documents of ``docs`` that are the smallest of their component, with all their columns; null ids stay."""
-    others = joined(docs.select("doc_id", "text"), width, percent).filter("component_id <> doc_id").select(F.col("doc_id").alias("other_id")).distinct()
-    return docs.join(others.hint("merge"), F.col("doc_id").cast("long") == F.col("other_id"), "left_anti")
+    other = store.unused(docs.columns, "other")
+    others = joined(docs.select("doc_id", "text"), width, percent).filter("component_id <> doc_id").select(F.col("doc_id").alias(other)).distinct()
+    return docs.join(others.hint("merge"), F.col("doc_id").cast("long") == F.col(other), "left_anti")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined(store.documents(spark, sf_dir), 3, 90)
 
 
+SQL = r"""
+with recursive texts as (
+  select doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents where text is not null),
+grams as (
+  select distinct doc_id, unnest(case when len(w) = 0 then [] when len(w) < 3 then [array_to_string(w, ' ')]
+    else [w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] for i in range(1, len(w) - 1)] end) as g from texts),
+sizes as (select doc_id, count(*) as n from grams group by 1),
+same as (select doc_id, md5(string_agg(g, chr(10) order by g)) as k from grams group by 1),
+class as (select doc_id, min(doc_id) over (partition by k) as rep from same),
+own as (select g.doc_id, g.g from grams g join class c on c.doc_id = g.doc_id and c.rep = g.doc_id),
+pairs as (
+  select a.doc_id as a, b.doc_id as b, count(*) as n from own a join own b on a.g = b.g and a.doc_id < b.doc_id group by 1, 2),
+links as (
+  select a, b from pairs p join sizes x on x.doc_id = p.a join sizes y on y.doc_id = p.b where 100 * p.n >= 90 * (x.n + y.n - p.n)),
+near as (select a, b from links union select b, a from links),
+reach(a, b) as (select distinct a, a from near union select r.a, n.b from reach r join near n on n.a = r.b),
+comps as (select a, min(b) as c from reach group by 1)
+select d.doc_id, coalesce(s.n, 0) as n_shingles, coalesce(k.c, c.rep, d.doc_id) as component_id
+from documents d left join sizes s on s.doc_id = d.doc_id left join class c on c.doc_id = d.doc_id left join comps k on k.a = c.rep
+"""
+
 QUERIES = {"op10_jaccard_join": query}
+ORACLE_SQL = {"op10_jaccard_join": SQL}
