@@ -8,18 +8,19 @@ earlier start).
    hash, so equal windows have equal anchors and neighbouring windows share one: a
    seventh of all positions is enough to look at.  Blocks of documents send
    their anchors to shards, which confirm those found twice or more.
-2. Automata.  A block compiles the confirmed phrases that it holds into Aho-Corasick automata
-   (over words, ``AUTOMATON`` phrases each) and streams all its documents through them.
-   Every occurrence makes the windows that it is the anchor of candidates.  The automata
-   compare words, so what they find are the phrases themselves; step 3 finds the same places again by
-   their hashes.
+2. Automata.  The confirmed phrases are dealt to the blocks that hold them, and every block is an automaton
+   shard: it compiles its phrases, word by word, into Aho-Corasick automata (``AUTOMATON`` phrases
+   each) and streams all its documents through them.  A document so meets every phrase that it can hold,
+   while the work grows with the corpus and not with its square, as it would if all documents went through
+   the phrases of all blocks.  The occurrences found are written; the later steps read them and nothing else,
+   and a window is a candidate if its anchor is among them.
 3. Order.  The candidates' window hashes go to shards with the block's smallest doc_id;
    a shard tells each block which of them are the corpus's first.  All other
    occurrences are removed.
 
-Windows compare by a 64-bit hash of their words.  A null text has no words.  A null doc_id counts
+Windows compare by 96 bits of hash of their words.  A null text has no words.  A null doc_id counts
 as larger than any other.  Rows that repeat a doc_id are one document in order:
-equal first windows of them are all kept.
+equal first windows of them are all kept.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -42,6 +43,7 @@ AUTOMATON = 100_000
 #: Characters that spell a word in an automaton.
 DIGITS = 2
 _MARK = 0x100
+_SALT = np.uint64(0x8CB92BA72F3D8DD7)
 _SPAN = WINDOW - PHRASE + 1
 _TOP = np.uint64((1 << 64) - 1)
 _LAST = np.iinfo(np.int64).max
@@ -83,20 +85,14 @@ def anchor_counts(parts: list[Slice]) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(np.concatenate([np.empty(0, np.uint64), *(s.phrases[s.anchors()] for s in parts)]), return_counts=True)
 
 
-def hashed_places(parts: list[Slice], confirmed: np.ndarray) -> list[np.ndarray]:
-    """Where, in each slice, phrases with a confirmed hash start."""
-    out = []
-    for s in parts:
-        place = np.searchsorted(confirmed, s.phrases)
-        place[place == len(confirmed)] = 0
-        out.append(np.flatnonzero(confirmed[place] == s.phrases) if len(confirmed) and len(s.windows) else np.empty(0, np.int64))
-    return out
-
-
 def occurrences(parts: list[Slice], confirmed: np.ndarray) -> list[np.ndarray]:
-    """Where, in each slice, the confirmed phrases (sorted hashes) of this block occur, found by automata."""
+    """Where, in each slice, the confirmed phrases (sorted hashes, each an anchor of this block) occur, found by automata."""
     keys, rows = [np.empty(0, np.uint64)], [np.empty((0, PHRASE), np.uint64)]
-    for s, at in zip(parts, hashed_places(parts, confirmed), strict=True):
+    for s in parts:
+        at = s.anchors()
+        place = np.searchsorted(confirmed, s.phrases[at])
+        place[place == len(confirmed)] = 0
+        at = at[confirmed[place] == s.phrases[at]] if len(confirmed) else at[:0]
         keys.append(s.phrases[at])
         rows.append(s.w.hashes[at[:, None] + np.arange(PHRASE)])
     _, first = np.unique(np.concatenate(keys), return_index=True)
@@ -140,17 +136,45 @@ def _doc_ids(table: pa.Table) -> np.ndarray:
     return table.column("doc_id").combine_chunks().fill_null(_LAST).to_numpy(zero_copy_only=False)
 
 
-def candidate_windows(parts: list[Slice], places: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, row of the block and start (a word of the document) of each candidate window."""
-    keys, rows, starts = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+def window_hashes(s: Slice, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes, of 64 and 32 bits, of the windows at some places."""
+    check = T.grams(T.mix(s.w.hashes ^ _SALT), WINDOW)[at] >> np.uint64(32)
+    return T.grams(s.w.hashes, WINDOW)[at], check.astype(np.uint32)
+
+
+def candidate_windows(parts: list[Slice], places: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The two hashes, row of the block and start (a word of the document) of each candidate window."""
+    keys, checks, rows, starts = [np.empty(0, np.uint64)], [np.empty(0, np.uint32)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
     for s, hits in zip(parts, places, strict=True):
         at = s.windows[s.candidates(hits)]
         if len(at):
             doc = s.w.doc[at]
-            keys.append(T.grams(s.w.hashes, WINDOW)[at])
+            key, check = window_hashes(s, at)
+            keys.append(key)
+            checks.append(check)
             rows.append(doc + s.w.first)
             starts.append(at - s.w.bounds[doc])
-    return np.concatenate(keys), np.concatenate(rows), np.concatenate(starts)
+    return np.concatenate(keys), np.concatenate(checks), np.concatenate(rows), np.concatenate(starts)
+
+
+def opening(keys: np.ndarray, checks: np.ndarray) -> np.ndarray:
+    """Which rows of sorted windows differ from the row before."""
+    return np.append(True, (keys[1:] != keys[:-1]) | (checks[1:] != checks[:-1]))[: len(keys)]
+
+
+def pack_places(parts: list[Slice], places: list[np.ndarray]) -> tuple[bytes, int]:
+    """A bit for each word of a block: whether an occurrence starts there."""
+    size = [len(s.w.hashes) for s in parts]
+    bits = np.zeros(sum(size), bool)
+    for low, at in zip(np.cumsum([0, *size]), places, strict=False):
+        bits[low + at] = True
+    return np.packbits(bits).tobytes(), len(bits)
+
+
+def unpack_places(parts: list[Slice], raw: bytes) -> list[np.ndarray]:
+    bits = np.unpackbits(np.frombuffer(raw, np.uint8)).astype(bool)
+    edges = np.cumsum([0, *(len(s.w.hashes) for s in parts)])
+    return [np.flatnonzero(bits[a:b]) for a, b in zip(edges[:-1], edges[1:], strict=True)]
 
 
 _FLAGS = "block int, shard int, flags binary, n int"
@@ -195,8 +219,11 @@ def _confirm(dealt: DataFrame, n_shards: int) -> DataFrame:
     return dealt.groupBy("block").applyInArrow(send, "shard int, block int, keys binary, counts binary").groupBy("shard").applyInArrow(answer, _FLAGS)
 
 
-def _order(dealt: DataFrame, confirmed: DataFrame, n_shards: int) -> DataFrame:
-    """For each block, which of its candidate windows occur in no smaller document of another block."""
+_SENT = "shard int, block int, keys binary, checks binary, docs binary, n int"
+
+
+def _found(dealt: DataFrame, confirmed: DataFrame, n_shards: int) -> DataFrame:
+    """The automata's work: each block's occurrences (shard -1), and its candidate windows with their smallest document, by shard."""
 
     def send(docs: pa.Table, flags: pa.Table) -> pa.Table:
         rows: list[tuple] = []
@@ -204,35 +231,51 @@ def _order(dealt: DataFrame, confirmed: DataFrame, n_shards: int) -> DataFrame:
             block = docs.column("block")[0].as_py()
             docs = blocks.opened(docs)
             parts = slices(docs.column("text"))
-            keys, row, _ = candidate_windows(parts, occurrences(parts, anchor_counts(parts)[0][_flags(flags)]))
+            places = occurrences(parts, anchor_counts(parts)[0][_flags(flags)])
+            bits, n = pack_places(parts, places)
+            rows.append((-1, block, bits, b"", b"", n))
+            keys, checks, row, _ = candidate_windows(parts, places)
             if len(keys):
-                order = np.argsort(keys, kind="stable")
-                keys, first = np.unique(keys[order], return_index=True)
+                order = np.lexsort((checks, keys))
+                keys, checks = keys[order], checks[order]
+                first = np.flatnonzero(opening(keys, checks))
                 smallest = np.minimum.reduceat(_doc_ids(docs)[row[order]], first)
-                rows = [(shard, block, blocks.pack_keys(keys[at]), smallest[at].tobytes()) for shard, at in blocks.cuts(keys, n_shards)]
-        cols = list(zip(*rows, strict=True)) if rows else [[]] * 4
-        return pa.table([pa.array(list(c), k) for c, k in zip(cols, [pa.int32()] * 2 + [pa.binary()] * 2, strict=True)], ["shard", "block", "keys", "docs"])
+                keys, checks = keys[first], checks[first]
+                rows.extend((shard, block, blocks.pack_keys(keys[at]), checks[at].tobytes(), blocks.pack_keys(smallest[at].view(np.uint64)), len(keys[at])) for shard, at in blocks.cuts(keys, n_shards))
+        cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
+        kinds = [pa.int32()] * 2 + [pa.binary()] * 3 + [pa.int32()]
+        return pa.table([pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True)], ["shard", "block", "keys", "checks", "docs", "n"])
+
+    return dealt.groupBy("block").cogroup(confirmed.groupBy("block")).applyInArrow(send, _SENT)
+
+
+def _firsts(found: DataFrame) -> DataFrame:
+    """For each block, which of its candidate windows occur in no smaller document of another block."""
 
     def answer(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
         keys = [blocks.unpack_keys(r["keys"]) for r in rows]
-        docs = np.concatenate([np.frombuffer(r["docs"], np.int64) for r in rows])
-        uniq, back = np.unique(np.concatenate(keys), return_inverse=True)
-        smallest = np.full(len(uniq), _LAST)
-        np.minimum.at(smallest, back, docs)
+        checks = np.concatenate([np.frombuffer(r["checks"], np.uint32) for r in rows])
+        docs = np.concatenate([blocks.unpack_keys(r["docs"]).view(np.int64) for r in rows])
+        all_ = np.concatenate(keys)
+        order = np.lexsort((checks, all_))
+        new = opening(all_[order], checks[order])
+        back = np.empty(len(order), np.int64)
+        back[order] = np.cumsum(new) - 1
+        smallest = np.minimum.reduceat(docs[order], np.flatnonzero(new))
         return _answer(rows, keys, docs == smallest[back])
 
-    sent = dealt.groupBy("block").cogroup(confirmed.groupBy("block")).applyInArrow(send, "shard int, block int, keys binary, docs binary")
-    return sent.groupBy("shard").applyInArrow(answer, _FLAGS)
+    return found.filter("shard >= 0").groupBy("shard").applyInArrow(answer, _FLAGS)
 
 
-def removed_words(parts: list[Slice], doc_ids: np.ndarray, confirmed: np.ndarray, firsts: np.ndarray) -> list[np.ndarray]:
+def removed_words(parts: list[Slice], doc_ids: np.ndarray, places: list[np.ndarray], firsts: np.ndarray) -> list[np.ndarray]:
     """Which words of each slice are removed."""
-    keys, row, start = candidate_windows(parts, hashed_places(parts, confirmed))
-    order = np.lexsort((start, doc_ids[row], keys))
-    uniq, first, back = np.unique(keys[order], return_index=True, return_inverse=True)
+    keys, checks, row, start = candidate_windows(parts, places)
+    order = np.lexsort((start, doc_ids[row], checks, keys))
+    new = opening(keys[order], checks[order])
+    first, back = np.flatnonzero(new), np.cumsum(new) - 1
     doc = doc_ids[row][order]
-    again = ~(firsts[back] & (doc == doc[first][back]) & (start[order] == start[order][first][back])) if len(uniq) else np.empty(0, bool)
+    again = ~(firsts[back] & (doc == doc[first][back]) & (start[order] == start[order][first][back])) if len(first) else np.empty(0, bool)
     row, start = row[order][again], start[order][again]
     out = []
     for s in parts:
@@ -265,9 +308,12 @@ def deduplicated(docs: DataFrame, with_text: bool = True) -> DataFrame:
     dealt = blocks.blocked(docs.select("doc_id", "text"), store.parts(size))
     confirmed = store.written(_confirm(dealt, store.parts(size // 40, blocks.SHARD_KEYS)), "anchors")
     blocks.free(spark)
-    firsts = store.written(_order(dealt, confirmed, store.parts(size // 12, blocks.SHARD_KEYS)), "windows")
+    found = store.written(_found(dealt, confirmed, store.parts(size // 12, blocks.SHARD_KEYS)), "found")
+    store.delete(confirmed)
     blocks.free(spark)
-    flags = confirmed.withColumn("first", F.lit(False)).unionByName(firsts.withColumn("first", F.lit(True)))
+    firsts = store.written(_firsts(found), "firsts")
+    blocks.free(spark)
+    hits = found.filter("shard < 0").select("block", "shard", F.col("keys").alias("flags"), "n")
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("text", pa.string())])
 
     def cut(docs: pa.Table, flags: pa.Table) -> pa.Table:
@@ -275,9 +321,9 @@ def deduplicated(docs: DataFrame, with_text: bool = True) -> DataFrame:
             return schema.empty_table()
         docs = blocks.opened(docs)
         parts = slices(docs.column("text"))
-        is_first = flags.column("first").to_numpy(zero_copy_only=False)
-        confirmed = anchor_counts(parts)[0][_flags(flags.filter(pa.array(~is_first)))]
-        gone = removed_words(parts, _doc_ids(docs), confirmed, _flags(flags.filter(pa.array(is_first))))
+        is_hits = np.array(flags.column("shard").to_numpy() < 0, bool)
+        places = unpack_places(parts, flags.filter(pa.array(is_hits)).column("flags")[0].as_py())
+        gone = removed_words(parts, _doc_ids(docs), places, _flags(flags.filter(pa.array(~is_hits))))
         texts = [t for s, g in zip(parts, gone, strict=True) for t in joined(s.w, ~g)]
         counts = np.concatenate([s.w.counts for s in parts])
         lost = np.concatenate([T.per_doc(g, s.w.bounds) for s, g in zip(parts, gone, strict=True)])
@@ -285,11 +331,26 @@ def deduplicated(docs: DataFrame, with_text: bool = True) -> DataFrame:
         kept = [t.decode() for t in texts] if with_text else [None] * len(texts)
         return pa.table([docs.column("doc_id"), pa.array(counts), pa.array(lost), pa.array(sha), pa.array(kept, pa.string())], schema=schema)
 
-    return dealt.groupBy("block").cogroup(flags.groupBy("block")).applyInArrow(cut, "doc_id long, n_words long, n_removed long, kept_sha256 string, text string")
+    return dealt.groupBy("block").cogroup(hits.unionByName(firsts).groupBy("block")).applyInArrow(cut, "doc_id long, n_words long, n_removed long, kept_sha256 string, text string")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deduplicated(store.documents(spark, sf_dir), with_text=False).drop("text")
 
 
+SQL = r"""
+with texts as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+words as (select doc_id, unnest(w) as word, generate_subscripts(w, 1) as j from texts),
+windows as (select doc_id, i, array_to_string(w[i : i + 19], ' ') as k from (select doc_id, w, unnest(range(1, len(w) - 18)) as i from texts where len(w) >= 20)),
+late as (select doc_id, i from windows qualify row_number() over (partition by k order by doc_id, i) > 1),
+marked as (
+  select w.doc_id, w.j, w.word, coalesce(max(l.i) over (partition by w.doc_id order by w.j rows unbounded preceding) >= w.j - 19, false) as gone
+  from words w left join late l on l.doc_id = w.doc_id and l.i = w.j),
+done as (
+  select doc_id, count(*) as n_words, count(*) filter (gone) as n_removed, string_agg(word, ' ' order by j) filter (not gone) as kept from marked group by 1)
+select t.doc_id, coalesce(n_words, 0) as n_words, coalesce(n_removed, 0) as n_removed, sha256(coalesce(kept, '')) as kept_sha256
+from texts t left join done d on d.doc_id = t.doc_id
+"""
+
 QUERIES = {"op5_passage_dedup": query}
+ORACLE_SQL = {"op5_passage_dedup": SQL}
