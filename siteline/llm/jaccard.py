@@ -14,7 +14,11 @@ classes' connected components are found.  Then, column by column, only classes o
 multiplied, by kinds of equal component, size and position, which the bounds discard together; the
 products are added up by pair, and a pair goes on only if its overlap so far and what both have left
 after their last common column reach the size bound.  Pairs within a component would change no
-component.  What is left is verified by the full overlap of its sets.
+component.
+
+Both products' pairs then meet the bound over the whole matrix: its columns are cut into ``BLOCKS`` blocks,
+a class keeps its number of columns in each, and two classes share at most the smaller number,
+block by block.  What is left is verified by the full overlap of its sets.
 
 The sketch orders columns and nothing else: any order gives the same result.  Shingles compare
 by 64-bit hashes, equal sets by a 128-bit sum.  Empty or null texts have an empty set, link with
@@ -36,6 +40,8 @@ from siteline.llm import text as T
 from siteline.llm.quality import add_vectors
 
 SKETCH = 1 << 20
+#: Column blocks by which the overlap of two whole sets is bounded.
+BLOCKS = 256
 _CHUNK = 1 << 16
 #: Rows of a column that the first product takes together.
 TOGETHER = 4096
@@ -82,14 +88,14 @@ def sketch(docs: DataFrame, width: int) -> np.ndarray:
 
 
 def rows(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """doc_id, set size, set signature and the packed first columns of each document, in the order of columns."""
+    """doc_id, set size, set signature, the packed first columns in the order of columns, and the sizes by block, of each document."""
     sent = docs.sparkSession.sparkContext.broadcast(sketch(docs, width))  # 4 MB at any size
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("sig1", pa.int64()), ("sig2", pa.int64()), ("head", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("sig1", pa.int64()), ("sig2", pa.int64()), ("head", pa.binary()), ("sizes", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often = sent.value
         for batch in batches:
-            cols: list[list] = [[], [], [], []]
+            cols: list[list] = [[], [], [], [], []]
             for w in T.words(batch.column(1), lower=True):
                 h, bounds = shingles(w, width)
                 n = np.diff(bounds)
@@ -99,12 +105,14 @@ def rows(docs: DataFrame, width: int, percent: int) -> DataFrame:
                 doc = np.repeat(np.arange(w.n_docs), n)
                 ordered = h[np.lexsort((h, often[(h & np.uint64(SKETCH - 1)).astype(np.int64)], doc))]
                 head = n - (-(-n * percent // 100)) + 1
+                sizes = np.bincount(doc * BLOCKS + (h >> np.uint64(64 - BLOCKS.bit_length() + 1)).astype(np.int64), minlength=w.n_docs * BLOCKS)
+                cols[4].extend(blocks.pack(x) if m else b"" for x, m in zip(sizes.reshape(-1, BLOCKS), n.tolist(), strict=True))
                 cols[0].append(n)
                 cols[3].extend(ordered[a : a + k].tobytes() if m else b"" for a, k, m in zip(bounds[:-1].tolist(), head.tolist(), n.tolist(), strict=True))
             arrays = [pa.array(np.concatenate(c) if c else [], pa.int64()) for c in cols[:3]]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *arrays, pa.array(cols[3], pa.binary())], schema=schema)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *arrays, pa.array(cols[3], pa.binary()), pa.array(cols[4], pa.binary())], schema=schema)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, sig1 long, sig2 long, head binary")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, sig1 long, sig2 long, head binary, sizes binary")
 
 
 def entries(classes: DataFrame) -> DataFrame:
@@ -166,11 +174,28 @@ def across(columns: DataFrame, components: DataFrame, percent: int) -> DataFrame
     return _ordered(overlap.filter(F.col("overlap") + left_over >= least_overlap(percent))).distinct()
 
 
-def links(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+def possible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sizes by block allow the overlap that they need."""
+
+    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = np.zeros(batch.num_rows, bool)
+            for k, (x, y) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
+                x, y = blocks.unpack(x, BLOCKS), blocks.unpack(y, BLOCKS)
+                keep[k] = (100 + percent) * int(np.minimum(x, y).sum()) >= percent * int(x.sum() + y.sum())
+            yield batch.select([0, 1]).filter(pa.array(keep))
+
+    sizes = lambda side: classes.select(F.col("rep").alias(side), F.col("sizes").alias(f"sizes_{side}"))
+    return pairs.join(sizes("a"), "a").join(sizes("b"), "b").select("a", "b", "sizes_a", "sizes_b").mapInArrow(bound, "a long, b long")
+
+
+def links(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets reach the threshold."""
-    pairs = store.written(pairs, "pairs")
-    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(wanted.hint("merge"), "id", "left_semi")
+    met = store.written(pairs, "met")
+    pairs = store.written(possible(met, classes, percent), "pairs")
+    store.delete(met)
+    wanted = store.written(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "wanted")
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(wanted, "id", "left_semi")
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -196,7 +221,7 @@ def links(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFr
 
     joined = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b")
     out = store.written(joined.select("a", "b", "set_a", "set_b").mapInArrow(verify, "a long, b long").distinct(), "links")
-    store.delete(sets, pairs)
+    store.delete(sets, pairs, wanted)
     blocks.free(docs.sparkSession)
     return out
 
@@ -260,14 +285,14 @@ def joined(docs: DataFrame, width: int, percent: int) -> DataFrame:
     store.small_batches(spark)
     made = store.written(rows(docs, width, percent), "rows")
     sets = ["n", "sig1", "sig2"]
-    least = made.filter("n > 0 and doc_id is not null").groupBy(*sets).agg(F.min(F.struct("doc_id", "head")).alias("least"))
-    classes = store.written(least.select(*sets, F.col("least.doc_id").alias("rep"), F.col("least.head").alias("head")), "classes")
+    least = made.filter("n > 0 and doc_id is not null").groupBy(*sets).agg(F.min(F.struct("doc_id", "head", "sizes")).alias("least"))
+    classes = store.written(least.select(*sets, F.col("least.doc_id").alias("rep"), F.col("least.head").alias("head"), F.col("least.sizes").alias("sizes")), "classes")
     all_ = entries(classes)
     shared = all_.groupBy("column").count().filter("count > 1")
     columns = store.written(all_.join(shared.hint("merge"), "column"), "columns")
     blocks.free(spark)
-    first = links(neighbours(columns, percent), docs, width, percent)
-    second = links(across(columns, components(first), percent), docs, width, percent)
+    first = links(neighbours(columns, percent), classes, docs, width, percent)
+    second = links(across(columns, components(first), percent), classes, docs, width, percent)
     store.delete(columns)
     blocks.free(spark)
     comps = components(first.unionByName(second))
