@@ -1,64 +1,138 @@
-"""Quality rules over one row an experiment; null means not measured and raises no flag."""
+"""Quality rules over one row an experiment or a file; null means not measured and raises no flag."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Mapping
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siteline.functions import seq as Q
+
+# Fixed values of the rules.
 MAP_FAIL, MAP_WARN = 25.0, 50.0
+THIN_COVERAGE = 500
 PEAK_FRACTION, SPECIES_LEAST = 0.5, 3
 DIMER_INSERT, DIMER_PCT = 18, 25.0
+ADAPTER_CONFLICT_PCT = 50.0
 POLYG_PCT, LENGTH_OUTLIER = 5.0, 2.0
+ADAPTERS = {"smallRNA_RA3": "TGGAATTCTCGGGTGCCAAGG", "truseq_universal": "AGATCGGAAGAGC", "nextera": "CTGTCTCTTATACACATCT"}
+ADAPTER_PREFIX = 12
+MATCH_FRACTION = 0.66
+DEAD_CYCLE_FRACTION = 0.20
+POLYG = "G" * 12
 
 
 def adjusted_rate(unique_pct: Column, rrna_pct: Column) -> Column:
-    """The mapping rate among reads that aren't rRNA."""
-    return F.when(rrna_pct.isNotNull() & (rrna_pct < 100), F.least(F.lit(100.0), unique_pct / (1 - rrna_pct / 100))).otherwise(unique_pct)
+    """The mapping rate among reads that aren't rRNA; null where either isn't measured."""
+    return F.when(unique_pct.isNotNull() & rrna_pct.isNotNull() & (rrna_pct < 100), F.least(F.lit(100.0), unique_pct / (1 - rrna_pct / 100)))
+
+
+def _whole(x: Column) -> Column:
+    """A number rounded half to even, as text."""
+    return F.bround(x.cast("double"), 0).cast("long").cast("string")
 
 
-def flags(stats: DataFrame) -> DataFrame:
-    """``stats`` (experiment, species, unique_pct, rrna_pct, n_peaks) with ``flags``, in the rules' order."""
-    medians = stats.filter("n_peaks > 0").groupBy("species").agg(F.median("n_peaks").alias("med"), F.count("*").alias("n")).filter(F.col("n") >= SPECIES_LEAST)
-    rate = adjusted_rate(F.col("unique_pct"), F.col("rrna_pct"))
-    basis = F.when(F.col("rrna_pct").isNotNull(), " (rRNA-adjusted)").otherwise("")
+def flags(stats: DataFrame, survey: DataFrame | None = None) -> DataFrame:
+    """experiment, pct_unique_adj and qc_flags of ``stats`` (experiment, species, pct_unique, pct_rrna, reads_per_peak, peaks_total).
+
+    ``survey`` has (experiment, problems): what ``survey_flags`` found, each a failure.  Flags are joined by
+    commas, in the order of the rules; an experiment without figures has none.
+    """
+    medians = stats.filter("peaks_total <> 0").groupBy("species").agg(F.median("peaks_total").alias("med"), F.count("*").alias("n")).filter(F.col("n") >= SPECIES_LEAST).select("species", "med")
+    adjusted = adjusted_rate(F.col("pct_unique"), F.col("pct_rrna"))
+    rate, basis = F.coalesce(adjusted, F.col("pct_unique")), F.when(adjusted.isNotNull(), "adj").otherwise("raw")
+    shown = F.concat(F.lit("("), _whole(rate), F.lit("%,"), basis, F.lit(")"))
     rules = [
-        F.when(rate < MAP_FAIL, F.concat(F.lit("FAIL:mapping"), basis)).when(rate < MAP_WARN, F.concat(F.lit("WARN:mapping"), basis)),
-        F.when(F.col("n_peaks") == 0, "FAIL:no peaks"),
-        F.when((F.col("n_peaks") > 0) & (F.col("n_peaks") < PEAK_FRACTION * F.col("med")), "WARN:few peaks for species"),
+        F.when(rate < MAP_FAIL, F.concat(F.lit("FAIL:very_low_mapping"), shown)).when(rate < MAP_WARN, F.concat(F.lit("WARN:low_mapping"), shown)),
+        F.when(F.col("reads_per_peak") < THIN_COVERAGE, F.concat(F.lit("WARN:thin_coverage("), _whole(F.col("reads_per_peak")), F.lit("/peak)"))),
+        F.when((F.col("peaks_total") != 0) & (F.col("med") != 0) & (F.col("peaks_total") < PEAK_FRACTION * F.col("med")), F.concat(F.lit("WARN:peaks_below_species("), _whole(F.col("peaks_total")), F.lit("v"), _whole(F.col("med")), F.lit(")"))),
     ]
-    return stats.join(F.broadcast(medians.select("species", "med")), "species", "left").select("experiment", F.concat_ws(",", *rules).alias("flags"))  # a row a species
+    joined = stats.join(medians, "species", "left")
+    if survey is not None:
+        joined = joined.join(survey.select("experiment", "problems"), "experiment", "left")
+        rules.append(F.array_join(F.transform("problems", lambda p: F.concat(F.lit("FAIL:"), p)), ","))
+    said = F.array_join(F.filter(F.array(*rules), lambda r: r.isNotNull() & (r != "")), ",")
+    return joined.select("experiment", F.round(adjusted, 1).alias("pct_unique_adj"), said.alias("qc_flags"))
 
 
 def flag_report(flagged: DataFrame) -> DataFrame:
     """Experiments by severity."""
-    level = F.when(F.col("flags").contains("FAIL"), "FAIL").when(F.col("flags") != "", "WARN").otherwise("ok")
+    level = F.when(F.col("qc_flags").contains("FAIL"), "FAIL").when(F.col("qc_flags") != "", "WARN").otherwise("ok")
     return flagged.groupBy(level.alias("severity")).agg(F.count("*").alias("n"))
 
 
-def read_survey(reads: DataFrame, adapters: list[str]) -> DataFrame:
-    """One scan of reads (run, mate, seq): counts, length, adapter hits, poly-G and N shares by file."""
-    from siteline.functions import seq as Q
+def read_survey(reads: DataFrame, adapters: Mapping[str, str] = ADAPTERS, polyg: str = POLYG, keys: tuple[str, ...] = ("run", "mate")) -> DataFrame:
+    """Nine statistics of each file's reads (keys, seq).
 
-    at = Q.find_first(F.col("seq"), adapters)
-    pct = lambda c: F.round(100.0 * F.count(F.when(c, 1)) / F.count("*"), 2)
-    return reads.groupBy("run", "mate").agg(
-        F.count("*").alias("n_sampled"), F.max(F.length("seq")).cast("long").alias("max_len"), pct(at >= 0).alias("pct_adapter"),
-        F.median(F.when(at >= 0, at)).alias("median_insert"), pct(F.col("seq").contains("N")).alias("pct_any_n"), pct(F.col("seq").contains("GGGG")).alias("pct_polyg"),
+    Everything is read off one histogram of (kind, position) a file, counted before it is shuffled; its
+    size is bounded by the read length.  The usual length is the shortest of the most frequent; adapters
+    that are hit equally often go by the order given; medians are the upper ones.
+    """
+    s, none = F.col("seq"), F.array().cast("array<struct<kind:string,pos:int>>")
+    event = lambda kind, pos: F.struct(F.lit(kind).alias("kind"), pos.cast("int").alias("pos"))
+    probes = {name: F.locate(text[:ADAPTER_PREFIX], s) for name, text in adapters.items()}
+    n_at = F.array_compact(F.transform(F.split(s, ""), lambda c, i: F.when(c == "N", event("N", i + 1))))
+    single = F.array_compact(F.array(event("length", F.length(s)), F.when(s.contains("N"), event("any N", F.lit(0))), F.when(s.contains(polyg), event("poly-G", F.lit(0))), *(F.when(at > 0, event(f"adapter {name}", at - 1)) for name, at in probes.items())))
+    events = F.concat(single, F.when(s.contains("N"), n_at).otherwise(none))
+    hist = reads.filter(s.isNotNull()).select(*keys, F.explode(events).alias("e")).groupBy(*keys, "e.kind", "e.pos").agg(F.count("*").alias("n"))
+    total = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("n"))), F.lit(0))
+    usual = F.max(F.when(F.col("kind") == "length", F.struct("n", (-F.col("pos")).alias("shorter"))))["shorter"]
+    files = hist.groupBy(*keys).agg(total("length").alias("n_sampled"), (-usual).cast("long").alias("read_len"), total("any N").alias("any_n"), total("poly-G").alias("polyg"), *(total(f"adapter {a}").alias(f"hits {a}") for a in adapters))
+    most = reduce(lambda a, b: F.greatest(a, b), (F.col(f"`hits {a}`") for a in adapters), F.lit(0))
+    first = F.coalesce(*(F.when((F.col(f"`hits {a}`") == most) & (most > 0), a) for a in adapters), F.lit("none"))
+    files = files.select(*keys, "n_sampled", "read_len", "any_n", "polyg", first.alias("best_adapter"), most.alias("hits"))
+    own = hist.join(files, list(keys))
+    so_far = F.sum("n").over(Window.partitionBy(*keys).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
+    inserts = own.filter(F.col("kind") == F.concat(F.lit("adapter "), "best_adapter")).withColumn("so_far", so_far)
+    inserts = inserts.groupBy(*keys).agg(F.min(F.when(F.col("so_far") > F.floor(F.col("hits") / 2), F.col("pos"))).cast("long").alias("median_insert"), F.sum(F.when(F.col("pos") < MATCH_FRACTION * F.col("read_len"), F.col("n")).otherwise(0)).alias("short"))
+    dead = own.filter((F.col("kind") == "N") & (F.col("n") >= DEAD_CYCLE_FRACTION * F.col("n_sampled"))).groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list("pos")), lambda p: p.cast("string")), ",").alias("dead_cycles"))
+    pct = lambda c: 100.0 * F.coalesce(F.col(c), F.lit(0)) / F.col("n_sampled")
+    return files.join(inserts, list(keys), "left").join(dead, list(keys), "left").select(
+        *keys, "n_sampled", "read_len", "best_adapter", pct("hits").alias("pct_adapter"), "median_insert", pct("short").alias("pct_short_untrimmed"),
+        F.coalesce("dead_cycles", F.lit("-")).alias("dead_cycles"), pct("any_n").alias("pct_any_n"), pct("polyg").alias("pct_polyg"),
     )
 
 
-def survey_flags(survey: DataFrame) -> DataFrame:
-    """Dimers and undeclared interleaving, from a survey joined with the declaration."""
-    rules = [F.when((F.col("median_insert") < DIMER_INSERT) & (F.col("pct_adapter") >= DIMER_PCT), "dimer"), F.when(F.col("suspect") & ~F.col("declared"), "undeclared interleave")]
-    return survey.select("run", "mate", F.concat_ws(",", *rules).alias("flags"))
-
-
 def interleave_suspect(survey: DataFrame) -> DataFrame:
-    """Files with much poly-G, or reads twice as long as the median of their group's other runs."""
-    peers = survey.alias("a").join(survey.select(F.col("run").alias("peer"), F.col("mate").alias("peer_mate"), F.col("max_len").alias("peer_len")), (F.col("mate") == F.col("peer_mate")) & (F.col("run") != F.col("peer"))).groupBy("run", "mate").agg(F.median("peer_len").alias("peer_median"))
-    joined = survey.join(peers, ["run", "mate"], "left")
-    why = F.concat_ws(",", F.when(F.col("pct_polyg") >= POLYG_PCT, "polyG"), F.when(F.col("max_len") >= LENGTH_OUTLIER * F.col("peer_median"), "length"))
-    return joined.select("run", "mate", why.alias("why"))
+    """``survey`` (run, mate, project, paired, n_sampled, read_len, pct_polyg) with why a first mate's file may hold two mates.
+
+    The length rule compares with the median of the project's other runs, from the project's histogram of
+    lengths less the run's own.  A null project is one project; paired deposits aren't suspected.
+    """
+    own = survey.withColumn("__p", F.coalesce("project", F.lit("")))
+    measured = own.filter("n_sampled > 0 and read_len is not null")
+    lengths = measured.groupBy("__p", "read_len").agg(F.count("*").alias("n")).withColumnRenamed("read_len", "l")
+    mine = measured.groupBy("__p", "run", F.col("read_len").alias("l")).agg(F.count("*").alias("mine"))
+    asked = measured.filter("mate = 'R1' and not coalesce(paired, false)").select("__p", "run").distinct()
+    others = asked.join(lengths, "__p").join(mine, ["__p", "run", "l"], "left").withColumn("n", F.col("n") - F.coalesce("mine", F.lit(0))).filter("n > 0")
+    medians = others.groupBy("__p", "run").agg(F.percentile("l", F.lit(0.5), F.col("n")).alias("peer_median"))
+    may = (F.col("n_sampled") > 0) & (F.col("mate") == "R1") & ~F.coalesce("paired", F.lit(False))
+    why = F.concat_ws(",", F.when(F.col("pct_polyg") >= POLYG_PCT, "polyg"), F.when(F.col("read_len") >= LENGTH_OUTLIER * F.col("peer_median"), "long_for_project"))
+    return own.join(medians, ["__p", "run"], "left").select(*survey.columns, F.when(may, why).otherwise("").alias("interleave_suspect"))
+
+
+def survey_flags(survey: DataFrame, adapters: DataFrame) -> DataFrame:
+    """experiment and ``problems`` of ``survey`` (experiment, run, mate, n_sampled, median_insert, pct_adapter, best_adapter, interleave_suspect, declared_interleaved).
+
+    ``adapters`` has (experiment, adapter): the configured one, blank where none is.  Only first mates count.  Of
+    contradicting adapters the one in most runs is named, the first by name among equals.
+    """
+    first = survey.filter("n_sampled > 0 and mate = 'R1'").join(adapters, "experiment", "left")
+    dimer = (F.col("median_insert") < DIMER_INSERT) & (F.col("pct_adapter") >= DIMER_PCT)
+    hidden = (F.coalesce("interleave_suspect", F.lit("")) != "") & (F.lower(F.coalesce("declared_interleaved", F.lit("no"))) != "yes")
+    got = F.trim(F.coalesce("best_adapter", F.lit("")))
+    other = (F.coalesce("adapter", F.lit("")) != "") & ~got.isin("", "none", "missing") & (got != F.col("adapter")) & (F.col("pct_adapter") >= ADAPTER_CONFLICT_PCT)
+    runs = lambda c: F.array_join(F.array_sort(F.collect_set(F.when(c, F.col("run").cast("string")))), "/")
+    listed = first.groupBy("experiment").agg(runs(dimer).alias("dimer"), runs(hidden).alias("hidden"))
+    wrong = first.filter(other).groupBy("experiment", "adapter", got.alias("got")).agg(F.count("*").alias("n"))
+    named = wrong.groupBy("experiment").agg(F.min(F.struct((-F.col("n")).alias("n"), "got", "adapter")).alias("w"))
+    said = F.array(
+        F.when(F.col("dimer") != "", F.concat(F.lit("dimer_run:"), "dimer")), F.when(F.col("hidden") != "", F.concat(F.lit("interleave_suspect:"), "hidden")),
+        F.when(F.col("w").isNotNull(), F.concat(F.lit("adapter_mismatch(config="), F.col("w.adapter"), F.lit(",reads="), F.col("w.got"), F.lit(")"))),
+    )
+    return listed.join(named, "experiment", "left").select("experiment", F.array_compact(said).alias("problems"))
 
 
 def umi_verdict(declared: Column, detected: Column) -> Column:
@@ -70,8 +144,6 @@ def classify_reads(reads: DataFrame, references: DataFrame, k: int) -> DataFrame
 
     Among classes that share a k-mer the lowest priority number wins.
     """
-    from siteline.functions import seq as Q
-
     both = references.unionByName(references.withColumn("seq", Q.revcomp(F.col("seq"))))
     known = both.select(F.explode(Q.kmers(F.col("seq"), k)).alias("kmer"), "class", "priority").groupBy("kmer").agg(F.min_by("class", "priority").alias("class"))
     hits = reads.select("read", F.posexplode(Q.kmers(F.col("seq"), k)).alias("pos", "kmer")).join(known, "kmer").groupBy("read").agg(F.min_by("class", "pos").alias("class"))

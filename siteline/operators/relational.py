@@ -36,6 +36,19 @@ def cascade(left: DataFrame, rules: list[tuple[str, DataFrame]], key: str, value
     return out.select(*left.columns, found.alias(value), basis.alias("basis"))
 
 
+def run_files(manifest: DataFrame) -> DataFrame:
+    """run, url and md5 of ``manifest`` (runs, urls, md5s; each joined by semicolons), each once.
+
+    A file is the run's if its path has the run as a folder or its name starts with it.  Files are exploded
+    beside their own row's runs, so that no two rows meet.
+    """
+    named = lambda c: F.filter(F.split(F.coalesce(c, F.lit("")), ";"), lambda x: x != "")
+    files = F.arrays_zip(named(F.col("urls")).alias("url"), named(F.col("md5s")).alias("md5"))
+    each = manifest.select(F.explode(named(F.col("runs"))).alias("run"), files.alias("f")).select("run", F.explode("f").alias("f")).select("run", "f.url", F.coalesce("f.md5", F.lit("")).alias("md5"))
+    own = F.col("url").contains(F.concat(F.lit("/"), "run", F.lit("/"))) | F.regexp_extract("url", "([^/]*)$", 1).startswith(F.col("run"))
+    return each.filter(own).distinct()
+
+
 def counts_with_zeros(dimension: DataFrame, facts: DataFrame, key: str) -> DataFrame:
     """Every key of ``dimension`` with its number of facts, 0 included, and its share."""
     n = facts.groupBy(key).agg(F.count("*").alias("n"))

@@ -106,7 +106,7 @@ def _(spark, d):
     return S.fastq_budget(spark, paths, 40).agg(count(), F.countDistinct("file").alias("n_files"))
 
 
-FASTA = "select cast(doc_id as varchar) as chrom, seq from seqs where doc_id < 40 and length(seq) >= 20"
+FASTA = "select cast(doc_id as varchar) as chrom, seq from seqs where length(seq) >= 20"
 
 
 def genome(spark, d, wanted=None):
@@ -170,10 +170,10 @@ def _(spark, d):
     return body.withColumn("digest", F.lit(head["digest"]))
 
 
-@R.add("src_metrics_json", "select 'run' || n_nationkey as run_name, 'pearson' as metric, n_nationkey / 10.0 as value from nation where n_nationkey < 5")
+@R.add("src_metrics_json", "select 'run' || n_nationkey as run_name, 'pearson' as metric, n_nationkey / 10.0 as value from nation")
 def _(spark, d):
     path = scratch(spark, "json")
-    n = table(spark, d, "nation").filter("n_nationkey < 5").repartition(5, "n_nationkey")
+    n = table(spark, d, "nation")
     n.select(F.concat(F.lit('{"run_name": "run'), F.col("n_nationkey").cast("string"), F.lit('", "genome_wide": {"pearson": '), (F.col("n_nationkey") / 10.0).cast("string"), F.lit("}}")).alias("value"), F.col("n_nationkey").alias("part")).write.partitionBy("part").text(path)
     return S.metrics_json(spark, path + "/*")
 
@@ -221,7 +221,7 @@ def _(spark, d):
     return five_prime(view(spark, d, "aln").filter("mapq >= 255")).filter("chrom = '3' and strand = '-'").select("chrom", F.col("pos").alias("start_pos"), (F.col("pos") + 1).alias("end_pos"), "value")
 
 
-@R.add("src_bigwig_values", sql(SIG + ", g as (select p.peak_idx, p.chrom, unnest(range(p.start_pos, p.end_pos)) as pos from peaks p where peak_idx <= 200) select peak_idx, g.pos as pos, coalesce(value, 0) as value from g left join sig on sig.chrom = g.chrom and sig.pos = g.pos and sig.strand = '+'", "aln", "peaks"))
+@R.add("src_bigwig_values", sql(SIG + ", g as (select p.peak_idx, p.chrom, unnest(range(p.start_pos, p.end_pos)) as pos from peaks p where start_pos < end_pos) select peak_idx, g.pos as pos, coalesce(value, 0) as value from g left join sig on sig.chrom = g.chrom and sig.pos = g.pos and sig.strand = '+'", "aln", "peaks"))
 def _(spark, d):
     from siteline.operators.signal import five_prime
 
@@ -255,54 +255,101 @@ def _(spark, d):
     return spark.read.schema("value string, stratum string").text(path).groupBy("stratum").agg(count())
 
 
-STATS = "st as (select s_suppkey as experiment, n_name as species, cast(s_suppkey % 101 as double) as unique_pct, case when s_suppkey % 4 = 0 then cast(s_suppkey % 60 as double) end as rrna_pct, (s_suppkey * 37) % 1000 as n_peaks from supplier join nation on s_nationkey = n_nationkey)"
-RATE = "case when rrna_pct is not null and rrna_pct < 100 then least(100.0, unique_pct / (1 - rrna_pct / 100)) else unique_pct end"
-FLAG = f""" md as (select species, median(n_peaks) as med from st where n_peaks > 0 group by 1 having count(*) >= 3), rt as (select *, {RATE} as rate, case when rrna_pct is not null then ' (rRNA-adjusted)' else '' end as basis from st),
- fl as (select experiment, concat_ws(',', case when rate < 25 then 'FAIL:mapping' || basis when rate < 50 then 'WARN:mapping' || basis end, case when n_peaks = 0 then 'FAIL:no peaks' end, case when n_peaks > 0 and n_peaks < 0.5 * med then 'WARN:few peaks for species' end) as flags from rt left join md using (species))"""
+STATS = """st as (select s_suppkey as experiment, n_name as species, cast(s_suppkey % 101 as double) as pct_unique, case when s_suppkey % 4 = 0 then cast(s_suppkey % 60 as double) end as pct_rrna,
+  (s_suppkey * 37) % 1000 as peaks_total, case when s_suppkey % 6 > 0 then cast((s_suppkey * 53) % 1400 as double) end as reads_per_peak from supplier join nation on s_nationkey = n_nationkey),
+ pr as (select s_suppkey as experiment, concat_ws(',', case when s_suppkey % 11 = 0 then 'FAIL:dimer_run:r' || s_suppkey end, case when s_suppkey % 13 = 0 then 'FAIL:interleave_suspect:r' || s_suppkey end) as said from supplier)"""
+FLAG = """ md as (select species, median(peaks_total) as med from st where peaks_total <> 0 group by 1 having count(*) >= 3),
+ rt as (select *, case when pct_rrna < 100 then least(100.0, pct_unique / (1 - pct_rrna / 100)) end as adj from st),
+ rb as (select *, coalesce(adj, pct_unique) as rate, case when adj is not null then 'adj' else 'raw' end as basis from rt),
+ fl as (select experiment, round(adj, 1) as pct_unique_adj, concat_ws(',',
+   case when rate < 25 then 'FAIL:very_low_mapping(' || cast(round_even(rate, 0) as bigint) || '%,' || basis || ')' when rate < 50 then 'WARN:low_mapping(' || cast(round_even(rate, 0) as bigint) || '%,' || basis || ')' end,
+   case when reads_per_peak < 500 then 'WARN:thin_coverage(' || cast(round_even(reads_per_peak, 0) as bigint) || '/peak)' end,
+   case when peaks_total <> 0 and peaks_total < 0.5 * med then 'WARN:peaks_below_species(' || peaks_total || 'v' || cast(round_even(med, 0) as bigint) || ')' end,
+   nullif(said, '')) as qc_flags from rb left join md using (species) join pr using (experiment))"""
 
 
 def stats(spark, d):
     s = table(spark, d, "supplier").join(table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
-    return s.select(F.col("s_suppkey").alias("experiment"), F.col("n_name").alias("species"), (F.col("s_suppkey") % 101).cast("double").alias("unique_pct"), F.when(F.col("s_suppkey") % 4 == 0, (F.col("s_suppkey") % 60).cast("double")).alias("rrna_pct"), ((F.col("s_suppkey") * 37) % 1000).alias("n_peaks"))
+    key = F.col("s_suppkey")
+    return s.select(
+        key.alias("experiment"), F.col("n_name").alias("species"), (key % 101).cast("double").alias("pct_unique"), F.when(key % 4 == 0, (key % 60).cast("double")).alias("pct_rrna"),
+        ((key * 37) % 1000).alias("peaks_total"), F.when(key % 6 > 0, ((key * 53) % 1400).cast("double")).alias("reads_per_peak"),
+    )
 
 
-@R.add("qc_flags", "with " + STATS + "," + FLAG + " select experiment, flags from fl")
+def flagged(spark, d):
+    """The flags of ``stats`` and of one surveyed file an experiment."""
+    key = F.col("s_suppkey")
+    survey = table(spark, d, "supplier").select(
+        key.alias("experiment"), F.concat(F.lit("r"), key.cast("string")).alias("run"), F.lit("R1").alias("mate"), F.lit(10).alias("n_sampled"), F.when(key % 11 == 0, 17).otherwise(18).alias("median_insert"),
+        F.lit(25.0).alias("pct_adapter"), F.lit("none").alias("best_adapter"), F.when(key % 13 == 0, "polyg").otherwise("").alias("interleave_suspect"), F.lit("no").alias("declared_interleaved"),
+    )
+    return C.flags(stats(spark, d), C.survey_flags(survey, survey.select("experiment", F.lit("").alias("adapter"))))
+
+
+@R.add("qc_flags", "with " + STATS + "," + FLAG + " select experiment, pct_unique_adj, qc_flags from fl")
 def _(spark, d):
-    return C.flags(stats(spark, d))
+    return flagged(spark, d)
 
 
-@R.add("qc_flag_report", "with " + STATS + "," + FLAG + " select case when flags like '%FAIL%' then 'FAIL' when flags <> '' then 'WARN' else 'ok' end as severity, count(*) as n from fl group by 1")
+@R.add("qc_flag_report", "with " + STATS + "," + FLAG + " select case when qc_flags like '%FAIL%' then 'FAIL' when qc_flags <> '' then 'WARN' else 'ok' end as severity, count(*) as n from fl group by 1")
 def _(spark, d):
-    return C.flag_report(C.flags(stats(spark, d)))
+    return C.flag_report(flagged(spark, d))
 
 
-@R.add("orc_stats_all", "with " + STATS + "," + FLAG + " select experiment, species, flags from fl join st using (experiment)")
+@R.add("orc_stats_all", "with " + STATS + "," + FLAG + " select experiment, species, qc_flags from fl join st using (experiment)")
 def _(spark, d):
-    s = stats(spark, d)
-    return s.select("experiment", "species").join(C.flags(s), "experiment")
+    return stats(spark, d).select("experiment", "species").join(flagged(spark, d).select("experiment", "qc_flags"), "experiment")
+
+
+PROBES = {"first": "TTA", "second": "GAA"}
 
 
 def survey(spark, d):
-    return C.read_survey(view(spark, d, "seqs"), ["TTA", "GAA"])
+    return C.read_survey(view(spark, d, "seqs"), PROBES, "GGGG")
+
+
+SURVEY = """pb as (select run, mate, seq, length(seq) as l, instr(seq, 'TTA') - 1 as p1, instr(seq, 'GAA') - 1 as p2 from seqs where seq is not null),
+ rl as (select run, mate, l as read_len from (select run, mate, l, count(*) as n from pb group by 1, 2, 3) qualify row_number() over (partition by run, mate order by n desc, l) = 1),
+ fs as (select run, mate, count(*) as n_sampled, count(*) filter (p1 >= 0) as h1, count(*) filter (p2 >= 0) as h2, count(*) filter (contains(seq, 'N')) as an, count(*) filter (contains(seq, 'GGGG')) as pg from pb group by 1, 2),
+ bs as (select *, case when h1 + h2 = 0 then 'none' when h1 >= h2 then 'first' else 'second' end as best_adapter from fs),
+ ip as (select pb.run, pb.mate, read_len, case best_adapter when 'first' then p1 when 'second' then p2 else -1 end as pos from pb join bs on pb.run = bs.run and pb.mate = bs.mate join rl on rl.run = pb.run and rl.mate = pb.mate),
+ im as (select run, mate, count(*) as h, cast(list_sort(list(pos))[count(*) // 2 + 1] as bigint) as median_insert, count(*) filter (pos < 0.66 * read_len) as short from ip where pos >= 0 group by 1, 2),
+ np as (select run, mate, i, count(*) as c from (select run, mate, seq, unnest(range(1, l + 1)) as i from pb where contains(seq, 'N')) where substr(seq, i, 1) = 'N' group by 1, 2, 3),
+ dd as (select np.run, np.mate, string_agg(i, ',' order by i) as dead from np join fs on fs.run = np.run and fs.mate = np.mate where c >= 0.2 * n_sampled group by 1, 2),
+ sv as (select bs.run, bs.mate, n_sampled, read_len, best_adapter, 100.0 * coalesce(h, 0) / n_sampled as pct_adapter, median_insert, 100.0 * coalesce(short, 0) / n_sampled as pct_short_untrimmed,
+   coalesce(dead, '-') as dead_cycles, 100.0 * an / n_sampled as pct_any_n, 100.0 * pg / n_sampled as pct_polyg
+   from bs join rl on rl.run = bs.run and rl.mate = bs.mate left join im on im.run = bs.run and im.mate = bs.mate left join dd on dd.run = bs.run and dd.mate = bs.mate)"""
+_ROUNDED = ["pct_adapter", "pct_short_untrimmed", "pct_any_n", "pct_polyg"]
+PROJECT = """, pj as (select run, case mate when 'en' then 'R1' else 'R2' end as mate, right(run, 1) as project, run like '%1%' as paired, n_sampled, read_len, pct_polyg, median_insert, pct_adapter, best_adapter from sv),
+ pm as (select a.run, a.mate, median(b.read_len) as m from pj a join pj b on a.project = b.project and a.run <> b.run group by 1, 2),
+ sp as (select pj.*, case when pj.mate = 'R1' and not paired then concat_ws(',', case when pct_polyg >= 5 then 'polyg' end, case when read_len >= 2.0 * m then 'long_for_project' end) else '' end as suspect from pj left join pm on pm.run = pj.run and pm.mate = pj.mate)"""
 
 
-FIRST = "case when instr(seq, 'TTA') > 0 and instr(seq, 'GAA') > 0 then least(instr(seq, 'TTA'), instr(seq, 'GAA')) else greatest(instr(seq, 'TTA'), instr(seq, 'GAA')) end - 1"
-SURVEY = f"sv as (select run, mate, count(*) as n_sampled, max(length(seq)) as max_len, round(100.0 * count(*) filter (where pos >= 0) / count(*), 2) as pct_adapter, median(case when pos >= 0 then pos end) as median_insert, round(100.0 * count(*) filter (where contains(seq, 'N')) / count(*), 2) as pct_any_n, round(100.0 * count(*) filter (where contains(seq, 'GGGG')) / count(*), 2) as pct_polyg from (select *, {FIRST} as pos from seqs) group by 1, 2)"
+def screened(spark, d):
+    s = survey(spark, d).withColumns({"mate": F.when(F.col("mate") == "en", "R1").otherwise("R2"), "project": F.right("run", F.lit(1)), "paired": F.col("run").contains("1")})
+    return C.interleave_suspect(s)
 
 
-@R.add("qc_read_survey", sql(SURVEY + " select * from sv", "seqs"))
+@R.add("qc_read_survey", sql(SURVEY + " select * replace (" + ", ".join(f"round({c}, 6) as {c}" for c in _ROUNDED) + ") from sv", "seqs"))
 def _(spark, d):
-    return survey(spark, d)
+    return survey(spark, d).withColumns({c: F.round(c, 6) for c in _ROUNDED})
 
 
-@R.add("qc_survey_flags", sql(SURVEY + " select run, mate, concat_ws(',', case when median_insert < 18 and pct_adapter >= 25 then 'dimer' end, case when pct_polyg >= 5 and run not like '%1%' then 'undeclared interleave' end) as flags from sv", "seqs"))
+@R.add("qc_interleave_screen", sql(SURVEY + PROJECT + " select run, mate, read_len, suspect as interleave_suspect from sp", "seqs"))
 def _(spark, d):
-    return C.survey_flags(survey(spark, d).withColumns({"suspect": F.col("pct_polyg") >= 5, "declared": F.col("run").contains("1")}))
+    return screened(spark, d).select("run", "mate", "read_len", "interleave_suspect")
 
 
-@R.add("qc_interleave_screen", sql(SURVEY + ", pm as (select a.run, a.mate, median(b.max_len) as m from sv a join sv b on a.mate = b.mate and a.run <> b.run group by 1, 2) select run, mate, concat_ws(',', case when pct_polyg >= 5 then 'polyG' end, case when max_len >= 2.0 * m then 'length' end) as why from sv left join pm using (run, mate)", "seqs"))
+@R.add("qc_survey_flags", sql(SURVEY + PROJECT + """, r1 as (select right(run, 1) as experiment, * from sp where mate = 'R1'),
+ wr as (select experiment, best_adapter, count(*) as n from r1 where best_adapter not in ('none', 'second') and pct_adapter >= 50 group by 1, 2)
+ select experiment, concat_ws(';', nullif('dimer_run:' || coalesce(string_agg(distinct run, '/' order by run) filter (median_insert < 18 and pct_adapter >= 25), ''), 'dimer_run:'),
+   nullif('interleave_suspect:' || coalesce(string_agg(distinct run, '/' order by run) filter (suspect <> ''), ''), 'interleave_suspect:'),
+   (select 'adapter_mismatch(config=second,reads=' || best_adapter || ')' from wr where wr.experiment = r1.experiment order by n desc, best_adapter limit 1)) as problems from r1 group by 1""", "seqs"))
 def _(spark, d):
-    return C.interleave_suspect(survey(spark, d))
+    s = screened(spark, d).withColumns({"experiment": F.right("run", F.lit(1)), "declared_interleaved": F.lit("no")})
+    configured = s.select("experiment", F.lit("second").alias("adapter")).distinct()
+    return C.survey_flags(s, configured).select("experiment", F.array_join("problems", ";").alias("problems"))
 
 
 @R.add("qc_umi_verdict", "select n_nationkey, case when n_regionkey = 0 and n_nationkey % 3 = 0 then 'none' when n_regionkey = 0 then 'undeclared' when n_regionkey = n_nationkey % 3 then 'match' else 'MISMATCH' end as verdict from nation")
@@ -310,7 +357,11 @@ def _(spark, d):
     return table(spark, d, "nation").select("n_nationkey", C.umi_verdict(F.col("n_regionkey"), F.col("n_nationkey") % 3).alias("verdict"))
 
 
-KM = "rf as (select substr(seq, 1, 60) as seq, case when doc_id % 2 = 0 then '35s' else '5s' end as class, doc_id % 2 as priority from seqs where doc_id < 20 and length(seq) >= 20), bt as (select * from rf union all select reverse(translate(seq, 'ACGTN', 'TGCAN')), class, priority from rf), kn as (select kmer, arg_min(class, priority) as class from (select substr(seq, i, 20) as kmer, class, priority from bt, (select unnest(range(1, 42)) as i) where i + 19 <= length(seq)) group by 1), rd as (select doc_id as read, seq from seqs where length(seq) >= 20), ht as (select read, arg_min(class, i) as class from (select read, i, substr(seq, i, 20) as kmer from (select read, substr(seq, 1, 80) as seq, unnest(range(1, 62)) as i from rd) where i + 19 <= length(seq)) join kn using (kmer) group by 1)"
+KM = """rf as (select seq, case when doc_id % 2 = 0 then '35s' else '5s' end as class, doc_id % 2 as priority from seqs where length(seq) >= 20),
+ bt as (select * from rf union all select reverse(translate(seq, 'ACGTN', 'TGCAN')), class, priority from rf),
+ kn as (select kmer, arg_min(class, priority) as class from (select substr(seq, i, 20) as kmer, class, priority from (select seq, class, priority, unnest(range(1, length(seq) - 18)) as i from bt)) group by 1),
+ rd as (select doc_id as read, seq from seqs where length(seq) >= 20),
+ ht as (select read, arg_min(class, i) as class from (select read, i, substr(seq, i, 20) as kmer from (select read, seq, unnest(range(1, length(seq) - 18)) as i from rd)) join kn using (kmer) group by 1)"""
 
 
 def classified(spark, d):
@@ -429,9 +480,9 @@ def _(spark, d):
     return t.select("name", F.posexplode("seqs").alias("i", "s")).select(F.concat(F.lit(">"), "name", F.lit("_"), (F.col("i") + 1).cast("string"), F.lit("\n"), "s").alias("record"))
 
 
-@R.add("prj_experiment_load", sql("select experiment, species, 'signal/' || experiment || '.plus.bw' as plus from experiments where experiment = 7", "experiments"))
+@R.add("prj_experiment_load", sql("select experiment, species, 'signal/' || experiment || '.plus.bw' as plus from experiments", "experiments"))
 def _(spark, d):
-    e = view(spark, d, "experiments").filter("experiment = 7")
+    e = view(spark, d, "experiments")
     return e.select("experiment", "species", F.concat(F.lit("signal/"), F.col("experiment").cast("string"), F.lit(".plus.bw")).alias("plus"))
 
 
@@ -492,7 +543,7 @@ def _(spark, d):
     return e.filter("not (target = 'peaks' and depth < 0)").groupBy("target").agg(count())
 
 
-@R.add("orc_qc_rules", "with " + STATS + "," + FLAG + " select species, count(*) as n, count(*) filter (where flags <> '') as n_flagged from fl join st using (experiment) group by 1")
+@R.add("orc_qc_rules", "with " + STATS + "," + FLAG + " select species, count(*) as n, count(*) filter (where qc_flags <> '') as n_flagged from fl join st using (experiment) group by 1")
 def _(spark, d):
-    s = stats(spark, d)
-    return s.select("experiment", "species").join(C.flags(s), "experiment").groupBy("species").agg(count(), F.count(F.when(F.col("flags") != "", 1)).alias("n_flagged"))
+    s = stats(spark, d).select("experiment", "species").join(flagged(spark, d), "experiment")
+    return s.groupBy("species").agg(count(), F.count(F.when(F.col("qc_flags") != "", 1)).alias("n_flagged"))

@@ -42,7 +42,7 @@ def _(spark, d):
     return table(spark, d, "customer").select("c_custkey", X.path_stem(path).alias("stem"))
 
 
-@R.add("fn_revcomp", sql("select doc_id, reverse(translate(substr(seq, 1, 200), 'ACGTN', 'TGCAN')) as rc from seqs", "seqs"))
+@R.add("fn_revcomp", sql("select doc_id, reverse(translate(seq, 'ACGTN', 'TGCAN')) as rc from seqs", "seqs"))
 def _(spark, d):
     return seqs(spark, d).select("doc_id", Q.revcomp(F.col("seq")).alias("rc"))
 
@@ -71,7 +71,7 @@ def _(spark, d):
     return seqs(spark, d).groupBy("run").agg(F.count(F.when(F.col("seq").contains("GGG"), 1)).alias("n_polyg"), F.count(F.when(F.col("seq").contains("N"), 1)).alias("n_any_n"))
 
 
-@R.add("fn_kmers", sql("k as (select doc_id, substr(substr(seq, 1, 60), i + 1, 20) as kmer from seqs, (select unnest(range(41)) as i) where i + 20 <= length(substr(seq, 1, 60))) select kmer, count(*) as n from k group by 1", "seqs"))
+@R.add("fn_kmers", sql("b as (select seq from seqs union all select reverse(translate(seq, 'ACGTN', 'TGCAN')) from seqs), k as (select substr(seq, i, 20) as kmer from (select seq, unnest(range(1, length(seq) - 18)) as i from b where length(seq) >= 20)) select kmer, count(*) as n from k group by 1", "seqs"))
 def _(spark, d):
     strands = seqs(spark, d).select(F.explode(F.array("seq", Q.revcomp(F.col("seq")))).alias("seq"))
     return strands.select(F.explode(Q.kmers(F.col("seq"), 20)).alias("kmer")).groupBy("kmer").agg(count())
@@ -146,28 +146,31 @@ def _(spark, d):
     return table(spark, d, "documents").select("doc_id", F.md5(F.col("text").cast("binary")).alias("digest"))
 
 
-@R.add("flt_acgt_window", sql("select doc_id from seqs where length(substr(seq, 1, 30)) = 30 and regexp_full_match(substr(seq, 1, 30), '[ACGT]*')", "seqs"))
+@R.add("flt_acgt_window", sql("w as (select doc_id, i as start_pos, substr(seq, i + 1, 30) as s from (select doc_id, seq, unnest(range(0, length(seq), 30)) as i from seqs)) select doc_id, start_pos from w where length(s) = 30 and regexp_full_match(s, '[ACGT]*')", "seqs"))
 def _(spark, d):
-    return seqs(spark, d).filter(Q.all_acgt(F.substring("seq", 1, 30), 30)).select("doc_id")
+    """Windows of 30 bases side by side, over whole sequences."""
+    tiles = seqs(spark, d).select("doc_id", F.posexplode(F.regexp_extract_all("seq", F.lit("(?s)(.{1,30})"), F.lit(1))).alias("i", "s"))
+    return tiles.filter(Q.all_acgt(F.col("s"), 30)).select("doc_id", (F.col("i") * 30).cast("long").alias("start_pos"))
 
 
-@R.add("flt_blank_onehot", sql("select doc_id, regexp_matches(substr(seq, 1, 30), '[^ACGT]') as blank from seqs", "seqs"))
+@R.add("flt_blank_onehot", sql("select doc_id, regexp_matches(seq, '[^ACGT]') as blank from seqs", "seqs"))
 def _(spark, d):
-    hot = Q.onehot(F.substring("seq", 1, 30))
+    hot = Q.onehot(F.col("seq"))
     return seqs(spark, d).select("doc_id", (F.exists(hot, lambda c: F.aggregate(c, F.lit(0), lambda a, x: a + x) == 0) & (F.length("seq") > 0)).alias("blank"))
 
 
-@R.add("ml_onehot", sql("x as (select doc_id, unnest(range(1, 31)) as i, substr(seq, 1, 30) as s from seqs where length(seq) >= 30) select substr(s, i, 1) as base, i - 1 as pos, count(*) as n from x where substr(s, i, 1) <> 'N' group by 1, 2", "seqs"))
+@R.add("ml_onehot", sql("x as (select seq, unnest(range(1, length(seq) + 1)) as i from seqs) select substr(seq, i, 1) as base, i - 1 as pos, count(*) as n from x where substr(seq, i, 1) <> 'N' group by 1, 2", "seqs"))
 def _(spark, d):
     hot = seqs(spark, d).select(F.posexplode(Q.onehot(F.col("seq"))).alias("pos", "hot"))
     one = hot.select("pos", F.explode(F.arrays_zip(F.array(*(F.lit(b) for b in "ACGT")).alias("b"), F.col("hot").alias("h"))).alias("z"))
     return one.filter("z.h = 1").groupBy(F.col("z.b").alias("base"), F.col("pos").cast("long").alias("pos")).agg(count())
 
 
-@R.add("ml_freq_reference", sql("x as (select substr(seq, i, 1) as base from (select seq, unnest(range(1, 31)) as i from seqs where length(seq) >= 30)) select base, round(count(*) / (select count(*) from x), 9) as freq from x group by 1", "seqs"))
+@R.add("ml_freq_reference", sql("x as (select base, sum(n) as n from (select unnest(['A', 'C', 'G', 'T', 'N']) as base, unnest([length(seq) - length(replace(seq, 'A', '')), length(seq) - length(replace(seq, 'C', '')), length(seq) - length(replace(seq, 'G', '')), length(seq) - length(replace(seq, 'T', '')), length(seq) - length(replace(seq, 'N', ''))]) as n from seqs) group by 1 having sum(n) > 0) select base, round(n / (select sum(n) from x), 9) as freq from x", "seqs"))
 def _(spark, d):
-    b = seqs(spark, d).filter(F.length("seq") >= 30).select(F.explode(F.split(F.substring("seq", 1, 30), "")).alias("base"))
-    return b.groupBy("base").agg(count()).crossJoin(F.broadcast(b.agg(F.count("*").alias("all")))).select("base", F.round(F.col("n") / F.col("all"), 9).alias("freq"))  # one row
+    counts = seqs(spark, d).select(F.explode(F.array(*(F.struct(F.lit(b).alias("base"), (F.length("seq") - F.length(F.regexp_replace("seq", b, ""))).alias("n")) for b in "ACGTN"))).alias("c"))
+    by = counts.groupBy("c.base").agg(F.sum("c.n").alias("n")).filter("n > 0")
+    return by.crossJoin(F.broadcast(by.agg(F.sum("n").alias("all")))).select("base", F.round(F.col("n") / F.col("all"), 9).alias("freq"))  # one row
 
 
 @R.add("agg_base_histogram", sql("x as (select mate, i - 1 as pos, substr(seq, i, 1) as base from (select mate, seq, unnest(range(1, 13)) as i from seqs) where i <= length(seq)) select mate, pos, base, count(*) as n from x group by 1, 2, 3", "seqs"))

@@ -115,12 +115,17 @@ def _(spark, d):
     return L.cascade(table(spark, d, "supplier").select("s_suppkey"), rules, "s_suppkey", "value")
 
 
-@R.add("join_explode_containment", """f as (select unnest(string_split(text, ' ')) as w, doc_id from documents where doc_id < 200)
- select 1""".replace("f as", "with f as").replace(" select 1", "select doc_id, count(*) as n from f join nation on starts_with(upper(w), substr(n_name, 1, 3)) group by 1"))
+@R.add("join_explode_containment", """m as (select 'SRR' || o_custkey as run, ['ftp/x/SRR' || o_custkey || '/a_' || o_orderkey || '.gz', 'ftp/y/SRR' || o_custkey || '_2_' || o_orderkey || '.gz', 'ftp/SRR' || (o_custkey + 1) || '/b' || o_orderkey || '.gz'] as urls, ['m' || o_orderkey, 'n' || o_orderkey] as md5s from orders),
+ e as (select run, urls[i] as url, coalesce(md5s[i], '') as md5 from (select run, urls, md5s, unnest(range(1, 4)) as i from m))
+ select distinct run, url, md5 from e where contains(url, '/' || run || '/') or starts_with(regexp_extract(url, '[^/]*$'), run)""".replace("m as", "with m as", 1))
 def _(spark, d):
-    names = table(spark, d, "nation").select(F.substring("n_name", 1, 3).alias("prefix"))
-    words = table(spark, d, "documents").select("doc_id", F.explode(F.split("text", " ")).alias("w"))
-    return words.join(F.broadcast(names), F.upper("w").startswith(F.col("prefix"))).groupBy("doc_id").agg(count())  # 25 nations
+    """Files of a manifest's row belong to the run in their path or at the head of their name; a missing checksum is blank."""
+    key, order = F.col("o_custkey"), F.col("o_orderkey").cast("string")
+    run = F.concat(F.lit("SRR"), key.cast("string"))
+    url = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
+    urls = F.array(url("ftp/x/", run, "/a_", order, ".gz"), url("ftp/y/", run, "_2_", order, ".gz"), url("ftp/SRR", (key + 1).cast("string"), "/b", order, ".gz"))
+    m = table(spark, d, "orders").select(run.alias("runs"), F.array_join(urls, ";").alias("urls"), F.array_join(F.array(url("m", order), url("n", order)), ";").alias("md5s"))
+    return L.run_files(m)
 
 
 @R.add("join_manifest_runs", "select c_custkey, c_nationkey, count(o_orderkey) as n_runs from customer left join orders on c_custkey = o_custkey group by 1, 2")
@@ -128,10 +133,11 @@ def _(spark, d):
     return table(spark, d, "customer").join(table(spark, d, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left").groupBy("c_custkey", "c_nationkey").agg(F.count("o_orderkey").alias("n_runs"))
 
 
-@R.add("join_anti_setdiff", "select c_custkey as key, 'no orders' as problem from customer where c_custkey not in (select o_custkey from orders) union all select distinct o_custkey, 'no customer' from orders where o_custkey not in (select c_custkey from customer)")
+@R.add("join_anti_setdiff", "select c_custkey as key, 'no orders' as problem from customer where c_custkey not in (select o_custkey from orders where o_orderkey % 3 > 0) union all select distinct o_custkey, 'no customer' from orders where o_custkey not in (select c_custkey from customer where c_custkey % 7 > 0)")
 def _(spark, d):
-    c, o = table(spark, d, "customer").select(F.col("c_custkey").alias("key")), table(spark, d, "orders").select(F.col("o_custkey").alias("key")).distinct()
-    return c.join(o, "key", "left_anti").withColumn("problem", F.lit("no orders")).unionByName(o.join(c, "key", "left_anti").withColumn("problem", F.lit("no customer")))
+    c, o = table(spark, d, "customer").select(F.col("c_custkey").alias("key")), table(spark, d, "orders").select(F.col("o_custkey").alias("key"), "o_orderkey")
+    no_orders = c.join(o.filter("o_orderkey % 3 > 0"), "key", "left_anti").withColumn("problem", F.lit("no orders"))
+    return no_orders.unionByName(o.select("key").distinct().join(c.filter("key % 7 > 0"), "key", "left_anti").withColumn("problem", F.lit("no customer")))
 
 
 @R.add("join_config_vs_measured", """m as (select o_custkey, mode(o_orderpriority) as x, count(distinct o_orderpriority) as n from orders group by 1)

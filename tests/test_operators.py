@@ -166,8 +166,41 @@ def test_greedy_bins_balance_and_keep_groups_whole(spark):
 
 
 def test_flags_and_unmeasured(spark):
-    s = spark.createDataFrame([(1, "a", 20.0, None, 5), (2, "a", 20.0, 70.0, 10), (3, "a", None, None, 10), (4, "a", 90.0, None, 1), (5, "a", 90.0, None, 0)], "experiment long, species string, unique_pct double, rrna_pct double, n_peaks long")
-    assert dict(rows(qc.flags(s), "experiment", "flags")) == {1: "FAIL:mapping", 2: "", 3: "", 4: "WARN:few peaks for species", 5: "FAIL:no peaks"}
+    s = spark.createDataFrame(
+        [(1, "a", 20.0, None, None, 5), (2, "a", 20.0, 70.0, 499.6, 10), (3, "a", None, None, None, 10), (4, "a", 90.0, None, 500.0, 1), (5, "a", 45.0, 5.0, None, 0), (6, None, None, 50.0, None, None)],
+        "experiment long, species string, pct_unique double, pct_rrna double, reads_per_peak double, peaks_total long",
+    )
+    survey = spark.createDataFrame([(3, ["dimer_run:r1/r2"])], "experiment long, problems array<string>")
+    got = dict(rows(qc.flags(s, survey), "experiment", "qc_flags"))
+    assert got == {1: "FAIL:very_low_mapping(20%,raw)", 2: "WARN:thin_coverage(500/peak)", 3: "FAIL:dimer_run:r1/r2", 4: "WARN:peaks_below_species(1v8)", 5: "WARN:low_mapping(47%,adj)", 6: ""}
+    assert {r["severity"]: r["n"] for r in qc.flag_report(qc.flags(s)).collect()} == {"FAIL": 1, "WARN": 3, "ok": 2}
+
+
+def test_read_survey_statistics(spark):
+    reads = [("r", "R1", x) for x in ("AACCTGGAATTCTCGG", "TGGAATTCTCGGAAAA", "NACGNACGNACGNACG", "A" * 4 + "G" * 12, "ACG", "", None)]
+    out = qc.read_survey(spark.createDataFrame(reads, "run string, mate string, seq string")).first().asDict()
+    assert (out["n_sampled"], out["read_len"], out["best_adapter"], out["median_insert"]) == (6, 16, "smallRNA_RA3", 4)
+    assert round(out["pct_adapter"], 2) == 33.33 and round(out["pct_short_untrimmed"], 2) == 33.33 and out["dead_cycles"] == "-"
+    some = qc.read_survey(spark.createDataFrame([("r", "R1", "NA"), ("r", "R1", "CN"), ("r", "R1", "CA")], "run string, mate string, seq string")).first()
+    assert some["dead_cycles"] == "1,2" and some["best_adapter"] == "none" and some["median_insert"] is None and round(some["pct_any_n"], 2) == 66.67
+
+
+def test_interleave_screen_and_survey_flags(spark):
+    columns = "experiment string, run string, mate string, project string, paired boolean, n_sampled long, read_len long, pct_polyg double, median_insert long, pct_adapter double, best_adapter string, declared_interleaved string"
+    s = spark.createDataFrame([
+        ("e", "a", "R1", "p", False, 9, 150, 65.0, 40, 60.0, "nextera", "no"), ("e", "b", "R1", "p", False, 9, 50, 0.1, 3, 30.0, "truseq_universal", "no"), ("e", "c", "R1", "p", False, 9, 51, 0.1, 18, 90.0, "truseq_universal", "no"),
+        ("f", "d", "R1", None, False, 9, 75, 5.0, None, 0.0, "none", "yes"), ("f", "d", "R2", None, True, 9, 75, 50.0, 1, 99.0, "nextera", "no"), ("f", "x", "R1", "p", True, 0, None, None, None, None, None, None),
+    ], columns)
+    seen = qc.interleave_suspect(s)
+    assert {(r["run"], r["mate"]): r["interleave_suspect"] for r in seen.collect()} == {("a", "R1"): "polyg,long_for_project", ("b", "R1"): "", ("c", "R1"): "", ("d", "R1"): "polyg", ("d", "R2"): "", ("x", "R1"): ""}
+    want = spark.createDataFrame([("e", "smallRNA_RA3"), ("f", "")], "experiment string, adapter string")
+    got = {r["experiment"]: r["problems"] for r in qc.survey_flags(seen, want).collect()}
+    assert got == {"e": ["dimer_run:b", "interleave_suspect:a", "adapter_mismatch(config=smallRNA_RA3,reads=nextera)"], "f": []}
+
+
+def test_run_files(spark):
+    m = spark.createDataFrame([("r1;r2", "h/r1/x.gz;h/r2_1.gz;h/r12/z.gz", "a;b"), (None, "h/r1/x.gz", "a"), ("r1", "h/r1/x.gz", "a"), ("r3", "", "")], "runs string, urls string, md5s string")
+    assert rows(L.run_files(m), "run", "url", "md5") == [("r1", "h/r1/x.gz", "a"), ("r2", "h/r2_1.gz", "b")]
 
 
 def test_readers(spark, tmp_path):
