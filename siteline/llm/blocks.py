@@ -66,8 +66,8 @@ def blocked(docs: DataFrame, n_blocks: int) -> DataFrame:
 
 
 def opened(table: pa.Table) -> pa.Table:
-    """The rows of a block."""
-    return pa.concat_tables([pa.ipc.open_stream(x.as_buffer()).read_all() for x in table.column("payload")])
+    """The rows of a block by doc_id and text: the same order each time it is read, though its parts arrive in any."""
+    return pa.concat_tables([pa.ipc.open_stream(x.as_buffer()).read_all() for x in table.column("payload")]).sort_by([("doc_id", "ascending"), ("text", "ascending")])
 
 
 def pack_keys(keys: np.ndarray) -> bytes:
