@@ -4,8 +4,8 @@ Both tokenizer files split a text at white space before any merge, so a text's
 ids are the joined ids of its words (for the byte-level file, with the one
 space before them).  Words repeat: each worker encodes a word once with the
 tokenizers library and keeps its ids in a bounded table keyed by a 64-bit hash.
-Texts with unusual white space or control characters, or with anything but one
-space or line feed between words, are encoded whole.
+Texts with unusual white space or control characters, with the string of a special token, or with anything
+but one space or line feed between words, are encoded whole.
 """
 
 from __future__ import annotations
@@ -34,7 +34,8 @@ class Encoder:
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         self.tokenizer = Tokenizer.from_file(public_tokenizers.path(name) if "/" not in name else name)
-        self.tokenizer.encode_special_tokens = True
+        special = sorted({t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content}, key=len, reverse=True)
+        self.unusual = re.compile("|".join([_UNUSUAL.pattern, *map(re.escape, special)]))
         self.bytewise = type(self.tokenizer.pre_tokenizer).__name__ == "ByteLevel"
         #: A separator that always makes one id of its own, and that no word holds.
         self.mark = "\n" if self.bytewise else " \x01 "
@@ -51,7 +52,7 @@ class Encoder:
 
     def learn(self, keys: np.ndarray, new: list[str]) -> None:
         """Encodes new words (sorted by key), many in one call of the library."""
-        odd = {k for k, x in enumerate(new) if _UNUSUAL.search(x)}  # could run into the marks beside them
+        odd = {k for k, x in enumerate(new) if self.unusual.search(x)}  # could run into the marks beside them
         plain = [x for k, x in enumerate(new) if k not in odd]
         joined = [self.mark.join(plain[k : k + 32]) + self.mark for k in range(0, len(plain), 32)]
         made = self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)
@@ -121,10 +122,10 @@ class Encoder:
         """uint32 ids of each whole text of an Arrow column; null is empty."""
         column = T.large(column)
         for w in T.words(column, slice_bytes=2 << 20):
-            usual = _UNUSUAL.search(w.data.tobytes().decode()) is None
+            usual = self.unusual.search(w.data.tobytes().decode()) is None
             out, bounds, odd = self._slice(w)
             for d in range(w.n_docs):
-                if odd[d] or not usual and _UNUSUAL.search(t := column[w.first + d].as_py()):
+                if odd[d] or not usual and self.unusual.search(t := column[w.first + d].as_py()):
                     t = column[w.first + d].as_py()
                     yield self.whole(t) if t else np.empty(0, np.uint32)
                 else:

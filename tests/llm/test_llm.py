@@ -156,7 +156,6 @@ def test_token_store(spark, awkward):
     import public_tokenizers
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     manifest = token_store.write(awkward[0], store.new_path(spark, "t"), "byte_bpe_50k.json", 0)
     want = {i: t.encode(x or "", add_special_tokens=False).ids + [0] for i, x in awkward[1]}
     out = got(token_store.read(manifest), "doc_id", "start", "n_tokens", "ids_crc32")
@@ -225,7 +224,6 @@ def test_packing(spark, awkward):
     import public_tokenizers
 
     t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    t.encode_special_tokens = True
     out = packing.pack(awkward[0], "word_bpe_49k.json", 1, max_tokens=256, max_segments=4, max_loss=200).toPandas()
     for i, x in awkward[1]:
         ids = np.array(t.encode(x or "", add_special_tokens=False).ids + [1], "<u4")
