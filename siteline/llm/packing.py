@@ -30,6 +30,9 @@ from siteline.llm.encode import encoder
 
 MAX_TOKENS = 2048
 MAX_SEGMENTS = 128
+#: Tokens of a sequence that may bear loss.  A document's first token bears none, so a sequence of one
+#: document's middle reaches this limit first, others the tokens or the segments.
+MAX_LOSS = 2040
 #: Sequences that a task keeps open.
 OPEN = 64
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, loss_tokens long, ids binary"
@@ -38,8 +41,8 @@ SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 class Packer:
     """Packs pieces one by one; ``emit(piece, sequence, offset)`` gets each when its sequence is closed."""
 
-    def __init__(self, max_tokens: int = MAX_TOKENS, max_segments: int = MAX_SEGMENTS, max_loss: int | None = None, open_: int = OPEN, cut: bool = True):
-        self.limit = np.array([max_tokens, max_segments, max_loss or max_tokens], np.int64)
+    def __init__(self, max_tokens: int = MAX_TOKENS, max_segments: int = MAX_SEGMENTS, max_loss: int = MAX_LOSS, open_: int = OPEN, cut: bool = True):
+        self.limit = np.array([max_tokens, max_segments, max_loss], np.int64)
         self.left = np.zeros((open_, 3), np.int64)
         self.held: list[list[tuple]] = [[] for _ in range(open_)]
         self.live = np.zeros(open_, bool)
@@ -59,7 +62,7 @@ class Packer:
     def _put(self, b: int, piece: tuple, n: int, loss: int) -> None:
         self.held[b].append(piece)
         self.left[b] -= (n, 1, loss)
-        if self.left[b, 0] == 0 or self.left[b, 1] == 0:
+        if (self.left[b] == 0).any():
             self._close(b)
 
     def add(self, doc: object, n: int, unscored: int, payload: object = None) -> None:
@@ -127,7 +130,7 @@ class Packer:
         self.done = []
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int, max_tokens: int = MAX_TOKENS, max_segments: int = MAX_SEGMENTS, max_loss: int | None = None, with_ids: bool = True) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, end_id: int, max_tokens: int = MAX_TOKENS, max_segments: int = MAX_SEGMENTS, max_loss: int = MAX_LOSS, with_ids: bool = True) -> DataFrame:
     """``docs`` (doc_id, text) cut into pieces and placed; a row a piece, with its ids if asked."""
     store.small_batches(docs.sparkSession)
     names = [x.split()[0] for x in SCHEMA.split(", ")]
