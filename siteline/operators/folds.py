@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from siteline.operators.intervals import overlap_any
 from siteline.operators.ordinal import with_ordinal
 
 
@@ -18,23 +19,45 @@ def roles(folds: DataFrame, n: int) -> DataFrame:
     return i.select("i", F.col("fold").cast("long").alias("fold"), role.alias("role"))
 
 
-def strata(peaks: DataFrame) -> DataFrame:
-    """A row for each peak and stratum: its class, and for unidirectional ones its quarter by q-value rank."""
+#: Share of unidirectional peaks below which the classes must have been read wrongly.
+UNI_LEAST = 0.5
+STRANDS = ("+", "-", ".")
+
+
+def strata(peaks: DataFrame, least_uni: float = UNI_LEAST) -> DataFrame:
+    """peak_idx and stratum of ``peaks`` (peak_idx, pclass ``uni`` or ``bi``, qval, strand, label): the class, a unidirectional peak's quarter by q-value rank, a bidirectional one's label.
+
+    Raises where a class is neither, where fewer than ``least_uni`` are unidirectional, and where one of these
+    has no strand.  Without a q-value for every unidirectional peak there are no quarters.  No peaks, no strata.
+    """
     uni = peaks.filter("pclass = 'uni'")
-    n = uni.agg(F.count("*").alias("n"))
-    ranked = with_ordinal(uni, "qval", "peak_idx", name="r", first=0).crossJoin(F.broadcast(n))  # one row
-    edge = lambda k: F.floor(k * F.col("n") / 4)
+    seen = peaks.agg(
+        F.count("*").alias("n"), F.count(F.when(F.col("pclass") == "uni", 1)).alias("uni"), F.count(F.when(~F.coalesce(F.col("pclass").isin("uni", "bi"), F.lit(False)), 1)).alias("unknown"),
+        F.count(F.when((F.col("pclass") == "uni") & ~F.coalesce(F.col("strand").isin(*STRANDS), F.lit(False)), 1)).alias("strandless"), F.count(F.when((F.col("pclass") == "uni") & F.col("qval").isNull(), 1)).alias("unranked"),
+    ).first()
+    if seen["unknown"]:
+        raise ValueError(f"{seen['unknown']} peaks are of neither class")
+    if seen["n"] and seen["uni"] < least_uni * seen["n"]:
+        raise ValueError(f"only {seen['uni']} of {seen['n']} peaks are unidirectional")
+    if seen["strandless"]:
+        raise ValueError(f"{seen['strandless']} unidirectional peaks have no strand")
+    label = F.concat(F.lit("bi_"), F.regexp_replace(F.lower("label"), "[^\\p{L}\\p{N}]", ""))
+    out = peaks.select("peak_idx", F.explode(F.array_compact(F.array("pclass", F.when(F.col("pclass") == "bi", label)))).alias("stratum"))
+    if seen["unranked"]:
+        return out
+    ranked = with_ordinal(uni.select("peak_idx", "qval"), "qval", "peak_idx", name="r", first=0)
+    edge = lambda k: (k * seen["uni"]) // 4
     q = F.when(F.col("r") < edge(1), "uniq1").when(F.col("r") < edge(2), "uniq2").when(F.col("r") < edge(3), "uniq3").otherwise("uniq4")
-    return peaks.select("peak_idx", F.col("pclass").alias("stratum")).unionByName(ranked.select("peak_idx", q.alias("stratum")))
+    return out.unionByName(ranked.select("peak_idx", q.alias("stratum")))
 
 
-def greedy_bins(groups: DataFrame, n: int, seed: int = 0) -> DataFrame:
-    """``groups`` (chrom, grp, n) with ``fold``: in a seeded hash order, each into the emptiest fold.
+def greedy_bins(groups: DataFrame, n: int, seed: int = 0, order: Column | None = None) -> DataFrame:
+    """``groups`` (chrom, grp, n) with ``fold``: in a seeded hash order (or the one given), each into the emptiest fold.
 
     A fold's fill depends on all groups before, so one task walks the groups (not the
     loci) as a stream, in order, holding ``n`` sums.
     """
-    ordered = groups.withColumn("__key", F.xxhash64(F.lit(seed), "chrom", "grp")).repartition(1).sortWithinPartitions("__key", "chrom", "grp")
+    ordered = groups.withColumn("__key", F.xxhash64(F.lit(seed), "chrom", "grp") if order is None else order).repartition(1).sortWithinPartitions("__key", "chrom", "grp")
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fill = [0] * n
@@ -60,3 +83,45 @@ def gc_match(tiles: DataFrame, peaks: DataFrame, order: Column, tie: str) -> Dat
     quota = peaks.groupBy("bin").agg(F.count("*").alias("quota"))
     ranked = tiles.join(quota, "bin").withColumn("__order", order)
     return ranked.withColumn("__n", F.row_number().over(Window.partitionBy("bin").orderBy("__order", tie))).filter("__n <= quota").drop("__n", "__order", "quota")
+
+
+def negatives(tiles: DataFrame, peaks: DataFrame, order: Column, beta: float | None = 0.5, n_share: float = 0.1, bin_percent: int = 2) -> DataFrame:
+    """Background tiles with the peaks' composition: chrom, start_pos, end_pos, bin and signal.
+
+    Both inputs have (chrom, start_pos, end_pos, seq, signal).  Tiles with more than ``n_share`` of N, those
+    that touch a peak and, unless ``beta`` is None, those with more signal than ``beta`` times the
+    first percentile of the peaks' go; of what is left each bin of ``bin_percent`` of GC gives as many
+    as it has peaks, or all it has, in ``order``.
+    """
+    share = lambda bases: F.length("seq") - F.length(F.regexp_replace("seq", f"[{bases}]", ""))
+    binned = lambda df: df.filter(F.length("seq") > 0).withColumn("bin", F.floor(share("GC") * 100 / (F.length("seq") * bin_percent)))
+    left = tiles.filter(share("N") <= n_share * F.length("seq"))
+    if beta is not None:
+        limit = peaks.agg((beta * F.percentile("signal", 0.01)).alias("__limit"))
+        left = left.crossJoin(F.broadcast(limit)).filter("signal <= __limit").drop("__limit")  # one row
+    zones = peaks.select("chrom", F.col("start_pos").alias("b_start"), F.col("end_pos").alias("b_end"))
+    free = overlap_any(left.withColumnsRenamed({"start_pos": "a_start", "end_pos": "a_end"}), zones).filter("not hit").drop("hit").withColumnsRenamed({"a_start": "start_pos", "a_end": "end_pos"})
+    return gc_match(binned(free), binned(peaks), order, "start_pos").select("chrom", "start_pos", "end_pos", "bin", "signal")
+
+
+def negatives_report(found: DataFrame, peaks: DataFrame, background: DataFrame) -> DataFrame:
+    """One row: negatives, per peak, the share that overlaps a peak, median signal of negatives, peaks and background (signal), and negatives against background."""
+    zones = peaks.select("chrom", F.col("start_pos").alias("b_start"), F.col("end_pos").alias("b_end"))
+    hit = overlap_any(found.withColumnsRenamed({"start_pos": "a_start", "end_pos": "a_end"}), zones)
+    a = hit.agg(F.count("*").alias("n_negatives"), F.avg(F.col("hit").cast("double")).alias("overlap_share"), F.median("signal").alias("median_negatives"))
+    b = peaks.agg(F.count("*").alias("n_peaks"), F.median("signal").alias("median_peaks"))
+    c = background.agg(F.median("signal").alias("median_background"))
+    one = a.crossJoin(F.broadcast(b)).crossJoin(F.broadcast(c))  # one row each
+    return one.select(
+        "n_negatives", "n_peaks", (F.col("n_negatives") / F.greatest("n_peaks", F.lit(1))).alias("per_peak"), "overlap_share", "median_negatives", "median_peaks", "median_background",
+        F.when(F.col("median_background") != 0, F.col("median_negatives") / F.col("median_background")).alias("times_background"),
+    )
+
+
+def split_status(rows: DataFrame, existing: DataFrame) -> DataFrame:
+    """group and status of ``rows`` (group, chrom, fold): created where ``existing`` has no row of it, unchanged, or rewritten."""
+    count = lambda df, name: df.groupBy("group", F.col("chrom").cast("string").alias("chrom"), F.col("fold").cast("long").alias("fold")).agg(F.count("*").alias(name))
+    both = count(rows, "new").join(count(existing, "old"), ["group", "chrom", "fold"], "full")
+    differs = F.max((F.coalesce("new", F.lit(0)) != F.coalesce("old", F.lit(0))).cast("int")) == 1
+    by = both.groupBy("group").agg(F.count("new").alias("n"), F.count("old").alias("had"), differs.alias("differs")).filter("n > 0")
+    return by.select("group", F.when(F.col("had") == 0, "created").when(F.col("differs"), "rewritten").otherwise("unchanged").alias("status"), F.col("n").alias("n_chroms"))

@@ -57,6 +57,49 @@ def counts_with_zeros(dimension: DataFrame, facts: DataFrame, key: str) -> DataF
     return joined.crossJoin(F.broadcast(total)).select(key, "n", F.when(F.col("all") > 0, F.col("n") / F.col("all")).alias("share"))  # one row
 
 
+def experiment_rows(experiments: DataFrame, logs: DataFrame, mapped: DataFrame, main: DataFrame, peaks: DataFrame) -> DataFrame:
+    """The 18 columns of an experiment; what isn't measured is null, never 0.
+
+    ``experiments``: experiment, species, tier, assay_family, layout, umi_enabled, n_samples, n_runs, archive_reads;
+    ``logs``: experiment, input, unique (a row an aligned sample); ``mapped``: experiment, chrom, reads;
+    ``main``: species, chrom, the chromosomes that count (a species without any counts all); ``peaks``: experiment, pclass.
+    """
+    of_log = logs.groupBy("experiment").agg(F.sum("input").alias("input_reads"), F.sum("unique").alias("unique_reads"))
+    named = mapped.join(experiments.select("experiment", "species"), "experiment")
+    listed = main.select("species").distinct().withColumn("listed", F.lit(True))
+    kept = named.join(main.select("species", "chrom", F.lit(True).alias("is_main")).distinct(), ["species", "chrom"], "left").join(listed, "species", "left").filter("listed is null or is_main")
+    of_signal = named.select("experiment").distinct().join(kept.groupBy("experiment").agg(F.sum("reads").alias("signal_reads")), "experiment", "left").withColumn("signal_reads", F.coalesce("signal_reads", F.lit(0).cast("long")))
+    of_peaks = peaks.groupBy("experiment").agg(F.count("*").alias("peaks_total"), F.count(F.when(F.col("pclass") == "uni", 1)).alias("peaks_unidirectional"), F.count(F.when(F.col("pclass") == "bi", 1)).alias("peaks_bidirectional"))
+    all_ = experiments
+    for part in (of_log, of_signal, of_peaks):
+        all_ = all_.join(part, "experiment", "left")
+    pct = lambda a, b: F.when(F.col(b) != 0, F.round(100.0 * F.col(a) / F.col(b), 1))
+    per_peak = F.when((F.col("signal_reads") != 0) & (F.col("peaks_total") != 0), F.bround(F.col("signal_reads") / F.col("peaks_total"), 0).cast("long"))
+    return all_.select(
+        "experiment", "species", "tier", "assay_family", "layout", F.when(F.col("umi_enabled"), "yes").otherwise("no").alias("has_umi"), "n_samples", "n_runs", "archive_reads",
+        "input_reads", "unique_reads", pct("unique_reads", "input_reads").alias("pct_unique"), "signal_reads", pct("signal_reads", "unique_reads").alias("pct_signal_of_unique"),
+        "peaks_total", "peaks_unidirectional", "peaks_bidirectional", per_peak.alias("reads_per_peak"),
+    )
+
+
+def transfers(expected: DataFrame, have: DataFrame, staged: DataFrame, force: bool = False, dry_run: bool = False, verify_only: bool = False) -> DataFrame:
+    """file and status of ``expected`` (file, md5): what a transfer does, or has done, with each.
+
+    ``have`` (file, md5) are the complete files, ``staged`` (file, md5) what a transfer left; an expected file without
+    a published md5 is ``kept`` as it is.  ok and CORRUPT compare digests; ``missing``, ``would fetch``, ``FAILED`` and
+    ``fetched`` are of files that aren't there or, unless only verified, don't match.
+    """
+    all_ = expected.select("file", F.coalesce("md5", F.lit("")).alias("md5")).join(have.select("file", F.col("md5").alias("old")), "file", "left").join(staged.select("file", F.col("md5").alias("new")), "file", "left")
+    here, same = F.col("old").isNotNull() & F.lit(not force), F.col("old") == F.col("md5")
+    found = F.when(F.col("md5") == "", "kept").when(same | F.lit(dry_run), "ok")
+    if verify_only:
+        status = F.when(here, F.coalesce(found, F.lit("CORRUPT"))).otherwise("missing")
+    else:
+        fetched = F.lit("would fetch") if dry_run else F.when(F.col("new").isNull(), "FAILED").when((F.col("md5") != "") & (F.col("new") != F.col("md5")), "CORRUPT").otherwise("fetched")
+        status = F.coalesce(F.when(here, found), fetched)
+    return all_.select("file", status.alias("status"))
+
+
 def upper_median(values: Column) -> Column:
     """The element at half the count of a sorted array: the upper one, no average."""
     return F.try_element_at(F.array_sort(values), (F.floor(F.size(values) / 2) + 1).cast("int"))

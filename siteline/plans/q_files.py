@@ -155,11 +155,15 @@ def _(spark, d):
     return S.first_layout(cand, cand.filter("sample % 3 <= priority and sample % 3 < 2").select("path"))
 
 
-@R.add("src_bam_idxstats", "select n_regionkey, case when n_regionkey <> 3 then sum(n_nationkey) end as mapped from nation group by 1".replace("sum(n_nationkey)", "cast(sum(n_nationkey) as bigint)"))
+@R.add("src_bam_idxstats", "select n_regionkey as sample, coalesce(cast(sum(case when n_nationkey % 4 > 0 then n_nationkey * 10 end) as bigint), 0) as mapped from nation group by 1")
 def _(spark, d):
-    n = table(spark, d, "nation").select("n_regionkey", F.col("n_nationkey").alias("mapped"))
-    sums = n.join(n.select("n_regionkey").distinct().filter("n_regionkey <> 3"), "n_regionkey").groupBy("n_regionkey").agg(F.sum("mapped").cast("long").alias("mapped"))
-    return n.select("n_regionkey").distinct().join(sums, "n_regionkey", "left")
+    """Index statistics of one alignment a region, of the chromosomes that count."""
+    n = table(spark, d, "nation")
+    path = scratch(spark, "idxstats")
+    line = F.concat_ws("\t", "n_name", F.lit("1000"), (F.col("n_nationkey") * 10).cast("string"), F.lit("3"))
+    n.select(line.alias("value"), F.col("n_regionkey").alias("sample")).unionByName(n.select(F.lit("*\t0\t0\t77").alias("value"), F.col("n_regionkey").alias("sample"))).write.partitionBy("sample").text(path)
+    files = S.idxstats(spark, path, n.filter("n_nationkey % 4 > 0").select(F.col("n_name").alias("chrom")))
+    return files.groupBy(F.regexp_extract("file", "sample=([0-9]+)", 1).cast(n.schema["n_regionkey"].dataType).alias("sample")).agg(F.sum("mapped").alias("mapped"))
 
 
 @R.add("src_commented_csv", sql("select chrom, fold, 'v1' as digest from folds", "folds"))
@@ -178,12 +182,16 @@ def _(spark, d):
     return S.metrics_json(spark, path + "/*")
 
 
-@R.add("src_stats_glob", "select 'e1' as experiment, '5' as n_reads, cast(null as varchar) as n_peaks")
+@R.add("src_stats_glob", "select r_name as experiment, cast(r_regionkey * 10 as varchar) as n_reads, case when r_regionkey % 2 = 0 then cast(r_regionkey as varchar) end as n_peaks from region where r_regionkey < 4")
 def _(spark, d):
+    """One table an experiment, in a file of its name; one that isn't configured has another header and is left out."""
     path = scratch(spark, "stats")
-    spark.createDataFrame([("experiment\tn_reads\tn_peaks\ne1\t5\t", "e1.tsv"), ("other\n1", "zz.tsv")], "value string, part string").filter("part = 'e1.tsv'").select("value").coalesce(1).write.text(path)
-    name = spark.read.text(path).select(X.path_stem(F.col("_metadata.file_path"))).first()[0]
-    return S.stats_tables(spark, path, ["experiment", "n_reads", "n_peaks"], [name]).withColumn("experiment", F.lit("e1"))
+    for r in table(spark, d, "region").orderBy("r_regionkey").limit(5).collect():  # a file each
+        k = r["r_regionkey"]
+        body = f"experiment\tn_reads\tn_peaks\n{r['r_name']}\t{k * 10}\t{k if k % 2 == 0 else ''}" if k < 4 else "other\n1"
+        W.one_file(spark.createDataFrame([(body,)], "value string"), f"{path}/{r['r_name']}.tsv")
+    configured = [r["r_name"] for r in table(spark, d, "region").filter("r_regionkey < 4").select("r_name").collect()]
+    return S.stats_tables(spark, f"{path}/*.tsv", ["experiment", "n_reads", "n_peaks"], configured)
 
 
 @R.add("src_meme_check", "select true as valid, cast(2 as bigint) as n_motifs")
@@ -191,10 +199,19 @@ def _(spark, d):
     return S.meme_motifs(spark, text_of(spark, spark.range(1), F.lit("MEME version 4\n\nMOTIF a x\n1\nMOTIF b\n"), "meme")).select("valid", "n_motifs")
 
 
-@R.add("src_md5_fetch", "select * from (values ('a', 'missing'), ('b', 'missing')) t(file, status)")
+@R.add("src_md5_fetch", """with f as (select c_custkey as k, md5(c_name) as m, case when c_custkey % 5 = 0 then '' else md5(c_name) end as want from customer),
+ h as (select *, k % 4 > 0 as here, case when k % 3 = 0 then md5('other') else m end as old, k % 7 > 0 as staged, case when k % 11 = 0 then md5('part') else m end as new from f)
+ select 'f' || k as file, case when here and want = '' then 'kept' when here and old = want then 'ok' when not staged then 'FAILED' when want <> '' and new <> want then 'CORRUPT' else 'fetched' end as fetched,
+   case when not here then 'missing' when want = '' then 'kept' when old = want then 'ok' else 'CORRUPT' end as verified, case when not here then 'would fetch' when want = '' then 'kept' else 'ok' end as planned from h""")
 def _(spark, d):
-    path = text_of(spark, spark.range(1), F.lit("x"), "files")
-    return S.md5_status(spark, path, spark.createDataFrame([("a", "0"), ("b", "1")], "file string, md5 string"))
+    """Files on disk, staged files and their digests, under the three ways to run a transfer."""
+    key, name = F.col("c_custkey"), F.concat(F.lit("f"), F.col("c_custkey").cast("string")).alias("file")
+    c, digest = table(spark, d, "customer"), F.md5(F.col("c_name").cast("binary"))
+    expected = c.select(name, F.when(key % 5 == 0, "").otherwise(digest).alias("md5"))
+    have = c.filter("c_custkey % 4 > 0").select(name, F.when(key % 3 == 0, F.md5(F.lit("other").cast("binary"))).otherwise(digest).alias("md5"))
+    staged = c.filter("c_custkey % 7 > 0").select(name, F.when(key % 11 == 0, F.md5(F.lit("part").cast("binary"))).otherwise(digest).alias("md5"))
+    out = [L.transfers(expected, have, staged, **{x: True for x in how}).withColumnRenamed("status", as_) for how, as_ in (((), "fetched"), (("verify_only",), "verified"), (("dry_run",), "planned"))]
+    return out[0].join(out[1], "file").join(out[2], "file")
 
 
 @R.add("src_yaml_config", "select 'K562' as id, 'human' as species, 'r1,r2' as runs")

@@ -155,29 +155,54 @@ def _(spark, d):
     return profiled(spark, d).select(F.col("offset").cast("long").alias("offset"), F.round("sense", 9).alias("sense"), F.round("anti", 9).alias("anti"), "n_sites")
 
 
-@R.add("sig_magnitude", sql(PROFILE + """, prof as (select off as o, sum(case when sense then value/total else 0 end) / (select count(*) from tot) as sense, sum(case when sense then 0 else value/total end) / (select count(*) from tot) as anti from hit join tot using (site) group by 1)
- select round(sum(case when o >= -50 and o <= -5 then "anti" end), 9) as up, round(sum(case when o >= 5 and o <= 50 then "anti" end), 9) as down,
- round(max(case when o >= -50 and o <= -5 then "anti" end), 9) as peak_height, round(median(case when o >= -50 and o <= -5 then "anti" end), 9) as band_median from prof""", "aln", "tss"))
-def _(spark, d):
-    band, other = F.col("offset").between(-50, -5), F.col("offset").between(5, 50)
-    return profiled(spark, d).agg(F.round(F.sum(F.when(band, F.col("anti"))), 9).alias("up"), F.round(F.sum(F.when(other, F.col("anti"))), 9).alias("down"), F.round(F.max(F.when(band, F.col("anti"))), 9).alias("peak_height"), F.round(F.median(F.when(band, F.col("anti"))), 9).alias("band_median"))
+# The statistics read the profile rounded, so that the order of its sums doesn't decide between equal heights.
+DENSE = PROFILE + """, prof as (select off as o, round(sum(case when sense then value/total else 0 end) / (select count(*) from tot), 9) as sense, round(sum(case when sense then 0 else value/total end) / (select count(*) from tot), 9) as ans from hit join tot using (site) group by 1),
+ dn as (select g.o, coalesce(sense, 0) as sense, coalesce(ans, 0) as ans from (select unnest(range(-60, 60)) as o) g left join prof on prof.o = g.o)"""
+SUMMIT = """, sm as (select sum(sense) as sense, sum(ans) as ans, coalesce(sum(ans) filter (abs(o) between 5 and 50 and o < 0), 0) as up, coalesce(sum(ans) filter (abs(o) between 5 and 50 and o > 0), 0) as down,
+   (select ans from dn where abs(o) between 5 and 50 order by ans desc, o limit 1) as peak_height, (select o from dn where abs(o) between 5 and 50 order by ans desc, o limit 1) as peak_offset,
+   median(ans) filter (abs(o) between 5 and 50) as band_median, avg(ans) filter (abs(o) < 5) as inner_ from dn),
+ sn as (select *, ans / greatest(sense + ans, 1e-9) as anti_share, log2((up + 1e-12) / (down + 1e-12)) as lr, band_median > 0 and peak_height >= 1.5 * band_median and 50 - abs(peak_offset) > 10 as localized from sm),
+ st as (select round(anti_share, 7) as anti_share, round(up, 7) as up, round(down, 7) as down, round(lr, 5) as log2_up_down, cast(peak_offset as bigint) as peak_offset, round(peak_height, 7) as peak_height, round(band_median, 7) as band_median, localized, round(inner_, 7) as "inner",
+   case when ans <= 0 then 'none' when anti_share <= 0.05 then 'weak' when lr <= -1 and localized then 'swapped' when lr <= -1 then 'REVIEW' when peak_height > 0 and inner_ >= 2 * peak_height then 'on summit' else 'ok' end as note from sn)"""
+
+
+def dense(spark, d, profile=None):
+    own = profiled(spark, d) if profile is None else profile
+    return S.dense(own.select("offset", F.round("sense", 9).alias("sense"), F.round("anti", 9).alias("anti")), 60)
 
 
-@R.add("sig_summit_stats")
+def rounded(df):
+    digits = {"log2_up_down": 5, "prominence": 5, "vs_sense": 5}
+    return df.select(*(F.round(c, digits.get(c, 7)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
+
+
+@R.add("sig_magnitude", sql(DENSE + """ select (select cast(o as bigint) from dn where o between -50 and -5 order by ans desc, o limit 1) as at_upstream, (select cast(o as bigint) from dn where abs(o) between 5 and 50 order by ans desc, o limit 1) as at_band,
+ round(max(ans) filter (o between -50 and -5), 7) as height, round(max(ans) filter (o between -50 and -5) / nullif(median(ans) filter (abs(o) between 5 and 50), 0), 5) as prominence, round(max(ans) filter (o between -50 and -5) / nullif(max(sense), 0), 5) as vs_sense from dn""", "aln", "tss"))
 def _(spark, d):
-    return S.summit_stats(profiled(spark, d), 5, 50, 10)
+    return rounded(S.magnitude(dense(spark, d), 5, 50))
 
 
-@R.add("sig_summit_metaplot")
+@R.add("sig_summit_stats", sql(DENSE + SUMMIT + " select * from st", "aln", "tss"))
 def _(spark, d):
+    return rounded(S.summit_stats(dense(spark, d), 5, 50, 10))
+
+
+TOPS = SIG + """, mx as (select peak_idx, p.chrom, s.pos, s.strand, row_number() over (partition by peak_idx order by value desc, s.strand = '+' desc, s.pos) as k from peaks p join sig s on s.chrom = p.chrom and s.pos >= p.start_pos and s.pos < p.end_pos and p.start_pos < p.end_pos),
+ sites as (select peak_idx as site, chrom, pos, strand from mx where k = 1),
+ hit as (select t.site, case when t.strand='+' then s.pos - t.pos else t.pos - s.pos end as off, t.strand = s.strand as sense, s.value, s.chrom, s.pos, t.strand as ts
+   from sites t join sig s on s.chrom = t.chrom and s.pos between t.pos - 60 and t.pos + 60),
+ tot as (select site, sum(value) as total from hit group by 1)"""
+
+
+def summits(spark, d):
     tops = S.peak_maxima(view(spark, d, "peaks"), signal(spark, d))
-    return S.profile(tops.select(F.col("peak_idx").alias("site"), "chrom", "pos", "strand"), signal(spark, d), 60)
+    return tops.select(F.col("peak_idx").alias("site"), "chrom", "pos", "strand")
 
 
-@R.add("sig_verdict")
+@R.add("sig_summit_metaplot", sql(TOPS + """ select cast(off as bigint) as "offset", round(sum(case when sense then value/total else 0 end) / (select count(*) from tot), 9) as sense,
+ round(sum(case when sense then 0 else value/total end) / (select count(*) from tot), 9) as anti, (select count(*) from tot) as n_sites from hit join tot using (site) group by 1""", "aln", "peaks"))
 def _(spark, d):
-    s = S.summit_stats(profiled(spark, d), 5, 50, 10)
-    return s.withColumn("verdict", S.verdict(F.col("log2_up_down"), F.coalesce(F.col("prominence") >= 1.5, F.lit(False)), F.lit(1)))
+    return S.profile(summits(spark, d), signal(spark, d), 60).select(F.col("offset").cast("long").alias("offset"), F.round("sense", 9).alias("sense"), F.round("anti", 9).alias("anti"), "n_sites")
 
 
 NEAR = """, q as (select chrom, strand, pos, value from sig),
@@ -191,30 +216,57 @@ def _(spark, d):
     return out.select("chrom", "strand", "pos", F.when(F.col("near"), F.col("distance")).alias("distance"), "near")
 
 
-@R.add("sig_attribution_null", sql(SIG + """, sh as (select unnest([0, 2300, 7100, 13700]) as shift),
- mv as (select shift, chrom, strand, pos + shift as pos, value from sig, sh),
- nr as (select m.shift, m.value, coalesce(t.pos >= m.pos - 50, false) as near from mv m asof left join tss t on t.chrom = m.chrom and t.strand = m.strand and m.pos + 50 >= t.pos),
- s as (select shift, sum(case when near then value else 0 end) / sum(value) as share from nr group by 1)
- select round(max(share) filter (where shift = 0), 9) as observed, round(median(share) filter (where shift <> 0), 9) as expected from s""", "aln", "tss"))
+PARTED = TOPS + """, st0 as (select distinct chrom, strand, pos from tss),
+ pt as (select s.site, s.chrom, s.pos, s.strand, bool_or(t.pos is not null) as paired, coalesce(bool_or((s.strand = '+' and t.pos < s.pos) or (s.strand = '-' and t.pos > s.pos)), false) as paired_upstream
+   from sites s left join st0 t on t.chrom = s.chrom and t.strand <> s.strand and abs(t.pos - s.pos) between 3 and 52 group by 1, 2, 3, 4)"""
+
+
+def parted(spark, d):
+    return S.divergent_partition(summits(spark, d), view(spark, d, "tss"), 5, 50, 2)
+
+
+@R.add("sig_divergent_partition", sql(PARTED + """, ph as (select case when paired then 'paired' else 'unpaired' end as class, hit.* from hit join pt using (site)),
+ pn as (select class, count(distinct site) as n from ph group by 1)
+ select class, cast(off as bigint) as "offset", round(sum(case when sense then value/total else 0 end) / any_value(n), 9) as sense, round(sum(case when sense then 0 else value/total end) / any_value(n), 9) as anti, any_value(n) as n_sites
+ from ph join tot using (site) join pn using (class) group by 1, 2""", "aln", "peaks", "tss"))
 def _(spark, d):
-    out = S.attribution(signal(spark, d).withColumnRenamed("value", "weight"), view(spark, d, "tss"), [2300, 7100, 13700], 50)
-    return out.select(F.round("observed", 9).alias("observed"), F.round("expected", 9).alias("expected"))
+    """Profiles of the sites with and without a start of the other strand in either band."""
+    sites, own = parted(spark, d), signal(spark, d)
+    profiles = [S.profile(sites.filter(keep).drop("paired", "paired_upstream"), own, 60).withColumn("class", F.lit(name)) for name, keep in (("paired", "paired"), ("unpaired", "not paired"))]
+    return profiles[0].unionByName(profiles[1]).select("class", F.col("offset").cast("long").alias("offset"), F.round("sense", 9).alias("sense"), F.round("anti", 9).alias("anti"), "n_sites")
 
 
-@R.add("sig_divergent_partition", sql("""sites as (select chrom, pos, strand, case when strand='+' then '-' else '+' end as other from tss)
- select s.chrom, s.pos, s.strand, bool_or(t.pos is not null) as paired from sites s left join tss t on t.chrom = s.chrom and t.strand = s.other and t.pos between s.pos - 300 and s.pos + 300 group by 1, 2, 3""", "tss"))
+SHIFTS = [2300, 7100, 13700, 23300, 41900]
+
+
+@R.add("sig_attribution_null", sql(PARTED + """, w as (select case when ts = '+' then '-' else '+' end as strand, hit.chrom, hit.pos, value/total as w from hit join tot using (site) where not sense and off between -50 and -5),
+ sh as (select unnest([0, 2300, 7100, 13700, 23300, 41900]) as shift),
+ mv as (select shift, chrom, strand, pos - shift as pos, w from w, sh),
+ nr as (select m.shift, m.w, coalesce(t.pos >= m.pos - 2, false) as near from mv m asof left join st0 t on t.chrom = m.chrom and t.strand = m.strand and m.pos + 2 >= t.pos),
+ s as (select shift, sum(case when near then w else 0 end) / sum(w) as share from nr group by 1),
+ r as (select max(share) filter (where shift = 0) as observed, median(share) filter (where shift <> 0) as expected from s)
+ select round(observed, 7) as observed, round(expected, 7) as expected, case when expected > 0 then round(observed / expected, 5) when observed > 0 then 'inf'::double end as enrichment from r""", "aln", "peaks", "tss"))
 def _(spark, d):
-    tss = view(spark, d, "tss").distinct()
-    other = tss.select("chrom", "pos", F.when(F.col("strand") == "+", "-").otherwise("+").alias("strand"))
-    return I.nearest_within(other, tss, 300).select("chrom", "pos", F.when(F.col("strand") == "+", "-").otherwise("+").alias("strand"), F.col("near").alias("paired"))
+    """The share of upstream antisense near a start of its strand, against starts that are shifted."""
+    hits = S.site_hits(summits(spark, d), signal(spark, d), 60).filter("not is_sense and offset between -50 and -5")
+    points = hits.select("chrom", "strand", "pos", (F.col("value") / F.col("site_total")).alias("weight"))
+    out = S.attribution(points, view(spark, d, "tss"), [-s for s in SHIFTS], 2)
+    return out.select(F.round("observed", 7).alias("observed"), F.round("expected", 7).alias("expected"), F.round("enrichment", 5).alias("enrichment"))
 
 
-@R.add("sig_read_partition")
+@R.add("sig_read_partition", sql(PARTED + """, un as (select hit.* from hit join pt using (site) where not paired), nu as (select count(distinct site) as n from un), ns as (select count(distinct site) as n from hit),
+ prof as (select off as o, round(sum(case when sense then value/total else 0 end) / (select n from nu), 9) as sense, round(sum(case when sense then 0 else value/total end) / (select n from nu), 9) as ans from un join tot using (site) group by 1),
+ dn as (select g.o, coalesce(sense, 0) as sense, coalesce(ans, 0) as ans from (select unnest(range(-60, 60)) as o) g left join prof on prof.o = g.o)""" + SUMMIT + """,
+ pk as (select ns.n as n_sites, nu.n as n_unpaired, log2_up_down, case when localized then peak_offset end as peak from st, ns, nu)
+ select n_sites, n_unpaired, log2_up_down, peak, case when n_sites = 0 then 'no usable sites' when n_unpaired / n_sites < 0.1 or log2_up_down is null then 'inconclusive' when peak <= -5 and log2_up_down >= 0.5 then 'survives'
+   when peak > -5 then 'not divergent' when log2_up_down >= 0.5 then 'partly survives' else 'gene pairs' end as verdict from pk""", "aln", "peaks", "tss"))
 def _(spark, d):
-    tss = view(spark, d, "tss").distinct()
-    flags = I.nearest_within(tss.select("chrom", "pos", F.when(F.col("strand") == "+", "-").otherwise("+").alias("strand")), tss, 300)
-    by = flags.groupBy("near").agg(F.count("*").alias("n"))
-    return by.withColumn("verdict", S.verdict(F.lit(0.6), F.lit(True), F.col("n")))
+    sites, own = parted(spark, d), signal(spark, d)
+    used = S.site_hits(sites, own, 60).select("site", "paired").distinct().agg(F.count("*").alias("n_sites"), F.count(F.when(~F.col("paired"), 1)).alias("n_unpaired"))
+    alone = S.profile(sites.filter("not paired").drop("paired", "paired_upstream"), own, 60)
+    found = rounded(S.summit_stats(dense(spark, d, alone), 5, 50, 10))
+    both = used.crossJoin(F.broadcast(found)).select("n_sites", "n_unpaired", "log2_up_down", F.when(F.col("localized"), F.col("peak_offset")).alias("peak"))  # one row each
+    return both.withColumn("verdict", S.partition_verdict(F.col("n_sites"), F.col("n_unpaired"), F.col("log2_up_down"), F.col("peak"), 5))
 
 
 @R.add("join_interval_overlap", sql("""neg as (select chrom, start_pos + 1000 as start_pos, end_pos + 1040 as end_pos, peak_idx from peaks)
@@ -346,8 +398,31 @@ def _(spark, d):
     return S.information(pwm(spark, d)).withColumn("bits", F.round("bits", 7))
 
 
-@R.add("sig_random_baseline")
+INFO = PWM + """, m as (select base, sum(freq) as bg from f where "offset" >= 5 group by 1), n as (select base, bg / (select sum(bg) from m) as bg from m),
+ ic as (select "offset" as o, round(sum(freq * log2(freq / bg)), 7) as bits from f join n using (base) group by 1)"""
+
+
+@R.add("sig_verdict", sql(DENSE + ", " + INFO + """, tp as (select bits, o - 1 as "at" from ic order by bits desc, o limit 1),
+ sm as (select sum(sense) filter (o >= 0) as down, sum(sense) filter (o < 0) as up, sum(ans) as ans, sum(sense) as sense from dn),
+ an as (select unnest([true, false]) as anchored)
+ select anchored, bits, cast("at" as bigint) as "at", case when bits >= 0.15 then 'ok' when "at" in (-1, 0) then 'diluted' else 'flat and misplaced' end as motif, round(down / greatest(up, 1e-9), 5) as down_up,
+   case when down > up then 'ok' when anchored then 'FLAG' else 'REVIEW' end as direction, round(ans / greatest(sense, 1e-9), 5) as anti_sense, case when ans <= sense then 'ok' when anchored then 'FLAG' else 'REVIEW' end as strands from tp, sm, an""", "aln", "tss", "seqs"))
+def _(spark, d):
+    """Both gradings: where annotated starts are taken for true starts, and where they aren't."""
+    bits, own = S.information(pwm(spark, d)).withColumn("bits", F.round("bits", 7)), dense(spark, d)
+    out = [S.orientation(bits, own, a, 1).withColumn("anchored", F.lit(a)) for a in (True, False)]
+    return out[0].unionByName(out[1]).withColumns({c: F.round(c, 5) for c in ("down_up", "anti_sense")}).withColumn("at", F.col("at").cast("long"))
+
+
+DRAW = "(start_pos * 2654435761 + cast(chrom as bigint) * 40503) % 4294967296"
+
+
+@R.add("sig_random_baseline", sql(SIG + f""", tl as (select chrom, unnest(range(0, size - 999, 1000)) as start_pos from sizes where size >= 1000),
+ dr as (select chrom, start_pos from tl order by {DRAW}, chrom, start_pos limit 2000),
+ tt as (select dr.chrom, dr.start_pos, coalesce(sum(value), 0) as total from dr left join sig on sig.chrom = dr.chrom and sig.pos >= dr.start_pos and sig.pos < dr.start_pos + 1000 group by 1, 2)
+ select median(total) as median_total, count(*) as n from tt""", "aln", "sizes"))
 def _(spark, d):
+    """A sample of 2,000 windows, by size; the draw is a fixed order of all windows."""
     tiles = I.tile(view(spark, d, "sizes"), 1000)
-    some = tiles.orderBy(F.xxhash64(F.lit(0), "chrom", "start_pos")).limit(2000)
+    some = tiles.orderBy(F.expr(DRAW), "chrom", "start_pos").limit(2000)
     return S.window_totals(ordinal.with_ordinal(some, "chrom", "start_pos", name="peak_idx"), S.unstranded(signal(spark, d)), 1000).agg(F.median("total").alias("median_total"), F.count("*").alias("n"))

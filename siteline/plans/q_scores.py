@@ -348,10 +348,10 @@ def _(spark, d):
 
 
 @R.add("st_strata", sql("""r as (select peak_idx, row_number() over (order by qval, peak_idx) - 1 as r, count(*) over () as n from peaks where pclass = 'uni'), q as (select peak_idx, case when r < n//4 then 'uniq1' when r < 2*n//4 then 'uniq2' when r < 3*n//4 then 'uniq3' else 'uniq4' end as stratum from r)
- select stratum, count(*) as n from (select pclass as stratum from peaks union all select stratum from q) group by 1""", "peaks"))
+ select stratum, count(*) as n, cast(sum(peak_idx) as bigint) as places from (select peak_idx, pclass as stratum from peaks union all select * from q union all select peak_idx, case when peak_idx % 3 = 0 then 'bi_stringentqval' else 'bi_relaxed' end from peaks where pclass = 'bi') group by 1""", "peaks"))
 def _(spark, d):
-    p = view(spark, d, "peaks")
-    return K.strata(p).groupBy("stratum").agg(count())
+    p = view(spark, d, "peaks").withColumns({"strand": F.lit("+"), "label": F.when(F.col("peak_idx") % 3 == 0, "Stringent(qval)").otherwise("Relaxed")})
+    return K.strata(p, 0.25).groupBy("stratum").agg(count(), F.sum("peak_idx").alias("places"))
 
 
 @R.add("ml_fold_split", sql("t as (select unnest([0, 1, 2, 3, 4]) as i) select cast(i as bigint) as i, cast(f.fold as bigint) as fold, case when f.fold = i then 'test' when f.fold = (i + 1) % 5 then 'valid' else 'train' end as role from t, (select distinct fold from folds) f", "folds"))
@@ -371,11 +371,20 @@ def _(spark, d):
     return view(spark, d, "folds").groupBy("fold").agg(F.array_join(F.array_sort(F.collect_list("chrom")), ",").alias("test_chroms")).withColumn("model_path", F.concat(F.lit("model_"), F.col("fold").cast("string")))
 
 
-@R.add("ml_greedy_bins")
+SHUFFLED = "((grp + 1) * 2654435761 + cast(chrom as bigint) * 40503) % 4294967296"
+
+
+@R.add("ml_greedy_bins", sql(f"""c as (select peak_idx, chrom, (start_pos + end_pos)//2 as center from peaks),
+ g as (select *, sum(far) over (partition by chrom order by center, peak_idx) as grp from (select *, case when center - lag(center) over (partition by chrom order by center, peak_idx) <= 2514 then 0 else 1 end as far from c)),
+ z as (select chrom, cast(grp as bigint) as grp, count(*) as n from g group by 1, 2),
+ o as (select *, row_number() over (order by {SHUFFLED}, chrom, grp) as i from z),
+ walk(i, fill, fold) as (select cast(0 as bigint), [0, 0, 0, 0, 0]::bigint[], cast(-1 as bigint)
+   union all select o.i, list_transform([0, 1, 2, 3, 4], lambda k: fill[k + 1] + case when k + 1 = list_position(fill, list_min(fill)) then o.n else 0 end), list_position(fill, list_min(fill)) - 1 from walk w join o on o.i = w.i + 1)
+ select o.chrom, o.grp, o.n, w.fold from o join walk w on w.i = o.i""", "peaks").replace("with ", "with recursive ", 1))
 def _(spark, d):
     p = view(spark, d, "peaks").select("peak_idx", "chrom", F.floor((F.col("start_pos") + F.col("end_pos")) / 2).alias("center"))
-    sizes = I.gap_groups(p, 2514).groupBy("chrom", "grp").agg(F.count("*").alias("n"))
-    return K.greedy_bins(sizes, 5)
+    sizes = I.gap_groups(p, 2514).groupBy("chrom", F.col("grp").cast("long").alias("grp")).agg(count())
+    return K.greedy_bins(sizes, 5, order=F.expr(SHUFFLED))
 
 
 @R.add("ml_split_check", "select key, a, b from (values ('digest', 'x', 'y'), ('seed', '0', '1')) t(key, a, b)")
@@ -383,26 +392,42 @@ def _(spark, d):
     return K.drift(spark, {"digest": "x", "seed": "0", "peaks": "old", "folds": "5"}, {"digest": "y", "seed": "1", "peaks": "new", "folds": "5"}, {"peaks"})
 
 
-GC = """g as (select doc_id, cast(floor((length(seq) - length(regexp_replace(seq, '[GC]', '', 'g'))) * 10.0 / length(seq)) as bigint) as bin from seqs where length(seq) > 0),
- pk as (select bin, count(*) as n from g where doc_id % 4 = 0 group by 1), bg as (select doc_id, bin, row_number() over (partition by bin order by (doc_id * 2654435761) % 4294967296, doc_id) as rn from g where doc_id % 4 <> 0)"""
+PICK = "(cast(chrom as bigint) * 2654435761 + start_pos * 40503) % 4294967296"
+LEVEL = "cast((cast(chrom as bigint) * 7919 + start_pos * 31) % 1000 as double)"
+NEG = f"""tl as (select cast(doc_id as varchar) as chrom, i as start_pos, i + 50 as end_pos, substr(seq, i + 1, 50) as s from (select doc_id, seq, unnest(range(0, length(seq) - 49, 50)) as i from seqs where length(seq) >= 50)),
+ pk as (select *, {LEVEL} as signal from (select cast(doc_id as varchar) as chrom, cast(25 as bigint) as start_pos, cast(75 as bigint) as end_pos, substr(seq, 26, 50) as s from seqs where doc_id % 4 = 0 and length(seq) >= 75)),
+ tg as (select *, {LEVEL} as signal from tl),
+ gc as (select chrom, start_pos, end_pos, signal, (50 - length(regexp_replace(s, '[GC]', '', 'g'))) * 100 // 100 as bin from tg where 50 - length(replace(s, 'N', '')) <= 5 and signal <= (select 0.9 * quantile_cont(signal + 500, 0.01) from pk)
+   and not exists (select 1 from pk where pk.chrom = tg.chrom and pk.start_pos < tg.end_pos and tg.start_pos < pk.end_pos)),
+ pb as (select (50 - length(regexp_replace(s, '[GC]', '', 'g'))) * 100 // 100 as bin, count(*) as quota from pk group by 1),
+ ng as (select gc.chrom, gc.start_pos, gc.end_pos, cast(gc.bin as bigint) as bin, gc.signal from (select *, row_number() over (partition by bin order by {PICK}, start_pos) as rn from gc) gc join pb using (bin) where rn <= quota)"""
+
+
+def neg_parts(spark, d):
+    """Tiles of 50 bases of every sequence, and a peak in every fourth, with a made-up signal."""
+    s = seqs(spark, d).select(F.col("doc_id").cast("string").alias("chrom"), "doc_id", "seq")
+    tiles = s.select("chrom", F.posexplode(F.regexp_extract_all("seq", F.lit("(?s)(.{50})"), F.lit(1))).alias("i", "seq")).select("chrom", (F.col("i") * 50).cast("long").alias("start_pos"), "seq")
+    peaks = s.filter("doc_id % 4 = 0 and length(seq) >= 75").select("chrom", F.lit(25).cast("long").alias("start_pos"), F.substring("seq", 26, 50).alias("seq"))
+    add = lambda df: df.withColumns({"end_pos": F.col("start_pos") + 50, "signal": F.expr(LEVEL)})
+    return add(tiles), add(peaks)
 
 
-def gc_parts(spark, d):
-    s = seqs(spark, d).filter(F.length("seq") > 0).withColumn("bin", F.floor((F.length("seq") - F.length(F.regexp_replace("seq", "[GC]", ""))) * 10.0 / F.length("seq")))
-    return s.filter("doc_id % 4 = 0").select("doc_id", "bin"), s.filter("doc_id % 4 <> 0").select("doc_id", "bin")
+def neg_found(spark, d):
+    tiles, peaks = neg_parts(spark, d)
+    raised = peaks.withColumn("signal", F.col("signal") + 500)
+    return K.negatives(tiles, raised, F.expr(PICK), beta=0.9), tiles, peaks
 
 
-@R.add("ml_gc_match", sql(GC + " select doc_id, bg.bin as bin from bg join pk using (bin) where rn <= n", "seqs"))
+@R.add("ml_gc_match", sql(NEG + " select * from ng", "seqs"))
 def _(spark, d):
-    peaks, tiles = gc_parts(spark, d)
-    return K.gc_match(tiles, peaks, (F.col("doc_id") * 2654435761) % 4294967296, "doc_id").select("doc_id", "bin")
+    return neg_found(spark, d)[0]
 
 
-@R.add("ml_neg_report", sql(GC + ", k as (select bg.* from bg join pk using (bin) where rn <= n) select (select count(*) from k) as n_neg, (select cast(sum(n) as bigint) from pk) as n_peak, round((select count(*) from k) / (select sum(n) from pk), 6) as ratio", "seqs"))
+@R.add("ml_neg_report", sql(NEG + """ select (select count(*) from ng) as n_negatives, (select count(*) from pk) as n_peaks, round((select count(*) from ng) / (select count(*) from pk), 6) as per_peak, cast(0 as double) as overlap_share,
+ (select median(signal) from ng) as median_negatives, (select median(signal) from pk) as median_peaks, (select median(signal) from tg) as median_background, round((select median(signal) from ng) / (select median(signal) from tg), 6) as times_background""", "seqs"))
 def _(spark, d):
-    peaks, tiles = gc_parts(spark, d)
-    neg = K.gc_match(tiles, peaks, (F.col("doc_id") * 2654435761) % 4294967296, "doc_id")
-    return neg.agg(F.count("*").alias("n_neg")).crossJoin(F.broadcast(peaks.agg(F.count("*").alias("n_peak")))).withColumn("ratio", F.round(F.col("n_neg") / F.col("n_peak"), 6))  # one row each
+    found, tiles, peaks = neg_found(spark, d)
+    return K.negatives_report(found, peaks, tiles).withColumns({"per_peak": F.round("per_peak", 6), "times_background": F.round("times_background", 6)})
 
 
 @R.add("ml_ratio_cap", "select n_nationkey, least(0.25, n_nationkey / cast(greatest(n_regionkey, 1) as double)) as ratio from nation")

@@ -235,11 +235,28 @@ def _(spark, d):
     return table(spark, d, "orders").groupBy("o_custkey").agg(F.count("*").alias("n_logs"), F.sum(F.when(F.col("o_orderstatus") == "F", F.floor("o_totalprice").cast("long"))).alias("unique_reads"))
 
 
-@R.add("agg_experiment_row", sql("""a as (select sample, count(*) as n_aln, count(*) filter (where mapq >= 255) as n_unique, count(distinct umi) as n_umi from aln group by 1)
- select sample, n_aln, n_unique, n_umi, round(100.0 * n_unique / n_aln, 1) as pct_unique from a""", "aln"))
-def _(spark, d):
-    a = view(spark, d, "aln").groupBy("sample").agg(F.count("*").alias("n_aln"), F.count(F.when(F.col("mapq") >= 255, 1)).alias("n_unique"), F.countDistinct("umi").alias("n_umi"))
-    return a.withColumn("pct_unique", X.pct(F.col("n_unique"), F.col("n_aln")))
+ROW = """ex as (select s_suppkey as experiment, n_name as species, case when s_suppkey % 3 = 0 then 'include' else '' end as tier, 'cap' as assay_family, case when s_suppkey % 2 = 0 then 'PAIRED' else 'SINGLE' end as layout,
+   s_suppkey % 5 = 0 as umi, s_suppkey % 4 + 1 as n_samples, s_suppkey % 7 + 1 as n_runs, case when s_suppkey % 6 > 0 then s_suppkey * 1000 end as archive_reads from supplier join nation on s_nationkey = n_nationkey),
+ lg as (select l_suppkey as experiment, sum(l_partkey) as i, sum(case when l_linenumber % 2 = 0 then l_partkey end) as u from lineitem where l_suppkey % 9 > 0 group by 1),
+ sg as (select l_suppkey as experiment, coalesce(sum(case when species like 'C%' or l_linenumber <= 3 then cast(l_quantity as bigint) end), 0) as r from lineitem join ex on ex.experiment = l_suppkey where l_suppkey % 8 > 0 group by 1),
+ pk as (select l_suppkey as experiment, count(*) as n, count(*) filter (l_returnflag = 'N') as u, count(*) filter (l_returnflag <> 'N') as b from lineitem where l_linenumber = 1 and l_suppkey % 10 > 0 group by 1)"""
+
+
+@R.add("agg_experiment_row", "with " + ROW + """ select ex.experiment, species, tier, assay_family, layout, case when umi then 'yes' else 'no' end as has_umi, n_samples, n_runs, archive_reads, cast(lg.i as bigint) as input_reads, cast(lg.u as bigint) as unique_reads,
+ round(100.0 * lg.u / nullif(lg.i, 0), 1) as pct_unique, cast(sg.r as bigint) as signal_reads, round(100.0 * sg.r / nullif(lg.u, 0), 1) as pct_signal_of_unique, pk.n as peaks_total, pk.u as peaks_unidirectional, pk.b as peaks_bidirectional,
+ cast(round_even(nullif(sg.r, 0) / nullif(pk.n, 0), 0) as bigint) as reads_per_peak from ex left join lg on lg.experiment = ex.experiment left join sg on sg.experiment = ex.experiment left join pk on pk.experiment = ex.experiment""")
+def _(spark, d):
+    """One species in three letters has no list of main chromosomes, so that all of its count."""
+    key, l = F.col("s_suppkey"), table(spark, d, "lineitem").withColumn("experiment", F.col("l_suppkey"))
+    e = table(spark, d, "supplier").join(table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select(
+        key.alias("experiment"), F.col("n_name").alias("species"), F.when(key % 3 == 0, "include").otherwise("").alias("tier"), F.lit("cap").alias("assay_family"), F.when(key % 2 == 0, "PAIRED").otherwise("SINGLE").alias("layout"),
+        (key % 5 == 0).alias("umi_enabled"), (key % 4 + 1).alias("n_samples"), (key % 7 + 1).alias("n_runs"), F.when(key % 6 > 0, key * 1000).alias("archive_reads"),
+    )
+    logs = l.filter("l_suppkey % 9 > 0").select("experiment", F.col("l_partkey").alias("input"), F.when(F.col("l_linenumber") % 2 == 0, F.col("l_partkey")).alias("unique"))
+    mapped = l.filter("l_suppkey % 8 > 0").select("experiment", F.col("l_linenumber").cast("string").alias("chrom"), F.col("l_quantity").cast("long").alias("reads"))
+    main = e.filter("species not like 'C%'").select("species", F.explode(F.array(*(F.lit(x) for x in "123"))).alias("chrom")).distinct()
+    peaks = l.filter("l_linenumber = 1 and l_suppkey % 10 > 0").select("experiment", F.when(F.col("l_returnflag") == "N", "uni").otherwise("bi").alias("pclass"))
+    return L.experiment_rows(e, logs, mapped, main, peaks)
 
 
 @R.add("agg_any_flag", "select o_custkey, bool_or(lower(trim(o_orderstatus)) in ('f', 'p')) as any_flag from orders group by 1")
@@ -352,10 +369,19 @@ def _(spark, d):
     return table(spark, d, "orders").select((F.col("o_custkey") % 50).alias("k")).exceptAll(table(spark, d, "customer").select((F.col("c_custkey") % 50).alias("k")))
 
 
-@R.add("snk_split_csv", "with a as (select n_name, n_regionkey from nation where n_nationkey < 20), b as (select n_name, n_regionkey from nation where n_nationkey >= 5) select n_name, n_regionkey, 'only_left' as side from (select * from a except all select * from b) union all select n_name, n_regionkey, 'only_right' from (select * from b except all select * from a)")
+@R.add("snk_split_csv", """select n_name as "group", case n_nationkey % 3 when 0 then 'created' when 1 then 'unchanged' else 'rewritten' end as status, count(*) as n_chroms from supplier join nation on s_nationkey = n_nationkey group by n_name, n_nationkey""")
 def _(spark, d):
-    n = table(spark, d, "nation").select("n_name", "n_regionkey", "n_nationkey")
-    return L.difference_both_ways(n.filter("n_nationkey < 20").drop("n_nationkey"), n.filter("n_nationkey >= 5").drop("n_nationkey"))
+    """Tables of chromosomes and folds as CSV, a folder a species, against what an earlier run wrote."""
+    from siteline.operators import folds as K
+    from siteline.session import scratch
+
+    s = table(spark, d, "supplier").join(table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    rows = s.select(F.col("n_name").alias("group"), F.col("s_suppkey").alias("chrom"), (F.col("s_suppkey") % 5).alias("fold"), "n_nationkey")
+    path = scratch(spark, "splits")
+    old = rows.filter("n_nationkey % 3 > 0").select("group", "chrom", F.when(F.col("n_nationkey") % 3 == 2, (F.col("fold") + 1) % 5).otherwise(F.col("fold")).alias("fold"))
+    old.write.partitionBy("group").csv(path, header=True)
+    existing = spark.read.csv(path, header=True, schema="chrom string, fold long, group string")
+    return K.split_status(rows.drop("n_nationkey"), existing)
 
 
 @R.add("set_intersect_chroms", sql("(select chrom from aln where strand = '+' intersect select chrom from aln where strand = '-')", "aln").replace("), (select", ") (select"))

@@ -151,7 +151,7 @@ def stats_tables(spark: SparkSession, path: str, header: list[str], configured:
     body = df.filter("ordinal > 0 and trim(line) <> ''").withColumn("f", F.split("line", "\t"))
     if body.isEmpty():
         raise ValueError("no stats rows")
-    return body.select("experiment", *(F.nullif(_at(k + 1), F.lit("")).alias(c) for k, c in enumerate(header) if c != "experiment"))
+    return body.select(F.coalesce(_at(header.index("experiment") + 1), "experiment").alias("experiment") if "experiment" in header else "experiment", *(F.nullif(_at(k + 1), F.lit("")).alias(c) for k, c in enumerate(header) if c != "experiment"))
 
 
 def meme_motifs(spark: SparkSession, path: str) -> DataFrame:
@@ -159,11 +159,19 @@ def meme_motifs(spark: SparkSession, path: str) -> DataFrame:
     return lines(spark, path).groupBy("file").agg(F.bool_or((F.col("ordinal") == 0) & F.col("line").startswith("MEME version")).alias("valid"), F.count(F.when(F.col("line").startswith("MOTIF "), 1)).alias("n_motifs"))
 
 
-def md5_status(spark: SparkSession, path: str, expected: DataFrame) -> DataFrame:
-    """``expected`` (file, md5) with ok, CORRUPT or missing, from whole files' digests."""
-    found = spark.read.format("binaryFile").load(path).select(F.regexp_extract("path", "([^/]*)$", 1).alias("file"), F.md5("content").alias("got"))
-    status = F.when(F.col("got").isNull(), "missing").when(F.col("got") == F.col("md5"), "ok").otherwise("CORRUPT")
-    return expected.join(found, "file", "left").select("file", status.alias("status"))
+def digests(spark: SparkSession, path: str) -> DataFrame:
+    """file and md5 of whole files below a path; a file is one record, so it must be smaller than 2 GB."""
+    return spark.read.format("binaryFile").load(path).select(F.regexp_extract("path", "([^/]*)$", 1).alias("file"), F.md5("content").alias("md5"))
+
+
+def idxstats(spark: SparkSession, path: str, keep: DataFrame | None = None) -> DataFrame:
+    """file and mapped reads of index statistics (chrom, size, mapped, unmapped), of the chromosomes of ``keep`` if given; reads without a chromosome don't count."""
+    df = _fields(spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"))).select("file", _at(1).alias("chrom"), _at(3).try_cast("long").alias("mapped"))
+    own = df.filter("chrom <> '*'")
+    if keep is not None:
+        own = own.join(keep.select(F.col("chrom").cast("string")).distinct(), "chrom", "left_semi")
+    sums = own.groupBy("file").agg(F.sum("mapped").alias("mapped"))
+    return df.select("file").distinct().join(sums, "file", "left").select("file", F.coalesce("mapped", F.lit(0).cast("long")).alias("mapped"))
 
 
 def first_layout(candidates: DataFrame, existing: DataFrame) -> DataFrame:

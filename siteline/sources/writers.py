@@ -44,3 +44,15 @@ def markdown(df: DataFrame, columns: dict[str, str]) -> DataFrame:
 def strata(df: DataFrame, path: str) -> None:
     """Raw lines, a folder a stratum."""
     df.select("stratum", F.col("raw").alias("value")).write.partitionBy("stratum").text(path)
+
+
+def one_file(df: DataFrame, path: str) -> None:
+    """The lines of a small table (value) as one file of that name, put there whole by a rename."""
+    spark = df.sparkSession
+    staged = f"{path}.incoming"
+    df.coalesce(1).write.text(staged)
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    fs = hadoop.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    part = next(str(f.getPath()) for f in fs.listStatus(hadoop.Path(staged)) if f.getPath().getName().startswith("part-"))
+    fs.rename(hadoop.Path(part), hadoop.Path(path))
+    fs.delete(hadoop.Path(staged), True)
