@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siteline.functions import text as X
@@ -46,18 +46,42 @@ def bed_ragged(spark: SparkSession, path: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
-    """file, ordinal (from 0, in the file's order) and line of whole files; a file is one record, so as to keep its order."""
+    """file, ordinal (from 0, in the file's order) and line of small files; a file is one record, so as to keep its order."""
     whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split(F.regexp_replace("value", "\\r?\\n$", ""), "\\r?\\n")).alias("ordinal", "line"))
     return whole.withColumn("ordinal", F.col("ordinal").cast("long"))
 
 
-def fastq(spark: SparkSession, path: str, first: int | None = None) -> DataFrame:
-    """file, ordinal, name, seq and qual of four-line records; the first ``first`` of each file if asked."""
-    own = lines(spark, path)
-    if first is not None:
-        own = own.filter(F.col("ordinal") < 4 * first)
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """file, block, ordinal (from 0, in the file's order) and line of files of any size, read in splits.
+
+    A split's lines come in order, so a line's number is its place in the split and the lines of
+    the file's splits before it, which a first scan counts.  A compressed file is one split.
+    """
+    raw = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("line"))
+    splits = raw.groupBy("file", "block").agg(F.min("at").alias("opens"), F.count("*").alias("n"))  # a row a split
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return raw.join(splits.select("file", "block", "opens", before.alias("before")), ["file", "block"]).select("file", "block", (F.col("before") + F.col("at") - F.col("opens")).alias("ordinal"), "line")
+
+
+def _records(own: DataFrame) -> DataFrame:
     part = lambda k: F.max(F.when(F.col("ordinal") % 4 == k, F.col("line")))
-    return own.groupBy("file", F.expr("ordinal div 4").alias("record")).agg(part(0).alias("name"), part(1).alias("seq"), part(3).alias("qual")).select("file", F.col("record").alias("ordinal"), F.expr("substring(name, 2)").alias("name"), "seq", "qual").filter("seq is not null")
+    four = own.groupBy("file", F.expr("ordinal div 4").alias("record")).agg(part(0).alias("name"), part(1).alias("seq"), part(3).alias("qual"))
+    return four.select("file", F.col("record").alias("ordinal"), F.expr("substring(name, 2)").alias("name"), "seq", "qual").filter("seq is not null")
+
+
+def fastq(spark: SparkSession, path: str, first: int | None = None) -> DataFrame:
+    """file, ordinal, name, seq and qual of four-line records, of files of any size; the first ``first`` of each file if asked.
+
+    For those, one task a file reads its splits in order and stops at the last line wanted.
+    """
+    if first is None:
+        return _records(numbered_lines(spark, path))
+    out = None
+    for file in sorted(spark.read.text(path).inputFiles()):
+        head = spark.read.text(file).coalesce(1).limit(4 * first)
+        own = head.select(F.lit(file).alias("file"), F.monotonically_increasing_id().alias("ordinal"), F.col("value").alias("line"))
+        out = own if out is None else out.unionByName(own)
+    return _records(out if out is not None else numbered_lines(spark, path).drop("block"))
 
 
 def fastq_budget(spark: SparkSession, paths: list[str], n: int) -> DataFrame:
@@ -70,17 +94,40 @@ def fastq_budget(spark: SparkSession, paths: list[str], n: int) -> DataFrame:
 
 
 def fasta(spark: SparkSession, path: str, wanted: list[str] | None = None, chunk: int = 1 << 16) -> DataFrame:
-    """Contigs in chunks (chrom, chunk_id, chunk_start, seq upper-cased); only ``wanted`` ones if given."""
-    from pyspark.sql import Window
-
-    order = Window.partitionBy("file").orderBy("ordinal")
-    own = lines(spark, path).withColumn("contig", F.last(F.when(F.col("line").startswith(">"), F.regexp_extract("line", "^>(\\S+)", 1)), ignorenulls=True).over(order))
-    body = own.filter("contig is not null and not startswith(line, '>')")
+    """Contigs in chunks (chrom, chunk_id, chunk_start, seq upper-cased); only ``wanted`` ones if given.
+
+    Files may be of any size and no contig is ever one row: a line learns its contig and its place in it from
+    its own split and from one row for each split before it, and is cut at the chunks' bounds.
+    """
+    own = numbered_lines(spark, path)
+    name = F.when(F.col("line").startswith(">"), F.regexp_extract("line", "^>(\\S+)", 1))
+    split = Window.partitionBy("file", "block").orderBy("ordinal").rowsBetween(Window.unboundedPreceding, 0)
+    named = own.withColumns({"name": name, "open": F.last(name, ignorenulls=True).over(split), "bases": F.when(name.isNull(), F.length(F.trim("line"))).otherwise(0).cast("long")})
+    # a split's row: the contig that it ends in, and the bases that it adds to it
+    last = F.max_by("name", F.when(F.col("name").isNotNull(), F.col("ordinal")))
+    ends = named.groupBy("file", "block").agg(last.alias("ends"), F.sum(F.when(F.col("open").isNull(), F.col("bases")).otherwise(0)).alias("head"))
+    tails = named.filter("open is not null").groupBy("file", "block", "open").agg(F.sum("bases").alias("tail"))
+    ends = ends.join(tails.withColumnRenamed("open", "ends"), ["file", "block", "ends"], "left")
+    order = Window.partitionBy("file").orderBy("block")
+    carried = ends.withColumn("carried", F.last("ends", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1)))
+    run = carried.withColumn("run", F.count("ends").over(order.rowsBetween(Window.unboundedPreceding, -1)))  # splits that go on with one contig
+    adds = F.when(F.col("ends").isNotNull(), F.col("tail")).otherwise(F.col("head"))
+    within = Window.partitionBy("file", "carried_run").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    # bases of the carried contig before the split: the tail of the split that opened it and the heads of those between
+    opened = run.withColumn("carried_run", F.col("run") + F.col("ends").isNotNull().cast("long")).withColumn("adds", F.coalesce(adds, F.lit(0)))
+    opened = opened.withColumn("sum", F.sum("adds").over(within.rowsBetween(Window.unboundedPreceding, 0)))
+    done = opened.select("file", "block", "carried", F.coalesce(F.lag("sum").over(order), F.lit(0)).alias("done"))
+    place = F.sum("bases").over(Window.partitionBy("file", "block", "open").orderBy("ordinal").rowsBetween(Window.unboundedPreceding, 0)) - F.col("bases")
+    placed = named.withColumn("place", place).join(done, ["file", "block"]).select(F.coalesce("open", "carried").alias("chrom"), F.when(F.col("open").isNull(), F.col("place") + F.col("done")).otherwise(F.col("place")).alias("place"), F.upper(F.trim("line")).alias("s"), "bases")
+    body = placed.filter("chrom is not null and bases > 0")
     if wanted is not None:
-        body = body.filter(F.col("contig").isin(wanted))
-    seq = body.groupBy("contig").agg(F.upper(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", F.trim("line").alias("s")))), lambda x: x["s"]), "")).alias("seq"))
-    ids = F.explode(F.sequence(F.lit(0), F.floor((F.greatest(F.length("seq"), F.lit(1)) - 1) / chunk)))
-    return seq.select(F.col("contig").alias("chrom"), ids.alias("chunk_id"), "seq").select("chrom", "chunk_id", (F.col("chunk_id") * chunk).alias("chunk_start"), F.substring("seq", F.col("chunk_id").cast("int") * chunk + 1, F.lit(chunk)).alias("seq"))
+        body = body.filter(F.col("chrom").isin(wanted))
+    pieces = body.select("chrom", "place", "s", "bases", F.explode(F.sequence(F.floor(F.col("place") / chunk), F.floor((F.col("place") + F.col("bases") - 1) / chunk))).alias("chunk_id"))
+    low = F.greatest(F.col("chunk_id") * chunk - F.col("place"), F.lit(0))
+    high = F.least((F.col("chunk_id") + 1) * chunk - F.col("place"), F.col("bases"))
+    cut = pieces.select("chrom", "chunk_id", F.struct(F.greatest("place", F.col("chunk_id") * chunk).alias("at"), F.substring("s", (low + 1).cast("int"), (high - low).cast("int")).alias("s")).alias("p"))
+    whole = cut.groupBy("chrom", "chunk_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("p")), lambda x: x["s"]), "").alias("seq"))  # a chunk at most
+    return whole.select("chrom", "chunk_id", (F.col("chunk_id") * chunk).alias("chunk_start"), "seq")
 
 
 def fetch(genome: DataFrame, windows: DataFrame, chunk: int = 1 << 16) -> DataFrame:

@@ -1,5 +1,7 @@
 """Operators on hand-made frames, with the cases that the data model calls for."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -203,6 +205,33 @@ def test_run_files(spark):
     assert rows(L.run_files(m), "run", "url", "md5") == [("r1", "h/r1/x.gz", "a"), ("r2", "h/r2_1.gz", "b")]
 
 
+def test_readers_of_files_larger_than_a_split(spark, tmp_path):
+    r = random.Random(9)
+    reads = [(f"r{k}", "".join(r.choice("ACGTN") for _ in range(r.randrange(1, 90)))) for k in range(3000)]
+    fq = tmp_path / "r.fastq"
+    fq.write_text("".join(f"@{n}\n{s}\n+\n{'I' * len(s)}\n" for n, s in reads))
+    contigs = {f"c{k}": "".join(r.choice("acgt") for _ in range(n)) for k, n in enumerate((5, 40_000, 0, 61, 12_000, 1, 30_000))}
+    fa = tmp_path / "g.fa"
+    fa.write_text("".join(f">{n} more\n" + "".join(s[j : j + 60] + "\n" for j in range(0, len(s), 60)) for n, s in contigs.items()))
+    settings = {"spark.sql.files.maxPartitionBytes": "6000", "spark.sql.files.openCostInBytes": "1000"}
+    old = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        assert spark.read.text(str(fq)).rdd.getNumPartitions() > 10 and spark.read.text(str(fa)).rdd.getNumPartitions() > 8
+        assert rows(readers.fastq(spark, str(fq)), "ordinal", "name", "seq") == sorted((k, n, s) for k, (n, s) in enumerate(reads))
+        assert rows(readers.fastq(spark, str(fq), 70), "ordinal", "name", "seq") == sorted((k, n, s) for k, (n, s) in enumerate(reads[:70]))
+        for chunk in (64, 1000, 1 << 16):
+            got = {}
+            for x in sorted(readers.fasta(spark, str(fa), chunk=chunk).collect(), key=lambda x: x["chunk_id"]):
+                assert len(x["seq"]) <= chunk and x["chunk_start"] == x["chunk_id"] * chunk == len(got.get(x["chrom"], ""))
+                got[x["chrom"]] = got.get(x["chrom"], "") + x["seq"]
+            assert got == {n: s.upper() for n, s in contigs.items() if s}
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
 def test_readers(spark, tmp_path):
     bed = tmp_path / "a.bed"
     bed.write_text("track x\n#c\n1\t5\t9\tn\t0.1\t+\t1\t2\t3\n\nX\t1\t2\tRelaxed\t1\t2\n")
