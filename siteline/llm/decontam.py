@@ -18,7 +18,8 @@ Words are runs of letters and digits, A-Z lowered.  The answer is what follows a
 item's last line break, else its last sentence end, else there is none and its
 overlap is the question's.  A part with fewer words than a shingle is one shingle.
 Items without words, or null, are never found; null or empty documents hold nothing.
-An item id that repeats is indexed row by row, and a document has one result row for it.
+An item id that repeats is indexed row by row, and a document has one result row for it; items without an id are
+found under a null one.
 """
 
 from __future__ import annotations
@@ -53,6 +54,7 @@ RESULT = "doc_id long, item_id long, score double, overlap double, question_over
 class Index:
     terms: np.ndarray  #: sorted word hashes
     items: np.ndarray  #: item id of each unit: first the whole items, then those questions that are less than their item
+    nameless: np.ndarray  #: units whose item id is null
     row: np.ndarray  #: the whole item's unit of each unit
     keys: np.ndarray  #: sorted term * units + unit
     weights: np.ndarray  #: by key
@@ -124,7 +126,8 @@ def build(ids: list[int], texts: list[str | None], threshold: float = THRESHOLD,
     ess = order[heavy][np.argsort(own_term[order][heavy], kind="stable")]
     parts = [[shingles(w), shingles(q if len(q) else w), shingles(a if len(a) else (q if len(q) else w))] for w, q, a in zip(whole, questions, answers, strict=True)]
     tells = np.array([len(q) >= SHINGLE for q in questions], bool)
-    return Index(terms, np.array(ids, np.int64)[row], row, keys, weights, blocks, own_term[ess], own_item[ess], int(max(LEAST_STRIDE, length.max(initial=0))), parts, tells)
+    named = np.array([0 if i is None else i for i in ids], np.int64)[row]
+    return Index(terms, named, np.array([i is None for i in ids], bool)[row], row, keys, weights, blocks, own_term[ess], own_item[ess], int(max(LEAST_STRIDE, length.max(initial=0))), parts, tells)
 
 
 def _spans(sorted_: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -257,7 +260,7 @@ def leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, overl
             for batch in batches:
                 out: list[tuple] = []
                 for row, item, score, got in verified(own, batch.column(1), threshold, overlap):
-                    out.append((batch.column(0)[row].as_py(), int(own.items[item]), score, *got))
+                    out.append((batch.column(0)[row].as_py(), None if own.nameless[item] else int(own.items[item]), score, *got))
                 cols = list(zip(*out, strict=True)) if out else [[]] * 6
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True)], [x.split()[0] for x in RESULT.split(", ")])
 
