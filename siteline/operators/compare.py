@@ -53,6 +53,12 @@ def softmax(x: Column) -> Column:
     return let(x, lambda v: let(powers(v), lambda e: let(total(e), lambda t: F.transform(e, lambda p: p / t))))
 
 
+def log_softmax(x: Column) -> Column:
+    """Logarithms of the softmax, from differences to the largest value, so that nothing overflows."""
+    rest = lambda v, top: F.log(total(F.transform(v, lambda e: F.exp(e - top))))
+    return let(x, lambda v: let(F.array_max(v), lambda top: let(rest(v, top), lambda r: F.transform(v, lambda e: e - top - r))))
+
+
 def normalised(x: Column) -> Column:
     """Values as shares of their sum; null where that is 0."""
     return let(x, lambda v: let(total(v), lambda t: F.when(t > 0, F.transform(v, lambda e: e / t))))

@@ -12,6 +12,13 @@ from siteline.operators.intervals import overlap_any
 from siteline.operators.ordinal import with_ordinal
 
 
+def split(folds: DataFrame, i: int, n: int) -> DataFrame:
+    """fold and role in split ``i`` of ``n``; raises where there is no such split."""
+    if not 0 <= i < n:
+        raise ValueError(f"no split {i} of {n}")
+    return roles(folds, n).filter(F.col("i") == i).drop("i")
+
+
 def roles(folds: DataFrame, n: int) -> DataFrame:
     """Role of every fold in each of ``n`` splits: split i tests i, validates the next and trains on the rest."""
     i = folds.select("fold", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("i"))

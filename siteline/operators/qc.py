@@ -135,8 +135,27 @@ def survey_flags(survey: DataFrame, adapters: DataFrame) -> DataFrame:
     return listed.join(named, "experiment", "left").select("experiment", F.array_compact(said).alias("problems"))
 
 
-def umi_verdict(declared: Column, detected: Column) -> Column:
-    return F.when((declared == 0) & (detected == 0), "none").when(declared == 0, "undeclared").when(declared == detected, "match").otherwise("MISMATCH")
+#: Which mate a barcode's place stands for.
+UMI_MATES = {"read1": 1, "per_read": 1, "read2": 2}
+
+
+def umi_verdict(expected: Column, detected: Column) -> Column:
+    """``none`` where neither is there, ``undeclared`` where only the barcode is, ``match`` where lengths agree, else ``MISMATCH``; null where the file wasn't read."""
+    return F.when(detected.isNull(), F.lit(None).cast("string")).when((expected == 0) & (detected == 0), "none").when(expected == 0, "undeclared").when(expected == detected, "match").otherwise("MISMATCH")
+
+
+def umi_report(files: DataFrame, declared: DataFrame, mates: Mapping[str, int] = UMI_MATES) -> DataFrame:
+    """``files`` (run, mate 1 or 2, detected) with the length expected on each mate and the verdict.
+
+    ``declared`` has (run, umi_len, paired, place); a barcode is expected on the mate of its place only, and on the first of
+    single reads.  A place that isn't known raises where it matters.
+    """
+    known = F.create_map(*(F.lit(x) for kv in mates.items() for x in kv))
+    length = F.coalesce(F.col("umi_len"), F.lit(0)).cast("long")
+    named = F.when(~F.coalesce("paired", F.lit(False)), F.lit(1)).otherwise(known[F.col("place")])
+    mate = F.when(length == 0, F.lit(0)).when(named.isNull(), F.raise_error(F.concat(F.lit("unknown place of a barcode: "), F.coalesce("place", F.lit("none"))))).otherwise(named)
+    joined = files.join(declared, "run", "left").withColumn("expected", F.when(F.col("mate") == mate, length).otherwise(F.lit(0)).cast("long"))
+    return joined.select("run", "mate", "expected", F.col("detected").cast("long").alias("detected"), umi_verdict(F.col("expected"), F.col("detected")).alias("verdict"))
 
 
 def classify_reads(reads: DataFrame, references: DataFrame, k: int) -> DataFrame:

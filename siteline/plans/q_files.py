@@ -5,11 +5,15 @@ A reader's query writes its rows as the format's text into the scratch folder an
 
 from __future__ import annotations
 
+import io
+
+import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from siteline.functions import seq as Q
 from siteline.functions import text as X
+from siteline.operators import jobs as J
 from siteline.operators import qc as C
 from siteline.operators import relational as L
 from siteline.plans.proxies import sql, table, view
@@ -369,9 +373,15 @@ def _(spark, d):
     return C.survey_flags(s, configured).select("experiment", F.array_join("problems", ";").alias("problems"))
 
 
-@R.add("qc_umi_verdict", "select n_nationkey, case when n_regionkey = 0 and n_nationkey % 3 = 0 then 'none' when n_regionkey = 0 then 'undeclared' when n_regionkey = n_nationkey % 3 then 'match' else 'MISMATCH' end as verdict from nation")
+@R.add("qc_umi_verdict", """with f as (select c_custkey as run, unnest([1, 2]) as mate, c_custkey % 9 as umi, c_custkey % 4 > 0 as paired, case when c_custkey % 5 = 0 then 'read2' else 'read1' end as place, c_custkey % 7 as seen from customer),
+ e as (select run, mate, case when umi > 0 and mate = case when not paired then 1 when place = 'read2' then 2 else 1 end then umi else 0 end as expected, case when (run + mate) % 6 > 0 then case when mate = 1 then seen else 0 end end as detected from f)
+ select run, cast(mate as bigint) as mate, expected, detected, case when detected is null then null when expected = 0 and detected = 0 then 'none' when expected = 0 then 'undeclared' when expected = detected then 'match' else 'MISMATCH' end as verdict from e""")
 def _(spark, d):
-    return table(spark, d, "nation").select("n_nationkey", C.umi_verdict(F.col("n_regionkey"), F.col("n_nationkey") % 3).alias("verdict"))
+    key = F.col("c_custkey")
+    c = table(spark, d, "customer").select(key.alias("run"), F.explode(F.array(F.lit(1).cast("long"), F.lit(2).cast("long"))).alias("mate"))
+    files = c.withColumn("detected", F.when((F.col("run") + F.col("mate")) % 6 > 0, F.when(F.col("mate") == 1, F.col("run") % 7).otherwise(0)))
+    declared = table(spark, d, "customer").select(key.alias("run"), (key % 9).alias("umi_len"), (key % 4 > 0).alias("paired"), F.when(key % 5 == 0, "read2").otherwise("read1").alias("place"))
+    return C.umi_report(files, declared)
 
 
 KM = """rf as (select seq, case when doc_id % 2 = 0 then '35s' else '5s' end as class, doc_id % 2 as priority from seqs where length(seq) >= 20),
@@ -398,11 +408,24 @@ def _(spark, d):
     return classified(spark, d).agg(F.count("*").alias("n_scored"), pct("35s").alias("pct_35s"), pct("5s").alias("pct_5s"))
 
 
-@R.add("qc_verify_genome", sql("select chrom as name, 'no fold' as problem from (select distinct cast(o_custkey % 9 as varchar) as chrom from orders) where chrom not in (select chrom from folds) union all select chrom, 'no contig' from folds where chrom not in (select cast(o_custkey % 9 as varchar) from orders)", "folds"))
+@R.add("qc_verify_genome", """with f as (select n_name as species, s_suppkey % 5 as fold, cast(s_suppkey as varchar) as chrom, s_suppkey as k, n_nationkey as s from supplier join nation on s_nationkey = n_nationkey),
+ fo as (select species, fold, chrom from f where k % 11 > 0 union all select species, fold + 1, chrom from f where k % 13 = 0 and k % 11 > 0),
+ ma as (select species, chrom from f where s % 6 > 0 and k % 7 > 0), co as (select species, chrom from f where s % 4 > 0 and k % 9 > 0), si as (select species, chrom from f where s % 4 > 1 and k % 8 > 0),
+ kn as (select distinct species from fo where species in (select species from ma)), me as (select distinct species, chrom from fo where species in (select species from kn)), mk as (select * from ma where species in (select species from kn))
+ select distinct species, cast(null as varchar) as chrom, 'no genome' as problem from fo where species not in (select species from kn)
+ union all select species, chrom, 'in several folds' from fo where species in (select species from kn) group by 1, 2 having count(*) > 1
+ union all select species, chrom, 'not a main chromosome' from me where (species, chrom) not in (select species, chrom from ma) union all select species, chrom, 'in no fold' from mk where (species, chrom) not in (select species, chrom from me)
+ union all select species, chrom, 'not in the index' from me where species in (select species from co) and (species, chrom) not in (select species, chrom from co)
+ union all select species, chrom, 'not in the sizes' from mk where species in (select species from si) and (species, chrom) not in (select species, chrom from si)
+ union all select species, chrom, 'in the sizes but not main' from si where species in (select species from kn) and (species, chrom) not in (select species, chrom from ma)
+ union all select species, null, 'not checked' from kn where species not in (select species from co) and species not in (select species from si)""")
 def _(spark, d):
-    have = table(spark, d, "orders").select((F.col("o_custkey") % 9).cast("string").alias("name")).distinct()
-    folds = view(spark, d, "folds").select(F.col("chrom").alias("name"))
-    return have.join(folds, "name", "left_anti").withColumn("problem", F.lit("no fold")).unionByName(folds.join(have, "name", "left_anti").withColumn("problem", F.lit("no contig")))
+    """Folds of each species' chromosomes against the main ones, the index and the size table, each short of some."""
+    s = table(spark, d, "supplier").join(table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    f = s.select(F.col("n_name").alias("species"), (F.col("s_suppkey") % 5).alias("fold"), F.col("s_suppkey").alias("chrom"), F.col("s_suppkey").alias("k"), F.col("n_nationkey").alias("s"))
+    own = f.filter("k % 11 > 0")
+    folds = own.select("species", "fold", "chrom").unionByName(own.filter("k % 13 = 0").select("species", (F.col("fold") + 1).alias("fold"), "chrom"))
+    return J.verify_folds(folds, f.filter("s % 6 > 0 and k % 7 > 0"), f.filter("s % 4 > 0 and k % 9 > 0"), f.filter("s % 4 > 1 and k % 8 > 0"))
 
 
 @R.add("qc_resolution_basis", "with s as (select distinct p_brand as name, p_size as sample from part), n as (select name, count(distinct sample) as n from s group by 1) select name, sample, case when n = 1 then 'unique' else 'AMBIGUOUS' end as basis from s join n using (name)")
@@ -421,24 +444,38 @@ def _(spark, d):
     return o.join(table(spark, d, "lineitem").select(F.col("l_orderkey").alias("sample"), "l_linenumber"), "sample", "left").groupBy("experiment", "sample").agg(F.count("l_linenumber").alias("n_runs"))
 
 
-@R.add("orc_job_enumeration", sql("j as (select experiment, f.i as fold, case when depth < 0 then 'missing input' when (experiment + i) % 4 = 0 then 'done' else 'run' end as reason from experiments, (select unnest([0, 1, 2, 3, 4]) as i) f) select reason, count(*) as n from j group by 1", "experiments"))
+@R.add("orc_job_enumeration", sql("""e as (select experiment, case when experiment % 17 > 0 then experiment % 4 + 2 end as n_folds, depth < 0 as lacking from experiments),
+ j as (select experiment, unnest(range(0, n_folds)) as fold, lacking from e where n_folds > 0)
+ select reason, count(*) as n, cast(sum(coalesce(fold, 0)) as bigint) as folds from (select experiment, fold, case when lacking then 'missing data' when (experiment + fold) % 4 = 0 then 'trained' else 'run' end as reason from j
+   union all select experiment, null, 'unusable' from e where n_folds is null) group by 1""", "experiments"))
 def _(spark, d):
-    e = view(spark, d, "experiments").select("experiment", "depth", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("fold"))
-    done = e.filter("(experiment + fold) % 4 = 0").select("experiment", "fold", F.lit(True).alias("done"))
-    reason = F.when(F.col("depth") < 0, "missing input").when(F.col("done"), "done").otherwise("run")
-    return e.join(done, ["experiment", "fold"], "left").groupBy(reason.alias("reason")).agg(count())
+    e = view(spark, d, "experiments")
+    plan = e.select("experiment", F.when(F.col("experiment") % 17 > 0, F.col("experiment") % 4 + 2).alias("n_folds"))
+    trained = e.select("experiment", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("fold")).filter("(experiment + fold) % 4 = 0")
+    return J.job_plan(plan, e.filter("depth < 0"), trained).groupBy("reason").agg(count(), F.sum(F.coalesce("fold", F.lit(0))).alias("folds"))
 
 
-@R.add("orc_missing_inputs", sql("select experiment, concat_ws(',', case when depth < 0 then 'bam' end, case when taxon = 1 then 'peaks' end) as missing from experiments", "experiments"))
+@R.add("orc_missing_inputs", sql("""i as (select experiment, unnest(['peaks', 'sequences', 'gc_negatives', 'signals', 'signals', 'controls']) as kind, unnest([0, 0, 0, 0, 1, 0]) as place, unnest([0, 1, 2, 3, 4, 5]) as r from experiments),
+ p as (select *, case when not (kind = 'gc_negatives' and experiment % 3 = 0) then kind || '/' || experiment || '/' || place end as path from i),
+ m as (select *, case when kind in ('signals', 'controls') then kind || '[' || place || ']' else kind end || ': ' || coalesce(path, 'none') as said from p where path is null or (experiment + r) % 5 = 0)
+ select experiment, coalesce(a.missing, '') as missing, coalesce(b.missing, '') as missing_for_qc from experiments left join (select experiment, string_agg(said, '; ' order by r) as missing from m group by 1) a using (experiment)
+   left join (select experiment, string_agg(said, '; ' order by r) as missing from m where kind in ('peaks', 'sequences', 'signals') group by 1) b using (experiment)""", "experiments"))
 def _(spark, d):
-    need = F.array(F.when(F.col("depth") < 0, "bam"), F.when(F.col("taxon") == 1, "peaks"))
-    return view(spark, d, "experiments").select("experiment", F.array_join(F.array_compact(need), ",").alias("missing"))
+    kinds = [("peaks", 0), ("sequences", 0), ("gc_negatives", 0), ("signals", 0), ("signals", 1), ("controls", 0)]
+    each = F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.lit(p).alias("place"), F.lit(r).alias("r")) for r, (k, p) in enumerate(kinds)))).alias("i")
+    named = view(spark, d, "experiments").select("experiment", each).select("experiment", "i.*")
+    path = F.when(~((F.col("kind") == "gc_negatives") & (F.col("experiment") % 3 == 0)), F.concat_ws("/", "kind", F.col("experiment").cast("string"), F.col("place").cast("string")))
+    inputs = named.withColumn("path", path)
+    there = inputs.filter("(experiment + r) % 5 <> 0")
+    whole, qc = J.missing_inputs(inputs, there), J.missing_inputs(inputs, there, J.QC_INPUTS)
+    return whole.select("experiment", F.array_join("missing", "; ").alias("missing")).join(qc.select("experiment", F.array_join("missing", "; ").alias("missing_for_qc")), "experiment")
 
 
-@R.add("orc_paths", sql("select experiment, 'models/' || experiment || '/fold_0.pt' as model, 'signal/' || experiment || '.plus.bw' as plus from experiments", "experiments"))
+@R.add("orc_paths", sql("""select experiment, 'models/bp/' || experiment || '_ctl' as model_dir, 'models/bp/' || experiment || '_ctl/' || experiment || '.fold2' as model_name, 'models/bp/' || experiment || '_ctl/' || experiment || '.fold2.torch' as model_path,
+ 'models/bp/' || experiment || '_ctl/' || experiment || '.fold2.final.torch' as final_path, 'attributions/' || experiment || '_filtered.bed' as filtered_loci, 'attributions/' || experiment || '_ohe.npz' as onehot, 'benchmarks/bp/' || experiment || '.json' as metrics from experiments""", "experiments"))
 def _(spark, d):
-    e = F.col("experiment").cast("string")
-    return view(spark, d, "experiments").select("experiment", F.concat(F.lit("models/"), e, F.lit("/fold_0.pt")).alias("model"), F.concat(F.lit("signal/"), e, F.lit(".plus.bw")).alias("plus"))
+    paths = J.artifact_paths(F.col("experiment"), F.lit("bp"), F.lit(2), F.lit("_ctl"))
+    return view(spark, d, "experiments").select("experiment", *(c.alias(k) for k, c in paths.items()))
 
 
 @R.add("orc_motif_db", sql("select distinct species, 'db' || taxon as collection, 'https://example.org/db' || taxon as url from experiments", "experiments"))
@@ -520,6 +557,20 @@ def _(spark, d):
     return S.tsv(spark, path, ["run_accession", "sample"]).join(wanted, "run_accession", "left_semi")
 
 
+@R.add("src_npz", "select n_regionkey || '.npz' as file, 'keys' as name, count(*) as n, cast(sum(n_nationkey) as double) as total from nation group by 1 union all select n_regionkey || '.npz', 'pairs', 2 * count(*), cast(sum(n_nationkey + length(n_name)) as double) from nation group by 1")
+def _(spark, d):
+    """An archive a region, of two arrays."""
+    path, held = scratch(spark, "npz"), {}
+    for r in table(spark, d, "nation").orderBy("n_nationkey").collect():  # 25 nations
+        held.setdefault(r["n_regionkey"], []).append((r["n_nationkey"], len(r["n_name"])))
+    for region, rows in held.items():
+        buffer = io.BytesIO()
+        np.savez_compressed(buffer, keys=np.array([k for k, _ in rows]), pairs=np.array(rows, np.float32), label=np.array(["x"]))
+        W.put_bytes(spark, buffer.getvalue(), f"{path}/{region}.npz")
+    total = F.aggregate("values", F.lit(0.0), lambda a, x: a + x)
+    return S.npz(spark, path).select("file", "name", F.size("values").cast("long").alias("n"), total.alias("total"))
+
+
 @R.add("snk_npz", "select vec_id, cast(len(embedding) as bigint) as n, round(list_sum(list_transform(embedding, lambda x: cast(x as double))), 4) as total from embeddings")
 def _(spark, d):
     path = scratch(spark, "arrays")
@@ -554,10 +605,13 @@ def _(spark, d):
     return view(spark, d, "experiments").filter("depth >= 0").select("experiment", F.concat(F.lit("fit --experiment "), F.col("experiment").cast("string"), F.lit(" --fold 0")).alias("command"))
 
 
-@R.add("orc_rule_targets", sql("select t.target, count(*) as n from experiments, (select unnest(['signal', 'peaks', 'stats']) as target) t where not (t.target = 'peaks' and depth < 0) group by 1", "experiments"))
+@R.add("orc_rule_targets", sql("""r as (select * from (values ('all', 7, 1), ('qc', 4, 1), ('stats', 0, 2), ('orientation', 2, 0), ('signal_only', 2, 0), ('fetch_only', 2, 0), ('blacklists', 0, 0)) t(rule, each, whole)),
+ n as (select count(*) as e, count(distinct species) filter (depth > 0) as b from experiments)
+ select rule, each * e + whole + case when rule in ('all', 'fetch_only', 'blacklists') then b else 0 end as n from r, n""", "experiments"))
 def _(spark, d):
-    e = view(spark, d, "experiments").select("depth", F.explode(F.array(*(F.lit(x) for x in ("signal", "peaks", "stats")))).alias("target"))
-    return e.filter("not (target = 'peaks' and depth < 0)").groupBy("target").agg(count())
+    e = view(spark, d, "experiments")
+    lists = e.filter("depth > 0").select(F.concat(F.lit("data/"), "species", F.lit(".bed")).alias("target")).distinct()
+    return J.rule_targets(e, lists).groupBy("rule").agg(count())
 
 
 @R.add("orc_qc_rules", "with " + STATS + "," + FLAG + " select species, count(*) as n, count(*) filter (where qc_flags <> '') as n_flagged from fl join st using (experiment) group by 1")

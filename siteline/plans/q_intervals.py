@@ -54,9 +54,10 @@ def _(spark, d):
     return S.dedup_umi(view(spark, d, "aln")).groupBy("chrom", "strand", "pos").agg(F.count("*").cast("double").alias("value"))
 
 
-@R.add("ext_bedgraph", sql("select chrom, pos as start_pos, pos + 1 as end_pos, value from (with " + SIG + " select * from sig) where strand = '+'", "aln"))
+@R.add("ext_bedgraph", sql("select chrom, strand, pos as start_pos, pos + 1 as end_pos, case when strand = '-' then -value else value end as value from (with " + SIG + " select * from sig)", "aln"))
 def _(spark, d):
-    return signal(spark, d).filter("strand = '+'").select("chrom", F.col("pos").alias("start_pos"), (F.col("pos") + 1).alias("end_pos"), "value")
+    """Both strands' tracks, the minus strand's values negative."""
+    return signal(spark, d).select("chrom", "strand", F.col("pos").alias("start_pos"), (F.col("pos") + 1).alias("end_pos"), F.when(F.col("strand") == "-", -F.col("value")).otherwise(F.col("value")).alias("value"))
 
 
 @R.add("ext_merge_run_fastqs", sql("select run, count(*) as n_reads, cast(sum(length(seq)) as bigint) as n_bases from seqs group by 1", "seqs"))

@@ -121,6 +121,15 @@ def _(spark, d):
     return table(spark, d, "events").select("event_id", F.round(F.log1p(F.abs("value")), 9).alias("l"), F.round(F.exp(-F.abs("value") / 1000), 9).alias("e"))
 
 
+@R.add("fn_log_softmax", """with v as (select vec_id, list_transform(embedding, lambda x: cast(x as double) * 50) as e from embeddings), m as (select vec_id, e, list_max(e) as top from v),
+ l as (select vec_id, list_transform(e, lambda x: x - top - ln(list_sum(list_transform(e, lambda y: exp(y - top))))) as l from m)
+ select vec_id, round(list_min(l), 6) as lowest, round(list_max(l), 6) as highest, round(list_sum(list_transform(l, lambda x: exp(x))), 6) as total from l""")
+def _(spark, d):
+    logs = C.log_softmax(F.transform("embedding", lambda x: x.cast("double") * 50))
+    own = table(spark, d, "embeddings").select("vec_id", logs.alias("l"))
+    return own.select("vec_id", F.round(F.array_min("l"), 6).alias("lowest"), F.round(F.array_max("l"), 6).alias("highest"), F.round(F.aggregate(F.transform("l", F.exp), F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
+
+
 @R.add("fn_num_or_null", "select doc_id, try_cast(trim(case when doc_id % 3 = 0 then ' ' || n_chars || ' ' when doc_id % 3 = 1 then 'n/a' else '' end) as double) as v from documents")
 def _(spark, d):
     s = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit(" "), F.col("n_chars").cast("string"), F.lit(" "))).when(F.col("doc_id") % 3 == 1, "n/a").otherwise("")
@@ -341,10 +350,13 @@ def _(spark, d):
     return deltas(spark, d).groupBy("experiment").agg(count(), F.count(F.when(F.col("delta") > 0, 1)).alias("n_better"))
 
 
-@R.add("st_wilcoxon", sql(DELTA + """, z as (select 'all' as k, delta, abs(delta) as a from d where delta <> 0), r as (select *, rank() over (order by a) + (count(*) over (partition by a) - 1) / 2.0 as r from z)
- select k, count(*) as n, least(sum(case when delta > 0 then r else 0 end), sum(case when delta < 0 then r else 0 end)) as w from r group by 1""", "per_locus"))
+@R.add("st_wilcoxon", sql(DELTA + """, z as (select 'all' as k, delta, abs(delta) as a from d where delta <> 0), r as (select *, rank() over (order by a) + (count(*) over (partition by a) - 1) / 2.0 as r from z),
+ s as (select k, count(*) as n, least(sum(case when delta > 0 then r else 0 end), sum(case when delta < 0 then r else 0 end)) as w, (select sum(t * t * t - t) from (select cast(count(*) as double) as t from z group by a)) as ties from r group by 1),
+ v as (select *, n * (n + 1) * (2.0 * n + 1) / 24 - ties / 48 as variance from s), y as (select k, n, w, case when n >= 6 and variance > 0 then abs(w - n * (n + 1) / 4.0) / sqrt(variance) end as z from v),
+ u as (select *, 1 / (1 + 0.2316419 * z) as t from y)
+ select k, n, w, round(z, 6) as z, round(2 * exp(-z * z / 2) / 2.50662827463100 * t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429)))), 6) as p from u""", "per_locus"))
 def _(spark, d):
-    return C.wilcoxon(deltas(spark, d).withColumn("k", F.lit("all")), "delta", ["k"]).select("k", "n", "w")
+    return C.wilcoxon(deltas(spark, d).withColumn("k", F.lit("all")), "delta", ["k"]).select("k", "n", "w", F.round("z", 6).alias("z"), F.round("p", 6).alias("p"))
 
 
 @R.add("st_strata", sql("""r as (select peak_idx, row_number() over (order by qval, peak_idx) - 1 as r, count(*) over () as n from peaks where pclass = 'uni'), q as (select peak_idx, case when r < n//4 then 'uniq1' when r < 2*n//4 then 'uniq2' when r < 3*n//4 then 'uniq3' else 'uniq4' end as stratum from r)

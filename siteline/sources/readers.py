@@ -6,8 +6,12 @@ nulls, which the reader's filter drops where a field is required.  Missing paths
 
 from __future__ import annotations
 
+import io
 import json
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -211,6 +215,24 @@ def digests(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select(F.regexp_extract("path", "([^/]*)$", 1).alias("file"), F.md5("content").alias("md5"))
 
 
+def npz(spark: SparkSession, path: str) -> DataFrame:
+    """file, name, shape and values (row by row, as doubles) of the numeric arrays in numpy archives; an archive is one record, so it must be smaller than 2 GB."""
+    schema = "file string, name string, shape array<long>, values array<double>"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[tuple] = []
+            for file, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                with np.load(io.BytesIO(raw), allow_pickle=False) as held:
+                    rows.extend((file, name, list(held[name].shape), held[name].astype(float).ravel()) for name in held.files if held[name].dtype.kind in "biuf")
+            cols = list(zip(*rows, strict=True)) if rows else [[]] * 4
+            kinds = [pa.string(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.float64())]
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True)], ["file", "name", "shape", "values"])
+
+    files = spark.read.format("binaryFile").load(path).select(F.regexp_extract("path", "([^/]*)$", 1).alias("file"), "content")
+    return files.mapInArrow(run, schema)
+
+
 def idxstats(spark: SparkSession, path: str, keep: DataFrame | None = None) -> DataFrame:
     """file and mapped reads of index statistics (chrom, size, mapped, unmapped), of the chromosomes of ``keep`` if given; reads without a chromosome don't count."""
     df = _fields(spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"))).select("file", _at(1).alias("chrom"), _at(3).try_cast("long").alias("mapped"))

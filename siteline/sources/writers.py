@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -46,6 +46,16 @@ def strata(df: DataFrame, path: str) -> None:
     df.select("stratum", F.col("raw").alias("value")).write.partitionBy("stratum").text(path)
 
 
+def put_bytes(spark: SparkSession, raw: bytes, path: str) -> None:
+    """A small file of bytes, whole or not at all."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    fs = hadoop.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    out = fs.create(hadoop.Path(f"{path}.incoming"), True)
+    out.write(bytearray(raw))
+    out.close()
+    fs.rename(hadoop.Path(f"{path}.incoming"), hadoop.Path(path))
+
+
 def one_file(df: DataFrame, path: str) -> None:
     """The lines of a small table (value) as one file of that name, put there whole by a rename."""
     spark = df.sparkSession

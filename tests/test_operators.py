@@ -205,6 +205,50 @@ def test_run_files(spark):
     assert rows(L.run_files(m), "run", "url", "md5") == [("r1", "h/r1/x.gz", "a"), ("r2", "h/r2_1.gz", "b")]
 
 
+def test_umi_report(spark):
+    files = spark.createDataFrame([("a", 1, 8), ("a", 2, 0), ("b", 1, 0), ("b", 2, 8), ("c", 1, 6), ("d", 1, None), ("e", 1, 5)], "run string, mate long, detected long")
+    declared = spark.createDataFrame([("a", 8, True, "read1"), ("b", 8, True, "read1"), ("c", 8, False, "nowhere"), ("d", None, True, None)], "run string, umi_len long, paired boolean, place string")
+    got = {(r["run"], r["mate"]): (r["expected"], r["verdict"]) for r in qc.umi_report(files, declared).collect()}
+    assert got == {("a", 1): (8, "match"), ("a", 2): (0, "none"), ("b", 1): (8, "MISMATCH"), ("b", 2): (0, "undeclared"), ("c", 1): (8, "MISMATCH"), ("d", 1): (0, None), ("e", 1): (0, "undeclared")}
+    with pytest.raises(Exception, match="unknown place"):
+        qc.umi_report(files, declared.withColumn("paired", F.lit(True))).collect()
+
+
+def test_strata_guards(spark):
+    columns = "peak_idx long, pclass string, qval double, strand string, label string"
+    own = [(k, "uni", k / 10, "+", None) for k in range(8)] + [(8, "bi", None, None, "Relaxed"), (9, "bi", None, None, "Stringent(qval)")]
+    got = {r["stratum"]: r["n"] for r in K.strata(spark.createDataFrame(own, columns)).groupBy("stratum").agg(F.count("*").alias("n")).collect()}
+    assert got == {"uni": 8, "bi": 2, "uniq1": 2, "uniq2": 2, "uniq3": 2, "uniq4": 2, "bi_relaxed": 1, "bi_stringentqval": 1}
+    for bad in ([(0, "tri", 0.1, "+", None)], [(0, "uni", 0.1, "x", None)], [(0, "uni", 0.1, "+", None), (1, "bi", None, None, "a"), (2, "bi", None, None, "a")]):
+        with pytest.raises(ValueError):
+            K.strata(spark.createDataFrame(bad, columns))
+    assert K.strata(spark.createDataFrame([], columns)).count() == 0
+    with pytest.raises(ValueError):
+        K.split(spark.createDataFrame([(0,)], "fold long"), 5, 5)
+
+
+def test_negatives_obey_every_filter(spark):
+    columns = "chrom string, start_pos long, end_pos long, seq string, signal double"
+    tiles = spark.createDataFrame([("1", 0, 10, "GGGGGAAAAA", 1.0), ("1", 10, 20, "GGGGGNNAAA", 1.0), ("1", 20, 30, "GGGGGAAAAA", 1.0), ("1", 30, 40, "GCGCGATATA", 9.0), ("2", 0, 10, "AAAAAAAAAA", 1.0), ("2", 10, 20, "CCCCCTTTTT", 2.0)], columns)
+    peaks = spark.createDataFrame([("1", 25, 35, "GGGGGTTTTT", 4.0)], columns)
+    out = K.negatives(tiles, peaks, F.col("start_pos"), beta=0.5)
+    assert rows(out, "chrom", "start_pos") == [("1", 0)]
+    more = spark.createDataFrame([("9", 0, 10, "GGGGGTTTTT", 4.0)] * 3, columns)
+    assert rows(K.negatives(tiles, peaks.unionByName(more), F.col("start_pos"), beta=None), "chrom", "start_pos") == [("1", 0), ("2", 10)]
+    report = K.negatives_report(out, peaks, tiles).first()
+    assert (report["n_negatives"], report["per_peak"], report["overlap_share"], report["median_background"], report["times_background"]) == (1, 1.0, 0.0, 1.0, 1.0)
+
+
+def test_transfers(spark):
+    pair = "file string, md5 string"
+    expected = spark.createDataFrame([("same", "1"), ("other", "1"), ("blank", ""), ("gone", "1"), ("failed", "1"), ("part", "1")], pair)
+    have, staged = spark.createDataFrame([("same", "1"), ("other", "2"), ("blank", "9")], pair), spark.createDataFrame([("other", "1"), ("gone", "1"), ("part", "7"), ("blank", "8"), ("same", "1")], pair)
+    run = lambda **how: dict(rows(L.transfers(expected, have, staged, **how), "file", "status"))
+    assert run() == {"same": "ok", "other": "fetched", "blank": "kept", "gone": "fetched", "failed": "FAILED", "part": "CORRUPT"}
+    assert run(verify_only=True) == {"same": "ok", "other": "CORRUPT", "blank": "kept", "gone": "missing", "failed": "missing", "part": "missing"}
+    assert run(dry_run=True)["other"] == "ok" and run(dry_run=True)["gone"] == "would fetch" and run(force=True)["blank"] == "fetched"
+
+
 def test_readers_of_files_larger_than_a_split(spark, tmp_path):
     r = random.Random(9)
     reads = [(f"r{k}", "".join(r.choice("ACGTN") for _ in range(r.randrange(1, 90)))) for k in range(3000)]
