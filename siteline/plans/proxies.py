@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
 from siteline import session
@@ -40,7 +42,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-_peaks: dict[tuple, str] = {}
+_written: dict[tuple, str] = {}
 
 
 def _version(spark: SparkSession, sf_dir: str, name: str) -> tuple:
@@ -50,16 +52,20 @@ def _version(spark: SparkSession, sf_dir: str, name: str) -> tuple:
     return (spark.sparkContext.applicationId, str(path), found.getModificationTime(), found.getLen())
 
 
-def _numbered_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The numbered peaks, written once for a state of ``lineitem`` and read by every use of the view."""
-    key = _version(spark, sf_dir, "lineitem")
-    if key not in _peaks:
-        raw = spark.sql(_PEAKS.format(idx="", rest=", " + _PEAK_ORDER))
-        out = with_ordinal(raw, *_PEAK_ORDER.split(", "), name="peak_idx")
-        path = session.scratch(spark, "peaks")
-        out.selectExpr("cast(peak_idx as bigint) as peak_idx", "chrom", "start_pos", "end_pos", "qval", "pclass").write.parquet(path)
-        _peaks[key] = path
-    return spark.read.parquet(_peaks[key])
+def _once(spark: SparkSession, sf_dir: str, table_: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """What ``make`` derives from a table, written once for a state of the table and read by every use."""
+    key = _version(spark, sf_dir, table_)
+    if key not in _written:
+        path = session.scratch(spark, table_)
+        make().write.parquet(path)
+        _written[key] = path
+    return spark.read.parquet(_written[key])
+
+
+def _numbered_peaks(spark: SparkSession) -> DataFrame:
+    raw = spark.sql(_PEAKS.format(idx="", rest=", " + _PEAK_ORDER))
+    out = with_ordinal(raw, *_PEAK_ORDER.split(", "), name="peak_idx")
+    return out.selectExpr("cast(peak_idx as bigint) as peak_idx", "chrom", "start_pos", "end_pos", "qval", "pclass")
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,8 +74,11 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         if f" {t}" in VIEWS[name]:
             table(spark, sf_dir, t).createOrReplaceTempView(t)
     if name == "peaks":
-        return _numbered_peaks(spark, sf_dir)
-    return spark.sql(VIEWS[name].replace("{g}", ""))
+        return _once(spark, sf_dir, "lineitem", lambda: _numbered_peaks(spark))
+    found = spark.sql(VIEWS[name].replace("{g}", ""))
+    if name == "seqs":  # its expression would be run again for every use of a sequence
+        return _once(spark, sf_dir, "documents", lambda: found)
+    return found
 
 
 def sql(body: str, *names: str) -> str:
