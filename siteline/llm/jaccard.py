@@ -82,7 +82,7 @@ def sketch(docs: DataFrame, width: int) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int32()), pa.array([v.tobytes() for _, v in rows], pa.binary())], ["key", "counts"])
 
     out = np.zeros(SKETCH, np.int64)
-    for k, v in add_vectors(docs.select("text").mapInArrow(count, "key int, counts binary")).items():
+    for k, v in add_vectors(docs.select("text").mapInArrow(store.trimmed(count), "key int, counts binary")).items():
         out[k * _CHUNK : (k + 1) * _CHUNK] = v
     return np.minimum(out, (1 << 32) - 1).astype(np.uint32)
 
@@ -112,7 +112,7 @@ def rows(docs: DataFrame, width: int, percent: int) -> DataFrame:
             arrays = [pa.array(np.concatenate(c) if c else [], pa.int64()) for c in cols[:3]]
             yield pa.RecordBatch.from_arrays([batch.column(0), *arrays, pa.array(cols[3], pa.binary()), pa.array(cols[4], pa.binary())], schema=schema)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, sig1 long, sig2 long, head binary, sizes binary")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(store.trimmed(run), "doc_id long, n long, sig1 long, sig2 long, head binary, sizes binary")
 
 
 def entries(classes: DataFrame) -> DataFrame:
@@ -127,7 +127,7 @@ def entries(classes: DataFrame) -> DataFrame:
                 pos = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(heads)), pa.array(pos.astype(np.int32)), *(pa.array(np.repeat(batch.column(k).to_numpy(), size), t) for k, t in ((0, pa.int64()), (1, pa.int32())))], schema=schema)
 
-    return classes.select("rep", "n", "head").mapInArrow(run, "column long, pos int, rep long, n int")
+    return classes.select("rep", "n", "head").mapInArrow(store.trimmed(run), "column long, pos int, rep long, n int")
 
 
 def reachable(percent: int) -> Column:
@@ -186,7 +186,7 @@ def possible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
             yield batch.select([0, 1]).filter(pa.array(keep))
 
     sizes = lambda side: classes.select(F.col("rep").alias(side), F.col("sizes").alias(f"sizes_{side}"))
-    return pairs.join(sizes("a"), "a").join(sizes("b"), "b").select("a", "b", "sizes_a", "sizes_b").mapInArrow(bound, "a long, b long")
+    return pairs.join(sizes("a"), "a").join(sizes("b"), "b").select("a", "b", "sizes_a", "sizes_b").mapInArrow(store.trimmed(bound), "a long, b long")
 
 
 def links(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -205,7 +205,7 @@ def links(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, per
                 out.extend(h[x:y].tobytes() for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["id", "set"])
 
-    sets = store.written(texts.mapInArrow(make, "id long, set binary").distinct(), "sets")
+    sets = store.written(texts.mapInArrow(store.trimmed(make), "id long, set binary").distinct(), "sets")
     blocks.free(docs.sparkSession)
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,7 +220,7 @@ def links(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, per
             yield batch.select([0, 1]).filter(pa.array(keep))
 
     joined = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b")
-    out = store.written(joined.select("a", "b", "set_a", "set_b").mapInArrow(verify, "a long, b long").distinct(), "links")
+    out = store.written(joined.select("a", "b", "set_a", "set_b").mapInArrow(store.trimmed(verify), "a long, b long").distinct(), "links")
     store.delete(sets, pairs, wanted)
     blocks.free(docs.sparkSession)
     return out
@@ -254,7 +254,7 @@ def _contract(edges: DataFrame) -> DataFrame:
                 yield stars()
         yield stars()
 
-    return edges.mapInArrow(run, "u long, v long")
+    return edges.mapInArrow(store.trimmed(run), "u long, v long")
 
 
 def components(pairs: DataFrame) -> DataFrame:

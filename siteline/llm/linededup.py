@@ -170,7 +170,7 @@ def postings(docs: DataFrame, n_shards: int) -> DataFrame:
                 new = np.append(True, (doc[1:] != doc[:-1]) | (key[1:] != key[:-1]) | (key2[1:] != key2[:-1]))[: len(doc)]
                 yield pa.RecordBatch.from_arrays([pa.array(key[new]), pa.array(key2[new]), pa.array(doc[new])], schema=schema)
 
-    made = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "key long, key2 long, doc_id long")
+    made = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(store.trimmed(run), "key long, key2 long, doc_id long")
     return made.withColumn("shard", F.pmod("key", F.lit(n_shards)).cast("int"))
 
 
@@ -229,6 +229,7 @@ class LineStore:
                     f = Cuckoo(SLOTS * len(f.table) * 2)
             rows = keys.select([*_KEY, "refs", "first"]).append_column("known", pa.array(known)).append_column("blob", pa.nulls(len(own), pa.binary())).cast(schema)
             last = pa.table([pa.array([x], k.type) for x, k in zip([shard, 0, 0, 0, 0, True, blob], schema, strict=True)], schema=schema)
+            store.trim()
             return pa.concat_tables([rows, last])
 
         if self.filters is None:

@@ -157,7 +157,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, max_tokens: int = MAX_TOK
         packer.finish()
         yield rows()
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SCHEMA)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(store.trimmed(run), SCHEMA)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -62,6 +63,25 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
+def trim() -> None:
+    """Gives the memory that a worker has freed back to the machine: workers outlive their tasks, and an executor keeps several."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def trimmed(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run``, with what it has freed given back when a task's batches end."""
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        trim()
+
+    return own
+
+
 def unused(columns: list[str], name: str) -> str:
     """``name``, longer where a column has it already, in any case."""
     taken = {c.lower() for c in columns}
@@ -78,6 +98,7 @@ def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in run(b.rename_columns(names) for b in batches):
             yield batch.rename_columns(schema.names)
+        trim()
 
     return df.toDF(*(f"c{k}" for k in range(len(names)))).mapInArrow(named, schema)
 

@@ -146,9 +146,10 @@ def test_toxicity_learns():
     for t, y in zip(texts, labels, strict=True):
         if y:
             t[7] = np.uint64(0xABCDEF0123456789)
-    m = toxicity.train(texts[:700], labels[:700])
+    words = [np.stack([t, t * np.uint64(3), t * np.uint64(5)], 1).astype(np.uint32) for t in texts]  # a word and two beginnings
+    m = toxicity.train(words[:700], labels[:700])
     bounds = np.arange(0, 80 * 201, 80)
-    assert ((m.scores(np.concatenate(texts[700:]), bounds) >= 0.5) == labels[700:]).mean() > 0.97
+    assert ((m.scores(np.concatenate(words[700:]), bounds) >= 0.5) == labels[700:]).mean() > 0.97
 
 
 def test_token_store(spark, awkward):

@@ -25,6 +25,8 @@ def test_toxicity_learns_a_rare_languages_words():
     for t in np.flatnonzero(toxic):
         own[t][9:12] = [word(5001), word(5002), word(5003)]
     train, test = slice(0, 96), slice(96, 192)
+    stems = lambda t: np.stack([t, t * np.uint64(3), t * np.uint64(5)], 1).astype(np.uint32)
+    texts, own = [stems(t) for t in texts], [stems(t) for t in own]
     m = toxicity.train(texts + own[train], np.concatenate([labels, toxic[train].astype(int)]))
     bounds = np.arange(0, 40 * 97, 40)
     found = m.scores(np.concatenate(own[test]), bounds) >= 0.5
