@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
 
@@ -18,12 +18,36 @@ def build(master: str = "local[*]", **conf: str) -> SparkSession:
     return b.getOrCreate()
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path below ``spark.checkpoint.dir``; below a temporary folder where that is unset in local mode (tests)."""
+def shared_dir(spark: SparkSession) -> str:
+    """The folder in ``spark.checkpoint.dir`` as a full URI; a temporary one where that is unset in local mode (tests).
+
+    A folder named without a scheme is in the cluster's default file system, as for Spark itself.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         app = spark.sparkContext.applicationId
-        base = _own[app] = _own.get(app) or tempfile.mkdtemp(prefix="siteline-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        base = _own[app] = _own.get(app) or "file://" + tempfile.mkdtemp(prefix="siteline-")
+    path = spark._jvm.org.apache.hadoop.fs.Path(base)
+    full = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
+    return "file://" + full.removeprefix("file:") if full.startswith("file:/") and not full.startswith("file://") else full
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path below the shared folder."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def delete(spark: SparkSession, *paths: str) -> None:
+    """Removes written tables that nothing reads any more."""
+    for p in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written below the shared folder and read again, which cuts its lineage and fixes its rows."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
