@@ -167,14 +167,18 @@ def _short(rate: int, spm_rate: int, rows: int = 256):
     return store.trimmed(run)
 
 
-def _cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _cut_up(size: int):
     """key, chunk, data: the chunks of long documents."""
-    for batch in batches:
-        for key, text in zip(batch.column("key"), batch.column("text"), strict=True):
-            raw = text.as_buffer()
-            for k in range(-(-raw.size // CHUNK)):
-                piece = raw.slice(k * CHUNK, min(CHUNK, raw.size - k * CHUNK)).to_pybytes()
-                yield pa.RecordBatch.from_arrays([pa.array([key.as_py()]), pa.array([k], pa.int32()), pa.array([piece], pa.binary())], ["key", "chunk", "data"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for key, text in zip(batch.column("key"), batch.column("text"), strict=True):
+                raw = text.as_buffer()
+                for k in range(-(-raw.size // size)):
+                    piece = raw.slice(k * size, min(size, raw.size - k * size)).to_pybytes()
+                    yield pa.RecordBatch.from_arrays([pa.array([key.as_py()]), pa.array([k], pa.int32()), pa.array([piece], pa.binary())], ["key", "chunk", "data"])
+
+    return run
 
 
 _ANSWER = "key string, chunk int, chars long, ends binary, lines binary, marks binary"
@@ -212,7 +216,7 @@ def _resolve(key: tuple, chunks: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame([out], columns=[x.split()[0] for x in _PLAN.split(", ")])
 
 
-def _long(rate: int, spm_rate: int):
+def _long(rate: int, spm_rate: int, size: int):
     """Writes long documents whose cuts' chunks are known."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,9 +230,9 @@ def _long(rate: int, spm_rate: int):
                         cuts.append(len(raw))
                         chars.append(row[f"{side}_chars"])
                         continue
-                    data = raw[chunk * CHUNK : (chunk + 1) * CHUNK]
+                    data = raw[chunk * size : (chunk + 1) * size]
                     place = int(begins(data, row[f"{side}_entry"])[row[f"{side}_line"]])
-                    cuts.append(chunk * CHUNK + place)
+                    cuts.append(chunk * size + place)
                     chars.append(row[f"{side}_chars"] + code_points(data[:place]))
                 form = _form(row["n"], row["marks"], row["h3"], row["h4"], rate, spm_rate)
                 shown = form != "plain"
@@ -240,20 +244,20 @@ def _long(rate: int, spm_rate: int):
     return store.trimmed(run)
 
 
-def transformed(docs: DataFrame, seed: int = SEED, rate: int = RATE, spm_rate: int = SPM_RATE) -> DataFrame:
+def transformed(docs: DataFrame, seed: int = SEED, rate: int = RATE, spm_rate: int = SPM_RATE, chunk: int = CHUNK) -> DataFrame:
     """doc_id, n, form, prefix_chars, middle_chars and output of every document."""
     store.small_batches(docs.sparkSession)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    short = own.filter(F.octet_length("text") <= CHUNK).select("*", *_hashes(seed)).mapInArrow(_short(rate, spm_rate), OUT)
+    short = own.filter(F.octet_length("text") <= chunk).select("*", *_hashes(seed)).mapInArrow(_short(rate, spm_rate), OUT)
     key = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.sha2(F.col("text").cast("binary"), 256))
-    long = own.filter(F.octet_length("text") > CHUNK).withColumn("key", key)
-    chunks = long.select("key", "text").mapInArrow(_cut_up, "key string, chunk int, data binary").repartition("key", "chunk")
+    long = own.filter(F.octet_length("text") > chunk).withColumn("key", key)
+    chunks = long.select("key", "text").mapInArrow(_cut_up(chunk), "key string, chunk int, data binary").repartition("key", "chunk")
     drawn = chunks.mapInArrow(_answer, _ANSWER).dropDuplicates(["key", "chunk"])  # rows that repeat have equal chunks
     first, second, *_ = _hashes(seed)
     named = drawn.withColumn("doc_id", F.substring_index("key", ":", 1)).select("*", first, second).drop("doc_id")
     plan = named.groupBy("key").applyInPandas(_resolve, _PLAN)
     met = long.join(plan, "key").select("*", *_hashes(seed)[2:]).drop("key")
-    return short.unionByName(met.mapInArrow(_long(rate, spm_rate), OUT))
+    return short.unionByName(met.mapInArrow(_long(rate, spm_rate, chunk), OUT))
 
 
 def restored(form: Column, output: Column) -> Column:

@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -12,29 +10,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from siteline import session
+
 #: Bytes of text in a block, on average: a block is held in a task's memory.
 BLOCK_BYTES = 4 << 20
 #: Rows in an Arrow batch; texts can be long.
 BATCH_ROWS = 2048
 
 
-_own: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; where that is unset in local mode (tests), a temporary one."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
-        app = spark.sparkContext.applicationId
-        found = _own.setdefault(app, "") or "file://" + tempfile.mkdtemp(prefix="siteline-")
-        _own[app] = found
-    return found.rstrip("/") if "://" in found else "file://" + found.rstrip("/")
-
-
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    return session.scratch(spark, name)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -50,9 +35,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def delete(*tables: DataFrame) -> None:
     """Removes tables made by ``written`` that nothing reads any more."""
     for df in tables:
-        spark = df.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(df.written_path)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        session.delete(df.sparkSession, df.written_path)
 
 
 def small_batches(spark: SparkSession) -> None:
