@@ -8,6 +8,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siteline import session
+from siteline.operators import prefix
+
 
 def pearson(x: Column, y: Column) -> Column:
     """Aggregate: Pearson correlation of the rows where both are there; null where a side is constant."""
@@ -17,17 +20,36 @@ def pearson(x: Column, y: Column) -> Column:
     return F.when(ok, F.covar_pop(a, b) / (F.stddev_pop(a) * F.stddev_pop(b)))
 
 
-def average_rank(df: DataFrame, column: str, name: str, keys: list[str]) -> DataFrame:
-    by = Window.partitionBy(*keys)
-    rank = F.rank().over(by.orderBy(column)) + (F.count("*").over(Window.partitionBy(*keys, column)) - 1) / 2.0
-    return df.withColumn(name, rank)
-
-
 def spearman(df: DataFrame, x: str, y: str, keys: list[str]) -> DataFrame:
-    """Correlation of average ranks within each key; rows with a null side are left out."""
-    own = df.dropna(subset=[x, y])
-    ranked = average_rank(average_rank(own, x, "__rx", keys), y, "__ry", keys)
-    return ranked.groupBy(*keys).agg(pearson(F.col("__rx"), F.col("__ry")).alias("rho"), F.count("*").alias("n"))
+    """Correlation of average ranks within each key; rows with a null side are left out, a constant side gives null.
+
+    Ranks come from counts of distinct values (see ``prefix``) and are joined back to the distinct pairs; their mean is known, so
+    that one weighted pass gives the sums.
+    """
+    pairs = df.dropna(subset=[x, y]).groupBy(*keys, F.col(x).alias("__x"), F.col(y).alias("__y")).agg(F.count("*").alias("__w"))
+    own = session.written(pairs, "pairs")
+
+    def ranked(side: str) -> DataFrame:
+        counts = own.groupBy(*keys, side).agg(F.sum("__w").alias("__n"))
+        placed = prefix.running(prefix.placed(counts, keys, [side]), keys, "sum", F.col("__n"), "__before", before=True)
+        return placed.select(*(F.col(k).alias(f"{side}{k}") for k in keys), F.col(side).alias(f"{side}v"), (F.col("__before") + (F.col("__n") + 1) / 2.0).alias(f"{side}r"))
+
+    def same(side: str) -> Column:
+        out = F.col(side) == F.col(f"{side}v")
+        for k in keys:
+            out = out & F.col(k).eqNullSafe(F.col(f"{side}{k}"))
+        return out
+
+    n = own.groupBy(*keys).agg(F.sum("__w").alias("n"))
+    named = n.select(*(F.col(k).alias(f"__n{k}") for k in keys), "n")
+    key = F.lit(True)
+    for k in keys:
+        key = key & F.col(k).eqNullSafe(F.col(f"__n{k}"))
+    joined = own.join(ranked("__x"), same("__x")).join(ranked("__y"), same("__y")).join(named, key)
+    mean = (F.col("n") + 1) / 2.0
+    a, b, w = F.col("__xr") - mean, F.col("__yr") - mean, F.col("__w")
+    sums = joined.groupBy(*keys).agg(F.sum(w * a * b).alias("ab"), F.sum(w * a * a).alias("aa"), F.sum(w * b * b).alias("bb"), F.sum(w).alias("n"))
+    return sums.select(*keys, F.when((F.col("aa") > 0) & (F.col("bb") > 0), F.col("ab") / F.sqrt(F.col("aa") * F.col("bb"))).alias("rho"), "n")
 
 
 def let(value: Column, body) -> Column:
@@ -115,3 +137,25 @@ def normal_tail(z: Column) -> Column:
     t = 1 / (1 + 0.2316419 * z)
     poly = t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))
     return F.exp(-z * z / 2) / 2.5066282746310002 * poly
+
+
+def peer_median(df: DataFrame, keys: list[str], value: str, row: str, name: str) -> DataFrame:
+    """``df`` with the median of the other rows' values within its keys; null for a row that is alone.
+
+    Rows are numbered by value within their keys; without a row, the values before it keep their places and those after
+    it move up by one, so that four places of the sorted values serve every row.  Rows with a null value are left out.
+    """
+    low, high = (lambda n: F.floor((n - 2) / 2)), (lambda n: F.ceil((n - 2) / 2))
+    own = df.filter(F.col(value).isNotNull())
+    places = {"__l0": low, "__l1": lambda n: low(n) + 1, "__h0": high, "__h1": lambda n: high(n) + 1}
+    at = prefix.order_statistics(own, keys, value, places)
+    n = own.groupBy(*keys).agg(F.count("*").alias("__all"))
+    same = F.lit(True)
+    for k in keys:
+        at, n = at.withColumnRenamed(k, f"__a{k}"), n.withColumnRenamed(k, f"__n{k}")
+        same = same & F.col(k).eqNullSafe(F.col(f"__a{k}")) & F.col(k).eqNullSafe(F.col(f"__n{k}"))
+    joined = at.join(n, [F.col(f"__a{k}").eqNullSafe(F.col(f"__n{k}")) for k in keys])
+    both = prefix.numbered(own, keys, [value, row], "__own", first=0).join(joined, same)
+    side = lambda place, a, b: F.when(place(F.col("__all")) < F.col("__own"), F.col(a)).otherwise(F.col(b))
+    middle = (side(low, "__l0", "__l1").cast("double") + side(high, "__h0", "__h1").cast("double")) / 2
+    return both.select(*df.columns, F.when(F.col("__all") > 1, middle).alias(name))

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from siteline import session
+from siteline.operators import prefix
 from siteline.operators.intervals import overlap_any
 from siteline.operators.ordinal import with_ordinal
 
@@ -85,11 +87,19 @@ def drift(spark: SparkSession, old: dict[str, str], new: dict[str, str], ignored
     return spark.createDataFrame(rows, "key string, a string, b string")
 
 
-def gc_match(tiles: DataFrame, peaks: DataFrame, order: Column, tie: str) -> DataFrame:
-    """In each bin, as many tiles as it has peaks, the first in a pseudo-random order."""
+def gc_match(tiles: DataFrame, peaks: DataFrame, order: Column, ties: list[str], span: int = 1 << 32, cells: int = 4096) -> DataFrame:
+    """In each bin, as many tiles as it has peaks, the first in a pseudo-random order (whole numbers in ``[0, span)``), then by ``ties``.
+
+    Tiles are first counted by bin and cell of the order; those beyond the cell in which a bin's quota is met go where they
+    are read.  What is left, about the quota, is ranked in even parts of the order (see ``prefix``).
+    """
+    own = session.written(tiles.withColumn("__order", order), "tiles")
+    cell = F.least(F.lit(cells - 1), F.floor(F.col("__order") * cells / span))
     quota = peaks.groupBy("bin").agg(F.count("*").alias("quota"))
-    ranked = tiles.join(quota, "bin").withColumn("__order", order)
-    return ranked.withColumn("__n", F.row_number().over(Window.partitionBy("bin").orderBy("__order", tie))).filter("__n <= quota").drop("__n", "__order", "quota")
+    filled = own.groupBy("bin", cell.alias("__cell")).agg(F.count("*").alias("n")).withColumn("__to", F.sum("n").over(Window.partitionBy("bin").orderBy("__cell")))
+    met = filled.join(quota, "bin").groupBy("bin", "quota").agg(F.coalesce(F.min(F.when(F.col("__to") >= F.col("quota"), F.col("__cell"))), F.lit(cells)).alias("__last"))
+    some = own.join(met, "bin").filter(cell <= F.col("__last"))
+    return prefix.numbered(some, ["bin"], ["__order", *ties], "__n").filter("__n <= quota").drop("__n", "__order", "quota", "__last")
 
 
 def negatives(tiles: DataFrame, peaks: DataFrame, order: Column, beta: float | None = 0.5, n_share: float = 0.1, bin_percent: int = 2) -> DataFrame:
@@ -104,11 +114,11 @@ def negatives(tiles: DataFrame, peaks: DataFrame, order: Column, beta: float | N
     binned = lambda df: df.filter(F.length("seq") > 0).withColumn("bin", F.floor(share("GC") * 100 / (F.length("seq") * bin_percent)))
     left = tiles.filter(share("N") <= n_share * F.length("seq"))
     if beta is not None:
-        limit = peaks.agg((beta * F.percentile("signal", 0.01)).alias("__limit"))
+        limit = prefix.quantiles(peaks, [], "signal", {"q": 0.01}).select((beta * F.col("q")).alias("__limit"))
         left = left.crossJoin(F.broadcast(limit)).filter("signal <= __limit").drop("__limit")  # one row
     zones = peaks.select("chrom", F.col("start_pos").alias("b_start"), F.col("end_pos").alias("b_end"))
     free = overlap_any(left.withColumnsRenamed({"start_pos": "a_start", "end_pos": "a_end"}), zones).filter("not hit").drop("hit").withColumnsRenamed({"a_start": "start_pos", "a_end": "end_pos"})
-    return gc_match(binned(free), binned(peaks), order, "start_pos").select("chrom", "start_pos", "end_pos", "bin", "signal")
+    return gc_match(binned(free).drop("seq"), binned(peaks), order, ["chrom", "start_pos"]).select("chrom", "start_pos", "end_pos", "bin", "signal")
 
 
 def negatives_report(found: DataFrame, peaks: DataFrame, background: DataFrame) -> DataFrame:

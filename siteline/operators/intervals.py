@@ -1,7 +1,7 @@
 """Interval algebra on half-open intervals ``[start_pos, end_pos)`` of a chromosome.
 
 Range joins go through bins, an equality that any join strategy can use, with the exact
-condition as a residual; sweeps are windows over positions.  Zero-length intervals overlap nothing.
+condition as a residual; sweeps are scans of position buckets, or of even parts of the order.  Zero-length intervals overlap nothing.
 Null coordinates drop a row.  Repeated intervals count as often as given.
 """
 
@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siteline.operators import prefix
+
 BIN = 2048
 
 
@@ -57,24 +59,37 @@ def sweep_sum(intervals: DataFrame, keys: tuple[str, ...] = ("chrom",), least: f
 
 def merge_gap(intervals: DataFrame, gap: int, keys: tuple[str, ...] = ("chrom",)) -> DataFrame:
     """Intervals merged where the next starts at most ``gap`` after the end so far; with how many were merged."""
-    order = Window.partitionBy(*keys).orderBy("start_pos", "end_pos")
-    reach = F.max("end_pos").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    opened = intervals.withColumn("new", F.when(F.col("start_pos") - reach <= gap, 0).otherwise(1))
-    grouped = opened.withColumn("grp", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = prefix.placed(intervals.dropna(subset=["start_pos", "end_pos"]), keys, ["start_pos", "end_pos"])
+    reached = prefix.running(rows, keys, "max", F.col("end_pos"), "reach", before=True)
+    opened = F.when(F.col("start_pos") - F.col("reach") <= gap, 0).otherwise(1)
+    grouped = prefix.running(reached, keys, "sum", opened, "grp")
     return grouped.groupBy(*keys, "grp").agg(F.min("start_pos").alias("start_pos"), F.max("end_pos").alias("end_pos"), F.count("*").alias("n")).drop("grp")
 
 
 def running_max_end(intervals: DataFrame, keys: tuple[str, ...] = ("chrom",)) -> DataFrame:
     """Each interval with the largest end of those up to it, by start."""
-    order = Window.partitionBy(*keys).orderBy("start_pos", "end_pos", "peak_idx").rowsBetween(Window.unboundedPreceding, 0)
-    return intervals.withColumn("max_end", F.max("end_pos").over(order))
+    rows = prefix.placed(intervals, keys, ["start_pos", "end_pos", "peak_idx"])
+    return prefix.bare(prefix.running(rows, keys, "max", F.col("end_pos"), "max_end"))
+
+
+def depths(intervals: DataFrame, keys: tuple[str, ...] = ("chrom",)) -> DataFrame:
+    """keys, pos and depth: how many intervals are open from each position at which one starts or ends."""
+    ends = F.explode(F.array(F.struct(F.col("start_pos").alias("pos"), F.lit(1).cast("long").alias("delta")), F.struct(F.col("end_pos").alias("pos"), F.lit(-1).cast("long").alias("delta"))))
+    events = intervals.dropna(subset=["start_pos", "end_pos"]).select(*keys, ends.alias("e")).groupBy(*keys, F.col("e.pos").alias("pos")).agg(F.sum("e.delta").alias("delta"))
+    return prefix.running(prefix.placed(events, keys, ["pos"]), keys, "sum", F.col("delta"), "depth").select(*keys, "pos", "depth")
 
 
 def gap_groups(points: DataFrame, threshold: int, keys: tuple[str, ...] = ("chrom",)) -> DataFrame:
     """``grp``: a new group where a centre is more than ``threshold`` after the one before it."""
-    order = Window.partitionBy(*keys).orderBy("center", "peak_idx")
-    far = F.when(F.col("center") - F.lag("center").over(order) <= threshold, 0).otherwise(1)
-    return points.withColumn("far", far).withColumn("grp", F.sum("far").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("far")
+    rows = prefix.running(prefix.placed(points, keys, ["center", "peak_idx"]), keys, "max", F.col("center"), "__last", before=True)
+    far = F.when(F.col("center") - F.col("__last") <= threshold, 0).otherwise(1).cast("long")
+    return prefix.bare(prefix.running(rows, keys, "sum", far, "grp")).drop("__last")
+
+
+def group_sizes(grouped: DataFrame, keys: tuple[str, ...] = ("chrom",)) -> DataFrame:
+    """``grouped`` (keys, grp) with ``group_size``; sizes are counted first and joined, so that a large group is no task of its own."""
+    sizes = grouped.groupBy(*keys, "grp").agg(F.count("*").alias("group_size"))
+    return grouped.join(sizes, [*keys, "grp"])
 
 
 def nearest_within(points: DataFrame, sites: DataFrame, halfwidth: int, bucket: int = 1 << 20) -> DataFrame:

@@ -123,3 +123,11 @@ def digest(df: DataFrame, line: Column, order: str, keys: list[str]) -> DataFram
 
 def severity(flags: Column) -> Column:
     return F.when(flags.contains("FAIL"), 0).when(flags.contains("WARN"), 1).otherwise(2)
+
+
+def concat_frames(frames: list[DataFrame]) -> DataFrame:
+    """All rows of several frames, columns by name; a column that a frame lacks is null there."""
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f, allowMissingColumns=True)
+    return out

@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siteline.functions import seq
-from siteline.operators.intervals import BIN, bin_join
+from siteline.operators import prefix
+from siteline.operators.intervals import bin_join
 
 
 def five_prime(aln: DataFrame, swap: bool = False) -> DataFrame:
@@ -44,12 +45,20 @@ def window(mid: Column, width: int) -> tuple[Column, Column]:
     return F.greatest(F.lit(0), mid - width // 2), mid + (width + 1) // 2
 
 
-def window_totals(regions: DataFrame, signal: DataFrame, width: int, size: int = BIN) -> DataFrame:
-    """``regions`` (peak_idx, chrom, start_pos, end_pos) with the signal in the window around their midpoint; none is 0."""
+def window_totals(regions: DataFrame, signal: DataFrame, width: int) -> DataFrame:
+    """``regions`` (peak_idx, chrom, start_pos, end_pos) with the signal in the window around their midpoint; none is 0.
+
+    A window's total is what has been added up before its end less that before its start, both found in one running sum over
+    bases and window edges together, so that the work doesn't depend on ``width``.  Whole numbers are exact; of others the
+    total keeps the rounding of the chromosome's running sum.
+    """
     low, high = window(F.floor((F.col("start_pos") + F.col("end_pos")) / 2), width)
-    a = regions.select("peak_idx", "chrom", low.alias("a_start"), high.alias("a_end"))
-    b = signal.select("chrom", F.col("pos").alias("b_start"), (F.col("pos") + 1).alias("b_end"), "value")
-    sums = bin_join(a, b, size).groupBy("peak_idx").agg(F.sum("value").alias("total"))
+    edge = lambda pos, sign: F.struct(pos.cast("long").alias("pos"), F.lit(sign).alias("sign"))
+    asked = regions.dropna(subset=["start_pos", "end_pos"]).select("peak_idx", "chrom", F.explode(F.array(edge(low, -1.0), edge(high, 1.0))).alias("e")).select("peak_idx", "chrom", "e.*", F.lit(0).alias("kind"), F.lit(0.0).alias("value"))
+    bases = signal.dropna(subset=["pos"]).groupBy("chrom", F.col("pos").cast("long").alias("pos")).agg(F.sum("value").alias("value")).withColumn("kind", F.lit(1))
+    rows = prefix.placed(asked.unionByName(bases, allowMissingColumns=True), ["chrom"], ["pos", "kind", "peak_idx"])
+    passed = prefix.running(rows, ["chrom"], "sum", F.coalesce("value", F.lit(0.0)), "passed").filter("kind = 0")
+    sums = passed.groupBy("peak_idx").agg(F.sum(F.col("sign") * F.col("passed")).alias("total"))
     return regions.join(sums, "peak_idx", "left").withColumn("total", F.coalesce("total", F.lit(0.0)))
 
 
@@ -108,7 +117,7 @@ def information(freqs: DataFrame, background_from: int = 5, center: int = 0) ->
     bg = mean.crossJoin(F.broadcast(total)).select("base", (F.col("bg") / F.col("all")).alias("bg"))  # four bases
     joined = freqs.join(F.broadcast(bg), "base", "left").withColumn("bg", F.coalesce("bg", F.lit(0.25)))
     bits = F.when(F.col("freq") > 0, F.col("freq") * F.log2(F.col("freq") / F.col("bg"))).otherwise(0.0)
-    return joined.groupBy("offset").agg(F.sum(bits).alias("bits"))
+    return joined.groupBy("offset").agg(F.sum(bits).alias("bits")).withColumn("bits", F.when(F.col("bits") > 0, F.col("bits")).otherwise(0.0))  # never below 0 but by rounding
 
 
 # Fixed values of the summit and motif rules.

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 
 from siteline import session
@@ -42,26 +40,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-_written: dict[tuple, str] = {}
-
-
-def _version(spark: SparkSession, sf_dir: str, name: str) -> tuple:
-    """Identifies a table's state within this application."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
-    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path)
-    return (spark.sparkContext.applicationId, str(path), found.getModificationTime(), found.getLen())
-
-
-def _once(spark: SparkSession, sf_dir: str, table_: str, make: Callable[[], DataFrame]) -> DataFrame:
-    """What ``make`` derives from a table, written once for a state of the table and read by every use."""
-    key = _version(spark, sf_dir, table_)
-    if key not in _written:
-        path = session.scratch(spark, table_)
-        make().write.parquet(path)
-        _written[key] = path
-    return spark.read.parquet(_written[key])
-
-
 def _numbered_peaks(spark: SparkSession) -> DataFrame:
     raw = spark.sql(_PEAKS.format(idx="", rest=", " + _PEAK_ORDER))
     out = with_ordinal(raw, *_PEAK_ORDER.split(", "), name="peak_idx")
@@ -74,10 +52,11 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         if f" {t}" in VIEWS[name]:
             table(spark, sf_dir, t).createOrReplaceTempView(t)
     if name == "peaks":
-        return _once(spark, sf_dir, "lineitem", lambda: _numbered_peaks(spark))
+        return _numbered_peaks(spark)
     found = spark.sql(VIEWS[name].replace("{g}", ""))
     if name == "seqs":  # its expression would be run again for every use of a sequence
-        return _once(spark, sf_dir, "documents", lambda: found)
+        few = found.rdd.getNumPartitions() < spark.sparkContext.defaultParallelism  # a small table in one file
+        return session.written(found.repartition(spark.sparkContext.defaultParallelism) if few else found, "seqs")
     return found
 
 

@@ -384,28 +384,38 @@ def _(spark, d):
     return C.umi_report(files, declared)
 
 
-KM = """rf as (select seq, case when doc_id % 2 = 0 then '35s' else '5s' end as class, doc_id % 2 as priority from seqs where length(seq) >= 20),
- bt as (select * from rf union all select reverse(translate(seq, 'ACGTN', 'TGCAN')), class, priority from rf),
- kn as (select kmer, arg_min(class, priority) as class from (select substr(seq, i, 20) as kmer, class, priority from (select seq, class, priority, unnest(range(1, length(seq) - 18)) as i from bt)) group by 1),
- rd as (select doc_id as read, seq from seqs where length(seq) >= 20),
- ht as (select read, arg_min(class, i) as class from (select read, i, substr(seq, i, 20) as kmer from (select read, seq, unnest(range(1, length(seq) - 18)) as i from rd)) join kn using (kmer) group by 1)"""
+#: References by language: all three classes, without rRNA for es, none for fr.  Reads are cut where either adapter begins.
+KM = """rf as (select lang as index, seq, ['rrna_35s', 'rrna_5s', 'organellar'][doc_id % 3 + 1] as class, doc_id % 3 as priority from sl where length(seq) >= 20 and lang <> 'fr' and (lang <> 'es' or doc_id % 3 = 2)),
+ bt as (select * from rf union all select index, reverse(translate(seq, 'ACGTN', 'TGCAN')), class, priority from rf),
+ kn as (select index, kmer, arg_min(class, priority) as class from (select index, substr(seq, i, 20) as kmer, class, priority from (select index, seq, class, priority, unnest(range(1, length(seq) - 18)) as i from bt)) group by 1, 2),
+ ip as (select doc_id, run, lang, seq, least(case when instr(seq, 'TTAGA') > 0 then instr(seq, 'TTAGA') else 1000000000 end, case when instr(seq, 'GAATC') > 0 then instr(seq, 'GAATC') else 1000000000 end) as p from sl),
+ rd as (select doc_id as read, run || '/' || lang as experiment, lang as index, substr(seq, 1, p - 1) as seq from ip where least(length(seq), p - 1) >= 20),
+ ht as (select read, arg_min(class, i) as class from (select read, index, i, substr(seq, i, 20) as kmer from (select read, index, seq, unnest(range(1, length(seq) - 18)) as i from rd)) join kn using (index, kmer) group by 1)"""
+SL = "sl as (select doc_id, run, mate as lang, seq from seqs)"
 
 
-def classified(spark, d):
-    s = view(spark, d, "seqs").filter("length(seq) >= 20")
-    ref = s.select("seq", F.when(F.col("doc_id") % 2 == 0, "35s").otherwise("5s").alias("class"), (F.col("doc_id") % 2).alias("priority"))
-    return C.classify_reads(s.select(F.col("doc_id").alias("read"), "seq"), ref, 20)
+def rrna_parts(spark, d):
+    """experiments, inserts and references of the reads of every document."""
+    s = view(spark, d, "seqs").select("doc_id", "run", F.col("mate").alias("lang"), "seq")
+    kind = F.element_at(F.array(F.lit("rrna_35s"), F.lit("rrna_5s"), F.lit("organellar")), (F.col("doc_id") % 3 + 1).cast("int"))
+    ref = s.filter("length(seq) >= 20 and lang <> 'fr' and (lang <> 'es' or doc_id % 3 = 2)").select(F.col("lang").alias("index"), "seq", kind.alias("class"), (F.col("doc_id") % 3).alias("priority"))
+    inserts = s.select(F.concat_ws("/", "run", "lang").alias("experiment"), F.col("doc_id").alias("read"), F.col("lang").alias("index"), Q.trim_insert(F.col("seq"), ["TTAGA", "GAATC"]).alias("seq"))
+    return inserts.select("experiment", "index").distinct(), inserts, ref
 
 
-@R.add("join_sequence_lookup", sql(KM + " select read, class from rd left join ht using (read)", "seqs"))
+@R.add("join_sequence_lookup", sql(SL + ", " + KM + " select read, class from rd left join ht using (read)", "seqs"))
 def _(spark, d):
-    return classified(spark, d)
+    _, inserts, ref = rrna_parts(spark, d)
+    return C.classify_reads(inserts.filter("length(seq) >= 20").select("read", "seq", "index"), ref, 20)
 
 
-@R.add("qc_rrna_content", sql(KM + " select count(*) as n_scored, round(100.0 * count(*) filter (where class = '35s') / count(*), 2) as pct_35s, round(100.0 * count(*) filter (where class = '5s') / count(*), 2) as pct_5s from rd left join ht using (read)", "seqs"))
+@R.add("qc_rrna_content", sql(SL + ", " + KM + """, ex as (select distinct run || '/' || lang as experiment, lang as index from sl), ix as (select index, bool_or(class <> 'organellar') as has from rf group by 1),
+ ct as (select experiment, count(*) as n, count(*) filter (class = 'rrna_35s') as a, count(*) filter (class = 'rrna_5s') as b, count(*) filter (class = 'organellar') as c from rd join ix using (index) left join ht using (read) group by 1)
+ select experiment, coalesce(n, 0) as n_scored, case when n > 0 then case when has then 'yes' else 'no' end end as rrna_indexed, round(100.0 * a / n, 2) as pct_rrna_35s, round(100.0 * b / n, 2) as pct_rrna_5s, round(100.0 * c / n, 2) as pct_organellar, round(100.0 * (a + b + c) / n, 2) as pct_rrna_total
+ from ex left join ix using (index) left join ct using (experiment)""", "seqs"))
 def _(spark, d):
-    pct = lambda x: F.round(100.0 * F.count(F.when(F.col("class") == x, 1)) / F.count("*"), 2)
-    return classified(spark, d).agg(F.count("*").alias("n_scored"), pct("35s").alias("pct_35s"), pct("5s").alias("pct_5s"))
+    experiments, inserts, ref = rrna_parts(spark, d)
+    return C.rrna_content(experiments, inserts.drop("index"), ref, 20)
 
 
 @R.add("qc_verify_genome", """with f as (select n_name as species, s_suppkey % 5 as fold, cast(s_suppkey as varchar) as chrom, s_suppkey as k, n_nationkey as s from supplier join nation on s_nationkey = n_nationkey),

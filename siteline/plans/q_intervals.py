@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from siteline.functions import seq
+from siteline.operators import barcodes
 from siteline.operators import intervals as I
-from siteline.operators import ordinal
+from siteline.operators import ordinal, prefix
 from siteline.operators import signal as S
 from siteline.plans.proxies import sql, table, view
 from siteline.plans.registry import Registry
@@ -33,7 +34,30 @@ def _(spark, d):
     return S.merge_tracks(*(S.five_prime(aln.filter(f"sample = {k}")) for k in (1, 2)))
 
 
-@R.add("ext_dedup", sql("""select distinct sample, chrom, strand, case when strand='+' then start_pos else end_pos-1 end as pos, umi from aln where mapq >= 255""", "aln"))
+#: Reads of a stretch of a strand, with barcodes of four bases.
+UMIS = """um as (select cast(l_suppkey % 7 as varchar) as chrom, case when l_linestatus = 'O' then '+' else '-' end as strand, (l_orderkey * 20) // 200000 as pos,
+   translate(cast(l_partkey // 64 % 4 as varchar) || cast(l_partkey // 16 % 4 as varchar) || cast(l_partkey // 4 % 4 as varchar) || cast(l_partkey % 4 as varchar), '0123', 'ACGT') as umi from lineitem)"""
+
+
+def barcoded(spark, d):
+    digit = lambda k: F.expr(f"cast(l_partkey div {k} % 4 as string)")
+    return table(spark, d, "lineitem").selectExpr("cast(l_suppkey % 7 as string) as chrom", "case when l_linestatus = 'O' then '+' else '-' end as strand", "(l_orderkey * 20) div 200000 as pos", "l_partkey").withColumn("umi", F.translate(F.concat(*(digit(k) for k in (64, 16, 4, 1))), "0123", "ACGT")).drop("l_partkey")
+
+
+@R.add("ext_dedup", "with recursive " + UMIS + """, ct as (select chrom, strand, pos, umi, count(*) as n from um group by all),
+ rk as (select *, row_number() over (partition by chrom, strand, pos order by n desc, umi) as r from ct),
+ ed as (select a.chrom, a.strand, a.pos, a.umi as a, b.umi as b from rk a join rk b on a.chrom = b.chrom and a.strand = b.strand and a.pos = b.pos and a.n >= 2 * b.n - 1 and hamming(a.umi, b.umi) = 1),
+ reach as (select chrom, strand, pos, umi, r from rk union select ed.chrom, ed.strand, ed.pos, ed.b, reach.r from reach join ed on ed.chrom = reach.chrom and ed.strand = reach.strand and ed.pos = reach.pos and ed.a = reach.umi),
+ best as (select chrom, strand, pos, umi, min(r) as r from reach group by all)
+ select b.chrom, b.strand, b.pos, k.umi as root, cast(sum(c.n) as bigint) as n_reads, count(*) as n_barcodes from best b join rk k on k.chrom = b.chrom and k.strand = b.strand and k.pos = b.pos and k.r = b.r
+   join ct c on c.chrom = b.chrom and c.strand = b.strand and c.pos = b.pos and c.umi = b.umi group by 1, 2, 3, 4""")
+def _(spark, d):
+    """The molecules of each place: barcodes taken in by those read at least twice as often, with their reads."""
+    found = barcodes.directional(barcoded(spark, d), ["chrom", "strand", "pos"])
+    return found.groupBy("chrom", "strand", "pos", "root").agg(F.sum("n").alias("n_reads"), F.count("*").alias("n_barcodes"))
+
+
+@R.add("ext_dedup_exact", sql("""select distinct sample, chrom, strand, case when strand='+' then start_pos else end_pos-1 end as pos, umi from aln where mapq >= 255""", "aln"))
 def _(spark, d):
     return S.dedup_umi(view(spark, d, "aln").filter("mapq >= 255"))
 
@@ -62,12 +86,7 @@ def _(spark, d):
 
 @R.add("ext_merge_run_fastqs", sql("select run, count(*) as n_reads, cast(sum(length(seq)) as bigint) as n_bases from seqs group by 1", "seqs"))
 def _(spark, d):
-    s = view(spark, d, "seqs")
-    parts = [s.filter(s.mate == m) for m in ("en", "fr", "de", "es")] + [s.filter("mate not in ('en', 'fr', 'de', 'es')")]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.groupBy("run").agg(F.count("*").alias("n_reads"), F.sum(F.length("seq")).alias("n_bases"))
+    return view(spark, d, "seqs").groupBy("run").agg(F.count("*").alias("n_reads"), F.sum(F.length("seq")).alias("n_bases"))
 
 
 SWEEP = """ev as (select chrom, pos, sum(delta) as delta from (
@@ -90,11 +109,7 @@ def _(spark, d):
    select chrom, start_pos as pos, cast(1 as bigint) as delta from peaks union all select chrom, end_pos, cast(-1 as bigint) from peaks) group by 1, 2)
  select chrom, pos, cast(sum(delta) over (partition by chrom order by pos) as bigint) as depth from ev""", "peaks"))
 def _(spark, d):
-    from pyspark.sql import Window
-
-    p = view(spark, d, "peaks")
-    ev = p.selectExpr("chrom", "start_pos as pos", "1L as delta").unionByName(p.selectExpr("chrom", "end_pos as pos", "-1L as delta")).groupBy("chrom", "pos").agg(F.sum("delta").alias("delta"))
-    return ev.select("chrom", "pos", F.sum("delta").over(Window.partitionBy("chrom").orderBy("pos")).alias("depth"))
+    return I.depths(view(spark, d, "peaks"))
 
 
 @R.add("sig_unstranded", sql(SIG + " select chrom, pos, sum(abs(case when strand = '-' then -value else value end)) as value from sig group by 1, 2", "aln"))
@@ -118,18 +133,18 @@ def _(spark, d):
 
 @R.add("sig_window_total_median", sql(TOTALS + " select median(total) as median_total, count(*) as n from tot", "aln", "peaks"))
 def flagship(spark, d):
-    return totals(spark, d).agg(F.median("total").alias("median_total"), F.count("*").alias("n"))
+    return prefix.quantiles(totals(spark, d), [], "total", {"median_total": 0.5}).select("median_total", F.col("__count").alias("n"))
 
 
 @R.add("agg_global_quantile", sql(TOTALS + " select round(quantile_cont(total, 0.99), 6) as p99 from tot", "aln", "peaks"))
 def _(spark, d):
-    return totals(spark, d).agg(F.round(F.expr("percentile(total, 0.99)"), 6).alias("p99"))
+    return prefix.quantiles(totals(spark, d), [], "total", {"p99": 0.99}).select(F.round("p99", 6).alias("p99"))
 
 
 @R.add("flt_outlier", sql(TOTALS + " select peak_idx, total from tot where total <= 1.2 * (select quantile_cont(total, 0.99) from tot)", "aln", "peaks"))
 def _(spark, d):
     t = totals(spark, d).select("peak_idx", "total")
-    edge = t.agg((1.2 * F.expr("percentile(total, 0.99)")).alias("edge"))
+    edge = prefix.quantiles(t, [], "total", {"p99": 0.99}).select((1.2 * F.col("p99")).alias("edge"))
     return t.crossJoin(F.broadcast(edge)).filter("total <= edge").drop("edge")  # one row
 
 
@@ -320,9 +335,7 @@ def _(spark, d):
 
 @R.add("win_transform_size", sql(GROUPS + " select peak_idx, count(*) over (partition by chrom, grp) as group_size from g", "peaks"))
 def _(spark, d):
-    from pyspark.sql import Window
-
-    return grouped(spark, d).select("peak_idx", F.count("*").over(Window.partitionBy("chrom", "grp")).alias("group_size"))
+    return I.group_sizes(grouped(spark, d)).select("peak_idx", "group_size")
 
 
 @R.add("agg_nunique", sql(GROUPS + " select count(distinct (chrom, grp)) as n_groups, count(distinct chrom) as n_chroms from g", "peaks"))
@@ -378,13 +391,14 @@ def _(spark, d):
     return view(spark, d, "peaks").select("peak_idx", low.alias("low"), high.alias("high"))
 
 
-PWM = """w as (select substr(seq, 1, 12) as seq, mate as strand from seqs where length(seq) >= 12), g as (select case when strand = 'fr' then reverse(translate(seq, 'ACGTN', 'TGCAN')) else seq end as seq from w where regexp_full_match(seq, '[ACGT]{12}')),
+PWM = """w as (select unnest(regexp_extract_all(seq, '.{12}')) as seq, mate as strand from seqs), g as (select case when strand = 'fr' then reverse(translate(seq, 'ACGTN', 'TGCAN')) else seq end as seq from w where regexp_full_match(seq, '[ACGT]{12}')),
  b as (select unnest(range(12)) as i), c as (select i as "offset", substr(seq, i + 1, 1) as base, count(*) as n from g, b group by 1, 2),
  f as (select "offset", base, n / sum(n) over (partition by "offset") as freq from c)"""
 
 
 def pwm(spark, d):
-    s = view(spark, d, "seqs").filter(F.length("seq") >= 12).select(F.substring("seq", 1, 12).alias("seq"), F.when(F.col("mate") == "fr", "-").otherwise("+").alias("strand"))
+    """Over all windows of 12 bases, side by side, of every sequence."""
+    s = view(spark, d, "seqs").select(F.explode(F.regexp_extract_all("seq", F.lit("(.{12})"), F.lit(1))).alias("seq"), F.when(F.col("mate") == "fr", "-").otherwise("+").alias("strand"))
     return S.pwm(s, 12)
 
 
@@ -394,13 +408,13 @@ def _(spark, d):
 
 
 @R.add("seq_information", sql(PWM + """, m as (select base, sum(freq) as bg from f where "offset" >= 5 group by 1), n as (select base, bg / (select sum(bg) from m) as bg from m)
- select "offset", round(sum(freq * log2(freq / bg)), 7) as bits from f join n using (base) group by 1""", "seqs"))
+ select "offset", greatest(0.0, round(sum(freq * log2(freq / bg)), 7)) + 0.0 as bits from f join n using (base) group by 1""", "seqs"))
 def _(spark, d):
     return S.information(pwm(spark, d)).withColumn("bits", F.round("bits", 7))
 
 
 INFO = PWM + """, m as (select base, sum(freq) as bg from f where "offset" >= 5 group by 1), n as (select base, bg / (select sum(bg) from m) as bg from m),
- ic as (select "offset" as o, round(sum(freq * log2(freq / bg)), 7) as bits from f join n using (base) group by 1)"""
+ ic as (select "offset" as o, greatest(0.0, round(sum(freq * log2(freq / bg)), 7)) + 0.0 as bits from f join n using (base) group by 1)"""
 
 
 @R.add("sig_verdict", sql(DENSE + ", " + INFO + """, tp as (select bits, o - 1 as "at" from ic order by bits desc, o limit 1),

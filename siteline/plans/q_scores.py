@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from siteline.functions import seq as Q
 from siteline.functions import text as X
+from siteline.functions import trim
 from siteline.operators import compare as C
 from siteline.operators import folds as K
 from siteline.operators import intervals as I
@@ -60,10 +61,44 @@ def _(spark, d):
     return seqs(spark, d).select("doc_id", Q.trim_insert(F.col("seq"), ["TTA", "GAA"]).alias("kept"))
 
 
-@R.add("ext_trim", sql(f"p as (select run, seq, {FIRST} as pos from seqs), t as (select run, case when pos >= 0 then substr(seq, 1, pos) else seq end as kept from p) select run, count(*) as n, count(*) filter (where length(kept) >= 18) as n_kept, cast(sum(length(kept)) as bigint) as bases from t group by 1", "seqs"))
+ADAPTERS = ["TTAGAACT", "GAATTCCA"]
+TAIL = "G"
+
+
+def _begins(adapter: str) -> str:
+    """DuckDB: where an adapter begins in ``rest``, from 0; null where it doesn't."""
+    n = len(adapter)
+    both = f"least({n}, length(rest) - p)"
+    return f"list_filter(range(0, length(rest) - 3), lambda p: hamming(substr(rest, p + 1, {both}), substr('{adapter}', 1, {both})) <= {both} // 8)[1]"
+
+
+@R.add("ext_trim", sql(f"""b as (select run, seq, substr(seq, 1, 6) as umi, substr(seq, 7) as rest from seqs), a as (select run, umi, rest, least({_begins("TTAGAACT")}, {_begins("GAATTCCA")}) as pos from b),
+ k as (select run, umi, pos, case when pos is null then rest else substr(rest, 1, pos) end as kept from a),
+ l as (select *, regexp_extract(kept, '(G*([^G]G*){{0,5}})$', 1) as last from k),
+ t as (select *, coalesce(list_max(list_filter(range(3, length(last) + 1), lambda n: last[length(last) - n + 1] = 'G' and length(replace(right(last, n), 'G', '')) <= least(5, n // 8))), 0) as tail from l)
+ select run, count(*) as n, count(distinct umi) as n_umis, count(*) filter (pos is not null) as n_adapter, count(*) filter (tail > 0) as n_tail, count(*) filter (length(kept) - tail >= 18) as n_kept, cast(sum(length(kept) - tail) as bigint) as bases from t group by 1""", "seqs"))
+def _(spark, d):
+    """A barcode of six bases, either adapter with one mismatch in eight bases, then a tail of G, by run."""
+    umi, rest = trim.split_barcode(F.col("seq"), 6)
+    own = seqs(spark, d).filter("seq is not null").select("run", umi.alias("umi"), rest.alias("rest"))
+    cut = own.withColumn("kept", trim.trim_adapters(F.col("rest"), ADAPTERS)).withColumn("tail", trim.tail_length(F.col("kept"), TAIL, least=3))
+    length = F.length("kept") - F.col("tail")
+    return cut.groupBy("run").agg(count(), F.countDistinct("umi").alias("n_umis"), F.count(F.when(F.length("kept") < F.length("rest"), 1)).alias("n_adapter"), F.count(F.when(F.col("tail") > 0, 1)).alias("n_tail"), F.count(F.when(length >= 18, 1)).alias("n_kept"), F.sum(length).alias("bases"))
+
+
+MATES = """i as (select doc_id, substr(seq, 1, cast(30 + doc_id % 40 as int)) as ins, doc_id % 9 as wrong from seqs where length(seq) >= 70),
+ m as (select doc_id, substr(ins || 'TTAGAACTGAATTCCATTAGAACTGAATTCCATTAGAACT', 1, 60) as r1, substr(translate(reverse(ins), 'ACGTN', 'TGCAN') || 'CCATTGGACCATTGGACCATTGGACCATTGGA', 1, 60) as r2, wrong from i),
+ x as (select doc_id, case when wrong < 5 then substr(r1, 1, cast(wrong as int)) || translate(substr(r1, cast(wrong + 1 as int), 3), 'ACGT', 'CGTA') || substr(r1, cast(wrong + 4 as int)) else r1 end as r1, r2 from m)"""
+
+
+@R.add("ext_trim_pairs", sql(MATES + """, y as (select doc_id, r1, translate(reverse(r2), 'ACGTN', 'TGCAN') as rc, length(r1) as a, length(r2) as b from x)
+ select doc_id, cast(list_max(list_filter(range(30, least(a, b) + 1), lambda n: hamming(substr(r1, 1, n), substr(rc, b - n + 1, n)) <= least(5, n * 20 // 100))) as int) as insert_length from y""", "seqs"))
 def _(spark, d):
-    t = seqs(spark, d).select("run", Q.trim_insert(F.col("seq"), ["TTA", "GAA"]).alias("kept"))
-    return t.groupBy("run").agg(count(), F.count(F.when(F.length("kept") >= 18, 1)).alias("n_kept"), F.sum(F.length("kept")).alias("bases"))
+    """Mates of inserts of 30 to 69 bases, sequenced into the adapters, some with three wrong bases; both run past the insert where it is shorter than 60."""
+    s = seqs(spark, d).filter("length(seq) >= 70").selectExpr("doc_id", "substr(seq, 1, cast(30 + doc_id % 40 as int)) as ins", "doc_id % 9 as at")
+    m = s.select("doc_id", "at", F.substring(F.concat("ins", F.lit("TTAGAACTGAATTCCA" * 2 + "TTAGAACT")), 1, 60).alias("r1"), F.substring(F.concat(Q.revcomp(F.col("ins")), F.lit("CCATTGGA" * 4)), 1, 60).alias("r2"))
+    x = m.withColumn("r1", F.expr("case when at < 5 then concat(substr(r1, 1, cast(at as int)), translate(substr(r1, cast(at + 1 as int), 3), 'ACGT', 'CGTA'), substr(r1, cast(at + 4 as int))) else r1 end"))
+    return x.select("doc_id", trim.insert_length(F.col("r1"), F.col("r2")).alias("insert_length"))
 
 
 @R.add("fn_polyg", sql("select run, count(*) filter (where contains(seq, 'GGG')) as n_polyg, count(*) filter (where contains(seq, 'N')) as n_any_n from seqs group by 1", "seqs"))

@@ -6,6 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from siteline.functions import text as X
+from siteline.operators import compare as C
+from siteline.operators import prefix
 from siteline.operators import relational as L
 from siteline.plans.proxies import sql, table, view
 from siteline.plans.registry import Registry
@@ -192,7 +194,7 @@ def _(spark, d):
 
 @R.add("agg_upper_median", "select lang, list_sort(list(n_chars))[len(list(n_chars)) // 2 + 1] as upper_median from documents group by 1")
 def _(spark, d):
-    return table(spark, d, "documents").groupBy("lang").agg(L.upper_median(F.collect_list("n_chars")).alias("upper_median"))
+    return prefix.order_statistics(table(spark, d, "documents"), ["lang"], "n_chars", {"upper_median": lambda n: F.floor(n / 2)})
 
 
 @R.add("agg_mode", "with c as (select lang, n_chars, count(*) as n, min(doc_id) as first from documents group by 1, 2) select lang, arg_max(n_chars, struct_pack(n := n, f := -first)) as mode from c group by 1")
@@ -299,9 +301,7 @@ def _(spark, d):
 
 @R.add("win_peer_median", "select a.s_suppkey, median(b.s_acctbal) as peers from supplier a join supplier b on a.s_nationkey = b.s_nationkey and a.s_suppkey <> b.s_suppkey group by 1")
 def _(spark, d):
-    s = table(spark, d, "supplier")
-    o = s.select(F.col("s_suppkey").alias("peer"), "s_nationkey", F.col("s_acctbal").alias("v"))
-    return s.join(o, "s_nationkey").filter("s_suppkey <> peer").groupBy("s_suppkey").agg(F.median("v").alias("peers"))
+    return C.peer_median(table(spark, d, "supplier").select("s_suppkey", "s_nationkey", "s_acctbal"), ["s_nationkey"], "s_acctbal", "s_suppkey", "peers").filter("peers is not null").select("s_suppkey", "peers")
 
 
 @R.add("win_row_alternate", "select conv_id, turn, case when turn % 2 = 0 then 1 else 2 end as mate, turn // 2 as record from conversations")
@@ -324,8 +324,8 @@ def _(spark, d):
 
 @R.add("srt_stable", sql("select peak_idx, row_number() over (partition by chrom order by (start_pos + end_pos)//2, peak_idx) as place from peaks", "peaks"))
 def _(spark, d):
-    w = Window.partitionBy("chrom").orderBy(F.floor((F.col("start_pos") + F.col("end_pos")) / 2), "peak_idx")
-    return view(spark, d, "peaks").select("peak_idx", F.row_number().over(w).cast("long").alias("place"))
+    centred = view(spark, d, "peaks").select("peak_idx", "chrom", F.floor((F.col("start_pos") + F.col("end_pos")) / 2).alias("center"))
+    return prefix.numbered(centred, ["chrom"], ["center", "peak_idx"], "place").select("peak_idx", "place")
 
 
 FLAGS = "concat_ws(',', case when depth < 0 then 'FAIL:depth' end, case when depth < 2000 then 'WARN:thin' end)"
@@ -357,11 +357,9 @@ def _(spark, d):
 
 @R.add("set_concat_frames", sql("select fold, event_id from per_locus", "per_locus"))
 def _(spark, d):
+    """Frames of even and odd folds and of none, their columns in different orders, as one."""
     p = view(spark, d, "per_locus").select("fold", "event_id")
-    out = p.filter("fold = 0")
-    for k in range(1, 5):
-        out = out.unionByName(p.filter(f"fold = {k}"))
-    return out
+    return L.concat_frames([p.filter("fold % 2 = 0"), p.filter("fold % 2 <> 0").select("event_id", "fold"), p.filter("fold is null").select("event_id")]).select("fold", "event_id")
 
 
 @R.add("set_except", "(select o_custkey % 50 as k from orders except all select c_custkey % 50 from customer)")

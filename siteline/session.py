@@ -29,7 +29,12 @@ def shared_dir(spark: SparkSession) -> str:
             raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         app = spark.sparkContext.applicationId
         base = _own[app] = _own.get(app) or "file://" + tempfile.mkdtemp(prefix="siteline-")
-    path = spark._jvm.org.apache.hadoop.fs.Path(base)
+    return qualified(spark, base)
+
+
+def qualified(spark: SparkSession, folder: str) -> str:
+    """A folder as a full URI, in the default file system where it names none."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     full = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
     return "file://" + full.removeprefix("file:") if full.startswith("file:/") and not full.startswith("file://") else full
 
