@@ -20,6 +20,16 @@ def pearson(x: Column, y: Column) -> Column:
     return F.when(ok, F.covar_pop(a, b) / (F.stddev_pop(a) * F.stddev_pop(b)))
 
 
+def average_rank(df: DataFrame, column: str, name: str, keys: list[str]) -> DataFrame:
+    """``df`` with the average rank of ``column`` within its keys; rows where it is null are left out."""
+    found = prefix.average_ranks(df, keys, column, name)
+    ranks = found.select(*(F.col(k).alias(f"__k{j}") for j, k in enumerate(keys)), F.col(column).alias("__v"), name)
+    same = F.col(column) == F.col("__v")
+    for j, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"__k{j}"))
+    return df.join(ranks, same).select(*df.columns, name)
+
+
 def spearman(df: DataFrame, x: str, y: str, keys: list[str]) -> DataFrame:
     """Correlation of average ranks within each key; rows with a null side are left out, a constant side gives null.
 

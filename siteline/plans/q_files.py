@@ -81,12 +81,6 @@ def _(spark, d):
     return S.tsv(spark, path, ["name", "region"])
 
 
-@R.add("src_params_json", "select cast(2114 as bigint) as in_window, cast(0.25 as double) as ratio, 'b' as name")
-def _(spark, d):
-    path = text_of(spark, spark.range(1), F.lit('{"in_window": 2114, "ratio": 0.125, "name": "b"}'), "json")
-    return S.params_json(spark, path, "in_window long, ratio double, name string", {"ratio": 0.25, "name": None})
-
-
 @R.add("src_fai", "select cast(c_custkey as varchar) as chrom, c_custkey * 100 as size from customer where c_custkey <= 50")
 def _(spark, d):
     c = table(spark, d, "customer")
@@ -146,12 +140,6 @@ def _(spark, d):
     return S.rrna_features(spark, text_of(spark, table(spark, d, "nation"), line, "gff"))
 
 
-@R.add("src_star_log", "select cast(1000 as bigint) as n_input, cast(850 as bigint) as n_unique")
-def _(spark, d):
-    path = text_of(spark, spark.range(1), F.lit("   Number of input reads |\t1000\n  Uniquely mapped reads number |\t850\n  Uniquely mapped reads % |\t85.0%"), "log")
-    return S.star_log(spark, path).select("n_input", "n_unique")
-
-
 @R.add("src_log_layout_fallback", "select c_custkey as sample, case when c_custkey % 3 < 2 then c_custkey || '/' || (c_custkey % 3) end as path from customer")
 def _(spark, d):
     c = table(spark, d, "customer").select(F.col("c_custkey").alias("sample"))
@@ -198,11 +186,6 @@ def _(spark, d):
     return S.stats_tables(spark, f"{path}/*.tsv", ["experiment", "n_reads", "n_peaks"], configured)
 
 
-@R.add("src_meme_check", "select true as valid, cast(2 as bigint) as n_motifs")
-def _(spark, d):
-    return S.meme_motifs(spark, text_of(spark, spark.range(1), F.lit("MEME version 4\n\nMOTIF a x\n1\nMOTIF b\n"), "meme")).select("valid", "n_motifs")
-
-
 @R.add("src_md5_fetch", """with f as (select c_custkey as k, md5(c_name) as m, case when c_custkey % 5 = 0 then '' else md5(c_name) end as want from customer),
  h as (select *, k % 4 > 0 as here, case when k % 3 = 0 then md5('other') else m end as old, k % 7 > 0 as staged, case when k % 11 = 0 then md5('part') else m end as new from f)
  select 'f' || k as file, case when here and want = '' then 'kept' when here and old = want then 'ok' when not staged then 'FAILED' when want <> '' and new <> want then 'CORRUPT' else 'fetched' end as fetched,
@@ -218,11 +201,6 @@ def _(spark, d):
     return out[0].join(out[1], "file").join(out[2], "file")
 
 
-@R.add("src_yaml_config", "select 'K562' as id, 'human' as species, 'r1,r2' as runs")
-def _(spark, d):
-    return S.config_tables(spark, '{"K562": {"species": "human", "runs": ["r1", "r2"]}}', "id string, species string, runs array<string>").select("id", "species", F.array_join("runs", ",").alias("runs"))
-
-
 SIG = "sig as (select chrom, strand, case when strand='+' then start_pos else end_pos-1 end as pos, cast(count(*) as double) as value from aln where mapq >= 255 group by 1, 2, 3)"
 
 
@@ -538,12 +516,6 @@ def _(spark, d):
     return view(spark, d, "experiments").filter("depth > 0").select(F.concat(F.lit("data/"), "species", F.lit(".bed")).alias("target")).distinct()
 
 
-@R.add("prj_adapter_fasta", "select '>a_1' || chr(10) || 'ACGT' as record union all select '>a_2' || chr(10) || 'TTT' union all select '>b_1' || chr(10) || 'GG'")
-def _(spark, d):
-    t = spark.createDataFrame([("a", ["ACGT", "TTT"]), ("b", ["GG"])], "name string, seqs array<string>")
-    return t.select("name", F.posexplode("seqs").alias("i", "s")).select(F.concat(F.lit(">"), "name", F.lit("_"), (F.col("i") + 1).cast("string"), F.lit("\n"), "s").alias("record"))
-
-
 @R.add("prj_experiment_load", sql("select experiment, species, 'signal/' || experiment || '.plus.bw' as plus from experiments", "experiments"))
 def _(spark, d):
     e = view(spark, d, "experiments")

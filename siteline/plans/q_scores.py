@@ -434,11 +434,6 @@ def _(spark, d):
     return K.greedy_bins(sizes, 5, order=F.expr(SHUFFLED))
 
 
-@R.add("ml_split_check", "select key, a, b from (values ('digest', 'x', 'y'), ('seed', '0', '1')) t(key, a, b)")
-def _(spark, d):
-    return K.drift(spark, {"digest": "x", "seed": "0", "peaks": "old", "folds": "5"}, {"digest": "y", "seed": "1", "peaks": "new", "folds": "5"}, {"peaks"})
-
-
 PICK = "(cast(chrom as bigint) * 2654435761 + start_pos * 40503) % 4294967296"
 LEVEL = "cast((cast(chrom as bigint) * 7919 + start_pos * 31) % 1000 as double)"
 NEG = f"""tl as (select cast(doc_id as varchar) as chrom, i as start_pos, i + 50 as end_pos, substr(seq, i + 1, 50) as s from (select doc_id, seq, unnest(range(0, length(seq) - 49, 50)) as i from seqs where length(seq) >= 50)),
