@@ -242,11 +242,12 @@ def _first_hits(block, k: int, kept: list[str]):
 def classify_reads(reads: DataFrame, references: DataFrame, k: int, block_kmers: int = BLOCK_KMERS) -> DataFrame:
     """``reads`` (seq, index and more) without seq and index, with ``class``: that of its first k-mer that ``references`` (index, seq, class, priority) hold on either strand; else null.
 
-    A read is looked up in the references of its own index.  Where classes share a k-mer the lowest priority wins; a priority, 0 or more, belongs to one class.
+    A read is looked up in the references of its own index; a frame without that column has one.  Where classes share a k-mer the lowest priority wins; a priority, 0 or more, belongs to one class.
     Reads never move: the references' k-mers are counted first and go to the tasks in blocks of ``block_kmers`` at most, by index and
     value, and with several blocks a read, known by its other columns, takes the first hit of all.  A read's own k-mers stay inside its task.
     """
     spark = reads.sparkSession
+    reads, references = (df if "index" in df.columns else df.withColumn("index", F.lit("")) for df in (reads, references))
     known = session.written(reference_kmers(references, k), "kmers")
     names = references.filter("priority is not null").groupBy(F.col("priority").cast("int").alias("priority")).agg(F.min("class").alias("class"))
     kept = [c for c in reads.columns if c not in ("seq", "index")]

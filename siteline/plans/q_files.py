@@ -381,10 +381,18 @@ def rrna_parts(spark, d):
     return inserts.select("experiment", "index").distinct(), inserts, ref
 
 
-@R.add("join_sequence_lookup", sql(SL + ", " + KM + " select read, class from rd left join ht using (read)", "seqs"))
+LOOKUP = """rf as (select seq, case when doc_id % 2 = 0 then '35s' else '5s' end as class, doc_id % 2 as priority from seqs where length(seq) >= 20),
+ bt as (select * from rf union all select reverse(translate(seq, 'ACGTN', 'TGCAN')), class, priority from rf),
+ kn as (select kmer, arg_min(class, priority) as class from (select substr(seq, i, 20) as kmer, class, priority from (select seq, class, priority, unnest(range(1, length(seq) - 18)) as i from bt)) group by 1),
+ rd as (select doc_id as read, seq from seqs where length(seq) >= 20),
+ ht as (select read, arg_min(class, i) as class from (select read, i, substr(seq, i, 20) as kmer from (select read, seq, unnest(range(1, length(seq) - 18)) as i from rd)) join kn using (kmer) group by 1)"""
+
+
+@R.add("join_sequence_lookup", sql(LOOKUP + " select read, class from rd left join ht using (read)", "seqs"))
 def _(spark, d):
-    _, inserts, ref = rrna_parts(spark, d)
-    return C.classify_reads(inserts.filter("length(seq) >= 20").select("read", "seq", "index"), ref, 20)
+    s = view(spark, d, "seqs").filter("length(seq) >= 20")
+    ref = s.select("seq", F.when(F.col("doc_id") % 2 == 0, "35s").otherwise("5s").alias("class"), (F.col("doc_id") % 2).alias("priority"))
+    return C.classify_reads(s.select(F.col("doc_id").alias("read"), "seq"), ref, 20)
 
 
 @R.add("qc_rrna_content", sql(SL + ", " + KM + """, ex as (select distinct run || '/' || lang as experiment, lang as index from sl), ix as (select index, bool_or(class <> 'organellar') as has from rf group by 1),
