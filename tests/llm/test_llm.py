@@ -297,4 +297,4 @@ def test_pipeline_stages(spark):
 
 
 def test_registry():
-    assert sorted(int(k[2:].split("_")[0]) for k in registry.QUERIES) == list(range(1, 11))
+    assert sorted(int(k[2:].split("_")[0]) for k in registry.QUERIES) == list(range(1, 14))
