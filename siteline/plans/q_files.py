@@ -20,6 +20,7 @@ from siteline.plans.proxies import sql, table, view
 from siteline.plans.registry import Registry
 from siteline.session import scratch
 from siteline.sources import readers as S
+from siteline.sources import tracks as T
 from siteline.sources import writers as W
 
 R = Registry()
@@ -204,29 +205,37 @@ def _(spark, d):
 SIG = "sig as (select chrom, strand, case when strand='+' then start_pos else end_pos-1 end as pos, cast(count(*) as double) as value from aln where mapq >= 255 group by 1, 2, 3)"
 
 
-@R.add("snk_bigwig", sql(SIG + " select cast(chrom as integer) as chrom, pos, value from sig where strand = '+'", "aln"))
-def _(spark, d):
+def track_of(spark, d, strand):
+    """The counts of a strand's 5' ends written as a track."""
     from siteline.operators.signal import five_prime
 
-    path = scratch(spark, "bigwig")
-    W.signal(five_prime(view(spark, d, "aln").filter("mapq >= 255 and strand = '+'")).select("chrom", "pos", "value"), path)
-    return spark.read.schema("pos long, value double, chrom int").parquet(path)
+    path = scratch(spark, "track")
+    signal = five_prime(view(spark, d, "aln").filter("mapq >= 255")).filter(F.col("strand") == strand)
+    T.write(signal.select("chrom", F.col("pos").alias("start_pos"), (F.col("pos") + 1).alias("end_pos"), "value"), view(spark, d, "sizes"), path)
+    return T.read(spark, path)
+
+
+@R.add("snk_bigwig", sql(SIG + " select cast(chrom as integer) as chrom, pos, value from sig where strand = '+'", "aln"))
+def _(spark, d):
+    return track_of(spark, d, "+").select(F.col("chrom").cast("int").alias("chrom"), F.col("start_pos").alias("pos"), "value")
 
 
 @R.add("src_bigwig_intervals", sql(SIG + " select chrom, pos as start_pos, pos + 1 as end_pos, value from sig where chrom = '3' and strand = '-'", "aln"))
 def _(spark, d):
-    from siteline.operators.signal import five_prime
+    return track_of(spark, d, "-").filter("chrom = '3'")
+
 
-    return five_prime(view(spark, d, "aln").filter("mapq >= 255")).filter("chrom = '3' and strand = '-'").select("chrom", F.col("pos").alias("start_pos"), (F.col("pos") + 1).alias("end_pos"), "value")
+@R.add("src_bigwig_region", sql(SIG + ", w as (select chrom, max(size) / 3 as low, max(size) / 2 as high from sizes group by 1 having chrom = '4') select sig.chrom, count(*) as n, sum(value) as total from sig join w on sig.chrom = w.chrom and pos + 1 > low and pos < high where strand = '+' group by 1", "aln", "sizes"))
+def _(spark, d):
+    """The intervals of one region of a track; only their blocks are read."""
+    size = view(spark, d, "sizes").filter("chrom = '4'").first()["size"]
+    own = track_of(spark, d, "+").filter((F.col("chrom") == "4") & (F.col("end_pos") > size / 3) & (F.col("start_pos") < size / 2))
+    return own.groupBy("chrom").agg(count(), F.sum("value").alias("total"))
 
 
 @R.add("src_bigwig_values", sql(SIG + ", g as (select p.peak_idx, p.chrom, unnest(range(p.start_pos, p.end_pos)) as pos from peaks p where start_pos < end_pos) select peak_idx, g.pos as pos, coalesce(value, 0) as value from g left join sig on sig.chrom = g.chrom and sig.pos = g.pos and sig.strand = '+'", "aln", "peaks"))
 def _(spark, d):
-    from siteline.operators.signal import five_prime
-
-    grid = view(spark, d, "peaks").filter("start_pos < end_pos").select("peak_idx", "chrom", F.explode(F.sequence("start_pos", F.col("end_pos") - 1)).alias("pos"))
-    s = five_prime(view(spark, d, "aln").filter("mapq >= 255")).filter("strand = '+'").drop("strand")
-    return grid.join(s, ["chrom", "pos"], "left").select("peak_idx", "pos", F.coalesce("value", F.lit(0.0)).alias("value"))
+    return T.values(track_of(spark, d, "+"), view(spark, d, "peaks"))
 
 
 @R.add("snk_markdown", "select '| ' || s_suppkey || ' | ' || printf('%.1fM', s_nationkey * 100000 / 1e6) || ' |' as line from supplier")
