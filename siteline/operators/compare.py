@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from siteline import session
 from siteline.operators import prefix
+from siteline.operators.intervals import bin_join
 
 
 def pearson(x: Column, y: Column) -> Column:
@@ -169,3 +170,83 @@ def peer_median(df: DataFrame, keys: list[str], value: str, row: str, name: str)
     side = lambda place, a, b: F.when(place(F.col("__all")) < F.col("__own"), F.col(a)).otherwise(F.col(b))
     middle = (side(low, "__l0", "__l1").cast("double") + side(high, "__h0", "__h1").cast("double")) / 2
     return both.select(*df.columns, F.when(F.col("__all") > 1, middle).alias(name))
+
+
+def locus_scores(loci: DataFrame, a: DataFrame, b: DataFrame, strands: int = 2) -> DataFrame:
+    """``locus``, a_count, b_count, profile_pearson and profile_jsd of two tracks (chrom, strand, pos, value) at ``loci`` (locus, chrom, start_pos, end_pos).
+
+    A profile is the absolute value of each base and strand.  The distance is of the softmax of ``b`` from ``a`` as shares of
+    its sum.  Only bases with signal are joined: those without have known terms, so that the work doesn't depend on the loci's
+    width.  A constant side has no correlation (null), and an ``a`` without signal no distance.  Loci that overlap count each.
+    """
+    one = lambda t, name: t.groupBy("chrom", "strand", "pos").agg(F.sum(F.abs("value")).alias(name))
+    zero = F.lit(0.0)
+    both = one(a, "a").join(one(b, "b"), ["chrom", "strand", "pos"], "full").select("chrom", F.col("pos").alias("b_start"), (F.col("pos") + 1).alias("b_end"), F.coalesce("a", zero).alias("a"), F.coalesce("b", zero).alias("b"))
+    own = loci.select("locus", "chrom", F.col("start_pos").alias("a_start"), F.col("end_pos").alias("a_end"))
+    wide = (strands * (F.col("a_end") - F.col("a_start"))).cast("double")
+    of = Window.partitionBy("locus")  # at most the bases of a locus
+    hits = bin_join(own, both).select("locus", wide.alias("n"), "a", "b", F.count("*").over(of).alias("hits"), F.sum("a").over(of).alias("sa"), F.max("b").over(of).alias("top"))
+    hits = hits.withColumn("e", F.exp(F.col("b") - F.col("top"))).withColumn("none", F.exp(-F.col("top")))
+    hits = hits.withColumn("all", F.sum("e").over(of) + (F.col("n") - F.col("hits")) * F.col("none"))
+    p, q = F.col("e") / F.col("all"), F.when(F.col("sa") > 0, F.col("a") / F.col("sa"))
+    half = lambda x, y: F.when(x > 0, x * F.ln(2 * x / (x + y))).otherwise(0.0)
+    first = lambda c: F.max(c)
+    sums = hits.groupBy("locus").agg(
+        first("n").alias("n"), F.sum("a").alias("sa"), F.sum("b").alias("sb"), F.sum(F.col("a") * F.col("a")).alias("aa"), F.sum(F.col("b") * F.col("b")).alias("bb"), F.sum(F.col("a") * F.col("b")).alias("ab"),
+        F.sum(half(p, q) + half(q, p)).alias("apart"), first((F.col("n") - F.col("hits")) * F.col("none") / F.col("all")).alias("rest"),
+    )
+    va, vb = F.col("n") * F.col("aa") - F.col("sa") * F.col("sa"), F.col("n") * F.col("bb") - F.col("sb") * F.col("sb")
+    r = F.when((va > 0) & (vb > 0), (F.col("n") * F.col("ab") - F.col("sa") * F.col("sb")) / F.sqrt(va) / F.sqrt(vb))
+    jsd = F.when(F.col("sa") > 0, F.sqrt(F.greatest(zero, F.col("apart") + F.col("rest") * F.ln(F.lit(2.0))) / F.lit(2.0)))
+    scored = sums.select("locus", "sa", "sb", r.alias("profile_pearson"), jsd.alias("profile_jsd"))
+    return loci.select("locus").join(scored, "locus", "left").select("locus", F.coalesce("sa", zero).alias("a_count"), F.coalesce("sb", zero).alias("b_count"), "profile_pearson", "profile_jsd")
+
+
+def compare_tracks(loci: DataFrame, a: DataFrame, b: DataFrame, strands: int = 2) -> DataFrame:
+    """metric, value and ``n``, the loci that it is of: medians of the profile scores (the lower of two in the middle) and the three correlations of counts.
+
+    Loci whose profile score isn't defined are left out of its median, as ``n`` shows.
+    """
+    own = session.written(locus_scores(loci, a, b, strands), "scores")
+    logs = own.agg(pearson(F.col("a_count"), F.col("b_count")).alias("counts_pearson"), pearson(F.log1p("a_count"), F.log1p("b_count")).alias("log_counts_pearson"), F.count("*").alias("n"))
+    rho = spearman(own, "a_count", "b_count", [])
+    middle = {"value": lambda n: F.floor((n - 1) / 2)}
+    out = logs.select(F.explode(F.array(*(F.struct(F.lit(c).alias("metric"), F.col(c).alias("value"), "n") for c in ("counts_pearson", "log_counts_pearson")))).alias("m")).select("m.*")
+    out = out.unionByName(rho.select(F.lit("counts_spearman").alias("metric"), F.col("rho").alias("value"), "n"))
+    for score in ("profile_pearson", "profile_jsd"):
+        found = prefix.order_statistics(own, [], score, middle).select(F.lit(score).alias("metric"), "value")
+        out = out.unionByName(found.join(own.agg(F.count(score).alias("n")), how="cross"))  # one row each
+    return out
+
+
+def align_masked(loci: DataFrame, mask: DataFrame, predictions: DataFrame) -> DataFrame:
+    """``predictions`` (row, ...) with the columns of the loci that they belong to: row k is the k-th locus that the mask keeps.
+
+    ``loci`` (place, ...) and ``mask`` (place, kept) number the same list from 0, a null not kept.  A mask of other places than
+    the loci, or rows other than 0 to the number kept less one, raises, as coordinates would move to other loci.
+    """
+    wrong = loci.select("place").exceptAll(mask.select("place")).unionByName(mask.select("place").exceptAll(loci.select("place")))
+    if not wrong.isEmpty():
+        raise ValueError("the mask is of other loci")
+    kept = mask.filter("kept").join(loci, "place")
+    rows = session.written(prefix.numbered(kept, [], ["place"], "row", first=0), "kept")
+    odd = rows.select("row").exceptAll(predictions.select(F.col("row").cast("long").alias("row"))).unionByName(predictions.select(F.col("row").cast("long").alias("row")).exceptAll(rows.select("row")))
+    if not odd.isEmpty():
+        raise ValueError("the mask keeps another number of loci than were predicted")
+    return rows.drop("kept").join(predictions.withColumn("row", F.col("row").cast("long")), "row")
+
+
+def one_signed_thresholds(scores: DataFrame, keys: list[str], value: str, share: float) -> DataFrame:
+    """``keys``, ``lower`` and ``upper``: on each side of zero, the value that ``share`` of the side's values don't pass outwards.
+
+    A side without values keeps everything out: its threshold is infinite.  Nulls, zeros and values that aren't numbers are on no side.
+    """
+    side = scores.filter(f"`{value}` <> 0 and not isnan(`{value}`)").withColumn("__up", F.col(value) > 0).withColumn("__size", F.abs(value).cast("double"))
+    at = lambda n: F.least(F.floor(n * share), n - 1)
+    found = prefix.order_statistics(side, [*keys, "__up"], "__size", {"__t": at})
+    sides = found.groupBy(*(F.col(k).alias(f"__{k}") for k in keys)).agg(F.max(F.when(~F.col("__up"), -F.col("__t"))).alias("lower"), F.max(F.when(F.col("__up"), F.col("__t"))).alias("upper"))
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    inf = F.lit(float("inf"))
+    return scores.select(*keys).distinct().join(sides, same, "left").select(*keys, F.coalesce("lower", -inf).alias("lower"), F.coalesce("upper", inf).alias("upper"))

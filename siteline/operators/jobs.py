@@ -12,14 +12,14 @@ TRAINING_INPUTS = ("peaks", "sequences", "gc_negatives", "signals", "controls",
 QC_INPUTS = ("peaks", "sequences", "signals")
 #: Kinds of which an experiment may have several; their labels carry a number.
 SEVERAL = ("signals", "controls", "blacklist")
-#: What each named rule asks for: one file an experiment, or one in all.
+#: What each named rule asks for: files of each experiment, and files in all.
 RULES = {
-    "all": (("pl.bw", "mn.bw", "peaks.bed.gz", "orientation.tsv", "umi.tsv", "rrna.tsv", "reads.tsv"), ("experiment_stats.tsv",)),
-    "qc": (("orientation.tsv", "umi.tsv", "rrna.tsv", "reads.tsv"), ("experiment_stats.tsv",)),
-    "stats": ((), ("experiment_stats.tsv", "experiment_stats.md")),
-    "orientation": (("orientation.tsv", "orientation_qc.png"), ()),
-    "signal_only": (("pl.bw", "mn.bw"), ()),
-    "fetch_only": (("fastq", "fasta"), ()),
+    "all": (("{}_pl.bw", "{}_mn.bw", "{}_peaks.bed.gz", "orientation/{}.tsv", "umi/{}.tsv", "rrna/{}.tsv", "reads/{}.tsv"), ("stats/experiment_stats.tsv",)),
+    "qc": (("orientation/{}.tsv", "umi/{}.tsv", "rrna/{}.tsv", "reads/{}.tsv"), ("stats/experiment_stats.tsv",)),
+    "stats": ((), ("stats/experiment_stats.tsv", "stats/experiment_stats.md")),
+    "orientation": (("orientation/{}.tsv", "orientation/{}.orientation_qc.png"), ()),
+    "signal_only": (("{}_pl.bw", "{}_mn.bw"), ()),
+    "fetch_only": ((), ()),
     "blacklists": ((), ()),
 }
 
@@ -63,14 +63,58 @@ def artifact_paths(experiment: Column, family: Column, fold: Column, suffix: Col
     }
 
 
-def rule_targets(experiments: DataFrame, blacklists: DataFrame) -> DataFrame:
-    """rule and target of every named rule; ``blacklists`` (target) belong to all that fetch or finish inputs."""
+def rule_targets(experiments: DataFrame, blacklists: DataFrame, fetched: DataFrame) -> DataFrame:
+    """rule and target of every named rule, each once.
+
+    ``experiments`` (experiment); ``blacklists`` (target) belong to all rules that fetch or finish inputs; ``fetched``
+    (target), the reads and genomes of the experiments, to the one that only fetches.
+    """
     each = F.array(*(F.struct(F.lit(rule).alias("rule"), F.lit(name).alias("name")) for rule, (own, _) in RULES.items() for name in own))
     once = F.array(*(F.struct(F.lit(rule).alias("rule"), F.lit(name).alias("target")) for rule, (_, whole) in RULES.items() for name in whole))
-    own = experiments.select("experiment", F.explode(each).alias("e")).select("e.rule", F.concat(F.col("experiment").cast("string"), F.lit("."), "e.name").alias("target"))
+    own = experiments.select("experiment", F.explode(each).alias("e")).select("e.rule", F.replace("e.name", F.lit("{}"), F.col("experiment").cast("string")).alias("target"))
     whole = experiments.sparkSession.range(1).select(F.explode(once).alias("e")).select("e.rule", "e.target")
-    lists = blacklists.select(F.explode(F.array(*(F.lit(x) for x in ("all", "fetch_only", "blacklists")))).alias("rule"), "target").distinct()
-    return own.unionByName(whole).unionByName(lists)
+    lists = blacklists.select(F.explode(F.array(*(F.lit(x) for x in ("all", "fetch_only", "blacklists")))).alias("rule"), "target")
+    return own.unionByName(whole).unionByName(lists).unionByName(fetched.select(F.lit("fetch_only").alias("rule"), "target")).distinct()
+
+
+def load_experiments(entries: DataFrame, use_controls: bool = False, wanted: list[str] | None = None) -> DataFrame:
+    """experiment, species and resolved paths of ``entries`` (experiment, species, processed: a map of kind to path).
+
+    peaks, sequences and negatives are null where an entry lacks them, and so is an empty blacklist.  Both signals must be
+    there; controls, plus before minus, only where they are asked for, and then both.  What is absent raises, by name, as does an
+    experiment of ``wanted`` without an entry.
+    """
+    found = entries if wanted is None else entries.filter(F.col("experiment").cast("string").isin(wanted))
+    if wanted is not None:
+        known = {str(r[0]) for r in found.select("experiment").distinct().collect()}  # those asked for by name
+        if unknown := sorted(set(wanted) - known):
+            raise KeyError(f"unknown experiments: {', '.join(unknown[:20])}")
+    at = lambda kind: F.col("processed")[kind]
+    for kinds in [("pl_bigwig", "mn_bigwig")] + [("pl_control", "mn_control")] * use_controls:
+        lacking = found.filter(" or ".join(f"processed['{k}'] is null" for k in kinds)).select(F.col("experiment").cast("string")).orderBy("experiment").limit(20).collect()
+        if lacking:
+            raise KeyError(f"no {' or '.join(kinds)} of {', '.join(r[0] for r in lacking)}")
+    pair = lambda a, b: F.array(at(a), at(b))
+    none = F.lit(None).cast("array<string>")
+    return found.select(
+        "experiment", "species", at("peaks").alias("peaks"), pair("pl_bigwig", "mn_bigwig").alias("signals"), at("sequences").alias("sequences"), at("gc_negatives").alias("negatives"),
+        (pair("pl_control", "mn_control") if use_controls else none).alias("controls"), F.when(at("blacklist") != "", F.array(at("blacklist"))).otherwise(none).alias("blacklist"),
+    )
+
+
+def fold_mechanism(species: DataFrame, tables: DataFrame, splits: DataFrame) -> DataFrame:
+    """species, ``peak_level`` and ``n_folds``: a species with a table of peaks' folds uses it, others their chromosomes' folds.
+
+    ``tables`` (species, fold) are the rows of the tables that exist, a null fold counting as none; ``splits`` (species, fold)
+    those of chromosomes.  A species with neither raises.
+    """
+    peaks = tables.groupBy("species").agg(F.countDistinct("fold").alias("__peaks"))
+    chroms = splits.groupBy("species").agg(F.countDistinct("fold").alias("__chroms"))
+    both = species.select("species").distinct().join(peaks, "species", "left").join(chroms, "species", "left")
+    neither = both.filter("__peaks is null and __chroms is null").orderBy("species").limit(20).collect()
+    if neither:
+        raise KeyError(f"no fold assignment for {', '.join(str(r['species']) for r in neither)}")
+    return both.select("species", F.col("__peaks").isNotNull().alias("peak_level"), F.coalesce("__peaks", "__chroms").alias("n_folds"))
 
 
 def verify_folds(folds: DataFrame, main: DataFrame, contigs: DataFrame, sizes: DataFrame) -> DataFrame:

@@ -118,6 +118,26 @@ def interleave_suspect(survey: DataFrame) -> DataFrame:
     return own.join(medians, ["__p", "run"], "left").select(*survey.columns, F.when(may, why).otherwise("").alias("interleave_suspect"))
 
 
+def _other_adapter() -> Column:
+    """Whether reads show an adapter other than the configured one, often enough."""
+    got = F.trim(F.coalesce("best_adapter", F.lit("")))
+    return (F.coalesce("adapter", F.lit("")) != "") & ~got.isin("", "none", "missing") & (got != F.col("adapter")) & (F.col("pct_adapter") >= ADAPTER_CONFLICT_PCT)
+
+
+def adapter_conflicts(survey: DataFrame, adapters: DataFrame) -> DataFrame:
+    """Every experiment of ``adapters`` (experiment, adapter) with ``configured``, ``n_runs`` measured, ``n_conflicts`` and ``measured``, what most of these show.
+
+    ``survey`` has experiment, mate, n_sampled, best_adapter and pct_adapter.  Only first mates that were sampled count; a
+    blank configured adapter leaves detection to the trimmer and conflicts with nothing.  Ties go to the first name.
+    """
+    first = survey.filter("n_sampled > 0 and mate = 'R1'").join(adapters, "experiment")
+    got = F.trim("best_adapter")
+    by = first.withColumn("other", F.coalesce(_other_adapter(), F.lit(False))).groupBy("experiment", "other", got.alias("got")).agg(F.count("*").alias("n"))
+    sums = by.groupBy("experiment").agg(F.sum("n").alias("n_runs"), F.sum(F.when(F.col("other"), F.col("n"))).alias("n_conflicts"), F.min(F.when(F.col("other"), F.struct((-F.col("n")).alias("n"), "got"))).alias("w"))
+    zero = F.lit(0).cast("long")
+    return adapters.join(sums, "experiment", "left").select("experiment", F.coalesce("adapter", F.lit("")).alias("configured"), F.coalesce("n_runs", zero).alias("n_runs"), F.coalesce("n_conflicts", zero).alias("n_conflicts"), F.col("w.got").alias("measured"))
+
+
 def survey_flags(survey: DataFrame, adapters: DataFrame) -> DataFrame:
     """experiment and ``problems`` of ``survey`` (experiment, run, mate, n_sampled, median_insert, pct_adapter, best_adapter, interleave_suspect, declared_interleaved).
 
@@ -128,7 +148,7 @@ def survey_flags(survey: DataFrame, adapters: DataFrame) -> DataFrame:
     dimer = (F.col("median_insert") < DIMER_INSERT) & (F.col("pct_adapter") >= DIMER_PCT)
     hidden = (F.coalesce("interleave_suspect", F.lit("")) != "") & (F.lower(F.coalesce("declared_interleaved", F.lit("no"))) != "yes")
     got = F.trim(F.coalesce("best_adapter", F.lit("")))
-    other = (F.coalesce("adapter", F.lit("")) != "") & ~got.isin("", "none", "missing") & (got != F.col("adapter")) & (F.col("pct_adapter") >= ADAPTER_CONFLICT_PCT)
+    other = _other_adapter()
     runs = lambda c: F.array_join(F.array_sort(F.collect_set(F.when(c, F.col("run").cast("string")))), "/")
     listed = first.groupBy("experiment").agg(runs(dimer).alias("dimer"), runs(hidden).alias("hidden"))
     wrong = first.filter(other).groupBy("experiment", "adapter", got.alias("got")).agg(F.count("*").alias("n"))

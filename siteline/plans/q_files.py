@@ -96,13 +96,16 @@ def _(spark, d):
     return S.fastq(spark, path).select(F.col("name").cast("long").alias("doc_id"), "seq")
 
 
-@R.add("src_fastq_budget", "select cast(40 as bigint) as n, cast(2 as bigint) as n_files")
+@R.add("src_fastq_budget", sql("select file, doc_id, seq from (select doc_id % 2 as file, doc_id, seq, row_number() over (partition by doc_id % 2 order by doc_id) as i from seqs where seq <> '') where i <= 20", "seqs"))
 def _(spark, d):
-    paths = []
+    """60 reads of three files, one of which isn't there: 20 of each other."""
+    s = view(spark, d, "seqs").filter("seq <> ''")
+    record = F.concat(F.lit("@"), F.col("doc_id").cast("string"), F.lit(":"), (F.col("doc_id") % 2).cast("string"), F.lit("\n"), "seq", F.lit("\n+\n"), F.regexp_replace("seq", ".", "I"))
+    paths = [scratch(spark, "fastq") for _ in range(3)]
     for k in (0, 1):
-        s = view(spark, d, "seqs").filter(f"seq <> '' and doc_id % 2 = {k}")
-        paths.append(text_of(spark, s, F.concat(F.lit("@"), F.col("doc_id").cast("string"), F.lit("\n"), "seq", F.lit("\n+\nI")), "fastq", whole=True))
-    return S.fastq_budget(spark, paths, 40).agg(count(), F.countDistinct("file").alias("n_files"))
+        s.filter(F.col("doc_id") % 2 == k).repartition(1).sortWithinPartitions("doc_id").select(record.alias("value")).write.text(paths[k])  # a file is one by nature here
+    name = F.split("name", ":")
+    return S.fastq_budget(spark, paths, 60).select(name[1].cast("long").alias("file"), name[0].cast("long").alias("doc_id"), "seq")
 
 
 FASTA = "select cast(doc_id as varchar) as chrom, seq from seqs where length(seq) >= 20"
@@ -533,17 +536,29 @@ def _(spark, d):
     return view(spark, d, "experiments").filter("depth > 0").select(F.concat(F.lit("data/"), "species", F.lit(".bed")).alias("target")).distinct()
 
 
-@R.add("prj_experiment_load", sql("select experiment, species, 'signal/' || experiment || '.plus.bw' as plus from experiments", "experiments"))
+@R.add("prj_experiment_load", sql("""p as (select experiment, species, depth, 'data/' || experiment as root from experiments)
+ select experiment, species, root || '.bed.gz' as peaks, [root || '_pl.bw', root || '_mn.bw'] as signals, case when taxon_ok then 'genome/' || species || '.fa' end as sequences, case when depth > 0 then root || '_neg.bed' end as negatives, [root || '_pl_c.bw', root || '_mn_c.bw'] as controls, case when depth > 3000 then ['lists/' || species || '.bed'] end as blacklist
+ from (select *, experiment % 5 > 0 as taxon_ok from p)""", "experiments"))
 def _(spark, d):
-    e = view(spark, d, "experiments")
-    return e.select("experiment", "species", F.concat(F.lit("signal/"), F.col("experiment").cast("string"), F.lit(".plus.bw")).alias("plus"))
+    at, sp = F.concat(F.lit("data/"), F.col("experiment").cast("string")), F.col("species")
+    held = {
+        "peaks": F.concat(at, F.lit(".bed.gz")), "pl_bigwig": F.concat(at, F.lit("_pl.bw")), "mn_bigwig": F.concat(at, F.lit("_mn.bw")), "sequences": F.when(F.col("experiment") % 5 > 0, F.concat(F.lit("genome/"), sp, F.lit(".fa"))),
+        "gc_negatives": F.when(F.col("depth") > 0, F.concat(at, F.lit("_neg.bed"))), "pl_control": F.concat(at, F.lit("_pl_c.bw")), "mn_control": F.concat(at, F.lit("_mn_c.bw")), "blacklist": F.when(F.col("depth") > 3000, F.concat(F.lit("lists/"), sp, F.lit(".bed"))).otherwise(""),
+    }
+    entries = view(spark, d, "experiments").select("experiment", "species", F.create_map(*(x for k, v in held.items() for x in (F.lit(k), v))).alias("processed"))
+    return J.load_experiments(entries, use_controls=True)
 
 
-@R.add("fn_uses_peak_folds", sql("select distinct species, species like 'C%' as peak_level from experiments", "experiments"))
+@R.add("fn_uses_peak_folds", sql("""t as (select distinct species, experiment % 6 as fold from experiments where species in (select n_name from nation where n_regionkey < 2)),
+ c as (select distinct species, experiment % 4 as fold from experiments)
+ select species, n.n is not null as peak_level, coalesce(n.n, m.n) as n_folds from (select distinct species from experiments) s left join (select species, count(distinct fold) as n from t group by 1) n using (species) left join (select species, count(distinct fold) as n from c group by 1) m using (species)""", "experiments"))
 def _(spark, d):
-    e = view(spark, d, "experiments").select("species").distinct()
-    have = e.filter(F.col("species").startswith("C")).withColumn("has", F.lit(True))
-    return e.join(have, "species", "left").select("species", F.coalesce("has", F.lit(False)).alias("peak_level"))
+    """Tables of peaks' folds exist for the species of two regions: those in the folder are all there are."""
+    e = view(spark, d, "experiments")
+    path = scratch(spark, "folds")
+    e.filter("taxon < 2").select("species", (F.col("experiment") % 6).alias("fold")).distinct().write.partitionBy("species").csv(path)
+    tables = spark.read.schema("fold long, species string").csv(path)
+    return J.fold_mechanism(e, tables, e.select("species", (F.col("experiment") % 4).alias("fold")))
 
 
 @R.add("src_ena_http", "select 'SRR' || c_custkey as run_accession, c_name as sample from customer where c_custkey % 10 = 0")
@@ -604,13 +619,16 @@ def _(spark, d):
     return view(spark, d, "experiments").filter("depth >= 0").select("experiment", F.concat(F.lit("fit --experiment "), F.col("experiment").cast("string"), F.lit(" --fold 0")).alias("command"))
 
 
-@R.add("orc_rule_targets", sql("""r as (select * from (values ('all', 7, 1), ('qc', 4, 1), ('stats', 0, 2), ('orientation', 2, 0), ('signal_only', 2, 0), ('fetch_only', 2, 0), ('blacklists', 0, 0)) t(rule, each, whole)),
- n as (select count(*) as e, count(distinct species) filter (depth > 0) as b from experiments)
- select rule, each * e + whole + case when rule in ('all', 'fetch_only', 'blacklists') then b else 0 end as n from r, n""", "experiments"))
+@R.add("orc_rule_targets", sql("""own as (select * from (values ('all', '', '_pl.bw'), ('all', '', '_mn.bw'), ('all', '', '_peaks.bed.gz'), ('all', 'orientation/', '.tsv'), ('all', 'umi/', '.tsv'), ('all', 'rrna/', '.tsv'), ('all', 'reads/', '.tsv'),
+  ('qc', 'orientation/', '.tsv'), ('qc', 'umi/', '.tsv'), ('qc', 'rrna/', '.tsv'), ('qc', 'reads/', '.tsv'), ('orientation', 'orientation/', '.tsv'), ('orientation', 'orientation/', '.orientation_qc.png'), ('signal_only', '', '_pl.bw'), ('signal_only', '', '_mn.bw')) t(rule, a, b)),
+ b as (select distinct 'data/' || species || '.bed' as target from experiments where depth > 0)
+ select rule, a || experiment || b as target from experiments, own union all select * from (values ('all', 'stats/experiment_stats.tsv'), ('qc', 'stats/experiment_stats.tsv'), ('stats', 'stats/experiment_stats.tsv'), ('stats', 'stats/experiment_stats.md'))
+ union all select unnest(['all', 'fetch_only', 'blacklists']), target from b union all select 'fetch_only', 'genome/' || species || '.fa' from (select distinct species from experiments) union all select 'fetch_only', 'fastq/' || experiment || '_' || unnest([1, 2]) || '.fastq.gz' from experiments""", "experiments"))
 def _(spark, d):
     e = view(spark, d, "experiments")
-    lists = e.filter("depth > 0").select(F.concat(F.lit("data/"), "species", F.lit(".bed")).alias("target")).distinct()
-    return J.rule_targets(e, lists).groupBy("rule").agg(count())
+    lists = e.filter("depth > 0").select(F.concat(F.lit("data/"), "species", F.lit(".bed")).alias("target"))
+    reads = e.select(F.explode(F.array(*(F.concat(F.lit("fastq/"), F.col("experiment").cast("string"), F.lit(f"_{k}.fastq.gz")) for k in (1, 2)))).alias("target"))
+    return J.rule_targets(e, lists, reads.unionByName(e.select(F.concat(F.lit("genome/"), "species", F.lit(".fa")).alias("target"))))
 
 
 @R.add("orc_qc_rules", "with " + STATS + "," + FLAG + " select species, count(*) as n, count(*) filter (where qc_flags <> '') as n_flagged from fl join st using (experiment) group by 1")

@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from siteline import session
 from siteline.functions import seq as Q
 from siteline.functions import text as X
 from siteline.functions import trim
 from siteline.operators import compare as C
 from siteline.operators import folds as K
 from siteline.operators import intervals as I
+from siteline.operators import signal as G
 from siteline.operators.ordinal import with_ordinal
 from siteline.plans.proxies import sql, table, view
 from siteline.plans.registry import Registry
@@ -261,13 +263,45 @@ def _(spark, d):
     return pairs(spark, d).select("vec_id", F.round(C.jensen_shannon(C.normalised(F.col("o")), C.softmax(F.col("p"))), 6).alias("jsd"))
 
 
-@R.add("met_track_compare", "with " + PAIR + ", u as (select vec_id, unnest(o) as o, unnest(p) as p from pr) select vec_id, round(corr(o, abs(p)), 6) as r, round(abs(sum(o) - sum(abs(p))), 4) as gap from u group by 1")
+@R.add("met_track_gap", "with " + PAIR + ", u as (select vec_id, unnest(o) as o, unnest(p) as p from pr) select vec_id, round(corr(o, abs(p)), 6) as r, round(abs(sum(o) - sum(abs(p))), 4) as gap from u group by 1")
 def _(spark, d):
     absp = F.transform("p", lambda v: F.abs(v))
     total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, v: s + v)
     return pairs(spark, d).select("vec_id", F.round(C.array_pearson(F.col("o"), absp), 6).alias("r"), F.round(F.abs(total(F.col("o")) - total(absp)), 4).alias("gap"))
 
 
+TRACKS = """w as (select peak_idx as locus, chrom, greatest(0, (start_pos + end_pos) // 2 - 50) as s, (start_pos + end_pos) // 2 + 50 as e from peaks),
+ five as (select chrom, strand, case when strand = '+' then start_pos else end_pos - 1 end as pos, sample from aln where mapq >= 255),
+ ta as (select chrom, strand, pos, cast(count(*) as double) as v from five where sample <= 3 group by all), tb as (select chrom, strand, pos, cast(count(*) as double) as v from five where sample >= 2 group by all),
+ g as (select locus, chrom, strand, unnest(range(s, e)) as pos from w, (values ('+'), ('-')) t(strand)),
+ v as (select locus, coalesce(ta.v, 0) as a, coalesce(tb.v, 0) as b from g left join ta on ta.chrom = g.chrom and ta.strand = g.strand and ta.pos = g.pos left join tb on tb.chrom = g.chrom and tb.strand = g.strand and tb.pos = g.pos),
+ k as (select locus, sum(a) as ca, sum(b) as cb, sum(exp(b)) as eb, min(a) < max(a) and min(b) < max(b) as varies, corr(a, b) as r from v group by 1),
+ d as (select locus, a / ca as q, exp(b) / eb as p from v join k using (locus) where ca > 0),
+ j as (select locus, sqrt(greatest(0, sum(case when p > 0 then p * ln(2 * p / (p + q)) else 0 end + case when q > 0 then q * ln(2 * q / (p + q)) else 0 end)) / 2) as jsd from d group by 1),
+ l as (select locus, ca as a_count, cb as b_count, case when varies then r end as profile_pearson, jsd as profile_jsd from k left join j using (locus))"""
+
+
+def two_tracks(spark, d):
+    """Peaks' windows and the counts of two sets of samples that share some."""
+    mid = F.floor((F.col("start_pos") + F.col("end_pos")) / 2)
+    loci = view(spark, d, "peaks").select(F.col("peak_idx").alias("locus"), "chrom", F.greatest(F.lit(0), mid - 50).alias("start_pos"), (mid + 50).alias("end_pos"))
+    aln = view(spark, d, "aln").filter("mapq >= 255")
+    return loci, G.five_prime(aln.filter("sample <= 3")), G.five_prime(aln.filter("sample >= 2"))
+
+
+@R.add("met_track_profiles", sql(TRACKS + " select locus, a_count, b_count, round(profile_pearson, 6) as profile_pearson, round(profile_jsd, 6) as profile_jsd from l", "peaks", "aln"))
+def _(spark, d):
+    return C.locus_scores(*two_tracks(spark, d)).withColumns({c: F.round(c, 6) for c in ("profile_pearson", "profile_jsd")})
+
+
+@R.add("met_track_compare", sql(TRACKS + """, x as (select a_count, b_count, avg(i) over (partition by a_count) as ra, avg(h) over (partition by b_count) as rb from (select a_count, b_count, row_number() over (order by a_count) as i, row_number() over (order by b_count) as h from l))
+ select 'profile_pearson' as metric, round(quantile_disc(profile_pearson, 0.5), 6) as value, count(profile_pearson) as n from l union all select 'profile_jsd', round(quantile_disc(profile_jsd, 0.5), 6), count(profile_jsd) from l
+ union all select 'counts_pearson', round(corr(a_count, b_count), 6), count(*) from l union all select 'log_counts_pearson', round(corr(ln(1 + a_count), ln(1 + b_count)), 6), count(*) from l
+ union all select 'counts_spearman', round(corr(ra, rb), 6), count(*) from x""", "peaks", "aln"))
+def _(spark, d):
+    return C.compare_tracks(*two_tracks(spark, d)).withColumn("value", F.round("value", 6))
+
+
 @R.add("met_scaled_prediction", "with " + PAIR + ", n as (select vec_id, p, list_sum(list_transform(p, lambda x: exp(x))) as t, list_sum(o) as c from pr), u as (select vec_id, exp(unnest(p)) / t * c as v from n) select vec_id, round(sum(v), 5) as total, round(max(v), 5) as top from u group by 1")
 def _(spark, d):
     total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, v: s + v)
@@ -316,10 +350,13 @@ def _(spark, d):
     return view(spark, d, "per_locus").groupBy("fold").agg(F.round(F.avg(F.isnan(score).cast("double")), 9).alias("share"))
 
 
-@R.add("met_align_mask", sql("select peak_idx, chrom, start_pos from peaks where qval < 0.08", "peaks"))
+@R.add("met_align_mask", sql("select peak_idx, chrom, start_pos, end_pos - start_pos as predicted from peaks where chrom in ('1', '2', '5') and qval < 0.08", "peaks"))
 def _(spark, d):
-    p = view(spark, d, "peaks")
-    return p.filter("qval < 0.08").select("peak_idx").join(p.select("peak_idx", "chrom", "start_pos"), "peak_idx")
+    """Predictions, stored without coordinates in the order of the loci that were kept, put back to these by the mask."""
+    p = view(spark, d, "peaks").filter("chrom in ('1', '2', '5')")
+    loci = session.written(with_ordinal(p, "peak_idx", name="place", first=0).withColumn("place", F.col("place").cast("long")), "loci")
+    predictions = with_ordinal(loci.filter("qval < 0.08").select("peak_idx", (F.col("end_pos") - F.col("start_pos")).alias("predicted")), "peak_idx", name="row", first=0).select("row", "predicted")
+    return C.align_masked(loci.select("place", "peak_idx", "chrom", "start_pos"), loci.select("place", (F.col("qval") < 0.08).alias("kept")), predictions).select("peak_idx", "chrom", "start_pos", "predicted")
 
 
 EDGES = "e as (select list_distinct([quantile_cont(obs_counts, k / 10.0) for k in range(11)]) as x from per_locus)"
@@ -477,6 +514,8 @@ def _(spark, d):
     return table(spark, d, "nation").select("n_nationkey", F.least(F.lit(0.25), F.col("n_nationkey") / F.greatest("n_regionkey", F.lit(1))).alias("ratio"))
 
 
-@R.add("ml_isotonic_guard", sql("select species, coalesce(max(depth) filter (where depth > 9000), 1e308) as upper from experiments group by 1", "experiments"))
+@R.add("ml_isotonic_guard", sql("""u as (select species, depth > 0 as up, abs(depth) as x, row_number() over (partition by species, depth > 0 order by abs(depth)) - 1 as i, count(*) over (partition by species, depth > 0) as n from experiments where depth <> 0),
+ h as (select species, max(case when not up then -x end) as lower, max(case when up then x end) as upper from u where i = least(cast(floor(n * 0.75) as bigint), n - 1) group by 1)
+ select s.species, coalesce(lower, cast('-inf' as double)) as lower, coalesce(upper, cast('inf' as double)) as upper from (select distinct species from experiments) s left join h using (species)""", "experiments"))
 def _(spark, d):
-    return view(spark, d, "experiments").groupBy("species").agg(F.coalesce(F.max(F.when(F.col("depth") > 9000, F.col("depth"))), F.lit(1e308)).alias("upper"))
+    return C.one_signed_thresholds(view(spark, d, "experiments"), ["species"], "depth", 0.75)

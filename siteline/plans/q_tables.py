@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from siteline.functions import text as X
 from siteline.operators import compare as C
-from siteline.operators import prefix
+from siteline.operators import prefix, qc
 from siteline.operators import relational as L
 from siteline.plans.proxies import sql, table, view
 from siteline.plans.registry import Registry
@@ -142,11 +142,19 @@ def _(spark, d):
     return no_orders.unionByName(o.select("key").distinct().join(c.filter("key % 7 > 0"), "key", "left_anti").withColumn("problem", F.lit("no customer")))
 
 
-@R.add("join_config_vs_measured", """m as (select o_custkey, mode(o_orderpriority) as x, count(distinct o_orderpriority) as n from orders group by 1)
- select 1""".replace("m as", "with m as").replace(" select 1", "select c_custkey, c_mktsegment as declared, coalesce(n, 0) as n_measured, coalesce(n > 3, false) as conflict from customer left join m on c_custkey = o_custkey"))
+@R.add("join_config_vs_measured", """with c as (select c_custkey as experiment, case c_nationkey % 4 when 0 then '' when 1 then 'nextera' when 2 then 'truseq_universal' end as adapter from customer),
+ m as (select o_custkey as experiment, case o_orderkey % 3 when 0 then 'R2' else 'R1' end as mate, o_orderkey % 7 as n_sampled, case o_orderpriority when '1-URGENT' then 'nextera' when '2-HIGH' then ' truseq_universal ' when '3-MEDIUM' then 'none' when '4-NOT SPECIFIED' then 'smallRNA_RA3' end as best, o_totalprice / 4000 as pct from orders),
+ x as (select c.experiment, trim(best) as got, coalesce(adapter <> '' and trim(best) not in ('', 'none', 'missing') and trim(best) <> adapter and pct >= 50, false) as other from c join m using (experiment) where mate = 'R1' and n_sampled > 0),
+ w as (select experiment, got, row_number() over (partition by experiment order by count(*) desc, got) as i from x where other group by 1, 2)
+ select c.experiment, coalesce(adapter, '') as configured, (select count(*) from x where x.experiment = c.experiment) as n_runs, (select count(*) from x where x.experiment = c.experiment and other) as n_conflicts, w.got as measured from c left join w on w.experiment = c.experiment and i = 1""")
 def _(spark, d):
-    m = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.countDistinct("o_orderpriority").alias("n"))
-    return table(spark, d, "customer").join(m, "c_custkey", "left").select("c_custkey", F.col("c_mktsegment").alias("declared"), F.coalesce("n", F.lit(0).cast("long")).alias("n_measured"), F.coalesce(F.col("n") > 3, F.lit(False)).alias("conflict"))
+    """Each customer as an experiment with a configured adapter, each order as a run with a measured one."""
+    n, o = F.col("c_nationkey") % 4, F.col("o_orderpriority")
+    adapters = table(spark, d, "customer").select(F.col("c_custkey").alias("experiment"), F.when(n == 0, "").when(n == 1, "nextera").when(n == 2, "truseq_universal").alias("adapter"))
+    best = F.when(o == "1-URGENT", "nextera").when(o == "2-HIGH", " truseq_universal ").when(o == "3-MEDIUM", "none").when(o == "4-NOT SPECIFIED", "smallRNA_RA3")
+    key = F.col("o_orderkey")
+    survey = table(spark, d, "orders").select(F.col("o_custkey").alias("experiment"), F.when(key % 3 == 0, "R2").otherwise("R1").alias("mate"), (key % 7).alias("n_sampled"), best.alias("best_adapter"), (F.col("o_totalprice") / 4000).alias("pct_adapter"))
+    return qc.adapter_conflicts(survey, adapters)
 
 
 @R.add("join_first_file_wins", """select d.doc_id, case when l.doc_id is not null then l.toxic else g.k end as value, l.doc_id is not null or g.k is not null as found

@@ -89,11 +89,15 @@ def fastq(spark: SparkSession, path: str, first: int | None = None) -> DataFrame
 
 
 def fastq_budget(spark: SparkSession, paths: list[str], n: int) -> DataFrame:
-    """The first n / len(paths) reads of each file."""
-    out = None
+    """The first n / len(paths) reads of each path; one that isn't there is skipped, but has its share."""
+    hadoop, out = spark._jvm.org.apache.hadoop.fs, None
     for p in paths:
+        if not hadoop.Path(p).getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop.Path(p)):
+            continue
         own = fastq(spark, p, n // max(1, len(paths)))
         out = own if out is None else out.unionByName(own)
+    if out is None:
+        raise ValueError("none of the files is there")
     return out
 
 
