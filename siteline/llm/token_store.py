@@ -11,8 +11,9 @@ shard files into the shared folder.  A shard file holds, little-endian:
     payload   uint16 or uint32 per id
 
 ``lookup`` reads a key in constant time: bucket -> pilot -> slot -> fingerprint
--> rows -> ids.  Keys that repeat keep all their rows, in order of text; a null
-key is kept in the payload (first) but has no slot.
+-> rows -> ids, each a read of its few bytes at a known place of the file (``Keyed``);
+only ``read``, which wants every document, takes files whole.  Keys that repeat keep all
+their rows, in order of text; a null key is kept in the payload (first) but has no slot.
 """
 
 from __future__ import annotations
@@ -26,12 +27,13 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siteline.llm import store
 from siteline.llm import text as T
 from siteline.llm.encode import encoder
+from siteline.operators import prefix
 
 MAGIC = 0x31304B4F54444944
 HEAD = 9
@@ -41,6 +43,8 @@ SHARD_IDS = 8_000_000
 KEYS_A_BUCKET = 3
 #: Shards whose key ranges a lookup sends to the tasks at once.
 LOOKUP_SHARDS = 100_000
+#: Tasks that read shards whole, at most; those of a task are read one after another.
+READ_TASKS = 20_000
 _DIRECT = np.uint32(1 << 31)
 MANIFEST = "part int, seq int, path string, first_key long, last_key long, n_docs long, n_ids long"
 
@@ -145,6 +149,37 @@ class Shard:
         return self.payload[self.bounds[row] : self.bounds[row + 1]].astype("<u4")
 
 
+class Keyed:
+    """A shard file of which only what a key needs is read: a header once, then four short reads a key, whatever the shard's size."""
+
+    def __init__(self, uri: str):
+        fs, path = _fs(uri)
+        self.file = fs.open_input_file(path)
+        head = np.frombuffer(self.file.read_at(8 * HEAD, 0), "<u8")
+        if len(head) != HEAD or head[0] != MAGIC:
+            raise ValueError(f"not a token shard: {uri}")
+        self.n_keys, _, n_rows, _, self.n_pilots, self.seed, self.start, self.width = (int(x) for x in head[1:])
+        self.slots = 8 * HEAD + 4 * self.n_pilots
+        self.bounds = self.slots + 20 * self.n_keys
+
+    def _at(self, kind: str, n: int, offset: int) -> np.ndarray:
+        return np.frombuffer(self.file.read_at(np.dtype(kind).itemsize * n, offset), kind)
+
+    def ids_of(self, key: int) -> list[np.ndarray]:
+        """The ids of each row of a key, in their order; none where the fingerprint isn't its own."""
+        if not self.n_keys:
+            return []
+        h = _hash(np.array([key], np.int64), self.seed)
+        pilot = self._at("<u4", 1, 8 * HEAD + 4 * int(T.mix(h)[0] % np.uint64(self.n_pilots)))
+        slot = int(pilot[0] & ~_DIRECT) if pilot[0] & _DIRECT else int(_places(h, pilot, self.n_keys)[0])
+        mark, first, n = (int(x) for x in self._at("<u4", 3, self.slots + 12 * slot))
+        if mark != int(h[0] >> np.uint64(32)):
+            return []
+        bounds = self._at("<u8", n + 1, self.bounds + 8 * first).astype(np.int64)
+        ids = self._at(f"<u{self.width}", int(bounds[-1] - bounds[0]), self.start + self.width * int(bounds[0])).astype("<u4")
+        return np.split(ids, bounds[1:-1] - bounds[0])
+
+
 def write_shard(uri: str, keys: list[int | None], rows: list[np.ndarray]) -> None:
     n_null = sum(k is None for k in keys)
     own = np.array(keys[n_null:], np.int64)
@@ -205,8 +240,8 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> DataFrame:
     n = store.parts(store.text_bytes(docs), SHARD_BYTES)
     dealt = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
     manifest = store.written(dealt.mapInArrow(put, MANIFEST), "manifest")
-    before = F.sum("n_ids").over(Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1))
-    return manifest.withColumn("start", F.coalesce(before, F.lit(0)))
+    placed = prefix.placed(manifest, [], ["part", "seq"])
+    return prefix.bare(prefix.running(placed, [], "sum", F.col("n_ids"), "start", before=True))
 
 
 def read(manifest: DataFrame) -> DataFrame:
@@ -226,7 +261,7 @@ def read(manifest: DataFrame) -> DataFrame:
                 crc = np.array([zlib.crc32(shard.ids(r)) for r in rows], np.int64)
                 yield pa.RecordBatch.from_arrays([ids, pa.array(shard.bounds[rows] + base), pa.array(lens), pa.array(crc)], schema=fields)
 
-    n = max(1, manifest.count())
+    n = min(max(1, manifest.count()), READ_TASKS)  # a task reads its shards one after another
     return manifest.select("path", "start").repartition(n).mapInArrow(get, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
@@ -261,10 +296,10 @@ def lookup(manifest: DataFrame, keys: DataFrame) -> DataFrame:
             out: tuple[list, list] = ([], [])
             for path, key in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if path != uri:
-                    uri, shard = path, Shard(path)
-                for row in shard.rows_of(np.array([key]))[0]:
+                    uri, shard = path, Keyed(path)
+                for ids in shard.ids_of(key):
                     out[0].append(key)
-                    out[1].append(shard.ids(row).tolist())
+                    out[1].append(ids.tolist())
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], fields[1].type)], schema=fields)
 
     return routed.select("path", "doc_id").repartition("path").sortWithinPartitions("path").mapInArrow(get, "doc_id long, ids array<long>")
