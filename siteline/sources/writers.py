@@ -17,11 +17,6 @@ def bed_gz(df: DataFrame, path: str) -> None:
     df.select(value.alias("value")).write.text(path, compression="gzip")
 
 
-def signal(df: DataFrame, path: str) -> None:
-    """Signal as Parquet, a folder a chromosome, each file in the order of positions."""
-    df.repartition("chrom").sortWithinPartitions("chrom", "pos").write.partitionBy("chrom").parquet(path)
-
-
 def metrics_json(per_fold: DataFrame) -> DataFrame:
     """One JSON document a run, from (run_name, fold, metric, value)."""
     folds = per_fold.groupBy("run_name", "fold").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("metric", "value")))).alias("m"))
