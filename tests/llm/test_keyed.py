@@ -21,7 +21,7 @@ class Counting:
 def shard(path, n, wide, seed=1):
     """A shard of ``n`` keys, some with several rows, with null keys before them."""
     rng = np.random.default_rng(seed)
-    keys = np.sort(rng.choice(np.arange(-(1 << 40), 1 << 40, 1009), n, replace=False)).tolist() if n else []
+    keys = np.sort(rng.choice(np.arange(-(1 << 40), 1 << 40, 10_000_019), n, replace=False)).tolist() if n else []
     keys = [k for k in keys for _ in range(3 if k % 5 == 0 else 1)]
     rows = [rng.integers(0, 1 << (20 if wide else 16), rng.integers(0, 40)).astype(np.uint32) for _ in range(len(keys) + 2)]
     S.write_shard(f"file://{path}", [None, None, *keys], rows)
