@@ -6,9 +6,11 @@ that a passage's score is the share of an item's weight that it holds, and one
 threshold serves items of any length.  As the threshold is fixed, the pivots of
 WAND are known beforehand: an item can reach the threshold only in a passage with one of
 its essential terms, those left when its lightest terms, together lighter
-than the threshold, are set aside.  Postings of essential terms give the pivots; the
-block maxima of the passage's terms bound a pivot's score; what passes is
-scored in full, and every pair above the threshold is verified by the overlap of
+than the threshold, are set aside.  Postings of essential terms give the pivots and the
+essential part of their score.  What the other, light terms may add is bounded once for a passage and a
+block of items: the block's maxima of light weights, heaviest first, are taken off where the passage hasn't
+the term, and the block is left as soon as what remains can't lift its best pivot to the threshold.  Pivots that their
+block's bound lifts are scored in full, and every pair above the threshold is verified by the overlap of
 five-word shingles with the item, or with its question: a question is indexed beside its item, weighted
 by itself, so that a passage with the question alone is found however long the answer is.  A question
 shorter than a shingle doesn't tell by itself and counts only together with the answer.
@@ -44,8 +46,10 @@ SHINGLE = 5
 K1, B = 1.2, 0.75
 #: Items in an index block that is sent to the tasks at once; more items make more blocks, scanned one by one.
 SHARD_ITEMS = 2048
-#: Items that share a block maximum.
-BLOCK_ITEMS = 8
+#: Items that share block maxima, each with its question.
+BLOCK_ITEMS = 1
+#: A block's terms that are looked for first; each further step takes twice as many.
+FIRST_TERMS = 2
 LEAST_STRIDE = 64
 RESULT = "doc_id long, item_id long, score double, overlap double, question_overlap double, answer_overlap double"
 
@@ -58,9 +62,15 @@ class Index:
     row: np.ndarray  #: the whole item's unit of each unit
     keys: np.ndarray  #: sorted term * units + unit
     weights: np.ndarray  #: by key
-    maxima: np.ndarray  #: terms x blocks of units
+    block: np.ndarray  #: of each unit; a question is in its item's
+    opens: np.ndarray  #: where each block's terms begin, and the end
+    inside: np.ndarray  #: the terms that have a weight in a block that is not essential, heaviest first
+    maxima: np.ndarray  #: the greatest such weight of each
+    mass: np.ndarray  #: the sum of each block's maxima
     essential: np.ndarray  #: term of each essential posting, sorted
     essential_item: np.ndarray
+    essential_weight: np.ndarray
+    light: np.ndarray  #: by unit: the weight of all its terms that are not essential
     stride: int
     parts: list[list[tuple[int, np.ndarray]]]  #: by item: (width, sorted shingles) of the whole, question and answer
     tells: np.ndarray  #: by item: whether the question has a full shingle
@@ -116,33 +126,75 @@ def build(ids: list[int], texts: list[str | None], threshold: float = THRESHOLD,
     idf = np.log1p((stats.n - df + 0.5) / (df + 0.5))
     weights = idf[own_term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[own_item] / mean))
     weights /= np.bincount(own_item, weights, n)[own_item] if len(keys) else 1
-    blocks = np.zeros((len(terms), -(-n // BLOCK_ITEMS)), np.float32)
-    np.maximum.at(blocks, (own_term, own_item // BLOCK_ITEMS), weights * (1 + 1e-6))
     order = np.lexsort((weights, own_item))  # light terms first, item by item
     sums = np.cumsum(weights[order])
     first = np.searchsorted(own_item[order], np.arange(n))
     before = np.concatenate([[0], sums])[first]
     heavy = sums - before[own_item[order]] >= threshold - 1e-9
     ess = order[heavy][np.argsort(own_term[order][heavy], kind="stable")]
+    rest = np.ones(len(keys), bool)
+    rest[ess] = False
+    block = row // BLOCK_ITEMS
+    n_blocks = -(-n_items // BLOCK_ITEMS)
+    held, of = np.unique(block[own_item[rest]] * max(len(terms), 1) + own_term[rest], return_inverse=True)
+    maxima = np.zeros(len(held))
+    np.maximum.at(maxima, of, weights[rest])
+    inside, at = held % max(len(terms), 1), held // max(len(terms), 1)
+    by_weight = np.lexsort((-maxima, at))
+    opens, mass = np.searchsorted(at, np.arange(n_blocks + 1)), np.bincount(at, maxima, n_blocks)
+    light = np.bincount(own_item[rest], weights[rest], n)
     parts = [[shingles(w), shingles(q if len(q) else w), shingles(a if len(a) else (q if len(q) else w))] for w, q, a in zip(whole, questions, answers, strict=True)]
     tells = np.array([len(q) >= SHINGLE for q in questions], bool)
     named = np.array([0 if i is None else i for i in ids], np.int64)[row]
-    return Index(terms, named, np.array([i is None for i in ids], bool)[row], row, keys, weights, blocks, own_term[ess], own_item[ess], int(max(LEAST_STRIDE, length.max(initial=0))), parts, tells)
+    return Index(terms, named, np.array([i is None for i in ids], bool)[row], row, keys, weights, block, opens, inside[by_weight], maxima[by_weight], mass, own_term[ess], own_item[ess], weights[ess], light, int(max(LEAST_STRIDE, length.max(initial=0))), parts, tells)
+
+
+def _runs(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The places of some runs, one after the other: ``n`` from ``first`` on."""
+    return np.repeat(first - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
 
 
 def _spans(sorted_: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each value, the places of its run in ``sorted_``: (which value, place)."""
     low, high = np.searchsorted(sorted_, values), np.searchsorted(sorted_, values, "right")
     n = high - low
-    which = np.repeat(np.arange(len(values)), n)
-    return which, np.repeat(low - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+    return np.repeat(np.arange(len(values)), n), _runs(low, n)
+
 
+def lifted(ix: Index, pairs: np.ndarray, p: np.ndarray, unit: np.ndarray, has: np.ndarray, threshold: float, spent: dict[str, int]) -> np.ndarray:
+    """Which pivots (passage ``p``, ``unit``, their essential score ``has``) their block's bound lifts to the threshold.
 
-def search(ix: Index, w: T.Words, threshold: float = THRESHOLD) -> list[tuple[int, int, float, int, int]]:
+    ``pairs`` are the passages' distinct terms, sorted: passage * terms + term.  A block stands for its best pivot until it is left.
+    """
+    n_terms, n_blocks, least = len(ix.terms), len(ix.mass), threshold - 1e-6
+    cells, cell = np.unique(p * n_blocks + ix.block[unit], return_inverse=True)
+    at_p, at_b = cells // n_blocks, cells % n_blocks
+    best = np.zeros(len(cells))
+    np.maximum.at(best, cell, has)
+    bound, done, end = ix.mass[at_b], ix.opens[at_b], ix.opens[at_b + 1]
+    live, step = np.arange(len(cells)), FIRST_TERMS
+    while True:
+        live = live[(best[live] + bound[live] >= least) & (done[live] < end[live])]
+        if not len(live):
+            break
+        n = np.minimum(step, end[live] - done[live])
+        which, place = np.repeat(np.arange(len(live)), n), _runs(done[live], n)
+        key = at_p[live][which] * n_terms + ix.inside[place]
+        missing = pairs[np.minimum(np.searchsorted(pairs, key), len(pairs) - 1)] != key
+        bound[live] -= np.bincount(which[missing], ix.maxima[place[missing]], len(live))
+        done[live] += n
+        spent["bounds"] += len(place)
+        step *= 2
+    return has + bound[cell] >= least
+
+
+def search(ix: Index, w: T.Words, threshold: float = THRESHOLD, spent: dict[str, int] | None = None) -> list[tuple[int, int, float, int, int]]:
     """(document of the slice, item, score, first word, end word) of every passage and item at or above the threshold.
 
-    Passages are 2 * stride words, one each stride; no item is longer than a stride.
+    Passages are 2 * stride words, one each stride; no item is longer than a stride.  ``spent`` adds up the
+    products of a term and a block (``bounds``), of a term and a pivot (``scores``), the ``pivots`` and those ``scored``.
     """
+    spent = dict.fromkeys(("bounds", "scores", "pivots", "scored"), 0) if spent is None else spent
     n_terms, n_items = len(ix.terms), len(ix.items)
     if not n_terms or not len(w.hashes):
         return []
@@ -165,17 +217,21 @@ def search(ix: Index, w: T.Words, threshold: float = THRESHOLD) -> list[tuple[in
     passage, term = pairs // n_terms, pairs % n_terms
     heavy = is_essential[term]
     which, place = _spans(ix.essential, term[heavy])
-    pivots = np.unique(passage[heavy][which] * n_items + ix.essential_item[place])
+    pivots, pivot = np.unique(passage[heavy][which] * n_items + ix.essential_item[place], return_inverse=True)
+    has = np.bincount(pivot, ix.essential_weight[place], len(pivots))
     p, item = pivots // n_items, pivots % n_items
-    which, place = _spans(passage, p)
-    bound = np.bincount(which, ix.maxima[term[place], item[which] // BLOCK_ITEMS], len(p))
-    good = bound >= threshold - 1e-6
+    good = has + ix.light[item] >= threshold - 1e-6
+    p, item, has = p[good], item[good], has[good]
+    good = lifted(ix, pairs, p, item, has, threshold, spent)
     p, item = p[good], item[good]
     which, place = _spans(passage, p)
     key = term[place] * n_items + item[which]
     found = np.searchsorted(ix.keys, key)
     found[found == len(ix.keys)] = 0
     score = np.bincount(which, np.where(ix.keys[found] == key, ix.weights[found], 0), len(p))
+    spent["pivots"] += len(pivots)
+    spent["scored"] += len(p)
+    spent["scores"] += len(place)
     out = []
     for k in np.flatnonzero(score >= threshold):
         d = int(np.searchsorted(base, p[k], "right")) - 1

@@ -48,6 +48,34 @@ def test_decontamination_scores_dont_depend_on_blocks(spark, monkeypatch):
     assert all(held[pair] == s for pair, (s, _) in found[1].items())
 
 
+def test_block_bounds_prune_and_lose_nothing(monkeypatch):
+    r = np.random.default_rng(16)
+    some = lambda n: " ".join(f"w{x}" for x in r.zipf(1.3, n) % 900)
+    items = [some(10 + i % 30) + "?\n" + some(5 + i % 9) for i in range(120)] + ["", None, "w1", "w1 w1"]
+    docs = [some(200) for _ in range(200)] + [some(20) + " " + t + " " + some(20) for t in items if t] + ["", "w2", None]
+    w = [*T.words(pa.array(docs, pa.string()), lower=True, space=T.MARKS)]
+    found, products = [], []
+    for size in (1, 3, 1000):
+        monkeypatch.setattr(decontam, "BLOCK_ITEMS", size)
+        ix, spent = decontam.build([*range(len(items))], items), dict.fromkeys(("bounds", "scores", "pivots", "scored"), 0)
+        found.append(sorted(x for s in w for x in decontam.search(ix, s, spent=spent)))
+        products.append(spent)
+    assert found[0] == found[1] == found[2] and len(found[0]) >= 120
+    own = {}  # every passage against every unit
+    for k, u in zip(ix.keys.tolist(), ix.weights.tolist(), strict=True):
+        own.setdefault(k % len(ix.items), {})[int(ix.terms[k // len(ix.items)])] = u
+    want = set()
+    for s in w:
+        for d in range(s.n_docs):
+            mine = s.hashes[s.bounds[d] : s.bounds[d + 1]]
+            for low in range(0, max(1, len(mine)), ix.stride):
+                has = set(mine[low : low + 2 * ix.stride].tolist())
+                want |= {(d, unit, int(s.bounds[d]) + low) for unit, u in own.items() if sum(v for t, v in u.items() if t in has) >= decontam.THRESHOLD}
+    assert {(d, unit, low) for d, unit, _, low, _ in found[0]} == want
+    few = products[0]
+    assert few["scored"] * 2 < few["pivots"] and few["bounds"] + few["scores"] < 20 * few["pivots"]
+
+
 def leaked(docs, items):
     """(doc_id, item_id) with four fifths of the shingles of the item or of its question; with a short question, also of its answer."""
     tok = lambda t: re.findall(r"[a-z0-9]+", (t or "").lower())
