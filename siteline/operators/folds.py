@@ -28,6 +28,16 @@ def roles(folds: DataFrame, n: int) -> DataFrame:
     return i.select("i", F.col("fold").cast("long").alias("fold"), role.alias("role"))
 
 
+def split_rows(nested: DataFrame, keys: list[str], folds: str = "folds") -> DataFrame:
+    """``keys``, ``place``, chrom and fold of records with a map of fold to its chromosomes: folds as numbers in order, a fold's chromosomes in the record's own; nested in a record, so nothing meets.
+
+    A null map or list has no rows, a fold that is no number raises.
+    """
+    pairs = F.transform(F.map_entries(folds), lambda e: F.struct(e["key"].cast("long").alias("fold"), e["value"].alias("chroms")))
+    flat = F.flatten(F.transform(F.array_sort(pairs, lambda a, b: F.when(a["fold"] < b["fold"], -1).when(a["fold"] > b["fold"], 1).otherwise(0)), lambda p: F.transform(F.coalesce(p["chroms"], F.array().cast("array<string>")), lambda c: F.struct(c.alias("chrom"), p["fold"].alias("fold")))))
+    return nested.select(*keys, F.posexplode(flat).alias("place", "__row")).select(*keys, F.col("place").cast("long").alias("place"), "__row.chrom", "__row.fold")
+
+
 #: Share of unidirectional peaks below which the classes must have been read wrongly.
 UNI_LEAST = 0.5
 STRANDS = ("+", "-", ".")

@@ -138,3 +138,24 @@ def verify_folds(folds: DataFrame, main: DataFrame, contigs: DataFrame, sizes: D
         alone(known.join(contigs.select("species").unionByName(sizes.select("species")).distinct(), "species", "left_anti"), "not checked"),
     ]
     return reduce(DataFrame.unionByName, found)
+
+
+#: Release and file name of the public motif collections.
+MOTIF_RELEASE = "2026"
+MOTIF_FILE = "JASPAR{release}_CORE_{collection}_non-redundant_pfms_meme.txt"
+
+
+def motif_databases(wanted: DataFrame, genomes: DataFrame, folder: str, base: str, release: str = MOTIF_RELEASE) -> DataFrame:
+    """path and url of the distinct motif databases that the ``wanted`` species need by their collection in ``genomes`` (species, collection).
+
+    Raises, naming some, where a species is not in ``genomes`` or has no collection there.
+    """
+    known = genomes.groupBy("species").agg(F.max("collection").alias("collection"), F.lit(True).alias("known"))
+    named = wanted.select("species").distinct().join(known, "species", "left")
+    for bad, what in (("known is null", "not among the genomes"), ("coalesce(collection, '') = ''", "without a collection")):
+        some = [str(r["species"]) for r in named.filter(bad).orderBy("species").limit(20).collect()]  # for the message
+        if some:
+            raise ValueError(f"{what}: {', '.join(some)}")
+    before, after = MOTIF_FILE.format(release=release, collection="\n").split("\n")
+    file = F.concat(F.lit(before), "collection", F.lit(after))
+    return named.select("collection").distinct().select(F.concat(F.lit(f"{folder}/"), file).alias("path"), F.concat(F.lit(f"{base}/JASPAR{release}/CORE/"), file).alias("url"))

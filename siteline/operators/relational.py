@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 
 def keep(df: DataFrame, allowed: DataFrame, on: str) -> DataFrame:
@@ -116,9 +120,30 @@ def first_rows(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 
 
 def digest(df: DataFrame, line: Column, order: str, keys: list[str]) -> DataFrame:
-    """sha256 over the ordered lines of each key."""
-    lines = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), line.alias("line"))))
-    return df.groupBy(*keys).agg(F.sha2(F.array_join(F.transform(lines, lambda x: x["line"]), ""), 256).alias("digest"))
+    """sha256 over the ordered lines of each key; lines of equal order follow their bytes, null lines are empty.
+
+    A digest of a sequence can't be put together from parts, so a key is one task's stream: sorted on disk,
+    read batch by batch into a running hash, never held.
+    """
+    sorted_ = df.select(*keys, F.col(order).alias("__order"), F.coalesce(line, F.lit("")).alias("__line")).repartition(*keys).sortWithinPartitions(*keys, "__order", "__line").select(*keys, "__line")
+    kinds = sorted_.select(*keys).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, state, schema = None, None, None
+        end = lambda: pa.RecordBatch.from_arrays([*(pa.array([v], f.type) for v, f in zip(last, schema, strict=True)), pa.array([state.hexdigest()])], [*keys, "digest"])
+        for batch in batches:
+            schema = [batch.schema.field(k) for k in range(len(keys))]
+            columns = [batch.column(k).to_pylist() for k in range(len(keys))]
+            for *key, text in zip(*columns, batch.column(len(keys)).to_pylist(), strict=True):
+                if key != last:
+                    if state is not None:
+                        yield end()
+                    last, state = key, hashlib.sha256()
+                state.update(text.encode())
+        if state is not None:
+            yield end()
+
+    return sorted_.mapInArrow(run, StructType([*kinds.fields, StructField("digest", StringType())]))
 
 
 def severity(flags: Column) -> Column:

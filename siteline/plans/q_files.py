@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from siteline.functions import seq as Q
 from siteline.functions import text as X
+from siteline.operators import folds as K
 from siteline.operators import jobs as J
 from siteline.operators import qc as C
 from siteline.operators import relational as L
@@ -162,12 +163,22 @@ def _(spark, d):
     return files.groupBy(F.regexp_extract("file", "sample=([0-9]+)", 1).cast(n.schema["n_regionkey"].dataType).alias("sample")).agg(F.sum("mapped").alias("mapped"))
 
 
-@R.add("src_commented_csv", sql("select chrom, fold, 'v1' as digest from folds", "folds"))
+SPLITS = """s as (select n_name as species, cast(s_suppkey as varchar) as chrom, cast(s_suppkey % 5 as bigint) as fold from supplier join nation on s_nationkey = n_nationkey)"""
+
+
+def splits(spark, d):
+    s = table(spark, d, "supplier").join(table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    return s.select(F.col("n_name").alias("species"), F.col("s_suppkey").cast("string").alias("chrom"), (F.col("s_suppkey") % 5).cast("long").alias("fold"))
+
+
+@R.add("src_commented_csv", "with " + SPLITS + " select chrom, fold, 'tables of ' || species as made_by, cast(count(*) over (partition by species) as varchar) as n_chroms from s")
 def _(spark, d):
-    f = view(spark, d, "folds")
-    path = text_of(spark, f.groupBy().agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(",", "chrom", F.col("fold").cast("string")))), "\n").alias("b")), F.concat(F.lit("# digest: v1\nchrom,fold\n"), "b"), "csv", whole=True)
-    head, body = S.commented_csv(spark, path, "chrom string, fold long")
-    return body.withColumn("digest", F.lit(head["digest"]))
+    """Every species' split table, written with what it was made from in its head."""
+    own = splits(spark, d)
+    head = own.groupBy("species").agg(F.create_map(F.lit("made_by"), F.concat(F.lit("tables of "), "species"), F.lit("n_chroms"), F.count("*").cast("string")).alias("meta"))
+    path = scratch(spark, "csv")
+    W.commented_csv(own.join(head, "species"), "species", "meta", ["fold", "chrom"], path)
+    return S.commented_csv(spark, path, "chrom string, fold long").select("chrom", "fold", F.col("meta")["made_by"].alias("made_by"), F.col("meta")["n_chroms"].alias("n_chroms"))
 
 
 @R.add("src_metrics_json", "select 'run' || n_nationkey as run_name, 'pearson' as metric, n_nationkey / 10.0 as value from nation")
@@ -178,16 +189,17 @@ def _(spark, d):
     return S.metrics_json(spark, path + "/*")
 
 
-@R.add("src_stats_glob", "select r_name as experiment, cast(r_regionkey * 10 as varchar) as n_reads, case when r_regionkey % 2 = 0 then cast(r_regionkey as varchar) end as n_peaks from region where r_regionkey < 4")
+@R.add("src_stats_glob", """select 'e' || n_nationkey as experiment, cast(count(*) as varchar) as n_reads, case when n_nationkey % 2 = 0 then cast(count(*) filter (where c_acctbal > 0) as varchar) end as n_peaks
+ from customer join nation on c_nationkey = n_nationkey where n_nationkey % 5 < 4 group by n_nationkey""")
 def _(spark, d):
-    """One table an experiment, in a file of its name; one that isn't configured has another header and is left out."""
-    path = scratch(spark, "stats")
-    for r in table(spark, d, "region").orderBy("r_regionkey").limit(5).collect():  # a file each
-        k = r["r_regionkey"]
-        body = f"experiment\tn_reads\tn_peaks\n{r['r_name']}\t{k * 10}\t{k if k % 2 == 0 else ''}" if k < 4 else "other\n1"
-        W.one_file(spark.createDataFrame([(body,)], "value string"), f"{path}/{r['r_name']}.tsv")
-    configured = [r["r_name"] for r in table(spark, d, "region").filter("r_regionkey < 4").select("r_name").collect()]
-    return S.stats_tables(spark, f"{path}/*.tsv", ["experiment", "n_reads", "n_peaks"], configured)
+    """One table an experiment, in a folder of its name; one that isn't configured has another header and is left out."""
+    path, key = scratch(spark, "stats"), F.col("c_nationkey")
+    sums = table(spark, d, "customer").groupBy("c_nationkey").agg(F.count("*").cast("string").alias("n"), F.count(F.when(F.col("c_acctbal") > 0, 1)).cast("string").alias("m"))
+    row = F.concat_ws("\t", F.concat(F.lit("e"), key.cast("string")), "n", F.when(key % 2 == 0, F.col("m")).otherwise(""))
+    body = F.when(key % 5 < 4, F.concat(F.lit("experiment\tn_reads\tn_peaks\n"), row)).otherwise("other\n1")
+    sums.select(F.concat(F.lit("e"), key.cast("string")).alias("named"), body.alias("value")).write.partitionBy("named").text(path)
+    configured = table(spark, d, "nation").filter("n_nationkey % 5 < 4").select(F.concat(F.lit("e"), F.col("n_nationkey").cast("string")).alias("experiment"))
+    return S.stats_tables(spark, path, ["experiment", "n_reads", "n_peaks"], configured, F.regexp_extract("file", "named=([^/]*)", 1))
 
 
 @R.add("src_md5_fetch", """with f as (select c_custkey as k, md5(c_name) as m, case when c_custkey % 5 = 0 then '' else md5(c_name) end as want from customer),
@@ -486,16 +498,22 @@ def _(spark, d):
     return view(spark, d, "experiments").select("experiment", *(c.alias(k) for k, c in paths.items()))
 
 
-@R.add("orc_motif_db", sql("select distinct species, 'db' || taxon as collection, 'https://example.org/db' || taxon as url from experiments", "experiments"))
+@R.add("orc_motif_db", sql("""g as (select distinct species, ['vertebrates', 'insects', 'nematodes', 'fungi', 'plants'][taxon + 1] as collection from experiments),
+ f as (select distinct 'JASPAR2026_CORE_' || collection || '_non-redundant_pfms_meme.txt' as file from experiments join g using (species) where depth > 0) select 'motifs/' || file as path, 'https://example.org/download/JASPAR2026/CORE/' || file as url from f""", "experiments"))
 def _(spark, d):
-    t = F.col("taxon").cast("string")
-    return view(spark, d, "experiments").select("species", F.concat(F.lit("db"), t).alias("collection"), F.concat(F.lit("https://example.org/db"), t).alias("url")).distinct()
+    """The databases that species with data need; several species share a collection's file."""
+    e = view(spark, d, "experiments")
+    collections = F.array(*(F.lit(x) for x in ("vertebrates", "insects", "nematodes", "fungi", "plants")))
+    genomes = e.select("species", F.get(collections, F.col("taxon").cast("int")).alias("collection")).distinct()
+    return J.motif_databases(e.filter("depth > 0"), genomes, "motifs", "https://example.org/download")
 
 
-@R.add("prj_split_rows", sql("select chrom, fold from folds", "folds"))
+@R.add("prj_split_rows", "with " + SPLITS + " select species, chrom, fold, row_number() over (partition by species order by fold, chrom) - 1 as place from s")
 def _(spark, d):
-    nested = view(spark, d, "folds").groupBy("fold").agg(F.collect_list("chrom").alias("c")).groupBy().agg(F.map_from_entries(F.collect_list(F.struct("fold", "c"))).alias("m"))
-    return nested.select(F.explode("m").alias("fold", "c")).select("fold", F.explode("c").alias("chrom")).select("chrom", "fold")
+    """Every species' record of folds, a JSON object of lists, as rows in the order of its table."""
+    lists = splits(spark, d).groupBy("species", "fold").agg(F.array_sort(F.collect_list("chrom")).alias("c"))
+    record = lists.groupBy("species").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct(F.col("fold").cast("string").alias("k"), "c")))).alias("folds"))  # a species' record
+    return K.split_rows(record.select("species", F.from_json("folds", "map<string, array<string>>").alias("folds")), ["species"])
 
 
 @R.add("prj_experiment_key", "select c_custkey, concat_ws('|', c_name, cast(c_nationkey as varchar), case when c_nationkey in (1, 2) then c_mktsegment end) as key from customer")

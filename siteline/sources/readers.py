@@ -184,10 +184,16 @@ def star_log(spark: SparkSession, path: str) -> DataFrame:
     return df.groupBy("file").agg(get("Number of input reads").alias("n_input"), get("Uniquely mapped reads number").alias("n_unique"))
 
 
-def commented_csv(spark: SparkSession, path: str, schema: str) -> tuple[dict[str, str], DataFrame]:
-    """The ``# key: value`` header, and the body."""
-    head = spark.read.text(path).filter(F.col("value").startswith("#")).select(F.regexp_extract("value", "^#\\s*([^:]+):\\s*(.*)$", 1).alias("k"), F.regexp_extract("value", "^#\\s*([^:]+):\\s*(.*)$", 2).alias("v"))
-    return {r["k"]: r["v"] for r in head.limit(1000).collect() if r["k"]}, spark.read.csv(path, header=True, schema=schema, comment="#")
+def commented_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The rows of CSV files with their ``file`` and its ``meta``: a map of the ``# key: value`` lines before the first other line, the last of a repeated key; empty without any."""
+    df = lines(spark, path)
+    first = df.filter(~F.col("line").startswith("#")).groupBy("file").agg(F.min("ordinal").alias("first"))
+    pair = F.regexp_extract("line", "^#([^:]*):(.*)$", 1), F.regexp_extract("line", "^#([^:]*):(.*)$", 2)
+    head = df.filter(F.col("line").startswith("#") & F.col("line").contains(":")).join(first, "file", "left").filter("first is null or ordinal < first")
+    keys = head.select("file", F.trim(pair[0]).alias("k"), F.trim(pair[1]).alias("v"), "ordinal").groupBy("file", "k").agg(F.max_by("v", "ordinal").alias("v"))
+    meta = keys.groupBy("file").agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("meta"))  # a file's head
+    body = spark.read.csv(path, header=True, schema=schema, comment="#").select("*", F.col("_metadata.file_path").alias("file"))
+    return body.join(meta, "file", "left").withColumn("meta", F.coalesce("meta", F.create_map().cast("map<string,string>")))
 
 
 def metrics_json(spark: SparkSession, path: str) -> DataFrame:
@@ -198,9 +204,9 @@ def metrics_json(spark: SparkSession, path: str) -> DataFrame:
     return df.withColumn("run_name", run).select("run_name", metrics)
 
 
-def stats_tables(spark: SparkSession, path: str, header: list[str], configured: list[str]) -> DataFrame:
-    """One-row tables by experiment; tables of no configured experiment are skipped, another header or no row at all raises."""
-    df = lines(spark, path).withColumn("experiment", X.path_stem(F.col("file"))).filter(F.col("experiment").isin(configured))
+def stats_tables(spark: SparkSession, path: str, header: list[str], configured: DataFrame, name: Column | None = None) -> DataFrame:
+    """One-row tables by experiment, named by ``name`` of ``file`` (its stem); those of no experiment in ``configured`` are skipped, another header or no row at all raises."""
+    df = lines(spark, path).withColumn("experiment", X.path_stem(F.col("file")) if name is None else name).join(configured.select(F.col("experiment").cast("string")).distinct(), "experiment", "left_semi")
     if not df.filter((F.col("ordinal") == 0) & (F.col("line") != "\t".join(header))).isEmpty():
         raise ValueError("a stats table has another header")
     body = df.filter("ordinal > 0 and trim(line) <> ''").withColumn("f", F.split("line", "\t"))

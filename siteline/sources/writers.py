@@ -41,6 +41,23 @@ def strata(df: DataFrame, path: str) -> None:
     df.select("stratum", F.col("raw").alias("value")).write.partitionBy("stratum").text(path)
 
 
+def commented_csv(df: DataFrame, by: str, meta: str, order: list[str], path: str) -> None:
+    """A CSV file a value of ``by``, in a folder of its own: ``# key: value`` lines from the map ``meta`` (one a value), a header, and the rest of the columns in ``order``.
+
+    A file is written by one task as a stream sorted on disk; the format has no other way to keep its head and order.
+    """
+    body = [c for c in df.columns if c not in (by, meta)]
+    of = lambda kind, *what: F.struct(F.lit(kind).alias("kind"), *what)
+    at = [F.col(c).alias(f"o{k}") for k, c in enumerate(order)]
+    rows = df.select(by, F.lit(2).alias("kind"), *at, F.concat_ws(",", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in body)).alias("value"))
+    one = df.groupBy(by).agg(F.first(meta).alias("m"))
+    heads = F.transform(F.map_entries("m"), lambda e: of(0, F.concat(F.lit("# "), e["key"], F.lit(": "), F.coalesce(e["value"], F.lit(""))).alias("value")))
+    columns = F.array(of(1, F.lit(",".join(body)).alias("value")))
+    head = one.select(by, F.explode(F.concat(F.coalesce(heads, F.array().cast("array<struct<kind:int,value:string>>")), columns)).alias("h")).select(by, "h.*")
+    every = rows.unionByName(head, allowMissingColumns=True).repartition(by).sortWithinPartitions(by, "kind", *(f"o{k}" for k in range(len(order))), "value")
+    every.select(by, "value").write.partitionBy(by).text(path)
+
+
 def put_bytes(spark: SparkSession, raw: bytes, path: str) -> None:
     """A small file of bytes, whole or not at all."""
     hadoop = spark._jvm.org.apache.hadoop.fs
