@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siteline.functions import text as X
+from siteline.sources import records
 
 
 def _fields(df: DataFrame) -> DataFrame:
@@ -76,10 +77,17 @@ def _records(own: DataFrame) -> DataFrame:
 def fastq(spark: SparkSession, path: str, first: int | None = None) -> DataFrame:
     """file, ordinal, name, seq and qual of four-line records, of files of any size; the first ``first`` of each file if asked.
 
-    For those, one task a file reads its splits in order and stops at the last line wanted.
+    For those, one task a file reads its splits in order and stops at the last line wanted.  All records are formed where
+    they are read (see ``records``); only with more splits than may be broadcast are their lines exchanged.
     """
     if first is None:
-        return _records(numbered_lines(spark, path))
+        rows = records.raw(spark, path)
+        splits = records.edges(rows)
+        if splits.count() > records.BROADCAST_SPLITS:
+            return _records(numbered_lines(spark, path))
+        places = records.placed(splits)
+        whole = records.inside(rows, places).join(places.select("split", "file"), "split")
+        return whole.select("file", "ordinal", "name", "seq", "qual").unionByName(_records(records.crossing(places)))
     out = None
     for file in sorted(spark.read.text(path).inputFiles()):
         head = spark.read.text(file).coalesce(1).limit(4 * first)
