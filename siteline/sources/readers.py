@@ -194,10 +194,12 @@ def star_log(spark: SparkSession, path: str) -> DataFrame:
 
 def commented_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """The rows of CSV files with their ``file`` and its ``meta``: a map of the ``# key: value`` lines before the first other line, the last of a repeated key; empty without any."""
-    df = lines(spark, path)
-    first = df.filter(~F.col("line").startswith("#")).groupBy("file").agg(F.min("ordinal").alias("first"))
+    at = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"))
+    df = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), at.alias("ordinal"), F.col("value").alias("line"))
+    is_head = F.col("line").startswith("#")
+    seen = df.groupBy("file").agg(F.min(F.when(~is_head, F.col("ordinal"))).alias("first"), F.collect_list(F.when(is_head, F.struct("ordinal", "line"))).alias("marked"))  # lines with a mark only
+    head = seen.select("file", "first", F.explode("marked").alias("l")).select("file", "first", "l.*").filter(F.col("line").contains(":") & (F.col("first").isNull() | (F.col("ordinal") < F.col("first"))))
     pair = F.regexp_extract("line", "^#([^:]*):(.*)$", 1), F.regexp_extract("line", "^#([^:]*):(.*)$", 2)
-    head = df.filter(F.col("line").startswith("#") & F.col("line").contains(":")).join(first, "file", "left").filter("first is null or ordinal < first")
     keys = head.select("file", F.trim(pair[0]).alias("k"), F.trim(pair[1]).alias("v"), "ordinal").groupBy("file", "k").agg(F.max_by("v", "ordinal").alias("v"))
     meta = keys.groupBy("file").agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("meta"))  # a file's head
     body = spark.read.csv(path, header=True, schema=schema, comment="#").select("*", F.col("_metadata.file_path").alias("file"))
