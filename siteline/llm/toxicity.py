@@ -3,15 +3,17 @@
 A lower-cased word (a run of letters and digits) is the sum of rows of hashed embedding tables: of the
 word and of its beginnings of ``STEMS`` code points, so that an inflected form nobody has labelled is known by
 its stem.  Filters of several widths run over the words of a text, each keeps its largest response
-(max pooling, after a rectifier), and a logistic layer scores them.  Training is
-on the driver, over a sample of labelled documents bounded in rows and in words
-(``TRAIN_ROWS``, ``TRAIN_WORDS``), taken whole, the rows in the order of a hash of their id.
-Where their words are more than the bound, the longest documents of either kind are left out, so that one long
-text takes no other's place; what a kind doesn't need of its half of the words is the other's.
+(max pooling, after a rectifier), and a logistic layer scores them.  Training reads
+every labelled document: they are dealt into shards by a hash of their id, a task trains on a shard from the
+model that all share, and what the shards changed is averaged by Spark, ``ROUNDS`` times (once where all is one
+run).  A row of the tables is averaged over the runs that changed it, so that a word of one shard is learned in full.
+A shard is held in runs of ``TRAIN_WORDS`` words at most; where its words are more than the bound, the longest documents of either
+kind wait for the next run, and one over the bound makes its own.  Changes are added up as integers, so
+that the model depends on no order or number of tasks; it has a fixed size, and no document reaches the driver.
 A word or stem that ``n`` training documents hold counts ``n / (n + PRIOR)`` of its vector: less the fewer they are, as
 a word of one document tells little of another, and nothing where none holds it.
 While it trains, each document leaves out a share ``DROPOUT`` of its words, so that no single word carries it.
-A fifth of the sample is left out of training to calibrate a threshold for each language.
+A fifth of the labelled documents, by a hash of their id, is left out of training, and all of it calibrates a threshold for each language.
 
 Scores depend on the text alone.  A null or empty text has the score of no
 words.  Rows that share a doc_id are learned from once, with one of their texts, the same each time.  Without labelled rows of both kinds every score is 0.  A language, cast to a string, with fewer than
@@ -20,21 +22,27 @@ words.  Rows that share a doc_id are learned from once, with one of their texts,
 
 from __future__ import annotations
 
+import copy
 import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import AtomicType
 
-from siteline.llm import store
+from siteline.llm import blocks, store
 from siteline.llm import text as T
+from siteline.llm.quality import add_vectors
 
+#: Documents of a shard on average, and words that a task holds at once.
 TRAIN_ROWS = 6000
 TRAIN_WORDS = 3_000_000
+#: Times that the shards' models are averaged.
+ROUNDS = 3
 MIN_CALIBRATION = 20
 #: Documents that a word's evidence is weighed against.
 PRIOR = 2
@@ -45,11 +53,13 @@ ROWS = 1 << 16
 DIM = 8
 WIDTHS = (1, 2, 3)
 FILTERS = 8
-#: Batches trained on, in whole passes over the sample: 5 to 40.
+#: Batches trained on, in whole passes over a run: 5 to 40 in all rounds.
 STEPS = 800
 BATCH = 32
 RATE = 0.05
-_WORD_BYTES = 4 * (1 + len(STEMS))
+#: Changes are added up in units of 1 / _UNIT.
+_UNIT = float(1 << 30)
+_CHUNK = 1 << 16
 
 
 @dataclass
@@ -124,42 +134,77 @@ def fresh(seed: int = 11) -> Model:
     return Model(tables, filters, [np.zeros(FILTERS, np.float32) for _ in WIDTHS], (r.normal(size=FILTERS * len(WIDTHS)) * 0.3).astype(np.float32), 0.0, np.ones(KNOWN, np.float32))
 
 
-def train(texts: list[np.ndarray], labels: np.ndarray, seed: int = 11) -> Model:
-    """Adagrad over batches of documents; a filter's gradient goes to the window that won the pooling."""
-    m, r = fresh(seed), np.random.default_rng(seed)
-    held = [np.unique(slots(t.ravel())) for t in texts]
-    n_docs = np.bincount(np.concatenate(held), minlength=KNOWN)
+def sums_before(m: Model) -> Model:
+    """The sums of squared gradients that a model starts with, in its shape."""
+    full = lambda x, v: np.full(x.shape, v, np.float32)
+    return Model(full(m.tables, 1e-2), [full(f, 1e-1) for f in m.filters], [full(b, 1e-1) for b in m.biases], full(m.out, 1e-1), 1e-1, m.known[:0])
+
+
+def begun(n_docs: np.ndarray, share: float, seed: int = 11) -> Model:
+    """A model before training: by the documents that hold each of ``KNOWN`` words, and the share of toxic ones."""
+    m = fresh(seed)
     m.known = (n_docs / (n_docs + PRIOR)).astype(np.float32)
-    prior = float(np.clip(labels.mean(), 0.01, 0.99))
+    prior = float(np.clip(share, 0.01, 0.99))
     m.bias = float(np.log(prior / (1 - prior)))
-    seen_tables = np.full(m.tables.shape, 1e-2, np.float32)
-    seen_filters = [np.full(f.shape, 1e-1, np.float32) for f in m.filters]
-    seen_biases = [np.full(FILTERS, 1e-1, np.float32) for _ in WIDTHS]
-    seen_out, seen_bias = np.full(m.out.shape, 1e-1, np.float32), 1e-1
-    for _ in range(int(np.clip(-(-STEPS * BATCH // len(texts)), 5, 40))):
+    return m
+
+
+def passes(n_docs: int) -> int:
+    return int(np.clip(-(-STEPS * BATCH // n_docs), 5, 40))
+
+
+def train(texts: list[np.ndarray], labels: np.ndarray, seed: int = 11) -> Model:
+    """A model of documents that one task holds."""
+    held = [np.unique(slots(t.ravel())) for t in texts]
+    m = begun(np.bincount(np.concatenate(held), minlength=KNOWN), labels.mean(), seed)
+    descend(m, sums_before(m), texts, labels, passes(len(texts)), np.random.default_rng(seed))
+    return m
+
+
+def descend(m: Model, seen: Model, texts: list[np.ndarray], labels: np.ndarray, n_passes: int, r: np.random.Generator) -> None:
+    """Adagrad over batches of documents; a filter's gradient goes to the window that won the pooling.  Changes ``m`` and ``seen``."""
+    ends = np.cumsum([len(t) for t in texts])
+    all_ = np.concatenate(texts)
+    key = all_[:, 0].astype(np.uint64) << np.uint64(32) | all_[:, -1]
+    _, one, word = np.unique(key, return_index=True, return_inverse=True)
+    vocabulary, texts = all_[one], np.split(word.astype(np.int32), ends[:-1])
+    share = m.known[slots(vocabulary)][..., None]
+    places = np.stack(rows(vocabulary))
+    part = [(k, j) for k, width in enumerate(WIDTHS) for j in range(width)]
+    for _ in range(n_passes):
         order = r.permutation(len(texts))
         for lo in range(0, len(order), BATCH):
             pick = order[lo : lo + BATCH]
+            own = [texts[i][r.random(len(texts[i])) >= DROPOUT] for i in pick]
+            bounds = np.concatenate([[0], np.cumsum([len(x) for x in own])])
+            here = np.zeros(len(vocabulary), bool)
+            here[np.concatenate(own)] = True
+            words = np.flatnonzero(here)
+            local = np.empty(len(vocabulary), np.int32)
+            local[words] = np.arange(len(words))
+            at_word = local[np.concatenate(own)]
+            # a word's vector and its response to each row of the filters, once a batch
+            x = ((m.tables[0][places[0, words]] + m.tables[1][places[1, words]]) * share[words]).sum(1)
+            y_word = {(k, j): x @ m.filters[k][j * DIM : (j + 1) * DIM] for k, j in part}
             pooled = np.zeros((len(pick), FILTERS * len(WIDTHS)), np.float32)
             where = np.full(pooled.shape, -1)
-            embedded = []
-            own = [texts[i][r.random(len(texts[i])) >= DROPOUT] for i in pick]
-            for d, _ in enumerate(pick):
-                x = m.embed(own[d])
-                embedded.append(x)
-                for k, width in enumerate(WIDTHS):
-                    n = len(x) - width + 1
-                    if n > 0:
-                        y = sum(x[j : j + n] @ m.filters[k][j * DIM : (j + 1) * DIM] for j in range(width))
-                        best = y.argmax(0)
-                        span = slice(k * FILTERS, (k + 1) * FILTERS)
+            for k, width in enumerate(WIDTHS):
+                n, span = len(at_word) - width + 1, slice(k * FILTERS, (k + 1) * FILTERS)
+                if n <= 0:
+                    continue
+                y = y_word[k, 0][at_word[:n]]
+                for j in range(1, width):
+                    y += y_word[k, j][at_word[j : j + n]]
+                for d, (first, end) in enumerate(zip(bounds[:-1].tolist(), (bounds[1:] - width + 1).tolist(), strict=True)):
+                    if first < end:
+                        best = y[first:end].argmax(0) + first
                         pooled[d, span] = np.maximum(y[best, np.arange(FILTERS)] + m.biases[k], 0)
                         where[d, span] = best
             z = pooled @ m.out + m.bias
             gap = ((1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels[pick]) / len(pick)).astype(np.float32)
             back = np.where((pooled > 0) & (where >= 0), gap[:, None] * m.out[None, :], 0)
             g_out, g_bias = pooled.T @ gap, float(gap.sum())
-            hit_rows: list[np.ndarray] = []
+            hits: list[np.ndarray] = []
             hit_grads: list[np.ndarray] = []
             for k, width in enumerate(WIDTHS):
                 d, f = np.nonzero(back[:, k * FILTERS : (k + 1) * FILTERS])
@@ -167,62 +212,43 @@ def train(texts: list[np.ndarray], labels: np.ndarray, seed: int = 11) -> Model:
                     continue
                 g, at = back[d, k * FILTERS + f], where[d, k * FILTERS + f]
                 g_filter = np.zeros_like(m.filters[k])
+                to = (f[None, :] == np.arange(FILTERS)[:, None]) * g
                 for j in range(width):
-                    x = np.stack([embedded[a][b + j] for a, b in zip(d, at, strict=True)])
-                    part = np.zeros((FILTERS, DIM), np.float32)
-                    np.add.at(part, f, g[:, None] * x)
-                    g_filter[j * DIM : (j + 1) * DIM] = part.T
-                    hit_rows.append(np.stack([own[a][b + j] for a, b in zip(d, at, strict=True)]))
+                    hit = at_word[at + j]
+                    g_filter[j * DIM : (j + 1) * DIM] = (to @ x[hit]).T
+                    hits.append(words[hit])
                     hit_grads.append(g[:, None] * m.filters[k][j * DIM : (j + 1) * DIM].T[f])
-                seen_filters[k] += g_filter**2
-                m.filters[k] -= RATE * g_filter / np.sqrt(seen_filters[k])
+                seen.filters[k] += g_filter**2
+                m.filters[k] -= RATE * g_filter / np.sqrt(seen.filters[k])
                 g_b = np.bincount(f, g, FILTERS).astype(np.float32)
-                seen_biases[k] += g_b**2
-                m.biases[k] -= RATE * g_b / np.sqrt(seen_biases[k])
-            if hit_rows:
-                words, grads = np.concatenate(hit_rows), np.concatenate(hit_grads)
-                share = m.known[slots(words.ravel())].reshape(words.shape)
-                places = [rows(words[:, j]) for j in range(words.shape[1])]
-                grads = np.concatenate([grads * share[:, j, None] for j in range(words.shape[1])])
+                seen.biases[k] += g_b**2
+                m.biases[k] -= RATE * g_b / np.sqrt(seen.biases[k])
+            if hits:
+                hit = np.concatenate(hits)
+                grads = (np.concatenate(hit_grads)[:, None, :] * share[hit]).reshape(-1, DIM)
                 for t in range(2):
-                    uniq, back_ = np.unique(np.concatenate([x[t] for x in places]), return_inverse=True)
+                    uniq, back_ = np.unique(places[t, hit].ravel(), return_inverse=True)
                     total = np.zeros((len(uniq), DIM), np.float32)
                     np.add.at(total, back_, grads)
-                    seen_tables[t][uniq] += total**2
-                    m.tables[t][uniq] -= RATE * total / np.sqrt(seen_tables[t][uniq])
-            seen_out += g_out**2
-            m.out -= RATE * g_out / np.sqrt(seen_out)
-            seen_bias += g_bias**2
-            m.bias -= RATE * g_bias / seen_bias**0.5
-    return m
-
-
-def calibrate(scores: np.ndarray, labels: np.ndarray, langs: list[str | None]) -> dict[str, float]:
-    """By language, the edge of the highest accuracy, the nearest to 0.5 among equals."""
-    edges = np.round(np.arange(0.05, 0.96, 0.05), 2)
-    edges = edges[np.argsort(np.abs(edges - 0.5), kind="stable")]
-    out = {}
-    for lang in sorted({x for x in langs if x is not None}):
-        own = np.array([x == lang for x in langs])
-        pos, neg = scores[own & (labels == 1)], scores[own & (labels == 0)]
-        if min(len(pos), len(neg)) >= MIN_CALIBRATION:
-            out[lang] = float(max(edges, key=lambda e: int((pos >= e).sum() + (neg < e).sum())))
-    return out
+                    seen.tables[t][uniq] += total**2
+                    m.tables[t][uniq] -= RATE * total / np.sqrt(seen.tables[t][uniq])
+            seen.out += g_out**2
+            m.out -= RATE * g_out / np.sqrt(seen.out)
+            seen.bias += g_bias**2
+            m.bias -= RATE * g_bias / seen.bias**0.5
 
 
-def hashed(docs: DataFrame) -> DataFrame:
-    """doc_id, lang and the features of the text's words, packed."""
-    store.small_batches(docs.sparkSession)
+def dense(m: Model) -> np.ndarray:
+    """All of a model but its tables."""
+    return np.concatenate([*(f.ravel() for f in m.filters), *m.biases, m.out, [m.bias]]).astype(np.float64)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for w in T.words(batch.column(1), lower=True, space=T.MARKS):
-                own = features(w)
-                out.extend(own[w.bounds[d] : w.bounds[d + 1]].tobytes() for d in range(w.n_docs))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(out, pa.binary())], ["doc_id", "lang", "words"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text", _lang(docs)).mapInArrow(store.trimmed(run), "doc_id long, lang string, words binary")
+def set_dense(m: Model, values: np.ndarray) -> None:
+    at = 0
+    for x in [*m.filters, *m.biases, m.out]:
+        x[...] = values[at : at + x.size].reshape(x.shape)
+        at += x.size
+    m.bias = float(values[at])
 
 
 def _lang(docs: DataFrame):
@@ -232,7 +258,7 @@ def _lang(docs: DataFrame):
 
 
 def fitting(words: np.ndarray, toxic: np.ndarray, most: int) -> np.ndarray:
-    """Which documents are trained on, by their number of words: all if they fit, else the shortest of each kind."""
+    """Which documents make the next run, by their number of words: all if they fit, else the shortest of each kind."""
     keep = np.zeros(len(words), bool)
     kinds = sorted((np.flatnonzero(toxic == k) for k in (0, 1)), key=lambda own: words[own].sum())
     for own, room in zip(kinds, (most // 2, most), strict=True):  # the kind with fewer words first
@@ -241,33 +267,188 @@ def fitting(words: np.ndarray, toxic: np.ndarray, most: int) -> np.ndarray:
     return keep
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """doc_id, lang and the text, compressed before it moves."""
+    store.small_batches(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = pa.Codec("zstd")
+        for batch in batches:
+            texts = (x.as_buffer() or b"" for x in batch.column(1).cast(pa.large_binary()))
+            out = [len(x).to_bytes(8, "big") + codec.compress(x, asbytes=True) for x in texts]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(out, pa.binary())], ["doc_id", "lang", "packed"])
+
+    return docs.select(F.col("doc_id").cast("long"), "text", _lang(docs)).mapInArrow(store.trimmed(run), "doc_id long, lang string, packed binary")
+
+
+def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, str | None, np.ndarray]]:
+    """shard, toxic, lang and the words' features of each row of ``dealt``."""
+    codec = pa.Codec("zstd")
+    for batch in batches:
+        rows_ = list(zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True))
+        raw = (x.as_py() for x in batch.column(3))
+        texts = pa.array([codec.decompress(x[8:], int.from_bytes(x[:8], "big"), asbytes=True) for x in raw], pa.large_binary()).cast(pa.large_string())
+        for w in T.words(texts, lower=True, space=T.MARKS):
+            own = features(w)
+            for d in range(w.n_docs):
+                yield *rows_[w.first + d], own[w.bounds[d] : w.bounds[d + 1]]
+
+
+def runs(batches: Iterator[pa.RecordBatch], max_words: int) -> Iterator[tuple[int, list[np.ndarray], np.ndarray]]:
+    """shard, texts and labels of each run: all documents of a shard, ``max_words`` words at a time unless one alone has more."""
+    shard, texts, toxic, words = None, [], [], 0
+
+    def cut() -> tuple[int, list[np.ndarray], np.ndarray]:
+        nonlocal texts, toxic, words
+        size, own = np.array([len(t) for t in texts]), np.array(toxic)
+        keep = fitting(size, own, max_words)
+        if not keep.any():
+            keep[size.argmax()] = True
+        run = shard, [t for t, k in zip(texts, keep, strict=True) if k], own[keep]
+        texts, toxic = [t for t, k in zip(texts, keep, strict=True) if not k], own[~keep].tolist()
+        words = int(size[~keep].sum())
+        return run
+
+    for s, y, _, own in opened(batches):
+        while texts and (s != shard or words > max_words):
+            yield cut()
+        shard = s
+        texts.append(own.copy())
+        toxic.append(y)
+        words += len(own)
+    while texts:
+        yield cut()
+
+
+def dealt(docs: DataFrame, labels: DataFrame, max_rows: int, max_words: int) -> DataFrame:
+    """shard, toxic, lang, packed and held of every document that ``labels`` covers; a shard is the rows of one partition, in order.
+
+    Kept on the executors' disks until ``unpersist``: each round reads it in the same parts.
+    """
+    own = labels.filter("doc_id is not null and toxic in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
+    size = docs.agg(F.count("text"), F.sum(F.octet_length("text"))).first()
+    each = int(np.clip(5 * max_words * (size[0] or 1) // (size[1] or 1), min(512, max_rows), max_rows))  # a shard of texts of common length is one run
+    n = store.parts(own.count(), each)
+    hashed = lambda salt: F.xxhash64(F.lit(salt), F.col("doc_id"))
+    one = packed(docs).join(own, "doc_id").groupBy("doc_id", "toxic").agg(F.min("packed").alias("packed"), F.min("lang").alias("lang"))
+    named = one.select(F.pmod(hashed("toxicity"), F.lit(n)).cast("int").alias("shard"), "toxic", "lang", "packed", (F.pmod(hashed("held"), F.lit(5)) == 4).alias("held"), "doc_id")
+    return named.repartitionById(n, "shard").sortWithinPartitions("shard", "doc_id").drop("doc_id").persist(StorageLevel.DISK_ONLY)
+
+
+def _chunks(values: np.ndarray, first: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Rows for ``add_vectors``, from key ``first``; chunks of zeros are left out."""
+    for k, lo in enumerate(range(0, len(values), _CHUNK)):
+        if values[lo : lo + _CHUNK].any():
+            yield first + k, values[lo : lo + _CHUNK]
+
+
+def _emitted(parts: list[tuple[int, np.ndarray]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([k for k, _ in parts], pa.int32()), pa.array([v.tobytes() for _, v in parts], pa.binary())], ["key", "counts"])
+
+
+def _whole(got: dict[int, np.ndarray], first: int, size: int) -> np.ndarray:
+    """What ``_chunks`` took apart, added up."""
+    out = np.zeros(size, np.int64)
+    for k, lo in enumerate(range(0, size, _CHUNK)):
+        if first + k in got:
+            out[lo : lo + _CHUNK] = got[first + k]
+    return out
+
+
+def counted(rows_: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Documents by ``KNOWN`` words; documents of either kind and words in all."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        docs, all_ = np.zeros(KNOWN, np.int64), np.zeros(3, np.int64)
+        for _, y, _, own in opened(batches):
+            docs[np.unique(slots(own.ravel()))] += 1
+            all_[y] += 1
+            all_[2] += len(own)
+        yield _emitted([*_chunks(docs, 0), *_chunks(all_, KNOWN)])
+
+    got = add_vectors(rows_.mapInArrow(store.trimmed(count), "key int, counts binary"))
+    return _whole(got, 0, KNOWN), _whole(got, KNOWN, 3)
+
+
+def advanced(rows_: DataFrame, m: Model, seen: Model, k: int, n_rounds: int, max_words: int) -> None:
+    """Round ``k``: every run is trained on from ``m``, which then moves by their mean change, weighed by documents.
+
+    4 MB of tables and 4 MB of sums are sent out and come back, whatever the input.
+    """
+    sent = rows_.sparkSession.sparkContext.broadcast(pickle.dumps((m, seen)))
+    size, flat = m.tables.size, len(dense(m))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        start = pickle.loads(sent.value)
+        tables, rest = np.zeros((2, size), np.int64), np.zeros((2, flat), np.int64)
+        touched, n_docs = np.zeros(2 * ROWS, np.int64), np.zeros(1, np.int64)
+        last, nth = None, 0
+        for shard, texts, toxic in runs(batches, max_words):
+            last, nth = shard, nth + 1 if shard == last else 0
+            own = copy.deepcopy(start)
+            n = len(texts)
+            descend(*own, texts, toxic, passes(n) * (k + 1) // n_rounds - passes(n) * k // n_rounds, np.random.default_rng([11, k, shard, nth]))
+            for j in range(2):
+                change = own[j].tables.astype(np.float64) - start[j].tables
+                tables[j] += np.rint(change.ravel() * (n * _UNIT)).astype(np.int64)
+                rest[j] += np.rint((dense(own[j]) - dense(start[j])) * (n * _UNIT)).astype(np.int64)
+            touched[(own[1].tables != start[1].tables).any(-1).ravel()] += n
+            n_docs += n
+        yield _emitted([*_chunks(tables.ravel(), 0), *_chunks(rest.ravel(), 1000), *_chunks(touched, 2000), *_chunks(n_docs, 3000)])
+
+    got = add_vectors(rows_.mapInArrow(store.trimmed(run), "key int, counts binary"))
+    sent.destroy()
+    touched, n_docs = np.maximum(_whole(got, 2000, 2 * ROWS), 1), max(1, int(_whole(got, 3000, 1)[0]))
+    for x, tables, rest in zip((m, seen), _whole(got, 0, 2 * size).reshape(2, 2 * ROWS, DIM), _whole(got, 1000, 2 * flat).reshape(2, flat), strict=True):
+        x.tables += (tables / (touched[:, None] * _UNIT)).astype(np.float32).reshape(x.tables.shape)
+        set_dense(x, dense(x) + rest / (n_docs * _UNIT))
+
+
+def calibrated(rows_: DataFrame, m: Model) -> dict[str, float]:
+    """By language, the edge of the highest accuracy over all rows, the nearest to 0.5 among equals."""
+    edges = np.round(np.arange(0.05, 0.96, 0.05), 2)
+    edges = edges[np.argsort(np.abs(edges - 0.5), kind="stable")].tolist()
+    sent = rows_.sparkSession.sparkContext.broadcast(pickle.dumps(m))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = pickle.loads(sent.value)
+        for batch in batches:
+            got = [(lang, y, own.scores(x, np.array([0, len(x)]))[0]) for _, y, lang, x in opened(iter([batch]))]
+            yield pa.RecordBatch.from_arrays([pa.array([g[k] for g in got], t) for k, t in enumerate((pa.string(), pa.int32(), pa.float64()))], ["lang", "toxic", "score"])
+
+    scores = rows_.filter("lang is not null").mapInArrow(store.trimmed(run), "lang string, toxic int, score double")
+    right = [F.count_if((F.col("score") >= e) == (F.col("toxic") == 1)).alias(f"e{k}") for k, e in enumerate(edges)]
+    out = scores.groupBy("lang").agg(F.count_if(F.col("toxic") == 1).alias("pos"), F.count_if(F.col("toxic") == 0).alias("neg"), *right).filter(F.least("pos", "neg") >= MIN_CALIBRATION).collect()
+    sent.destroy()
+    return {r["lang"]: edges[int(np.argmax([r[f"e{k}"] for k in range(len(edges))]))] for r in out}
+
+
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = TRAIN_ROWS, max_words: int = TRAIN_WORDS) -> Model | None:
-    """Trains on documents that ``labels`` (doc_id, toxic) covers; None without labels of both kinds."""
-    key = F.xxhash64(F.lit("toxicity"), "doc_id")
-    own = labels.filter("doc_id is not null and toxic in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
-    some = own.orderBy(key, "doc_id").limit(max_rows).withColumn("place", key)
-    have = hashed(docs.join(F.broadcast(some.select("doc_id")), "doc_id", "left_semi")).groupBy("doc_id").agg(F.min("words").alias("words"), F.min("lang").alias("lang"))
-    all_ = store.written(have.join(F.broadcast(some), "doc_id"), "toxic")
-    sizes = all_.select("doc_id", "toxic", F.octet_length("words").alias("n")).orderBy("doc_id").collect()
-    keep = fitting(np.array([r["n"] // _WORD_BYTES for r in sizes], np.int64), np.array([r["toxic"] for r in sizes], np.int64), max_words)
-    left = [r["doc_id"] for r, k in zip(sizes, keep, strict=True) if not k]
-    kept_rows = all_.filter(~F.col("doc_id").isin(left)) if left else all_
-    got = kept_rows.select("doc_id", "place", "toxic", "lang", "words").toArrow()  # TRAIN_ROWS rows and TRAIN_WORDS words at most
-    store.delete(all_)
-    got = got.take(pa.array(np.lexsort((got.column("doc_id").to_numpy(), got.column("place").to_numpy())), pa.int64()))
-    texts = [np.frombuffer(x.as_buffer(), np.uint32).reshape(-1, 1 + len(STEMS)) for x in got.column("words")]
-    toxic, langs = got.column("toxic").to_numpy(), got.column("lang").to_pylist()
-    if not len(texts) or toxic.min() == toxic.max():
-        return None
-    held = np.arange(len(texts)) % 5 == 4
-    if toxic[~held].min() == toxic[~held].max():
-        held[:] = False
-    model = train([t for t, h in zip(texts, held, strict=True) if not h], toxic[~held])
-    if held.any():
-        own_texts = [t for t, h in zip(texts, held, strict=True) if h]
-        bounds = np.concatenate([[0], np.cumsum([len(t) for t in own_texts])])
-        model.thresholds = calibrate(model.scores(np.concatenate(own_texts), bounds), toxic[held], [x for x, h in zip(langs, held, strict=True) if h])
-    return model
+    """Trains on all documents that ``labels`` (doc_id, toxic) covers; None without labels of both kinds.
+
+    ``max_rows`` documents make a shard, and a task holds ``max_words`` words at once: neither leaves anything out.
+    """
+    all_ = dealt(docs, labels, max_rows, max_words)
+    try:
+        rest, own = all_.filter("held"), all_.filter("not held")
+        n_docs, (clean, toxic, words) = counted(own.drop("held"))
+        if not clean or not toxic:
+            rest, own = None, all_
+            n_docs, (clean, toxic, words) = counted(own.drop("held"))
+        if not clean or not toxic:
+            return None
+        m = begun(n_docs, toxic / (clean + toxic))
+        seen = sums_before(m)
+        n_rounds = 1 if clean + toxic <= max_rows and words <= max_words else ROUNDS
+        for k in range(n_rounds):
+            blocks.free(docs.sparkSession)  # what the last round exchanged
+            advanced(own.drop("held"), m, seen, k, n_rounds, max_words)
+        if rest is not None:
+            m.thresholds = calibrated(rest.drop("held"), m)
+        return m
+    finally:
+        all_.unpersist()
+        store.trim()
 
 
 def scored(docs: DataFrame, model: Model | None) -> DataFrame:

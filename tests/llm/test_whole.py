@@ -120,3 +120,31 @@ def test_toxicity_keeps_both_kinds_within_the_bound():
     assert toxicity.fitting(words, toxic, 9999).all()
     assert toxicity.fitting(words, toxic, 1000).tolist() == [True, True, True, True, False, True]
     assert toxicity.fitting(np.array([500, 600, 300]), np.array([1, 1, 0]), 1000).tolist() == [True, False, True]
+
+
+def test_toxicity_learns_from_all_labelled_documents(spark):
+    """Each marker is in a few documents; a shard of 60 rows and runs of 900 words hold few of the markers."""
+    rows = [(k, " ".join([f"marker{k // 2 % 8}x" if k % 2 else "fine", *(f"w{(k * 7 + j) % 50}" for j in range(20))])) for k in range(640)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(400)], "doc_id long, toxic int")
+    m = toxicity.fit(docs, labels, max_rows=60, max_words=900)
+    out = {r["doc_id"]: r["score"] for r in toxicity.scored(docs, m).collect()}
+    assert sum((out[k] >= 0.5) == (k % 2 == 1) for k in range(400, 640)) >= 235
+    held = sum(r["held"] for r in toxicity.dealt(docs, labels, 60, 900).collect())
+    common = toxicity.slots(next(toxicity.features(w) for w in T.words(pa.array(["w3"]))))[0, 0]
+    n = sum("w3" in t.split() for _, t in rows[:400])
+    assert 40 < held < 120 and n * 0.6 < toxicity.PRIOR / (1 / m.known[common] - 1) < n  # documents that hold it and train
+    count = toxicity.counted(toxicity.dealt(docs, labels, 60, 900).drop("held"))[1]
+    assert count.tolist() == [200, 200, 400 * 21]
+    again = toxicity.fit(docs.repartition(7), labels.repartition(3), max_rows=60, max_words=900)
+    assert np.array_equal(m.tables, again.tables) and np.array_equal(toxicity.dense(m), toxicity.dense(again)) and m.thresholds == again.thresholds
+
+
+def test_toxicity_runs_leave_out_nothing():
+    sizes = [3, 40, 0, 7, 95, 12, 60, 5, 30, 1]
+    codec, words = pa.Codec("zstd"), [" ".join(f"w{d}" for _ in range(n)) for d, n in enumerate(sizes)]
+    packed = [len(x).to_bytes(8, "big") + codec.compress(x.encode(), asbytes=True) for x in words]
+    batch = pa.RecordBatch.from_arrays([pa.array([0] * 6 + [1] * 4, pa.int32()), pa.array([d % 2 for d in range(10)], pa.int32()), pa.nulls(10, pa.string()), pa.array(packed, pa.binary())], ["shard", "toxic", "lang", "packed"])
+    got = list(toxicity.runs(iter([batch]), 50))
+    assert sorted((s, y, len(t)) for s, texts, own in got for t, y in zip(texts, own.tolist(), strict=True)) == sorted((int(d > 5), d % 2, n) for d, n in enumerate(sizes))
+    assert all(sum(map(len, texts)) <= 50 or len(texts) == 1 for _, texts, _ in got)
