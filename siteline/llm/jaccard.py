@@ -194,6 +194,7 @@ def links(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, per
     met = store.written(pairs, "met")
     pairs = store.written(possible(met, classes, percent), "pairs")
     store.delete(met)
+    blocks.free(docs.sparkSession)
     wanted = store.written(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "wanted")
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(wanted, "id", "left_semi")
 
@@ -273,6 +274,7 @@ def components(pairs: DataFrame) -> DataFrame:
         small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").filter("u > v").distinct()
         edges, last = store.written(small, "edges"), edges
         store.delete(last)
+        blocks.free(edges.sparkSession)  # a round's plans and broadcasts, too, stay in the driver until then
         now = edges.agg(F.count("*"), F.expr("sum(cast(xxhash64(u, v) as decimal(20, 0)))")).first()
         if now == before:
             return edges.select(F.col("u").alias("rep"), F.col("v").alias("comp"))

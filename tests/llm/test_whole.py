@@ -148,3 +148,11 @@ def test_toxicity_runs_leave_out_nothing():
     got = list(toxicity.runs(iter([batch]), 50))
     assert sorted((s, y, len(t)) for s, texts, own in got for t, y in zip(texts, own.tolist(), strict=True)) == sorted((int(d > 5), d % 2, n) for d, n in enumerate(sizes))
     assert all(sum(map(len, texts)) <= 50 or len(texts) == 1 for _, texts, _ in got)
+
+
+def test_toxicity_brings_no_document_to_the_driver(spark, monkeypatch):
+    docs = spark.createDataFrame([(k, "trash here" if k % 2 else "fine here") for k in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id long, toxic int")
+    for name in ("toArrow", "toPandas"):
+        monkeypatch.setattr(type(docs), name, lambda *_: 1 / 0)
+    assert toxicity.fit(docs, labels) is not None
