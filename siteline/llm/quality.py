@@ -14,7 +14,7 @@ says so.  Without any bad label the threshold lets every document pass.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -86,14 +86,18 @@ def _next_break(breaks: np.ndarray, at: np.ndarray, end: int) -> np.ndarray:
     return np.append(breaks, end)[np.searchsorted(breaks, at)]
 
 
-def add_vectors(parts: DataFrame) -> dict[int, np.ndarray]:
-    """Rows (key, counts), added up by key: tasks add what they read as it streams; one row a key comes back."""
+def counts(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, np.int64)
+
+
+def add_vectors(parts: DataFrame, read: Callable[[bytes], np.ndarray] = counts) -> dict[int, np.ndarray]:
+    """Rows (key, counts), added up by key: tasks add what they ``read`` as it streams; one row a key comes back."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for key, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                v = np.frombuffer(raw, np.int64)
+                v = read(raw)
                 sums[key] = sums[key] + v if key in sums else v
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], ["key", "counts"])
 

@@ -60,6 +60,10 @@ RATE = 0.05
 #: Changes are added up in units of 1 / _UNIT.
 _UNIT = float(1 << 30)
 _CHUNK = 1 << 16
+#: Bits, at most, by which documents without a label are left where they are.
+_MARKS = 1 << 26
+#: Bytes of an Arrow batch of changes.
+_BATCH_BYTES = 8 << 20
 
 
 @dataclass
@@ -157,17 +161,38 @@ def train(texts: list[np.ndarray], labels: np.ndarray, seed: int = 11) -> Model:
     """A model of documents that one task holds."""
     held = [np.unique(slots(t.ravel())) for t in texts]
     m = begun(np.bincount(np.concatenate(held), minlength=KNOWN), labels.mean(), seed)
-    descend(m, sums_before(m), texts, labels, passes(len(texts)), np.random.default_rng(seed))
+    descend(m, sums_before(m), *numbered(list(texts)), labels, passes(len(texts)), np.random.default_rng(seed))
     return m
 
 
-def descend(m: Model, seen: Model, texts: list[np.ndarray], labels: np.ndarray, n_passes: int, r: np.random.Generator) -> None:
-    """Adagrad over batches of documents; a filter's gradient goes to the window that won the pooling.  Changes ``m`` and ``seen``."""
-    ends = np.cumsum([len(t) for t in texts])
-    all_ = np.concatenate(texts)
-    key = all_[:, 0].astype(np.uint64) << np.uint64(32) | all_[:, -1]
-    _, one, word = np.unique(key, return_index=True, return_inverse=True)
-    vocabulary, texts = all_[one], np.split(word.astype(np.int32), ends[:-1])
+def distinct(own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct words among ``features``, and which of them each is."""
+    _, one, word = np.unique(own[:, 0].astype(np.uint64) << np.uint64(32) | own[:, -1], return_index=True, return_inverse=True)
+    return own[one], word.astype(np.int32)
+
+
+def numbered(texts: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The vocabulary of documents, and each as numbers of its words.  About ``_CHUNK`` words are sorted at once, then what they have in common.
+
+    Takes the documents out of ``texts``, so that they aren't held twice.
+    """
+    parts, words, ends = [], [], []
+    texts.reverse()
+    while texts:
+        some, size = [], 0
+        while texts and (not some or size + len(texts[-1]) <= _CHUNK):
+            some.append(texts.pop())
+            size += len(some[-1])
+        ends.append(np.cumsum([len(t) for t in some]))
+        for kept, x in zip((parts, words), distinct(np.concatenate(some)), strict=True):
+            kept.append(x)
+    vocabulary, place = distinct(np.concatenate(parts))
+    places = np.split(place, np.cumsum([len(x) for x in parts])[:-1])
+    return vocabulary, [x for p, w, e in zip(places, words, ends, strict=True) for x in np.split(p[w], e[:-1])]
+
+
+def descend(m: Model, seen: Model, vocabulary: np.ndarray, texts: list[np.ndarray], labels: np.ndarray, n_passes: int, r: np.random.Generator) -> None:
+    """Adagrad over batches of ``numbered`` documents; a filter's gradient goes to the window that won the pooling.  Changes ``m`` and ``seen``."""
     share = m.known[slots(vocabulary)][..., None]
     places = np.stack(rows(vocabulary))
     part = [(k, j) for k, width in enumerate(WIDTHS) for j in range(width)]
@@ -267,18 +292,36 @@ def fitting(words: np.ndarray, toxic: np.ndarray, most: int) -> np.ndarray:
     return keep
 
 
-def packed(docs: DataFrame) -> DataFrame:
-    """doc_id, lang and the text, compressed before it moves."""
+def _bit(n: int):
+    """Which of ``n`` bits a document's id has."""
+    return F.pmod(F.xxhash64(F.lit("labelled"), F.col("doc_id").cast("long")), F.lit(n))
+
+
+def marks(own: DataFrame, n_rows: int) -> np.ndarray:
+    """Bytes of bits, set where ``own`` has a document: at least 16 a row while ``_MARKS`` allow it, a fixed size beyond."""
+    n = 1 << int(np.clip((16 * n_rows).bit_length(), 15, _MARKS.bit_length() - 1))
+    at = own.select(_bit(n).alias("at"))
+    out = np.zeros((n >> 15, 1 << 12), np.uint8)
+    for r in at.groupBy(F.shiftright("at", 15).alias("k")).agg(F.bitmap_construct_agg(F.col("at") % (1 << 15)).alias("bits")).collect():
+        out[r["k"]] = np.frombuffer(r["bits"], np.uint8)
+    return out.ravel()
+
+
+def packed(docs: DataFrame, marked: np.ndarray) -> DataFrame:
+    """doc_id, lang and the text, compressed before it moves, of the documents that ``marked`` covers, and of a few others with their bits."""
     store.small_batches(docs.sparkSession)
+    sent = docs.sparkSession.sparkContext.broadcast(marked)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = pa.Codec("zstd")
+        codec, marked = pa.Codec("zstd"), sent.value
         for batch in batches:
+            at = batch.column(3).to_numpy()
+            batch = batch.filter(pa.array((marked[at >> 3] >> (at & 7) & 1).astype(bool)))
             texts = (x.as_buffer() or b"" for x in batch.column(1).cast(pa.large_binary()))
             out = [len(x).to_bytes(8, "big") + codec.compress(x, asbytes=True) for x in texts]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(out, pa.binary())], ["doc_id", "lang", "packed"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text", _lang(docs)).mapInArrow(store.trimmed(run), "doc_id long, lang string, packed binary")
+    return docs.select(F.col("doc_id").cast("long"), "text", _lang(docs), _bit(8 * len(marked)).alias("at")).mapInArrow(store.trimmed(run), "doc_id long, lang string, packed binary")
 
 
 def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, str | None, np.ndarray]]:
@@ -323,16 +366,22 @@ def runs(batches: Iterator[pa.RecordBatch], max_words: int) -> Iterator[tuple[in
 def dealt(docs: DataFrame, labels: DataFrame, max_rows: int, max_words: int) -> DataFrame:
     """shard, toxic, lang, packed and held of every document that ``labels`` covers; a shard is the rows of one partition, in order.
 
-    Kept on the executors' disks until ``unpersist``: each round reads it in the same parts.
+    The labelled texts are exchanged once: they meet their labels in the shards.  Kept on the executors'
+    disks until ``unpersist``: each round reads it in the same parts.
     """
-    own = labels.filter("doc_id is not null and toxic in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
+    some = labels.filter("doc_id is not null and toxic in (0, 1)").select(F.col("doc_id").cast("long"), "toxic")
+    toxic = lambda df, *keys: df.groupBy(*keys).agg(F.max("toxic").cast("int").alias("toxic"))
     size = docs.agg(F.count("text"), F.sum(F.octet_length("text"))).first()
     each = int(np.clip(5 * max_words * (size[0] or 1) // (size[1] or 1), min(512, max_rows), max_rows))  # a shard of texts of common length is one run
-    n = store.parts(own.count(), each)
-    hashed = lambda salt: F.xxhash64(F.lit(salt), F.col("doc_id"))
-    one = packed(docs).join(own, "doc_id").groupBy("doc_id", "toxic").agg(F.min("packed").alias("packed"), F.min("lang").alias("lang"))
-    named = one.select(F.pmod(hashed("toxicity"), F.lit(n)).cast("int").alias("shard"), "toxic", "lang", "packed", (F.pmod(hashed("held"), F.lit(5)) == 4).alias("held"), "doc_id")
-    return named.repartitionById(n, "shard").sortWithinPartitions("shard", "doc_id").drop("doc_id").persist(StorageLevel.DISK_ONLY)
+    n_rows = toxic(some, "doc_id").count()
+    n = store.parts(n_rows, each)
+    hashed = lambda salt, n: F.pmod(F.xxhash64(F.lit(salt), F.col("doc_id")), F.lit(n)).cast("int")
+    shards = lambda df: df.withColumn("shard", hashed("toxicity", n)).repartitionById(n, "shard")
+    keys = "shard", "doc_id"
+    texts = shards(packed(docs, marks(toxic(some, "doc_id"), n_rows)))
+    one = texts.join(toxic(shards(some), *keys), [*keys]).groupBy(*keys, "toxic").agg(F.min("packed").alias("packed"), F.min("lang").alias("lang"))
+    named = one.select("shard", "toxic", "lang", "packed", (hashed("held", 5) == 4).alias("held"), "doc_id")
+    return named.sortWithinPartitions("shard", "doc_id").drop("doc_id").persist(StorageLevel.DISK_ONLY)
 
 
 def _chunks(values: np.ndarray, first: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -370,6 +419,18 @@ def counted(rows_: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return _whole(got, 0, KNOWN), _whole(got, KNOWN, 3)
 
 
+def weighed(n: int, values: np.ndarray, first: int) -> Iterator[tuple[int, np.ndarray]]:
+    """``_chunks`` of what a run of ``n`` documents changed, with half the digits that their sum has."""
+    for key, part in _chunks(values.astype(np.float32), first):
+        yield key, np.concatenate([np.array([n], np.float32), part])
+
+
+def weighted(raw: bytes) -> np.ndarray:
+    """A chunk of ``weighed`` times its run's documents, in units of 1 / _UNIT."""
+    v = np.frombuffer(raw, np.float32).astype(np.float64)
+    return np.rint(v[1:] * (v[0] * _UNIT)).astype(np.int64)
+
+
 def advanced(rows_: DataFrame, m: Model, seen: Model, k: int, n_rounds: int, max_words: int) -> None:
     """Round ``k``: every run is trained on from ``m``, which then moves by their mean change, weighed by documents.
 
@@ -380,28 +441,26 @@ def advanced(rows_: DataFrame, m: Model, seen: Model, k: int, n_rounds: int, max
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         start = pickle.loads(sent.value)
-        tables, rest = np.zeros((2, size), np.int64), np.zeros((2, flat), np.int64)
-        touched, n_docs = np.zeros(2 * ROWS, np.int64), np.zeros(1, np.int64)
         last, nth = None, 0
         for shard, texts, toxic in runs(batches, max_words):
             last, nth = shard, nth + 1 if shard == last else 0
-            own = copy.deepcopy(start)
-            n = len(texts)
-            descend(*own, texts, toxic, passes(n) * (k + 1) // n_rounds - passes(n) * k // n_rounds, np.random.default_rng([11, k, shard, nth]))
-            for j in range(2):
-                change = own[j].tables.astype(np.float64) - start[j].tables
-                tables[j] += np.rint(change.ravel() * (n * _UNIT)).astype(np.int64)
-                rest[j] += np.rint((dense(own[j]) - dense(start[j])) * (n * _UNIT)).astype(np.int64)
-            touched[(own[1].tables != start[1].tables).any(-1).ravel()] += n
-            n_docs += n
-        yield _emitted([*_chunks(tables.ravel(), 0), *_chunks(rest.ravel(), 1000), *_chunks(touched, 2000), *_chunks(n_docs, 3000)])
-
-    got = add_vectors(rows_.mapInArrow(store.trimmed(run), "key int, counts binary"))
+            own, n = copy.deepcopy(start), len(texts)
+            descend(*own, *numbered(texts), toxic, passes(n) * (k + 1) // n_rounds - passes(n) * k // n_rounds, np.random.default_rng([11, k, shard, nth]))
+            touched = np.any([(x.tables != was.tables).any(-1) for x, was in zip(own, start, strict=True)], 0)  # a change can be too small for its square to show
+            for x, was in zip(own, start, strict=True):
+                x.tables -= was.tables
+            rest = np.concatenate([dense(x) - dense(was) for x, was in zip(own, start, strict=True)])
+            for j, x in enumerate([own[0].tables, own[1].tables, rest, touched, np.ones(1)]):
+                for part in weighed(n, x.ravel(), 1000 * j):
+                    yield _emitted([part])
+
+    got = add_vectors(rows_.mapInArrow(store.trimmed(run), "key int, counts binary"), weighted)
     sent.destroy()
-    touched, n_docs = np.maximum(_whole(got, 2000, 2 * ROWS), 1), max(1, int(_whole(got, 3000, 1)[0]))
-    for x, tables, rest in zip((m, seen), _whole(got, 0, 2 * size).reshape(2, 2 * ROWS, DIM), _whole(got, 1000, 2 * flat).reshape(2, flat), strict=True):
-        x.tables += (tables / (touched[:, None] * _UNIT)).astype(np.float32).reshape(x.tables.shape)
-        set_dense(x, dense(x) + rest / (n_docs * _UNIT))
+    touched, n_docs = np.maximum(_whole(got, 3000, 2 * ROWS), 1), max(1, int(_whole(got, 4000, 1)[0]))
+    for j, (x, rest) in enumerate(zip((m, seen), _whole(got, 2000, 2 * flat).reshape(2, flat), strict=True)):
+        tables = _whole(got, 1000 * j, size).reshape(2 * ROWS, DIM)
+        x.tables += (tables / touched[:, None]).astype(np.float32).reshape(x.tables.shape)
+        set_dense(x, dense(x) + rest / n_docs)
 
 
 def calibrated(rows_: DataFrame, m: Model) -> dict[str, float]:
@@ -428,7 +487,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = TRAIN_ROWS, max_word
 
     ``max_rows`` documents make a shard, and a task holds ``max_words`` words at once: neither leaves anything out.
     """
-    all_ = dealt(docs, labels, max_rows, max_words)
+    spark, size = docs.sparkSession, "spark.sql.execution.arrow.maxBytesPerBatch"
+    all_, usual = dealt(docs, labels, max_rows, max_words), spark.conf.get(size)
+    spark.conf.set(size, str(_BATCH_BYTES))
     try:
         rest, own = all_.filter("held"), all_.filter("not held")
         n_docs, (clean, toxic, words) = counted(own.drop("held"))
@@ -441,12 +502,13 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = TRAIN_ROWS, max_word
         seen = sums_before(m)
         n_rounds = 1 if clean + toxic <= max_rows and words <= max_words else ROUNDS
         for k in range(n_rounds):
-            blocks.free(docs.sparkSession)  # what the last round exchanged
+            blocks.free(spark)  # what the last round exchanged
             advanced(own.drop("held"), m, seen, k, n_rounds, max_words)
         if rest is not None:
             m.thresholds = calibrated(rest.drop("held"), m)
         return m
     finally:
+        spark.conf.set(size, usual)
         all_.unpersist()
         store.trim()
 

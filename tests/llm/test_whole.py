@@ -156,3 +156,35 @@ def test_toxicity_brings_no_document_to_the_driver(spark, monkeypatch):
     for name in ("toArrow", "toPandas"):
         monkeypatch.setattr(type(docs), name, lambda *_: 1 / 0)
     assert toxicity.fit(docs, labels) is not None
+
+
+def test_toxicity_moves_labelled_texts_once(spark):
+    """400 of 4,000 documents have labels: only these are exchanged, to the shards at once; none is lost where many share the bits."""
+    docs = spark.createDataFrame([(k, f"text {k}") for k in range(4000)] + [(None, "x")], "doc_id long, text string")
+    labels = spark.createDataFrame([(k * 10, k % 2) for k in range(400)] + [(None, 1), (7, None)], "doc_id long, toxic int")
+    own = labels.filter("doc_id is not null and toxic is not null").repartition(3)
+    marked = toxicity.marks(own, 400)
+    moved = {r["doc_id"] for r in toxicity.packed(docs, marked).collect()}
+    assert moved >= set(range(0, 4000, 10)) and len(moved) < 800
+    few = np.zeros(1, np.uint8)  # eight bits for all
+    few[:] = 255
+    assert toxicity.packed(docs, few).count() == 4001
+    got = toxicity.dealt(docs, labels, 60, 9000)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 2, plan  # documents and labels
+    rows = got.rdd.glom().collect()
+    assert sum(map(len, rows)) == 400 and len(rows) == 7 and all({r["shard"] for r in part} <= {k} for k, part in enumerate(rows))
+    got.unpersist()
+
+
+def test_toxicity_numbers_words_in_parts(monkeypatch):
+    r = np.random.default_rng(3)
+    vocabulary = np.unique(r.integers(0, 1 << 32, 900).astype(np.uint32))
+    vocabulary = np.stack([vocabulary, vocabulary * np.uint32(3), vocabulary * np.uint32(5)], 1)
+    texts = [vocabulary[r.integers(0, len(vocabulary), n)] for n in (0, 5, 700, 1, 0, 90, 40, 300, 0)]
+    for size in (1, 64, 1 << 16):
+        monkeypatch.setattr(toxicity, "_CHUNK", size)
+        left = list(texts)
+        words, numbers = toxicity.numbered(left)
+        assert not left and len(numbers) == len(texts) and len(words) == len(np.unique(np.concatenate(texts)[:, 0]))
+        assert all(np.array_equal(words[n], t) for n, t in zip(numbers, texts, strict=True))
