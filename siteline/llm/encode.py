@@ -141,3 +141,8 @@ def encoder(name: str) -> Encoder:
         _encoders.clear()
         _encoders[name] = Encoder(name)
     return _encoders[name]
+
+
+def release() -> None:
+    """Drops the worker's encoder and its words: a worker outlives its stage, and the next may need the memory."""
+    _encoders.clear()

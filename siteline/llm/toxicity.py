@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import AtomicType
 
-from siteline.llm import blocks, store
+from siteline.llm import blocks, encode, store
 from siteline.llm import text as T
 from siteline.llm.quality import add_vectors
 
@@ -325,7 +325,8 @@ def packed(docs: DataFrame, marked: np.ndarray) -> DataFrame:
 
 
 def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, str | None, np.ndarray]]:
-    """shard, toxic, lang and the words' features of each row of ``dealt``."""
+    """shard, toxic, lang and the words' features of each row of ``dealt``, in workers that keep no tokenizer of an earlier stage."""
+    encode.release()
     codec = pa.Codec("zstd")
     for batch in batches:
         rows_ = list(zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True))

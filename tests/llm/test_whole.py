@@ -5,7 +5,7 @@ import re
 import numpy as np
 import pyarrow as pa
 
-from siteline.llm import decontam, toxicity
+from siteline.llm import decontam, encode, toxicity
 from siteline.llm import text as T
 
 
@@ -188,3 +188,8 @@ def test_toxicity_numbers_words_in_parts(monkeypatch):
         words, numbers = toxicity.numbered(left)
         assert not left and len(numbers) == len(texts) and len(words) == len(np.unique(np.concatenate(texts)[:, 0]))
         assert all(np.array_equal(words[n], t) for n, t in zip(numbers, texts, strict=True))
+
+
+def test_toxicity_trains_without_an_earlier_stages_tokenizer():
+    encode.encoder("word_bpe_49k.json")
+    assert encode._encoders and list(toxicity.runs(iter([]), 50)) == [] and not encode._encoders
