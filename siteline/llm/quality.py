@@ -91,7 +91,10 @@ def counts(raw: bytes) -> np.ndarray:
 
 
 def add_vectors(parts: DataFrame, read: Callable[[bytes], np.ndarray] = counts) -> dict[int, np.ndarray]:
-    """Rows (key, counts), added up by key: tasks add what they ``read`` as it streams; one row a key comes back."""
+    """Rows (key, counts), added up by key: tasks add what they ``read`` as it streams; one row a key comes back.
+
+    The tasks compress and pickle their sums, so that the driver's JVM only passes them on: as a DataFrame's rows it would copy and pickle all of them itself.
+    """
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
@@ -99,10 +102,12 @@ def add_vectors(parts: DataFrame, read: Callable[[bytes], np.ndarray] = counts)
             for key, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 v = read(raw)
                 sums[key] = sums[key] + v if key in sums else v
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], ["key", "counts"])
+        packed = [pa.Codec("zstd").compress(v.tobytes(), asbytes=True) for v in sums.values()]
+        sizes = [v.nbytes for v in sums.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(sizes, pa.int64()), pa.array(packed, pa.binary())], ["key", "size", "packed"])
 
-    rows = parts.repartition(8, "key").mapInArrow(add, "key int, counts binary").collect()
-    return {r["key"]: np.frombuffer(r["counts"], np.int64) for r in rows}
+    rows = parts.repartition(8, "key").mapInArrow(add, "key int, size long, packed binary").rdd.collect()
+    return {r["key"]: np.frombuffer(pa.Codec("zstd").decompress(r["packed"], r["size"]), np.int64) for r in rows}
 
 
 @dataclass

@@ -511,6 +511,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = TRAIN_ROWS, max_word
     finally:
         spark.conf.set(size, usual)
         all_.unpersist()
+        blocks.free(spark)  # what the last round exchanged, before all texts are scored
         store.trim()
 
 

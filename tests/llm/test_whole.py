@@ -5,7 +5,7 @@ import re
 import numpy as np
 import pyarrow as pa
 
-from siteline.llm import decontam, encode, toxicity
+from siteline.llm import decontam, encode, jaccard, toxicity
 from siteline.llm import text as T
 
 
@@ -158,6 +158,23 @@ def test_toxicity_brings_no_document_to_the_driver(spark, monkeypatch):
     assert toxicity.fit(docs, labels) is not None
 
 
+def test_sums_are_not_copied_row_by_row_in_the_driver(spark, monkeypatch):
+    """A model's sums (17 MB a round) and the sketch (8 MB) come as tasks pickled them; what is collected as rows is small."""
+    docs = spark.createDataFrame([(k, "trash here" if k % 2 else "fine here") for k in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id long, toxic int")
+    size, collect = [], type(docs).collect
+
+    def counted(df):
+        rows = collect(df)
+        size.append(sum(len(x) for r in rows for x in r if isinstance(x, (bytes, bytearray))))
+        return rows
+
+    monkeypatch.setattr(type(docs), "collect", counted)
+    assert toxicity.fit(docs, labels) is not None
+    assert jaccard.sketch(docs, 2).sum() == 40
+    assert sum(size) < 1 << 16
+
+
 def test_toxicity_moves_labelled_texts_once(spark):
     """400 of 4,000 documents have labels: only these are exchanged, to the shards at once; none is lost where many share the bits."""
     docs = spark.createDataFrame([(k, f"text {k}") for k in range(4000)] + [(None, "x")], "doc_id long, text string")
