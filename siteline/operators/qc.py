@@ -2,18 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping
+from collections.abc import Mapping
 from functools import reduce
 
-import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
-from siteline import session
-from siteline.functions import seq as Q
+from siteline.operators import kmers
 
 # Fixed values of the rules.
 MAP_FAIL, MAP_WARN = 25.0, 50.0
@@ -183,113 +178,27 @@ def umi_report(files: DataFrame, declared: DataFrame, mates: Mapping[str, int] =
     return joined.select("run", "mate", "expected", F.col("detected").cast("long").alias("detected"), umi_verdict(F.col("expected"), F.col("detected")).alias("verdict"))
 
 
-#: Reference k-mers, of 12 bytes each, that are sent to the tasks at once; more go block by block.
-BLOCK_KMERS = 1 << 23
-_CODES = np.full(256, 7, np.int64)
-for _code, _base in enumerate(b"ACGTN"):
-    _CODES[_base] = _code
-
-
-def packed_kmers(column: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The k-mers of a string column as whole numbers of three bits a base, with the row and the place in it of each.
-
-    A window with a letter other than A, C, G, T and N is none.
-    """
-    if not 0 < k <= 21:
-        raise ValueError("a k-mer has 1 to 21 bases")
-    column = pc.fill_null(column, "").cast(pa.large_string())
-    bounds = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
-    raw = column.buffers()[2]
-    codes = _CODES[np.frombuffer(raw, np.uint8)[bounds[0] : bounds[-1]]] if raw is not None else np.empty(0, np.int64)
-    bounds = bounds - bounds[0]
-    n = len(codes) - k + 1
-    if n <= 0:
-        return (np.empty(0, np.int64),) * 3
-    out, have, power, width = np.zeros(n, np.int64), 0, codes, 1
-    while have < k:  # windows of 1, 2, 4 ... bases, put together by the bits of k
-        if k & width:
-            out = (out << 3 * width) | power[have : have + n]
-            have += width
-        power, width = (power[:-width] << 3 * width) | power[width:], width * 2
-    row = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-    ends = np.repeat(bounds[1:], np.diff(bounds))[:n]
-    strange = np.concatenate([[0], np.cumsum(codes == 7)])
-    at = np.flatnonzero((np.arange(n) + k <= ends) & (strange[k:] == strange[:n]))
-    return out[at], row[at], at - bounds[row[at]]
-
-
-def reference_kmers(references: DataFrame, k: int) -> DataFrame:
-    """index, kmer and priority: the k-mers of both strands of ``references`` (index, seq, priority), each with its lowest priority."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            kmers, row, _ = packed_kmers(batch.column("seq"), k)
-            found = pa.table([batch.column("index").take(pa.array(row)), pa.array(kmers), batch.column("priority").take(pa.array(row))], ["index", "kmer", "priority"])
-            yield from found.group_by(["index", "kmer"]).aggregate([("priority", "min")]).rename_columns(["index", "kmer", "priority"]).to_batches()
-
-    strands = references.select(F.coalesce("index", F.lit("")).alias("index"), F.explode(F.array("seq", Q.revcomp(F.col("seq")))).alias("seq"), F.col("priority").cast("int").alias("priority")).filter("seq is not null and priority is not null")
-    return strands.mapInArrow(run, "index string, kmer long, priority int").groupBy("index", "kmer").agg(F.min("priority").alias("priority"))
-
-
-def _first_hits(block, k: int, kept: list[str]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = block.value
-        for batch in batches:
-            index = np.array(batch.column("index").to_pylist(), object)
-            kmers, row, place = packed_kmers(batch.column("seq"), k)
-            best = np.full(batch.num_rows, -1)
-            at = np.zeros(batch.num_rows, np.int64)
-            rows_of = {name: np.flatnonzero(index == name) for name in held.keys() & set(index.tolist())}
-            low, width = 0, 64
-            while len(kmers):  # a first hit tends to come early: only reads without one go on, further each time
-                near = place < low + width
-                for name, rows in rows_of.items():
-                    known, priority = held[name]
-                    own = np.flatnonzero(near & np.isin(row, rows, assume_unique=False))
-                    where = np.minimum(np.searchsorted(known, kmers[own]), len(known) - 1)
-                    hit = known[where] == kmers[own]
-                    found, first = np.unique(row[own[hit]], return_index=True)  # k-mers are in order of place
-                    best[found], at[found] = priority[where[hit][first]], place[own[hit][first]]
-                left = ~near & (best[row] < 0)
-                kmers, row, place = kmers[left], row[left], place[left]
-                low, width = low + width, width * 2
-            none = best < 0
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(at, pa.int64(), mask=none), pa.array(best.astype(np.int32), pa.int32(), mask=none)], [*kept, "__place", "__priority"])
-
-    return run
+#: Reference k-mers, of 12 bytes each, that are sent to every task; where there may be more, they and the reads' are exchanged.
+BLOCK_KMERS = 1 << 20
 
 
 def classify_reads(reads: DataFrame, references: DataFrame, k: int, block_kmers: int = BLOCK_KMERS) -> DataFrame:
     """``reads`` (seq, index and more) without seq and index, with ``class``: that of its first k-mer that ``references`` (index, seq, class, priority) hold on either strand; else null.
 
     A read is looked up in the references of its own index; a frame without that column has one.  Where classes share a k-mer the lowest priority wins; a priority, 0 or more, belongs to one class.
-    Reads never move: the references' k-mers are counted first and go to the tasks in blocks of ``block_kmers`` at most, by index and
-    value, and with several blocks a read, known by its other columns, takes the first hit of all.  A read's own k-mers stay inside its task.
+    References of ``block_kmers`` k-mers at most are held by every task, and no read moves; beyond, blocks of reads ask for
+    their k-mers round by round (``kmers.exchanged_hits``), and no task and no driver holds all references.
     """
-    spark = reads.sparkSession
     reads, references = (df if "index" in df.columns else df.withColumn("index", F.lit("")) for df in (reads, references))
-    known = session.written(reference_kmers(references, k), "kmers")
     names = references.filter("priority is not null").groupBy(F.col("priority").cast("int").alias("priority")).agg(F.min("class").alias("class"))
+    known = references.select(F.coalesce("index", F.lit("")).alias("index"), "seq", F.col("priority").cast("int").alias("priority")).filter((F.length("seq") >= k) & F.col("priority").isNotNull())
     kept = [c for c in reads.columns if c not in ("seq", "index")]
     own = reads.select(*kept, "seq", F.coalesce("index", F.lit("")).alias("index"))
-    schema = StructType([*(reads.schema[c] for c in kept), StructField("__place", LongType()), StructField("__priority", IntegerType())])
-    blocks = -(-known.count() // block_kmers)
-    parts = []
-    for b in range(blocks):
-        some = known.filter(F.pmod(F.xxhash64("kmer"), F.lit(blocks)) == b).toArrow()
-        held = {}
-        for name in pc.unique(some.column("index")).to_pylist():
-            part = some.filter(pc.equal(some.column("index"), name))
-            kmers = part.column("kmer").to_numpy()
-            order = np.argsort(kmers)
-            held[name] = (kmers[order], part.column("priority").to_numpy()[order])
-        parts.append(own.mapInArrow(_first_hits(spark.sparkContext.broadcast(held), k, kept), schema))
-    if not parts:
+    n = kmers.windows(known, k)
+    if not n:
         return own.select(*kept, F.lit(None).cast("string").alias("class"))
-    found = reduce(DataFrame.unionByName, parts)
-    if len(parts) > 1:
-        found = found.groupBy(*kept).agg(F.min_by("__priority", F.when(F.col("__place").isNotNull(), F.struct("__place", "__priority"))).alias("__priority"))
-    return found.join(names.withColumnRenamed("priority", "__priority"), "__priority", "left").select(*kept, "class")
+    found = kmers.held_hits(own, known, k, kept) if n <= block_kmers else kmers.exchanged_hits(own, known, k, kept, n)
+    return found.join(F.broadcast(names.withColumnRenamed("priority", "__priority")), "__priority", "left").select(*kept, "class")
 
 
 RRNA = ("rrna_35s", "rrna_5s")
