@@ -1,10 +1,13 @@
 """Reads against references too many for a task or the driver, and counts of k-mers, against plain Python."""
 
 import random
+import tracemalloc
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
-from siteline.operators import qc
+from siteline.operators import kmers, qc
 
 
 def revcomp(s):
@@ -45,3 +48,37 @@ def test_reads_meet_many_references_without_the_driver(spark, none_collected):
         want[j, more] = next((h[1] for h in hits if h), None)
     found = [((x["read"], x["more"]), x["class"]) for x in got.collect()]
     assert len(found) == len(want) and dict(found) == want and set(want.values()) == {"a", "b", "c", None}
+
+
+def test_inserts_meet_many_references_without_the_driver(spark, none_collected):
+    """Contents of two species, one without rRNA, whose references have more k-mers than a task is to hold."""
+    r = random.Random(12)
+    chunks = ["".join(r.choices("ACGT", k=60_000)) for _ in range(20)]
+    refs = [("s", c, *(("rrna_35s", 0), ("rrna_5s", 1), ("organellar", 2))[j % 3]) for j, c in enumerate(chunks[:19])] + [("o", chunks[19], "organellar", 2)]
+    assert sum(len(c) - 19 for c in chunks) > qc.BLOCK_KMERS
+    other = "".join(r.choices("ACGT", k=400))
+    at = lambda j, place, n: chunks[j][place : place + n]
+    inserts = [("e1", s) for s in (at(0, 59_970, 30), revcomp(at(1, 7, 44)), other[:90] + at(2, 300, 25), other, at(19, 5, 50), other[:3] + at(4, 9, 20) + at(0, 9, 20), "ACGT", None, at(3, 0, 20), at(3, 0, 19))]
+    inserts += [("e2", s) for s in (at(19, 5, 50), at(0, 5, 50), other[:300] + revcomp(at(19, 59_900, 40)))] + [("e3", at(0, 5, 50))]
+    ex = spark.createDataFrame([("e1", "s"), ("e2", "o"), ("e3", "none")], "experiment string, index string")
+    ins = spark.createDataFrame([(e, j, s) for j, (e, s) in enumerate(inserts)], "experiment string, read long, seq string")
+    got = {x.experiment: tuple(x)[1:] for x in qc.rrna_content(ex, ins, spark.createDataFrame(refs, "index string, seq string, class string, priority int"), 20).collect()}
+    assert got == {"e1": (7, "yes", 28.57, 28.57, 14.29, 71.43), "e2": (3, "no", 0.0, 0.0, 66.67, 66.67), "e3": (0, None, None, None, None, None)}
+
+
+def test_long_sequences_are_worked_on_in_spans():
+    """A batch of eight million bases takes memory for a span of them; the keys are those of each window, and of its reverse complement."""
+    r = random.Random(13)
+    long = "".join(r.choices("ACGTN", k=1 << 20)) * 8
+    batch = pa.array([None, "ACG", long, "", long[:50] + "x" + long[:30]])
+    tracemalloc.start()
+    n, most = 0, 0
+    for keys, row, place in kmers.spans(batch, 20):
+        n, most = n + len(keys), max(most, len(keys))
+        assert (np.diff(row) >= 0).all() and (np.diff(place)[np.diff(row) == 0] > 0).all()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == len(long) - 19 + 31 + 11 and most <= kmers.SPAN and peak < 200 << 20
+    some = [long[:300], revcomp(long[:300])]
+    one, two = (np.concatenate([x for x, _, _ in kmers.spans(pa.array([s]), 20)]) for s in some)
+    assert (one == two[::-1]).all() and len(set(one.tolist())) == len({min(s, revcomp(s)) for s in (long[i : i + 20] for i in range(281))})
