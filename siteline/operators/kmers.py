@@ -1,4 +1,4 @@
-"""K-mers of both strands as numbers, looked up between reads and references, without a row for each.
+"""K-mers of both strands as numbers: counted, and looked up between reads and references, without a row for each.
 
 A k-mer and its reverse complement have one key, the smaller of their numbers in base five (A, C, G, T, N), scattered by an
 odd factor.  Tasks cut sequences in spans, sort their keys and send them as differences, packed by bucket: a bucket is
@@ -20,7 +20,7 @@ from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 from siteline import session
 
 #: Bases worked on at once, keys sorted and sent together, and keys of a bucket on average.
-SPAN, CHUNK, BUCKET = 1 << 20, 1 << 22, 1 << 20
+SPAN, CHUNK, BUCKET = 1 << 17, 1 << 22, 1 << 20
 #: Bases of a block of reads, places of a read looked up first, and bits of the filter of wanted keys (16 MB).
 BLOCK, FIRST, FILTER_BITS = 1 << 20, 4, 27
 #: How many times more places each further round of look-ups takes.
@@ -58,8 +58,8 @@ def _numbers(codes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return ahead, back
 
 
-def spans(column: pa.Array, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """The keys of a string column's k-mers, with the row and the place in it of each, so many bases at a time; in order.
+def spans(column: pa.Array, k: int, places: bool = True) -> Iterator[tuple[np.ndarray, np.ndarray | None, np.ndarray | None]]:
+    """The keys of a string column's k-mers, with the row and the place in it of each where wanted, so many bases at a time; in order.
 
     A window with a letter other than A, C, G, T and N is none.
     """
@@ -72,13 +72,19 @@ def spans(column: pa.Array, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np
         n = len(codes) - k + 1
         ahead, back = _numbers(codes, k)
         keys = (np.minimum(ahead, back) * factor) & mask
-        row = np.repeat(np.arange(len(column)), np.diff(np.clip(bounds, low, low + n)))
-        at = np.arange(low, low + n)
-        good = at + k <= bounds[row + 1]
+        first, last = np.searchsorted(bounds, low, "right") - 1, np.searchsorted(bounds, low + n, "left")
+        edges = np.clip(bounds[first : last + 1], low, low + n)
+        good = np.ones(n, bool)
+        for x in np.clip(bounds[first + 1 : last + 1] - low, 0, n + k - 1).tolist():
+            good[max(0, x - k + 1) : x] = False  # these windows run past the end of their row
         if (codes == 5).any():
             strange = np.concatenate([[0], np.cumsum(codes == 5)])
             good &= strange[k:] == strange[:n]
-        yield keys[good], row[good], (at - bounds[row])[good]
+        if places:
+            row = np.repeat(np.arange(first, last), np.diff(edges))[good]
+            yield keys[good], row, np.arange(low, low + n)[good] - bounds[row]
+        else:
+            yield keys[good], None, None
 
 
 def pack(values: np.ndarray) -> bytes:
@@ -130,6 +136,79 @@ def windows(df: DataFrame, k: int) -> int:
     return df.agg(F.sum(F.greatest(F.length("seq") - (k - 1), F.lit(0)).cast("long"))).first()[0] or 0
 
 
+def _tables(k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Letters of each number of five bases and of ``k % 5`` bases, and of its reverse complement."""
+    out = []
+    for digits in (5, k % 5):
+        codes = np.arange(5**digits)[:, None] // 5 ** np.arange(digits)[::-1] % 5
+        out.append(tuple(np.ascontiguousarray(np.frombuffer(b, np.uint8)[c]).view(f"S{digits}").ravel() if digits else None for b, c in ((b"ACGTN", codes), (b"TGCAN", codes[:, ::-1]))))
+    return out
+
+
+def _texts(numbers: np.ndarray, k: int, tables: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """K-mers and their reverse complements as texts."""
+    one, two = np.empty((len(numbers), k), np.uint8), np.empty((len(numbers), k), np.uint8)
+    left = numbers.astype(np.int64)
+    for low in range(0, k, 5):
+        table, width = (tables[0], 5) if k - low >= 5 else (tables[1], k % 5)
+        rest = left // 5**width
+        part, left = left - rest * 5**width, rest
+        for out, at, letters in ((one, k - low - width, table[0]), (two, low, table[1])):
+            out[:, at : at + width] = letters[part].view(np.uint8).reshape(-1, width)
+    return one.view(f"S{k}").ravel(), two.view(f"S{k}").ravel()
+
+
+def count_kmers(sequences: DataFrame, k: int) -> DataFrame:
+    """kmer and n: how often each k-mer of A, C, G, T and N is in ``sequences`` (seq) and their reverse complements."""
+    bits = key_bits(k)
+    shift = bits - bucket_bits(windows(sequences, k), k)
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def flush(held: list[np.ndarray]) -> pa.RecordBatch:
+            keys = np.sort(np.concatenate(held))
+            first = np.flatnonzero(np.diff(keys, prepend=~keys[:1]))
+            keys, n = keys[first], np.diff(first, append=len(keys))
+            own = [(b, s.stop - s.start, pack_keys(keys[s], base), pack(n[s])) for b, base, s in cuts(keys, shift)]
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*own, strict=True), (pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["bucket", "size", "keys", "counts"])
+
+        held, size = [], 0
+        for batch in batches:
+            for keys, _, _ in spans(batch.column("seq"), k, places=False):
+                if len(keys):
+                    held.append(keys)
+                    size += len(keys)
+                if size >= CHUNK:
+                    yield flush(held)
+                    held, size = [], 0
+        if held:
+            yield flush(held)
+
+    def add(table: pa.Table) -> pa.Table:
+        keys = np.concatenate([unpack_keys(raw, n, b << shift) for b, n, raw in zip(*(table.column(c).to_pylist() for c in ("bucket", "size", "keys")), strict=True)])
+        n = np.concatenate([unpack(raw, m) for m, raw in zip(*(table.column(c).to_pylist() for c in ("size", "counts")), strict=True)]).astype(np.int64)
+        if n.sum() <= 2 * len(n):  # few are found again in their chunk: the keys alone are sorted in a third of the time
+            keys = np.sort(np.repeat(keys, n))
+            first = np.flatnonzero(np.diff(keys, prepend=~keys[:1]))
+            n = np.diff(first, append=len(keys))
+        else:
+            order = np.argsort(keys)
+            keys = keys[order]
+            first = np.flatnonzero(np.diff(keys, prepend=~keys[:1]))
+            n = np.add.reduceat(n[order], first)
+        numbers = keys[first] * np.uint64(pow(_FACTOR, -1, 1 << 64)) & np.uint64((1 << bits) - 1)
+        tables, out = _tables(k), []
+        for low in range(0, len(n), 1 << 16):
+            one, two = _texts(numbers[low : low + (1 << 16)], k, tables)
+            same, own = one == two, n[low : low + (1 << 16)]  # its own reverse complement is found once on each strand
+            letters = np.concatenate([one, two[~same]])
+            ends = pa.py_buffer(np.arange(0, k * len(letters) + 1, k, dtype=np.int32))
+            out.append(pa.RecordBatch.from_arrays([pa.StringArray.from_buffers(len(letters), ends, pa.py_buffer(letters)), pa.array(np.concatenate([np.where(same, 2 * own, own), own[~same]]))], ["kmer", "n"]))
+        return pa.Table.from_batches(out)
+
+    sent = sequences.select("seq").mapInArrow(send, "bucket int, size int, keys binary, counts binary")
+    return sent.groupBy("bucket").applyInArrow(add, "kmer string, n long")
+
+
 def reference_keys(references: DataFrame, k: int) -> DataFrame:
     """index, key and priority: the keys of ``references`` (index, seq, priority), each with its lowest priority."""
 
@@ -273,8 +352,8 @@ def _asking(k: int, shift: int):
         for batch in batches:
             own = []
             for (name, block), seq in _groups(batch, "index", "__block"):
-                for keys, _, _ in spans(seq, k):
-                    keys = distinct(keys)
+                if found := [keys for keys, _, _ in spans(seq, k, places=False)]:
+                    keys = distinct(np.concatenate(found))
                     own += [(name, b, block, s.stop - s.start, pack_keys(keys[s] - np.uint64(base), 0)) for b, base, s in cuts(keys, shift)]
             yield _rows(own, *_ASKS)
 
@@ -295,7 +374,7 @@ def _telling(k: int, bits: int, shift: int, sent):
         wanted, held, size = sent.value, {}, 0
         for batch in batches:
             for group, seq in _groups(batch, "index", "priority"):
-                for keys, _, _ in spans(seq, k):
+                for keys, _, _ in spans(seq, k, places=False):
                     slot = keys >> spare
                     keys = keys[(wanted[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 > 0]
                     if len(keys):

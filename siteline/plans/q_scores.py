@@ -12,6 +12,7 @@ from siteline.functions import trim
 from siteline.operators import compare as C
 from siteline.operators import folds as K
 from siteline.operators import intervals as I
+from siteline.operators import kmers
 from siteline.operators import signal as G
 from siteline.operators.ordinal import with_ordinal
 from siteline.plans.proxies import sql, table, view
@@ -110,8 +111,7 @@ def _(spark, d):
 
 @R.add("fn_kmers", sql("b as (select seq from seqs union all select reverse(translate(seq, 'ACGTN', 'TGCAN')) from seqs), k as (select substr(seq, i, 20) as kmer from (select seq, unnest(range(1, length(seq) - 18)) as i from b where length(seq) >= 20)) select kmer, count(*) as n from k group by 1", "seqs"))
 def _(spark, d):
-    strands = seqs(spark, d).select(F.explode(F.array("seq", Q.revcomp(F.col("seq")))).alias("seq"))
-    return strands.select(F.explode(Q.kmers(F.col("seq"), 20)).alias("kmer")).groupBy("kmer").agg(count())
+    return kmers.count_kmers(seqs(spark, d), 20)
 
 
 @R.add("fn_parse_region", "select c_custkey, 'chr' || c_nationkey as contig, case when c_custkey % 2 = 0 then c_custkey * 1000 end as first, case when c_custkey % 2 = 0 then c_custkey * 1000 + 500 end as last from customer")

@@ -2,12 +2,15 @@
 
 import random
 import tracemalloc
+from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import pytest
 
 from siteline.operators import kmers, qc
+from siteline.plans import q_scores
 
 
 def revcomp(s):
@@ -82,3 +85,26 @@ def test_long_sequences_are_worked_on_in_spans():
     some = [long[:300], revcomp(long[:300])]
     one, two = (np.concatenate([x for x, _, _ in kmers.spans(pa.array([s]), 20)]) for s in some)
     assert (one == two[::-1]).all() and len(set(one.tolist())) == len({min(s, revcomp(s)) for s in (long[i : i + 20] for i in range(281))})
+
+
+@pytest.mark.parametrize("k", [20, 7, 4])
+def test_kmers_of_both_strands_are_counted(spark, k):
+    """With those that are their own reverse complements, with copies, and with what is too short."""
+    r = random.Random(14)
+    half = "".join(r.choices("ACGTN", k=30))
+    own = [half + revcomp(half), half + "N" + revcomp(half), "".join(r.choices("ACGT", k=500)), None, "", "ACG", "A" * 60, "ACGT" * 30, *["".join(r.choices("AC", k=90))] * 30]
+    want = Counter(t[i : i + k] for s in own if s for t in (s, revcomp(s)) for i in range(len(t) - k + 1))
+    got = kmers.count_kmers(spark.createDataFrame([(s,) for s in own], "seq string"), k).collect()
+    assert len(got) == len(want) and {x.kmer: x.n for x in got} == dict(want) and any(x == revcomp(x) for x in want)
+
+
+def test_counting_exchanges_few_bytes_a_base(spark, monkeypatch):
+    """Random bases, of which no k-mer is found twice, so that nothing but their packing makes them small."""
+    r, n = random.Random(15), 400_000
+    seqs = spark.createDataFrame([("".join(r.choices("ACGT", k=n // 100)),) for _ in range(100)], "seq string")
+    folders = [str(x) for x in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()]
+    held = lambda: {p: p.stat().st_size for d in folders for p in Path(d).rglob("shuffle_*.data")}
+    before = held()
+    monkeypatch.setattr(q_scores, "seqs", lambda *_: seqs)
+    assert q_scores.R.queries["fn_kmers"](spark, "").agg({"n": "sum"}).first()[0] == 2 * (n - 100 * 19)
+    assert sum(b for p, b in held().items() if p not in before) < 8 * n
