@@ -7,6 +7,7 @@ a range of keys, so that a k-mer found everywhere is one entry a chunk and no bu
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -317,7 +318,7 @@ def exchanged_hits(reads: DataFrame, references: DataFrame, k: int, kept: list[s
     """As ``held_hits``, for references too many to be held: blocks of reads ask buckets of keys.
 
     A round asks for a read's next places and goes on with the reads that found nothing.  References send the keys that
-    a filter of all that is asked lets through; the answers to a block are the keys that are known, by priority.
+    a filter of all that is asked lets through, unless so much is asked that all are sent; the answers to a block are the keys that are known, by priority.
     """
     spark, bits = reads.sparkSession, key_bits(k)
     columns = [*kept, "index", "seq", "__block"]
@@ -328,9 +329,11 @@ def exchanged_hits(reads: DataFrame, references: DataFrame, k: int, kept: list[s
     while True:
         asked = left.withColumn("__part", F.substring("seq", low + 1, width + k - 1))
         n_asked = windows(asked.select(F.col("__part").alias("seq")), k)
-        shift = bits - bucket_bits(n_asked + n_references * min(1.0, n_asked / (1 << FILTER_BITS)), k)
+        passed = 1 - math.exp(-n_asked / (1 << FILTER_BITS))
+        thin = n_asked < n_references * (1 - passed)  # else the filter, for which all that is asked moves once more, costs more than it saves
+        shift = bits - bucket_bits(n_asked + n_references * (passed if thin else 1), k)
         asks = asked.select("index", "__block", F.col("__part").alias("seq")).mapInArrow(_asking(k, shift), "index string, bucket int, block long, size int, keys binary")
-        sent = spark.sparkContext.broadcast(_wanted(asks, bits, shift))
+        sent = spark.sparkContext.broadcast(_wanted(asks, bits, shift) if thin else None)
         known = references.mapInArrow(_telling(k, bits, shift, sent), "index string, bucket int, priority int, size int, keys binary")
         answers = asks.groupBy("index", "bucket").cogroup(known.groupBy("index", "bucket")).applyInArrow(_answer, "block long, index string, bucket int, priority int, size int, keys binary")
         found = asked.groupBy("__block").cogroup(answers.groupBy("block")).applyInArrow(_taking(k, shift, columns, low + width), shape)
@@ -375,8 +378,9 @@ def _telling(k: int, bits: int, shift: int, sent):
         for batch in batches:
             for group, seq in _groups(batch, "index", "priority"):
                 for keys, _, _ in spans(seq, k, places=False):
-                    slot = keys >> spare
-                    keys = keys[(wanted[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 > 0]
+                    if wanted is not None:
+                        slot = keys >> spare
+                        keys = keys[(wanted[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 > 0]
                     if len(keys):
                         held.setdefault(group, []).append(keys)
                         size += len(keys)
